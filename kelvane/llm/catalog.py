@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, line_dedup, packing, quality_rules, sharding, url_filters, warc
+from . import decontamination, jaccard_join, language_id, line_dedup, packing, quality_rules, sharding, suffix_dedup, url_filters, warc
 
 
 def queries():
@@ -12,9 +12,11 @@ def queries():
         "op3_best_fit_packing": packing.query,
         "op4_sharding": sharding.query,
         "op5_language_id": language_id.query,
+        "op6_jaccard_join": jaccard_join.query,
         "op7_quality_rules": quality_rules.query,
         "op8_decontamination": decontamination.query,
         "op9_warc_fixity": warc.query,
+        "op10_suffix_dedup": suffix_dedup.query,
     }
 
 
