@@ -41,7 +41,9 @@ HOT = 20_000
 SKIP_IDS = 4_000_000
 #: Bytes of stretches that a task gathers before it folds equal ones.
 FOLD_BYTES = 24 << 20
-_POS = 22
+_POS = 20
+#: Bytes that are scanned at once.
+SLICE = 1 << 18
 
 
 def suffix_array(data: bytes) -> np.ndarray:
@@ -100,24 +102,19 @@ def earlier_matches(fingerprint: np.ndarray, *position: np.ndarray) -> tuple[np.
     return order, first, found
 
 
-def _poly(buf: np.ndarray, widths: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """Hashes of all substrings of the given widths, by doubling."""
-    have = {1: _BYTE[buf]}
-    power = lambda k: U(pow(_BASE, k, 2**64))
-
-    def join(a: int, b: int) -> np.ndarray:
-        n = max(0, len(buf) - a - b + 1)
-        return have[a][:n] * power(b) + have[b][a : a + n]
-
-    def make(k: int) -> np.ndarray:
-        if k not in have:
-            half = 1 << (k - 1).bit_length() - 1
-            make(half)
-            make(k - half)
-            have[k] = join(half, k - half)
-        return have[k]
-
-    return {k: make(k) for k in widths}
+def _poly(buf: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all substrings of one width, from those of doubled widths."""
+    n = len(buf) - width + 1
+    power, out, done, k = _BYTE[buf], None, 0, 1
+    while True:
+        if width & k:  # the substring's next k bytes
+            part = power[done : done + n]
+            out = part.copy() if out is None else out * U(pow(_BASE, k, 2**64)) + part
+            done += k
+        if done == width:
+            return out
+        power = power[: len(power) - k] * U(pow(_BASE, k, 2**64)) + power[k:]
+        k *= 2
 
 
 def _window_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -131,14 +128,14 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
 def stretches(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     """Stretches of starts with one key: row, first start, last start (in the row), key; by chunks of bounded size."""
     step = 1 << (_POS - 2)
-    for i, j in slices(off):
+    for i, j in slices(off, SLICE):
         chunks = [(i, j, int(off[i]), int(off[j]))]
         if off[j] - off[i] > step:  # one long row
             chunks = [(i, j, lo, min(lo + step + length - 1, int(off[j]))) for lo in range(int(off[i]), int(off[j]) - length + 1, step)] or chunks
         for a, b, lo, hi in chunks:
             if hi - lo < length:
                 continue
-            g = mix(_poly(buf[lo:hi], (gram,))[gram])
+            g = mix(_poly(buf[lo:hi], gram))
             packed = (g >> U(_POS) << U(_POS)) | np.arange(len(g), dtype=np.uint64)
             at = (_window_min(packed, length - gram + 1) & U((1 << _POS) - 1)).astype(np.int64)
             edges = np.clip(off[a : b + 1], lo, hi) - lo
@@ -286,7 +283,7 @@ def _match(length: int):
                 offset = np.cumsum(size[at]) - size[at]
                 src = np.repeat(at, starts_n)
                 step = np.arange(starts_n.sum()) - np.repeat(np.cumsum(starts_n) - starts_n, starts_n)
-                f = _poly(text, (length,))[length][np.repeat(offset, starts_n) + step]
+                f = _poly(text, length)[np.repeat(offset, starts_n) + step]
                 f = mix(f ^ mix(key[src].view(np.uint64)))
                 d, p = doc[src], start[src] + step
                 k = len(f)
