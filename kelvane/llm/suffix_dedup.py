@@ -166,17 +166,23 @@ def _keys(length: int, gram: int, skip: np.ndarray):
             if len(skip):
                 use = use & (skip[np.minimum(np.searchsorted(skip, ids), len(skip) - 1)] != ids)
             for row, _, _, key in stretches(buf, off, length, gram):
-                at = np.flatnonzero(use[row])
-                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(ids[row[at]])], names=["key", "doc_id"])
+                # A text that repeats itself may have very many stretches of one key: they are counted here.
+                order = np.lexsort((key, row))
+                row, key = row[order], key[order]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
+                many = np.diff(np.r_[first, len(row)])
+                on = use[row[first]]
+                at = first[on]
+                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(ids[row[at]]), pa.array(many[on].astype(np.int32))], names=["key", "doc_id", "n"])
 
     return run
 
 
 def _repeated(hot: int):
-    """Over rows (key, doc_id) by key: those of keys with more than one row; a row without doc_id tells that a key is hot."""
+    """Over rows (key, doc_id, n) by key: those of keys with n above one in all; a row without doc_id tells that a key is hot."""
 
     def run(batches):
-        last, n, held = None, 0, None  # the key that ended the last batch, its rows so far, its row if it has one so far
+        last, n, held = None, 0, None  # the key that ended the last batch, its n so far, its row if that is 1
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -184,7 +190,7 @@ def _repeated(hot: int):
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[first, len(key)])
             before = n if last == key[0] else 0
-            total = size.copy()
+            total = np.add.reduceat(batch.column(2).to_numpy().astype(np.int64), first)
             total[0] += before
             keep = np.repeat(total > 1, size)
             if before == 1 and held is not None:
@@ -355,7 +361,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     copies = materialise(meta.where(F.col("n") >= length).join(firsts, "digest").where("doc_id > first").select("doc_id", "n"), "copies")
     few = copies.count() <= SKIP_IDS
     skip = np.unique(np.array(copies.select("doc_id").toArrow().column(0).to_numpy(), np.int64)) if few else np.empty(0, np.int64)
-    keys = known.mapInArrow(_keys(length, gram, skip), "key long, doc_id long").repartition("key").sortWithinPartitions("key")
+    keys = known.mapInArrow(_keys(length, gram, skip), "key long, doc_id long, n int").repartition("key").sortWithinPartitions("key")
     found = materialise(keys.mapInArrow(_repeated(hot), "key long, doc_id long"), "keys")
     hot_keys = found.where("doc_id IS NULL").select("key", F.lit(True).alias("hot")).distinct()
     rest = found.where("doc_id IS NOT NULL")
@@ -363,11 +369,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         rest = rest.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
     wanted = rest.join(hot_keys, "key", "left").groupBy("doc_id").agg(F.collect_set(F.when(F.col("hot").isNull(), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
     wanted = materialise(wanted, "wanted")
-    bodies = rows.join(wanted, "doc_id").select("doc_id", "text", "keys", "hot_keys").mapInArrow(_gather(length, gram, FOLD_BYTES), "key long, doc_id long, start long, size int, body binary")
+    keyed = rows.where("doc_id IS NOT NULL")
+    bodies = keyed.join(wanted, "doc_id").select("doc_id", "text", "keys", "hot_keys").mapInArrow(_gather(length, gram, FOLD_BYTES), "key long, doc_id long, start long, size int, body binary")
     spans = bodies.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_match(length), "doc_id long, lo long, hi long")
     spans = spans.unionByName(copies.select("doc_id", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))
-    by_doc = materialise(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, cut_starts array<long>, cut_ends array<long>")
+    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    # Both joins need the texts by id: in one query, Spark deals them out once and reads that twice.
+    none = F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("spans")
+    cut = keyed.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").unionByName(rows.where("doc_id IS NULL").select("doc_id", "text", none))
+    return cut.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, cut_starts array<long>, cut_ends array<long>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
