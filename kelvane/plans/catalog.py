@@ -1,9 +1,204 @@
-"""Registered queries of the matrix and graph operators, and their SQL."""
+"""Registered queries of the matrix and graph operators over the test tables, and their SQL."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..matrix import SparseMatrix
+from ..operators import coloring, graphs, metrics, orderings, partitions, products
+from ..sources import generators
+from ..sources.storage import store
+from . import methods, plotdata
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def order_part(spark, d) -> SparseMatrix:
+    cells = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("val"))
+    return SparseMatrix.of(cells, _t(spark, d, "orders").count(), _t(spark, d, "part").count(), "order_part")
+
+
+def supplier_part(spark, d) -> SparseMatrix:
+    cells = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("val"))
+    return SparseMatrix.of(cells, _t(spark, d, "supplier").count(), _t(spark, d, "part").count(), "supplier_part")
+
+
+def nation_flow(spark, d) -> SparseMatrix:
+    li, o, c, s = (_t(spark, d, x) for x in ("lineitem", "orders", "customer", "supplier"))
+    cells = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
+    return SparseMatrix.of(cells.select(F.col("c_nationkey").cast("long").alias("row"), F.col("s_nationkey").cast("long").alias("col"), F.lit(1.0).alias("val")), 25, 25, "nation_flow")
+
+
+def strong_flow(spark, d) -> SparseMatrix:
+    """The cells of nation_flow above 1.2 times the mean of all 625."""
+    m = nation_flow(spark, d)
+    total = m.entries.agg(F.sum("val").alias("total"))
+    return SparseMatrix(m.entries.join(F.broadcast(total)).where("val * 6250 > total * 12").select("row", "col", "val"), 25, 25, "strong_flow")  # total: one row
+
+
+def x_vector(spark, d) -> DataFrame:
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("double").alias("val"))
+
+
+M1 = "m AS (SELECT l_orderkey AS row, l_partkey AS col, sum(l_quantity) AS val FROM lineitem GROUP BY 1, 2), sh AS (SELECT (SELECT count(*) FROM orders) AS nr, (SELECT count(*) FROM part) AS nc)"
+M2 = "m AS (SELECT l_suppkey AS row, l_partkey AS col, sum(l_quantity) AS val FROM lineitem GROUP BY 1, 2), sh AS (SELECT (SELECT count(*) FROM supplier) AS nr, (SELECT count(*) FROM part) AS nc)"
+FLOW = "SELECT c_nationkey::BIGINT AS row, s_nationkey::BIGINT AS col, count(*)::DOUBLE AS val FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"
+M3 = f"m AS ({FLOW}), sh AS (SELECT 25 AS nr, 25 AS nc)"
+M5 = f"flow AS ({FLOW}), m AS (SELECT * FROM flow WHERE val * 6250 > (SELECT sum(val) FROM flow) * 12), sh AS (SELECT 25 AS nr, 25 AS nc)"
+ROWS = "r AS (SELECT g.i AS row, coalesce(k, 0) AS n, coalesce(v, 0)::DOUBLE AS value_sum, coalesce(w, 0) AS width FROM (SELECT unnest(range((SELECT nr FROM sh))) AS i) g LEFT JOIN (SELECT row, count(*) AS k, sum(val) AS v, max(col) - min(col) AS w FROM m GROUP BY 1) q ON q.row = g.i)"
+COLS = "c AS (SELECT g.i AS col, coalesce(k, 0) AS n, coalesce(v, 0)::DOUBLE AS value_sum FROM (SELECT unnest(range((SELECT nc FROM sh))) AS i) g LEFT JOIN (SELECT col, count(*) AS k, sum(val) AS v FROM m GROUP BY 1) q ON q.col = g.i)"
+EDGES = "e AS (SELECT DISTINCT a.row AS src, b.row AS dst FROM m a JOIN m b ON a.col = b.col AND a.row < b.row)"
+BOTH = "two AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
+DEG = "deg AS (SELECT g.i AS id, count(two.src) AS degree FROM (SELECT unnest(range((SELECT nr FROM sh))) AS i) g LEFT JOIN two ON two.src = g.i GROUP BY 1)"
+
+
+def _hist(source: str, bins: int) -> str:
+    """SQL of a histogram over (x)."""
+    return f"""h AS (SELECT x::DOUBLE AS x FROM {source}), b AS (SELECT min(x) AS lo, max(x) AS hi FROM h),
+k AS (SELECT least({bins - 1}, floor(CASE WHEN lo = hi THEN (x - lo + 0.5) * {bins} ELSE (x - lo) * {bins} / (hi - lo) END))::INTEGER AS bin, count(*) AS n FROM h, b GROUP BY 1)
+SELECT g.i::INTEGER AS bin, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range({bins})) AS i) g LEFT JOIN k ON k.bin = g.i"""
+
+
+def _axis(a: str, p: str) -> str:
+    return f"round(avg({a}.n), 6) AS {p}_avg, max({a}.n) AS {p}_max, min({a}.n) AS {p}_min, round(stddev_pop({a}.n), 6) AS {p}_std, round(var_pop({a}.n), 6) AS {p}_var, count(*) FILTER ({a}.n = 0) AS {p}_empty"
+
+
+def _reorderings(spark, d) -> DataFrame:
+    m = strong_flow(spark, d)
+    return methods.comparison(m, methods.reorder(m, ["king", "diagonal", "block_reverse"]))
+
+
+def _summary(perm: DataFrame) -> DataFrame:
+    """What tells that a table is a permutation of 0..n-1."""
+    return perm.agg(F.count("*").alias("n"), F.countDistinct("new_pos").alias("positions"), F.countDistinct("old_id").alias("ids"), F.min("new_pos").alias("lo"), F.max("new_pos").alias("hi"))
+
+
+PERM_25 = "SELECT 25::BIGINT AS n, 25::BIGINT AS positions, 25::BIGINT AS ids, 0::BIGINT AS lo, 24::BIGINT AS hi"
+
+
+def _edges(spark, d) -> DataFrame:
+    return store(graphs.row_overlap(strong_flow(spark, d)), "overlap")
+
+
+def _parts(spark) -> DataFrame:
+    return spark.range(25).select("id", F.pmod("id", F.lit(4)).cast("int").alias("part"))
+
+
+def _roundtrip(spark, d) -> DataFrame:
+    """Entries written as Matrix Market lines and parsed again."""
+    from ..sources import files, storage
+
+    m = strong_flow(spark, d)
+    lines = m.entries.select(F.lit(2).alias("k"), F.concat_ws(" ", (F.col("row") + 1).cast("string"), (F.col("col") + 1).cast("string"), F.col("val").cast("string")).alias("value"))
+    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, f"{m.nrows} {m.ncols} {m.entries.count()}")], "k int, value string")
+    path = f"{storage.root(spark)}/lines-{uuid.uuid4().hex}"
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)  # the format is one file
+    return files.read_mtx(spark, path).entries
+
+
+def _generated(pattern: str):
+    return lambda s, d: generators.generate(s, 200, 200, 0.05, pattern).entries
 
 
 def queries():
-    return {}
+    ep = lambda f: lambda s, d: f(order_part(s, d))
+    ps = lambda f: lambda s, d: f(strong_flow(s, d))
+    vec = lambda how: lambda s, d: products.spmv(order_part(s, d), x_vector(s, d), how)
+    return {
+        "spmv_shuffle": vec("shuffle"), "spmv_broadcast": vec("broadcast"), "spmv_blocked": vec("blocked"),
+        "bandwidth": ep(metrics.bandwidth), "profile": ep(metrics.profile), "max_wavefront": ep(metrics.max_wavefront), "wavefront_curve": ps(metrics.wavefront_curve),
+        "matrix_stats": ep(metrics.matrix_stats), "matrix_properties": ep(metrics.matrix_properties), "recommendations": ps(metrics.recommendations),
+        "sparsity_summary": ps(metrics.sparsity_summary), "sparsity_structure": ps(metrics.sparsity_structure), "offset_histogram": ps(metrics.offset_histogram), "block_density": ps(metrics.block_density),
+        "row_nnz_hist": ep(lambda m: metrics.histogram(metrics.counts(m), "n", 10)), "col_nnz_hist": ep(lambda m: metrics.histogram(metrics.counts(m, "col"), "n", 10)),
+        "row_bandwidth_profile": ep(plotdata.row_widths), "row_bandwidth_hist": ps(plotdata.row_width_histogram), "row_value_sum": ep(plotdata.nonzeros), "col_value_sum": ep(lambda m: plotdata.nonzeros(m, "col")),
+        "sparsity_grid": ps(lambda m: plotdata.sparsity(m, 5)),
+        "memory_usage": ep(metrics.memory_usage), "spmv_characteristics": ep(metrics.spmv_characteristics),
+        "nation_flow": lambda s, d: nation_flow(s, d).entries,
+        "spgemm_rows": lambda s, d: products.spgemm(m := supplier_part(s, d), m.transpose()).entries,
+        "add_transpose": ps(lambda m: m.add(m.transpose()).entries), "transpose": ps(lambda m: m.transpose().entries), "slice": ps(lambda m: m.slice((5, 20), (3, 18)).entries),
+        "permute_rows": ps(lambda m: m.gather(orderings.diagonal(m)).entries), "permute_both": ps(lambda m: m.gather(p := orderings.king(m), p).entries),
+        "order_king": ep(orderings.king), "order_diagonal": ps(orderings.diagonal), "order_block_reverse": ep(orderings.block_reverse),
+        "bipartite_edges": ep(lambda m: graphs.bipartite(m)[1]), "row_overlap_edges": ep(graphs.row_overlap),
+        "overlap_degrees": lambda s, d: graphs.degrees(_edges(s, d), 25), "degree_hist": lambda s, d: graphs.degree_histogram(_edges(s, d), 25),
+        "graph_density": lambda s, d: graphs.density(_edges(s, d), 25), "triangles_clustering": lambda s, d: graphs.average_clustering(_edges(s, d), 25),
+        "components": lambda s, d: graphs.components(_edges(s, d), 25), "bfs_levels": lambda s, d: graphs.bfs(_edges(s, d), s.range(3)), "diameter_aspl": lambda s, d: graphs.distances(_edges(s, d), 25),
+        **{f"coloring_{k}": (lambda s, d, k=k: coloring.color(_edges(s, d), 25, k)) for k in coloring.STRATEGIES},
+        **{f"coloring_valid_{k}": (lambda s, d, k=k: coloring.quality(e := _edges(s, d), coloring.color(e, 25, k)).select("is_valid", "num_nodes")) for k in coloring.STRATEGIES},
+        "coloring_quality": lambda s, d: coloring.quality(_edges(s, d), s.range(25).select("id", F.pmod("id", F.lit(7)).cast("int").alias("color"))),
+        "coloring_order": ps(lambda m: _summary(coloring.order(m))), "parallel_coloring": ps(coloring.parallel_groups),
+        "order_rcm": ps(orderings.rcm), "order_rcm_permutation": ps(lambda m: _summary(orderings.rcm(m))), "order_rcm_rect": lambda s, d: orderings.rcm_both(supplier_part(s, d))[0],
+        **{f"partition_{k}": (lambda s, d, k=k: partitions.partition(_edges(s, d), 25, 4, k)) for k in partitions.METHODS},
+        "partition_kl": lambda s, d: partitions.partition(_edges(s, d), 25, 2, "metis"),
+        "partition_order": ps(lambda m: _summary(partitions.order(m))), "nested_dissection": ps(lambda m: _summary(partitions.nested_dissection(m))),
+        "partition_quality": lambda s, d: partitions.quality(strong_flow(s, d), _edges(s, d), _parts(s)), "comm_volume": lambda s, d: partitions.communication_volume(strong_flow(s, d), _parts(s)),
+        "compare_reorderings": _reorderings, "best_method": lambda s, d: methods.ranking(_reorderings(s, d), k=1),
+        **{f"gen_{p}": _generated(p) for p in generators.PATTERNS},
+        "gen_banded_pattern": lambda s, d: generators.generate(s, 200, 200, 0.05, "banded").entries.select("row", "col"),
+        "mtx_roundtrip": _roundtrip,
+    }
 
 
 def oracle_sql():
-    return {}
+    w = lambda *parts: "WITH RECURSIVE " + ", ".join(parts)
+    spmv = w(M1, "y AS (SELECT row, sum(val * p_size) AS v FROM m JOIN part ON col = p_partkey GROUP BY 1)") + " SELECT g.i AS idx, coalesce(v, 0)::DOUBLE AS val FROM (SELECT unnest(range((SELECT nr FROM sh))) AS i) g LEFT JOIN y ON y.row = g.i"
+    bw = "coalesce(max(abs(row - col)), 0)::BIGINT"
+    first = "f AS (SELECT row, min(col) AS c FROM m GROUP BY 1)"
+    perm = lambda order, src="r": f"SELECT row_number() OVER (ORDER BY {order}) - 1 AS new_pos, row AS old_id FROM {src}"
+    diag = "dg AS (SELECT r.row, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.row = r.row AND m.col = r.row) THEN 0 ELSE 1 END AS late FROM r)"
+    rev = "SELECT (s + e - 1 - row)::BIGINT AS new_pos, row AS old_id FROM (SELECT row, row // z * z AS s, least(row // z * z + z, nr) AS e FROM r, (SELECT greatest(10, nr // 10) AS z, nr FROM sh))"
+    perms = f"pk AS ({perm('value_sum, row')}), pd AS ({perm('late, row', 'dg')}), pb AS ({rev})"
+    measured = lambda name, p: f"SELECT '{name}' AS method, {p}.new_pos AS row, col FROM m JOIN {p} ON m.row = {p}.old_id"
+    moved = f"mv AS ({measured('king', 'pk')} UNION ALL {measured('diagonal', 'pd')} UNION ALL {measured('block_reverse', 'pb')} UNION ALL SELECT 'original', row, col FROM m)"
+    values = "vals AS (SELECT method, 'bandwidth' AS metric, max(abs(row - col))::BIGINT AS value FROM mv GROUP BY 1 UNION ALL SELECT method, 'max_wavefront', count(DISTINCT col)::BIGINT FROM mv GROUP BY 1 UNION ALL SELECT method, 'profile', sum(row - c + 1)::BIGINT FROM (SELECT method, row, min(col) AS c FROM mv GROUP BY 1, 2) GROUP BY 1)"
+    compared = "cmp AS (SELECT v.method, v.metric, o.value AS original, v.value, CASE WHEN o.value > 0 THEN round((o.value - v.value) * 100.0 / o.value, 6)::DOUBLE END AS improvement_pct FROM vals v JOIN vals o ON o.metric = v.metric AND o.method = 'original' WHERE v.method <> 'original')"
+    comps = w(M5, EDGES, BOTH, "reach(id, other) AS (SELECT i, i FROM (SELECT unnest(range(25)) AS i) UNION SELECT reach.id, two.dst FROM reach JOIN two ON two.src = reach.other)") + " SELECT id, min(other) AS component FROM reach GROUP BY 1"
+    levels = lambda sources: f"b(source, id, level) AS (SELECT i, i, 0 FROM (SELECT unnest(range({sources})) AS i) UNION SELECT source, two.dst, level + 1 FROM b JOIN two ON two.src = b.id WHERE level < 12), bl AS (SELECT source, id, min(level) AS level FROM b GROUP BY 1, 2)"
+    valid = "SELECT true AS is_valid, 25::BIGINT AS num_nodes"
+    strides = "s AS (SELECT (col - lag(col) OVER (ORDER BY row, col))::DOUBLE AS d FROM m), st AS (SELECT round(sum(abs(d)) / count(d), 6) AS avg_access_stride, round(sqrt(sum(d * d) / count(d) - (sum(d) / count(d)) * (sum(d) / count(d))), 6) AS memory_irregularity FROM s)"
+    return {
+        "spmv_shuffle": spmv, "spmv_broadcast": spmv, "spmv_blocked": spmv,
+        "bandwidth": w(M1) + f" SELECT {bw} AS bandwidth FROM m",
+        "profile": w(M1, first) + " SELECT sum(row - c + 1)::BIGINT AS profile, sum(greatest(row - c + 1, 0))::BIGINT AS profile_clamped FROM f",
+        "max_wavefront": w(M1) + " SELECT count(DISTINCT col) AS max_wavefront FROM m",
+        "wavefront_curve": w(M5, "u AS (SELECT col, least(col, max(row)) AS until FROM m GROUP BY col)") + " SELECT g.i AS row, (SELECT count(*) FROM u WHERE until >= g.i) AS active FROM (SELECT unnest(range(25)) AS i) g",
+        "matrix_stats": w(M1, ROWS) + ", t AS (SELECT round(avg(n), 6) AS row_avg, max(n) AS row_max, min(n) AS row_min, round(stddev_pop(n), 6) AS row_std FROM r) SELECT nr AS nrows, nc AS ncols, (SELECT count(*) FROM m) AS nnz, round((SELECT count(*) FROM m) * 100.0::DOUBLE / (nr::DOUBLE * nc), 9) AS density_pct, t.*, nr = nc AS is_square FROM sh, t",
+        "matrix_properties": w(M1, ROWS, COLS) + f", a AS (SELECT {_axis('r', 'row')} FROM r), b AS (SELECT {_axis('c', 'col')} FROM c) SELECT nr AS nrows, nc AS ncols, (SELECT count(*) FROM m) AS nnz, round((SELECT count(*) FROM m) * 100.0::DOUBLE / (nr::DOUBLE * nc), 9) AS density_pct, nr = nc AS is_square, a.*, b.*, (SELECT {bw} FROM m) AS bandwidth, false AS is_symmetric FROM sh, a, b",
+        "recommendations": w(M5) + ", t AS (SELECT round(count(*) * 100.0::DOUBLE / 625, 9) AS density_pct, max(abs(row - col)) AS bandwidth, count(*) FILTER (row = col) > 0.5 * count(*) AS dd FROM m) SELECT density_pct, bandwidth, concat_ws(',', CASE WHEN density_pct > 10 THEN 'dense' WHEN bandwidth < 2.5 THEN 'banded' END, CASE WHEN dd THEN 'diagonal' END) AS recommendations FROM t",
+        "sparsity_summary": w(M5) + f" SELECT round(count(*) FILTER (row = col)::DOUBLE / count(*), 6) AS diagonal_ratio, count(*) FILTER (row = col)::DOUBLE / count(*) > 0.5 AS diagonal_dominant, max(row) - min(row) + 1 AS row_span, max(col) - min(col) + 1 AS col_span, {bw} AS bandwidth, 'general' AS pattern_type FROM m",
+        "sparsity_structure": w(M5) + f" SELECT count(*) FILTER (row = col) AS diagonal_nnz, round(count(*) FILTER (row = col)::DOUBLE / 25, 6) AS diagonal_ratio, count(*) FILTER (row = col) > count(*) / 2 AS diagonal_dominant, max(row - col) FILTER (row >= col) AS max_upper_offset, min(row - col) FILTER (row <= col) AS max_lower_offset, {bw} AS bandwidth FROM m",
+        "offset_histogram": w(M5) + ", " + _hist("(SELECT row - col AS x FROM m)", 20),
+        "block_density": w(M5) + ", d AS (SELECT count(*) / 144.0::DOUBLE AS d FROM m WHERE row < 24 AND col < 24 GROUP BY row // 12, col // 12), t AS (SELECT sum(d) / 4 AS mean, sum(d * d) / 4 AS q, count(*) FILTER (d > 0.1) AS dense, 4 - count(*) + count(*) FILTER (d < 0.01) AS sparse FROM d) SELECT 4::BIGINT AS blocks, round(mean, 6) AS avg_density, round(sqrt(q - mean * mean), 6) AS std_density, dense AS dense_blocks, sparse::BIGINT AS sparse_blocks FROM t",
+        "row_nnz_hist": w(M1, ROWS) + ", " + _hist("(SELECT n AS x FROM r)", 10), "col_nnz_hist": w(M1, COLS) + ", " + _hist("(SELECT n AS x FROM c)", 10),
+        "row_bandwidth_profile": w(M1, ROWS) + " SELECT row, width::BIGINT AS width FROM r", "row_bandwidth_hist": w(M5, ROWS) + ", " + _hist("(SELECT width AS x FROM r)", 50),
+        "row_value_sum": w(M1, ROWS) + " SELECT row, n AS nnz, value_sum FROM r", "col_value_sum": w(M1, COLS) + " SELECT col, n AS nnz, value_sum FROM c",
+        "sparsity_grid": w(M5) + " SELECT row * 5 // 25 AS row, col * 5 // 25 AS col, count(*) AS n FROM m GROUP BY 1, 2",
+        "memory_usage": w(M1) + ", k AS (SELECT count(*) AS z FROM m) SELECT 'csr' AS format, (z * 12 + 4 * (nr + 1))::BIGINT AS bytes FROM k, sh UNION ALL SELECT 'csc', (z * 12 + 4 * (nc + 1))::BIGINT FROM k, sh UNION ALL SELECT 'coo', (z * 16)::BIGINT FROM k",
+        "spmv_characteristics": w(M1, ROWS, strides) + f", a AS (SELECT {_axis('r', 'row')} FROM r), x AS (SELECT a.*, st.*, round((SELECT count(*) FROM m) / (nr::DOUBLE * nc), 9) AS density FROM a, st, sh) SELECT *, concat_ws(',', CASE WHEN row_var < 10 THEN 'vectorized' END, CASE WHEN memory_irregularity > 100 THEN 'blocked' END, CASE WHEN density > 0.1 THEN 'dense_optimization' END, CASE WHEN row_avg < 10 THEN 'coo_format' END) AS recommendations FROM x",
+        "nation_flow": w(M3) + " SELECT * FROM m",
+        "spgemm_rows": w(M2) + " SELECT a.row, b.row AS col, sum(a.val * b.val) AS val FROM m a JOIN m b ON a.col = b.col GROUP BY 1, 2",
+        "add_transpose": w(M5) + " SELECT row, col, sum(val) AS val FROM (SELECT row, col, val FROM m UNION ALL SELECT col, row, val FROM m) GROUP BY 1, 2",
+        "transpose": w(M5) + " SELECT col AS row, row AS col, val FROM m", "slice": w(M5) + " SELECT row - 5 AS row, col - 3 AS col, val FROM m WHERE row >= 5 AND row < 20 AND col >= 3 AND col < 18",
+        "permute_rows": w(M5, ROWS, diag, f"p AS ({perm('late, row', 'dg')})") + " SELECT new_pos AS row, col, val FROM m JOIN p ON m.row = p.old_id",
+        "permute_both": w(M5, ROWS, f"p AS ({perm('value_sum, row')})") + " SELECT a.new_pos AS row, b.new_pos AS col, val FROM m JOIN p a ON m.row = a.old_id JOIN p b ON m.col = b.old_id",
+        "order_king": w(M1, ROWS) + " " + perm("value_sum, row"), "order_diagonal": w(M5, ROWS, diag) + " " + perm("late, row", "dg"), "order_block_reverse": w(M1, ROWS) + " " + rev,
+        "bipartite_edges": w(M1) + " SELECT row AS src, col + nr AS dst FROM m, sh", "row_overlap_edges": w(M1, EDGES) + " SELECT * FROM e",
+        "overlap_degrees": w(M5, EDGES, BOTH, DEG) + " SELECT id, degree FROM deg", "degree_hist": w(M5, EDGES, BOTH, DEG) + ", " + _hist("(SELECT degree AS x FROM deg)", 10),
+        "graph_density": w(M5, EDGES) + " SELECT 25::BIGINT AS nodes, count(*) AS edges, round(count(*) * 2.0::DOUBLE / (25 * 24), 9) AS density FROM e",
+        "triangles_clustering": w(M5, EDGES, BOTH, DEG) + ", t AS (SELECT a.src AS id, count(*) // 2 AS t FROM two a JOIN two b ON b.src = a.dst JOIN two c ON c.src = b.dst AND c.dst = a.src GROUP BY 1) SELECT coalesce(sum(t) / 3, 0)::BIGINT AS triangles, round(avg(CASE WHEN degree >= 2 THEN coalesce(t, 0) * 2.0::DOUBLE / (degree * (degree - 1)) ELSE 0 END), 6) AS average_clustering FROM deg LEFT JOIN t USING (id)",
+        "components": comps, "bfs_levels": w(M5, EDGES, BOTH, levels(3)) + " SELECT source, id, level FROM bl",
+        "diameter_aspl": w(M5, EDGES, BOTH, levels(25)) + " SELECT CASE WHEN count(*) = 625 THEN max(level)::BIGINT END AS diameter, CASE WHEN count(*) = 625 THEN round(sum(level)::DOUBLE / (25 * 24), 6) END AS average_shortest_path FROM bl",
+        **{f"coloring_valid_{k}": valid for k in coloring.STRATEGIES},
+        "coloring_quality": w(M5, EDGES) + ", z AS (SELECT i % 7 AS c, count(*) AS n FROM (SELECT unnest(range(25)) AS i) GROUP BY 1) SELECT count(*) AS num_colors, sum(n)::BIGINT AS num_nodes, max(n) AS max_size, min(n) AS min_size, round(avg(n), 6) AS avg_size, round(stddev_pop(n), 6) AS color_balance, (SELECT count(*) FROM e WHERE src % 7 = dst % 7) = 0 AS is_valid FROM z",
+        "coloring_order": PERM_25, "order_rcm_permutation": PERM_25, "partition_order": PERM_25, "nested_dissection": PERM_25,
+        "partition_quality": w(M5, EDGES) + " SELECT count(*) FILTER (src % 4 <> dst % 4) AS edge_cut, round(count(*) FILTER (src % 4 <> dst % 4)::DOUBLE / count(*), 6) AS cut_ratio, 4::BIGINT AS num_partitions, 7::BIGINT AS max_size, 6::BIGINT AS min_size, round(sqrt(0.1875::DOUBLE) / 6.25, 6) AS balance, (SELECT count(*) FROM m WHERE row % 4 <> col % 4) AS communication_volume FROM e",
+        "comm_volume": w(M5) + " SELECT count(*) AS communication_volume FROM m WHERE row % 4 <> col % 4",
+        "compare_reorderings": w(M5, ROWS, diag, perms, moved, values, compared) + " SELECT * FROM cmp",
+        "best_method": w(M5, ROWS, diag, perms, moved, values, compared) + " SELECT * FROM cmp WHERE metric = 'bandwidth' ORDER BY improvement_pct DESC, method LIMIT 1",
+        "gen_banded_pattern": "SELECT r AS row, c AS col FROM (SELECT unnest(range(200)) AS r), (SELECT unnest(range(200)) AS c) WHERE abs(r - c) <= 44",
+        "mtx_roundtrip": w(M5) + " SELECT * FROM m",
+    }
