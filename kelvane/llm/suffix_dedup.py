@@ -221,6 +221,10 @@ def _gather(length: int, gram: int, fold_bytes: int):
         bodies = [x for p in parts for x in p[4]]
         mark = np.concatenate([p[5] for p in parts])
         order, first, found = earlier_matches(mix(mark) ^ mix(key.view(np.uint64) ^ size.astype(np.uint64)), doc, start)
+        # A folded stretch needs no company: it goes anywhere.
+        away = mix(doc.astype(np.uint64) * U(_BASE) ^ start.astype(np.uint64)).view(np.int64)
+        key = key.copy()
+        key[order[found]] = away[order[found]]
         body = [None if f else bodies[k] for k, f in zip(order.tolist(), found.tolist(), strict=True)]
         for i in range(0, len(order), 10_000):
             o = order[i : i + 10_000]
