@@ -20,6 +20,8 @@ from ._common import lower_ascii, materialise, table
 
 #: Share of the labelled URLs that must hold a rule's tokens and the bad label.
 MIN_SUPPORT = 0.004
+#: Labelled URLs that must do so at least.
+MIN_COUNT = 20
 #: Share of the labelled URLs with a rule's tokens that must be bad.
 MIN_CONFIDENCE = 0.6
 #: Tokens of a rule at most.
@@ -50,18 +52,23 @@ def url_tokens(url: Column) -> Column:
     keys = F.transform(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1), "&"), lambda x: F.split(x, "=")[0])
     labels = F.split(host, r"\.")
     parts = F.flatten(F.transform(labels, lambda x: F.split(x, "-")))
-    named = [F.transform(a, lambda x, p=p: F.concat(F.lit(p), x)) for p, a in (("h=", labels), ("h=", parts), ("p=", F.split(path, "/")), ("q=", keys))]
-    return F.filter(F.array_distinct(F.concat(*named)), lambda x: F.length(x) > 2)
 
+    def named(prefix: str, values: Column) -> Column:
+        return F.transform(values, lambda x: F.concat(F.lit(prefix), x))
 
-def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    every = [named("h=", labels), named("h=", parts), named("p=", F.split(path, "/")), named("q=", keys)]
+    return F.filter(F.array_distinct(F.concat(*every)), lambda x: F.length(x) > 2)
+
+
+def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, min_count: int = MIN_COUNT) -> DataFrame:
     """(rule_id, tokens, confidence, support): what implies a bad label."""
     spark = labelled.sparkSession
     items = materialise(labelled.select(F.concat(url_tokens(F.col(url)), F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")), "transactions")
     empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
     if items.where(F.array_contains("items", BAD)).isEmpty():
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    support = min(1.0, max(min_support, min_count / items.count()))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= max_tokens))
     found = materialise(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens")), "rules")
     # A rule is implied by a shorter one made of some of its tokens: enumerate those (a few, as rules are short) and look them up.
