@@ -79,6 +79,19 @@ def test_divide_skip():
         assert jaccard_join._divide_skip(probe, sets, percent) == want
 
 
+def test_bitmaps(spark):
+    r = np.random.default_rng(3)
+    sets = [r.integers(0, 1 << 60, n).astype(np.uint64) for n in (5, 1000, 2100)]
+    sets += [np.r_[s[: len(s) - k], r.integers(0, 1 << 60, j).astype(np.uint64)] for s in sets for k, j in ((1, 1), (40, 90), (90, 40))]
+    sets = [np.unique(s) for s in sets]
+    rows = [(i, len(s), jaccard_join._bitmap(s).tolist()) for i, s in enumerate(sets)]
+    feats = spark.createDataFrame(rows, "doc_id long, n_shingles int, marks array<long>")
+    every = [(i, j) for i in range(len(sets)) for j in range(i)]
+    got = {tuple(x) for x in jaccard_join.plausible(spark.createDataFrame(every, "a long, b long"), feats, 90).collect()}
+    linked = {(i, j) for i, j in every if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))}
+    assert linked and linked <= got and len(got) < len(every) / 2
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(30)] + [(50, 40), (41, 50)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(links).collect()}
