@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,14 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps its Python workers from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``size`` bytes together; a longer row is a range of its own."""
     i, n = 0, len(offsets) - 1
@@ -65,6 +74,7 @@ def slices(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield i, min(j, n)
         i = j
+    release()
 
 
 def word_spans(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
