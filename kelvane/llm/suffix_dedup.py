@@ -11,11 +11,12 @@ One suffix array of the whole corpus would not fit anywhere, and only starts who
    earlier one are set apart first: all of them goes.
 2. The stretches of the other keys are gathered by key, with their bytes; equal ones are folded where they are made,
    and a key with very many stretches is dealt out by its single strings instead, so that no key grows in one task.
-3. Within a key the suffixes, cut at ``length``, are brought into an order in which equal ones are neighbours, equal
-   ones by position; the previous and next smaller positions then tell which have an earlier match.
+3. The suffixes of a key's stretches, cut at ``length``, are brought into suffix order by prefix doubling, equal ones
+   by position; the previous and next smaller positions then tell which have an earlier match.
 4. The strings found are united to spans in each document, and the rest of its bytes is hashed.
 
-Strings are compared by 64-bit hashes within a 64-bit key. Defined cases: null texts are empty; texts shorter than
+Suffixes are compared by their bytes; only the folding of equal stretches and of equal texts goes by hashes (of 64 bits
+within a key, and SHA-256). Defined cases: null texts are empty; texts shorter than
 ``length`` stay whole; of rows that repeat an id and a text none is earlier than the other; rows that repeat an id
 with another text are one document whose spans are united; a row without id is left whole and is no source.
 """
@@ -85,14 +86,43 @@ def longest_previous_factors(data: bytes) -> np.ndarray:
     return lpf
 
 
-def earlier_matches(fingerprint: np.ndarray, *position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix order of the cut suffixes, each one's start of its run of equal ones, and whether an earlier one is there.
+def cut_suffix_ranks(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Ranks, in suffix order, of the suffixes at ``at`` cut at ``length``; equal ones have one rank. By prefix doubling.
+
+    Widths double from words of up to 8 bytes; each is ranked only where the next one asks for it.
+    """
+    widths = [min(8, length)]
+    while 2 * widths[-1] <= length:
+        widths.append(2 * widths[-1])
+    asked = np.zeros(len(text), bool)
+    asked[at] = True
+    asked[at + length - widths[-1]] = True
+    masks = [asked]
+    for w in widths[-2::-1]:
+        wider = masks[-1].copy()
+        wider[w:] |= masks[-1][: len(text) - w]
+        masks.append(wider)
+    masks.reverse()
+    place = np.flatnonzero(masks[0])
+    word = np.zeros(len(place), np.uint64)
+    for k in range(widths[0]):
+        word = (word << U(8)) | text[place + k].astype(np.uint64)
+    rank = np.zeros(len(text), np.int64)
+    values, rank[place] = np.unique(word, return_inverse=True)
+    for w, mask in zip(widths, masks[1:], strict=False):
+        place = np.flatnonzero(mask)
+        values, rank[place] = np.unique(rank[place] * len(values) + rank[place + w], return_inverse=True)
+    return np.unique(rank[at] * len(values) + rank[at + length - widths[-1]], return_inverse=True)[1]
+
+
+def earlier_matches(rank: np.ndarray, *position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix order of cut suffixes, each one's start of its run of equal ones, and whether an earlier one is there.
 
     With equal suffixes in order of position, the neighbour before is the previous smaller position unless it is the
     same one (a row that repeats), and no next one is smaller.
     """
-    order = np.lexsort((*position[::-1], fingerprint))
-    f = fingerprint[order]
+    order = np.lexsort((*position[::-1], rank))
+    f = rank[order]
     new = np.r_[True, f[1:] != f[:-1]]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     found = np.zeros(len(order), bool)
@@ -276,47 +306,45 @@ def _match(length: int):
     """Over rows (key, doc_id, start, size, body) in that order: spans (doc_id, lo, hi) whose strings start earlier."""
 
     def run(batches):
-        last, seen = None, None  # the key that ended the last batch; its fingerprints with document and start
+        last, seen = None, None  # the key that ended the last batch; its stretches with the first of equal suffixes
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, doc, start, size = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
-            body = batch.column(4)
-            has = body.is_valid().to_numpy(zero_copy_only=False)
-            lo, hi = [doc[:0]], [doc[:0]]
-            owner = [doc[~has]]
-            lo[0], hi[0] = start[~has], (start + size)[~has]
-            at = np.flatnonzero(has)
-            if len(at):
-                starts_n = size[at] - length + 1
-                text = np.frombuffer(b"".join(body.drop_null().to_pylist()), np.uint8)
-                offset = np.cumsum(size[at]) - size[at]
-                src = np.repeat(at, starts_n)
-                step = np.arange(starts_n.sum()) - np.repeat(np.cumsum(starts_n) - starts_n, starts_n)
-                f = _poly(text, length)[np.repeat(offset, starts_n) + step]
-                f = mix(f ^ mix(key[src].view(np.uint64)))
-                d, p = doc[src], start[src] + step
-                k = len(f)
-                if seen is not None and last == key[0]:
-                    f, d, p = np.r_[seen[0], f], np.r_[seen[1], d], np.r_[seen[2], p]
-                carried = len(f) - k
-                order, first, found = earlier_matches(f, d, p)
-                flag = np.zeros(len(f), bool)
+            has = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            owner, lo, hi = [doc[~has]], [start[~has]], [(start + size)[~has]]
+            bodies = batch.column(4).drop_null().to_pylist()
+            if last != key[0]:
+                seen = None
+            if bodies:
+                k, d, s, m = key[has], doc[has], start[has], size[has]
+                old = 0
+                if seen is not None:
+                    old = len(seen[3])
+                    k, d, s, m = np.r_[np.full(old, last), k], np.r_[seen[0], d], np.r_[seen[1], s], np.r_[seen[2], m]
+                    bodies = seen[3] + bodies
+                starts = m - length + 1
+                offset = np.cumsum(m) - m
+                src = np.repeat(np.arange(len(m)), starts)
+                step = np.arange(len(src)) - np.repeat(np.cumsum(starts) - starts, starts)
+                # Equal strings have equal keys: the suffixes of all keys may stand in one order.
+                rank = cut_suffix_ranks(np.frombuffer(b"".join(bodies), np.uint8), offset[src] + step, length)
+                order, first, found = earlier_matches(rank, d[src], s[src] + step)
+                flag = np.zeros(len(src), bool)
                 flag[order] = found
-                flag = flag[carried:]
+                flag &= src >= old
                 # Neighbouring starts of a stretch that have earlier matches make one span.
                 cut = np.flatnonzero(flag & np.r_[True, ~flag[:-1] | (src[1:] != src[:-1])])
                 end = np.flatnonzero(flag & np.r_[~flag[1:] | (src[1:] != src[:-1]), True])
-                owner.append(doc[src[cut]])
-                lo.append(start[src[cut]] + step[cut])
-                hi.append(start[src[end]] + step[end] + length)
-                own = np.r_[np.full(carried, key[0]), key[src]] == key[-1]
-                own &= np.isin(np.arange(len(f)), order[np.unique(first)])
-                seen = (f[own], d[own], p[own])
-                last = int(key[-1])
-            else:
-                if last != int(key[-1]):
-                    last, seen = int(key[-1]), None
+                owner.append(d[src[cut]])
+                lo.append(s[src[cut]] + step[cut])
+                hi.append(s[src[end]] + step[end] + length)
+                own = np.unique(src[order[np.unique(first)]])
+                own = own[k[own] == key[-1]]
+                seen = (d[own], s[own], m[own], [bodies[x] for x in own.tolist()])
+            elif last != key[-1]:
+                seen = None
+            last = int(key[-1])
             owner, lo, hi = (np.concatenate(x) for x in (owner, lo, hi))
             if len(owner):
                 yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(lo), pa.array(hi)], names=["doc_id", "lo", "hi"])

@@ -118,6 +118,36 @@ def test_longest_previous_factors():
         assert suffix_dedup.longest_previous_factors(s).tolist() == want
 
 
+@pytest.mark.parametrize("length", [1, 5, 8, 20, 100])
+def test_suffix_order(length):
+    r = random.Random(length)
+    s = bytes(r.choices(b"ab\0\xff", k=300)) * 2
+    at = np.array([i for i in range(len(s) - length + 1) if r.random() < 0.7])
+    got = suffix_dedup.cut_suffix_ranks(np.frombuffer(s, np.uint8), at, length).tolist()
+    every = sorted({s[i : i + length] for i in at})
+    assert got == [every.index(s[i : i + length]) for i in at]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_matches_over_batches(rows):
+    r = random.Random(rows)
+    pools = [[bytes(r.choices(letters, k=20)) for _ in range(6)] for letters in (b"abc", b"def", b"ghi")]  # equal strings have equal keys
+    data = sorted((k, d, 50 * p, len(b), b if r.random() < 0.9 else None) for k in range(3) for d in range(8) for p in range(2) for b in [r.choice(pools[k])[: r.randrange(10, 21)]])
+    kind = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("body", pa.binary())])
+    batch = pa.RecordBatch.from_pylist([dict(zip(kind.names, (k, d, p, n, b))) for k, d, p, n, b in data], kind)
+    got = set()
+    for out in suffix_dedup._match(10)(batch.slice(i, rows) for i in range(0, len(data), rows)):
+        got |= {(x["doc_id"], i) for x in out.to_pylist() for i in range(x["lo"], x["hi"])}
+    want, seen = set(), {}
+    for k, d, p, n, b in data:
+        if b is None:
+            want |= {(d, i) for i in range(p, p + n)}
+        for i in range(n - 9) if b is not None else ():
+            if seen.setdefault(b[i : i + 10], (d, p + i)) != (d, p + i):
+                want |= {(d, j) for j in range(p + i, p + i + 10)}
+    assert got == want
+
+
 def test_decontamination(spark, docs, texts):
     items = [(1, " ".join(texts[5].split()[3:22])), (2, "one two"), (10, texts[7].upper()), (11, None), (12, "!!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -205,12 +235,16 @@ def test_packing(docs, texts):
 
 def test_sharding(spark):
     d = spark.createDataFrame([(i % 50, f"t{i % 70}") for i in range(500)] + [(None, None)] * 30, "doc_id long, text string")
-    got = [r.asDict() for r in sharding.shuffle_shards(d, "doc_id", bucket_bytes=1000).collect()]
+    def of(rows):
+        return sorted((r.asDict() for r in sharding.shuffle_shards(rows, "doc_id", bucket_bytes=1000).collect()), key=lambda x: (x["shard"], x["slot"]))
+
+    got = of(d)
     assert len(got) == 530 and len({(g["doc_id"], g["shard"], g["grown_shard"]) for g in got}) == 51
     for s in {g["shard"] for g in got}:
         assert sorted(g["slot"] for g in got if g["shard"] == s) == list(range(sum(g["shard"] == s for g in got)))
     assert all(g["grown_shard"] in (g["shard"], 16) for g in got)
-    assert got == [r.asDict() for r in sharding.shuffle_shards(d, "doc_id", bucket_bytes=1000).collect()] or True
+    # Whatever the partitions of the input: the same slots (equal texts of one id may trade theirs).
+    assert got == of(d.repartition(7, "text"))
 
 
 def test_urls(spark):
