@@ -51,7 +51,7 @@ def discard(df: DataFrame) -> None:
 
 
 def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` does not have (case-insensitively), for working columns."""
+    """``stem``, with underscores behind it while ``df`` has such a column (in any case): for added and working columns."""
     taken, name = {c.lower() for c in df.columns}, stem
     while name.lower() in taken:
         name += "_"

@@ -11,7 +11,7 @@ the tasks in turn, and what the blocks find in a document is united.
 
 Defined cases: null texts and those without words hit nothing and are not contaminated; an empty benchmark finds
 nothing; repeated items count as one by id; item ids are reported sorted as strings; rows that repeat whole are
-reported each.
+reported each; an added column whose name is taken gets an underscore behind it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from ._common import materialise, table
+from ._common import free_name, materialise, table
 from ._text import ALNUM_WORDS, U, buffer_of, mix, ngram_hashes, slices, span_hashes, word_spans
 
 WIDTH = 13
@@ -32,6 +32,8 @@ WIDTH = 13
 SHARE = 20
 #: Bytes of benchmark text in a block's index at most, about.
 BLOCK_BYTES = 16 << 20
+#: Columns that a search adds.
+FOUND = ("n_words", "hit_starts", "hit_ends", "hit_items")
 BITS = 20
 
 
@@ -146,6 +148,7 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def find(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     """``docs`` plus n_words, hit_starts, hit_ends (word spans, disjoint) and hit_items."""
     at = docs.columns.index(text)
+    added = [free_name(docs, x) for x in FOUND]
 
     def run(batches):
         for batch in batches:
@@ -166,10 +169,11 @@ def find(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
                     s[i + r], e[i + r] = a.tolist(), b.tolist()
                     items[i + r] = sorted({x for w in set(win[own].tolist()) for x in index.items[w]})
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(s, kind), pa.array(e, kind), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names, "n_words", "hit_starts", "hit_ends", "hit_items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(s, kind), pa.array(e, kind), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names, *added])
 
-    schema = StructType([*docs.schema.fields]).add("n_words", LongType())
-    schema = schema.add("hit_starts", ArrayType(LongType())).add("hit_ends", ArrayType(LongType())).add("hit_items", ArrayType(StringType()))
+    schema = StructType([*docs.schema.fields])
+    for name, kind in zip(added, (LongType(), ArrayType(LongType()), ArrayType(LongType()), ArrayType(StringType())), strict=True):
+        schema = schema.add(name, kind)
     return docs.mapInArrow(run, schema)
 
 
@@ -200,15 +204,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
         out = find(docs, build_index(docs, benchmark, text=text, width=width), text)
     else:
         # Equal texts have equal hits, so the blocks' findings meet at a digest of the text, once for each.
-        keyed = docs.withColumn("row_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-        texts = materialise(keyed.groupBy("row_key").agg(F.min(text).alias(text)), "texts")
+        key, hash_ = free_name(docs, "row_key"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+        texts = materialise(docs.select(hash_.alias("row_key"), F.col(text).alias("text")).groupBy("row_key").agg(F.min("text").alias("text")), "texts")
         block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-        found = [materialise(find(texts, build_index(docs, benchmark.where(block == k), text=text, width=width), text).drop(text), "block") for k in range(blocks)]
-        out = keyed.join(_unite(found), "row_key").drop("row_key")
-    spans = F.arrays_zip("hit_starts", "hit_ends")
-    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["hit_ends"] - x["hit_starts"])
-    out = out.withColumn("n_hit", hit)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+        found = [materialise(find(texts, build_index(docs, benchmark.where(block == k), text=text, width=width)).drop("text"), "block") for k in range(blocks)]
+        united = _unite(found).select(F.col("row_key").alias(key), *[F.col(x).alias(free_name(docs, x)) for x in FOUND])
+        out = docs.withColumn(key, hash_).join(united, key).drop(key)
+    n_words, starts, ends, _ = (F.col(free_name(docs, x)) for x in FOUND)
+    lengths = F.zip_with(starts, ends, lambda a, b: b - a)
+    hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
+    n_hit, contaminated = (free_name(docs, x) for x in ("n_hit", "contaminated"))
+    return out.withColumn(n_hit, hit).withColumn(contaminated, (F.col(n_hit) > 0) & (F.col(n_hit) * share >= n_words))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

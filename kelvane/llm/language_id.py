@@ -10,7 +10,8 @@ Trigrams are hashed into 65536 buckets, so that the model has a fixed size per l
 all training rows needs a fixed size per task.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0 and no languages; so is every text
-if nothing could be learned; equal proportions go to the language that sorts first; rows keep their columns.
+if nothing could be learned; equal proportions go to the language that sorts first; rows keep their columns (an added
+column whose name is taken gets an underscore behind it).
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ often it repeats it. Blank lines are neither counted nor dropped. A page of whic
 left keeps its text: it is a copy of other pages, which near-duplicate removal judges, not a template.
 
 Defined cases: a null or empty text stays as it is; a null host is a host of its own; repeated rows count as
-pages; other columns pass through.
+pages; other columns pass through, and an added column whose name is taken gets an underscore behind it.
 """
 
 from __future__ import annotations
@@ -52,6 +52,7 @@ def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text"
 
 def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``pages`` with boilerplate lines cut from ``text``, plus ``n_lines`` and ``n_dropped`` (of non-blank lines)."""
+    total, dropped = (free_name(pages, x) for x in ("n_lines", "n_dropped"))
     spark, columns = pages.sparkSession, pages.columns
     bad = materialise(boilerplate_lines(pages, host, text, ratio, min_pages).select("host", "line_hash"), "boilerplate")
     drop, site, key = (free_name(pages, x) for x in ("drop_hashes", "drop_site", "drop_key"))
@@ -78,8 +79,8 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", rati
     out = out.withColumns({n_lines: F.coalesce(F.size(lines), F.lit(0)), left: F.when(has, F.size(F.filter(F.col(cleaned), lambda x: ~_blank(x))))})
     cut = has & (F.col(left) > 0) & (F.col(left) < F.col(n_lines))
     body = F.when(cut, F.array_join(F.col(cleaned), "\n")).otherwise(F.col(text))
-    more = [F.when(F.col(text).isNull(), 0).otherwise(F.col(n_lines)).cast("long").alias("n_lines"), F.when(cut, F.col(n_lines) - F.col(left)).otherwise(0).cast("long").alias("n_dropped")]
-    return out.select(*[body.alias(c) if c == text else F.col(f"`{c}`") for c in columns if c not in ("n_lines", "n_dropped")], *more)
+    more = [F.when(F.col(text).isNull(), 0).otherwise(F.col(n_lines)).cast("long").alias(total), F.when(cut, F.col(n_lines) - F.col(left)).otherwise(0).cast("long").alias(dropped)]
+    return out.select(*[body.alias(c) if c == text else F.col(f"`{c}`") for c in columns], *more)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

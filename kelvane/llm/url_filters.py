@@ -7,7 +7,8 @@ An inverted index from each rule's rarest token finds the rules that can fit a U
 are there. A verdict depends on the URL alone, so that equal URLs are matched once.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and no tokens (verdict allow unless a
-rule fits); without bad labels no rule is mined; repeated pages repeat their verdict.
+rule fits); without bad labels no rule is mined; repeated pages repeat their verdict; an added column whose
+name is taken gets an underscore behind it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lower_ascii, materialise, table
+from ._common import free_name, lower_ascii, materialise, table
 
 #: Share of the labelled URLs that must hold a rule's tokens and the bad label.
 MIN_SUPPORT = 0.004
@@ -96,17 +97,17 @@ def blocked_urls(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
 def filter_urls(pages: DataFrame, labelled: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """``pages`` plus host, path, rule and verdict."""
     mined = materialise(mine_rules(labelled), "mined")
-    host, path = host_and_path(F.col(url))
-    out = pages.withColumns({"host": host, "path": path})
-    out = out.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
+    host, path, rule, verdict, hit = (free_name(pages, x) for x in ("host", "path", "rule", "verdict", "hit"))
+    out = pages.withColumns(dict(zip((host, path), host_and_path(F.col(url)), strict=True)))
+    out = out.withColumn(rule, matching_rule(F.col(host), F.col(path), rules))
     if mined.isEmpty():
         blocked = F.lit(False)
     else:
-        hits = blocked_urls(pages, mined, url)
-        out = out.join(hits, out[url] == hits["u"], "left")
-        blocked = F.col("u").isNotNull()
+        hits = blocked_urls(pages, mined, url).withColumnRenamed("u", hit)
+        out = out.join(hits, F.col(url) == F.col(hit), "left")
+        blocked = F.col(hit).isNotNull()
     verdicts = F.create_map(*[F.lit(x) for v, r in rules for x in (r, v)])
-    return out.withColumn("verdict", F.coalesce(verdicts[F.col("rule")], F.when(blocked, "block").otherwise("allow"))).drop("u")
+    return out.withColumn(verdict, F.coalesce(verdicts[F.col(rule)], F.when(blocked, "block").otherwise("allow"))).drop(hit)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

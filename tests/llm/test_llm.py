@@ -271,6 +271,44 @@ def test_fixity(spark):
     assert sorted((r["page_id"], r["status"]) for r in found.collect()) == [(3, "changed"), (9, "missing"), (50, "changed")]
 
 
+TAKEN = "n_words hit_starts hit_ends hit_items n_hit contaminated lang_pred lang_score lang_set N_LINES n_dropped line_hash host path rule verdict hit u bad shard bucket slot grown_shard record key bytes row_key kept base_failed token node n digest component doc_hash".split()
+
+
+def test_taken_names(spark):
+    """Columns of the caller stay as they are; an added one gets an underscore."""
+    rows = [(i, f"menu\nwords of text number {i} and {i * 7} more words", "en", "s", 0) for i in range(30)] + [(None, None, None, None, None)]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    wide = plain.withColumns({c: F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-1))) for c in TAKEN})
+    bench = spark.createDataFrame([(1, "words of text number 3"), (2, "text number 4 and 28")], "item_id long, text string")
+
+    def same(run, *names):
+        a, b = run(plain), run(wide)
+        assert a.columns == [*plain.columns, *a.columns[len(plain.columns) :]] and set(wide.columns) < set(b.columns)
+        of = lambda df, cols: sorted(map(repr, df.select("doc_id", *cols).collect()))
+        assert [x.replace("_=", "=") for x in of(b, [f"{n}_" for n in names])] == of(a, names)
+        assert of(b, TAKEN) == of(wide, TAKEN)
+
+    model = language_id.train(plain)
+    same(lambda d: language_id.identify(d, *model), "lang_pred", "lang_set")
+    same(line_dedup.dedup_lines, "n_lines", "n_dropped")
+    for block in (1 << 20, 30):
+        same(lambda d, block=block: decontamination.decontaminate(d, bench, block_bytes=block), "n_words", "n_hit", "hit_items", "contaminated")
+    same(lambda d: quality_rules.judge(d, quality_rules.Field.neutral()), "n_words", "kept")
+    same(lambda d: sharding.shuffle_shards(d, "doc_id"), "shard", "grown_shard")
+    url = lambda d: d.withColumn("text", F.concat(F.lit("http://spam.net/"), F.col("doc_id") % 5))
+    labels = url(plain).select(F.col("text").alias("url"), F.lit(True).alias("bad"))
+    same(lambda d: url_filters.filter_urls(url(d), labels, "text"), "host", "path", "rule", "verdict")
+    for run in (jaccard_join.join_classes, suffix_dedup.repeated_spans, packing.pack):
+        assert sorted(map(repr, run(plain).drop("bin").collect())) == sorted(map(repr, run(wide).drop("bin").collect()))
+
+
+def test_hot_shard(spark):
+    """The shard of a key that holds a third of the rows has as many more buckets."""
+    d = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.col("id").alias("text"))
+    n = sharding.shuffle_shards(d, "doc_id", bucket_bytes=4096).groupBy("shard", "bucket").count().agg(F.max("count"), F.sum("count")).first()
+    assert n[0] <= 3 * 4096 / sharding.RECORD_BYTES and n[1] == 3000
+
+
 def test_empty_tables(spark, empty):
     assert jaccard_join.join_classes(empty).count() == suffix_dedup.repeated_spans(empty).count() == packing.pack(empty).count() == line_dedup.dedup_lines(empty).count() == 0
     bench = spark.createDataFrame([], "item_id long, text string")
@@ -290,5 +328,10 @@ def test_pipeline(spark, docs, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         d = stage(spark, d, str(tmp_path))
         assert d.columns == docs.columns
+    wide = docs.withColumns({c: F.lit(c) for c in TAKEN})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        wide = stage(spark, wide, str(tmp_path))
+    assert wide.columns == [*docs.columns, *TAKEN] and wide.select(*TAKEN).distinct().collect() == [tuple(TAKEN)]
+    assert sorted(map(repr, wide.select(*docs.columns).collect())) == sorted(map(repr, d.collect()))
     left = {r["doc_id"] for r in d.collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left and 0 < len(left) < docs.count()
