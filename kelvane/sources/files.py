@@ -1,4 +1,4 @@
-"""Matrix files: Matrix Market text, NumPy archives, Parquet; and a resolver of names."""
+"""Matrix files: Matrix Market text, NumPy archives, MATLAB files, Parquet; and a resolver of names."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
-from . import generators
+from . import generators, matlab
 
 EXTENSIONS = (".npz", ".mtx", ".mat")
 
@@ -71,24 +71,34 @@ def _archive(raw: bytes) -> tuple[tuple[int, int], pd.DataFrame]:
     return shape, pd.DataFrame({"row": row.astype(np.int64), "col": col.astype(np.int64), "val": z["data"].astype(float)})
 
 
-def read_npz(spark: SparkSession, path: str) -> SparseMatrix:
+def _read_whole(spark: SparkSession, path: str, parse) -> SparseMatrix:
+    """A file that one task takes as a whole; ``parse`` makes shape and entries of its bytes."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def shapes(parts):
         for p in parts:
             for raw in p.content:
-                s, _ = _archive(raw)
+                s, _ = parse(raw)
                 yield pd.DataFrame({"r": [s[0]], "c": [s[1]]})
 
     def cells(parts):
         for p in parts:
             for raw in p.content:
-                yield _archive(raw)[1]
+                yield parse(raw)[1]
 
     r, c = files.mapInPandas(shapes, "r long, c long").first()
     return SparseMatrix.of(files.mapInPandas(cells, "row long, col long, val double"), r, c, os.path.basename(path))
 
 
+def read_npz(spark: SparkSession, path: str) -> SparseMatrix:
+    return _read_whole(spark, path, _archive)
+
+
+def read_mat(spark: SparkSession, path: str) -> SparseMatrix:
+    """The first sparse or two-dimensional numeric variable of a MATLAB file of level 5 (versions 5 to 7)."""
+    return _read_whole(spark, path, matlab.first_matrix)
+
+
 def write_npz(m: SparseMatrix, path: str) -> None:
     """A compressed-row archive. The format is one file for one machine: the entries pass through the driver."""
     t = m.entries.orderBy("row", "col").toPandas()
@@ -128,7 +138,9 @@ def load(spark: SparkSession, name: str, folder: str = "data", fetch=None, on_mi
             t = spark.read.parquet(path)
             r, c = t.agg(F.max("nrows"), F.max("ncols")).first()
             return SparseMatrix(t.select("row", "col", "val"), r, c, os.path.basename(path))
-        raise ValueError(f"{path}: MATLAB files are not supported; save the matrix as .mtx or .npz")
+        if path.endswith(".mat"):
+            return read_mat(spark, path)
+        raise ValueError(f"{path}: not a known kind of matrix file")
     if on_missing == "generate":
         seed = spark.range(1).select(F.xxhash64(F.lit(name))).first()[0] % 2**31
         return generators.generate(spark, 200, 200, 0.05, seed=seed)

@@ -174,6 +174,47 @@ def test_files(spark, tmp_path):
         files.load(spark, "nothing", str(tmp_path))
 
 
+def mat_file(variables, order="<", packed=False):
+    """A MATLAB level-5 file: (name, class, flags, dimensions, further elements) of each variable."""
+    import struct
+    import zlib
+
+    def element(kind, data):
+        if 0 < len(data) <= 4 and kind != 14:
+            return struct.pack(order + "I", len(data) << 16 | kind) + data.ljust(4, b"\0")
+        return struct.pack(order + "II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+    out = b"text".ljust(124) + struct.pack(order + "H", 0x100) + (b"IM" if order == "<" else b"MI")
+    for name, kind, flags, shape, more in variables:
+        inner = element(6, struct.pack(order + "II", flags << 8 | kind, 0)) + element(5, np.array(shape, order + "i4").tobytes()) + element(1, name)
+        whole = element(14, inner + b"".join(element(k, np.asarray(v, order + t).tobytes()) for k, t, v in more))
+        out += struct.pack(order + "II", 15, len(z := zlib.compress(whole))) + z if packed else whole
+    return out
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_matlab(spark, tmp_path, order, packed):
+    a = np.array(MX1, float)
+    col, row = np.nonzero(a.T)
+    text = (b"note", 4, 0, (1, 2), [(4, "u2", [104, 105])])
+    sparse = (b"s", 5, 0, a.shape, [(5, "i4", [*row, 0]), (5, "i4", [0, *np.cumsum((a != 0).sum(axis=0))]), (9, "f8", [*a.T[col, row], 0])])
+    grid = (b"longer_name", 6, 0, (2, 3), [(2, "u1", [1, 0, 0, 4, 5, 0])])
+    for name, variables, want in (("s", [text, sparse, grid], a), ("g", [grid, sparse], [[1, 0, 5], [0, 4, 0]])):
+        (tmp_path / f"{name}.mat").write_bytes(mat_file(variables, order, packed))
+        m = files.load(spark, name, str(tmp_path))
+        assert dense(m).tolist() == np.asarray(want).tolist()
+    assert files.available(str(tmp_path)) == ["g", "s"]
+
+
+def test_matlab_refused(spark, tmp_path):
+    from kelvane.sources import matlab
+
+    for raw in (b"", b"x" * 200, mat_file([(b"note", 4, 0, (1, 2), [(4, "u2", [104, 105])])]), mat_file([(b"c", 6, 8, (1, 1), [(9, "f8", [1.0]), (9, "f8", [2.0])])])):
+        with pytest.raises(ValueError):
+            matlab.first_matrix(raw)
+
+
 def test_generators(spark):
     assert generators.generate(spark, 50, 40, 0.1).entries.distinct().count() == 200
     for p in generators.PATTERNS:
