@@ -335,3 +335,51 @@ def test_pipeline(spark, docs, tmp_path):
     assert sorted(map(repr, wide.select(*docs.columns).collect())) == sorted(map(repr, d.collect()))
     left = {r["doc_id"] for r in d.collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left and 0 < len(left) < docs.count()
+
+
+def brute_pipeline(rows, items):
+    """Ids and texts that the pipeline's stages keep, straight from their definitions."""
+    rows = [(i, t, s) for i, t, s in rows if any(c.isalpha() for c in t or "")]
+    pages = collections.Counter(s for _, _, s in rows)
+    on = collections.Counter((s, x) for _, t, s in rows for x in {y for y in t.split("\n") if y.strip(" ")})
+    cut = []
+    for i, t, s in rows:
+        left = [x for x in t.split("\n") if not x.strip(" ") or not (on[s, x] >= line_dedup.MIN_PAGES and on[s, x] > pages[s] * line_dedup.RATIO)]
+        cut.append((i, "\n".join(left) if any(x.strip(" ") for x in left) else t))
+    sets = []
+    for i, t in cut:
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}))
+    label = {i: i for i, _ in sets}
+    links = [(a, b) for a, x in sets for b, y in sets if a < b and 100 * len(x & y) >= 80 * len(x | y)]
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return {i: t for i, t in cut if label[i] == i and not decontamination.brute_force(t, items)[4]}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = corpus(seed=8)
+    texts = [t if i % 4 or not t else f"about us\n{t}\nall rights reserved" for i, t in enumerate(texts)]
+    quoted = "these fourteen words of an item of the benchmark stand in two documents whole"
+    texts += [quoted, "x1 y2 " + quoted + " z3", "12 34", "about us\nall rights reserved", quoted + " " + " ".join(f"own{k}" for k in range(400))]
+    rows = [(i, t, "en" if i % 3 else "de", f"s{i % 4}" if i % 9 else None, 0) for i, t in enumerate(texts)]
+    items = [("1", quoted), ("2", None), ("3", "none of these words")]
+    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(int(i), t) for i, t in items], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = brute_pipeline([(i, t, s) for i, t, _, s, _ in rows], items)
+    d, sizes = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, str(tmp_path))
+        sizes.append(d.count())
+    assert {r["doc_id"]: r["text"] for r in d.collect()} == want and len(rows) > sizes[0] > sizes[2] > sizes[3]
+    pieces = collections.defaultdict(list)
+    load, room = collections.Counter(), {}
+    for p in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces[p["doc_id"]].append((p["piece_start"], p["piece_tokens"]))
+        load[p["bin"]] += p["piece_tokens"]
+        room[p["bin"]] = p["bin_capacity"]
+    assert all(n <= room[b] and room[b] == min(c for c in packing.LENGTHS if c >= n) for b, n in load.items())
+    assert {k: (sum(n for _, n in v), min(v)[0]) for k, v in pieces.items()} == {k: (len(t.encode()) + 1, 0) for k, t in want.items()}
