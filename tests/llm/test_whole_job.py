@@ -1,8 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import zlib
 
-from kelvane.llm import jaccard_join
+from pyspark.sql import functions as F
+
+from kelvane.llm import jaccard_join, sharding
 
 
 def test_links_across_hot_clusters(spark, monkeypatch):
@@ -21,3 +24,34 @@ def test_links_across_hot_clusters(spark, monkeypatch):
     assert linked == {(0, 1)}
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join_classes(docs, 50, 3).collect()}
     assert got == {i: 0 if i == 1 else i for i in range(len(texts))}
+
+
+def test_shards_hold_the_documents(spark, tmp_path):
+    """The query's path: documents of many bytes fill several buckets a shard, and the shards as written hold them whole."""
+    rows = [(i % 90, None if i % 31 == 0 else f"text {i % 80} " * 60, f"s{i % 2}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    placed = sharding.shuffle_shards(docs, "doc_id", bucket_bytes=4000, size=F.octet_length("text"))
+    sharding.write_shards(placed, str(tmp_path / "shards"))
+    back = spark.read.schema(placed.schema).parquet(str(tmp_path / "shards"))
+    assert sorted(map(repr, back.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    files = {}
+    for r in back.withColumn("file", F.input_file_name()).select("shard", "bucket", "slot", "file").collect():
+        assert f"shard={r['shard']}/" in r["file"]
+        files.setdefault((r["shard"], r["bucket"]), {}).setdefault(r["file"], []).append(r["slot"])
+    assert all(len(f) == 1 for f in files.values())  # a bucket is one file, in slot order
+    assert all(s == list(range(s[0], s[0] + len(s))) for f in files.values() for s in f.values())
+    assert len(files) > 2 * len({s for s, _ in files})
+    for s in {s for s, _ in files}:
+        assert sorted(x for (t, _), f in files.items() if t == s for v in f.values() for x in v) == list(range(sum(len(v) for (t, _), f in files.items() if t == s for v in f.values())))
+
+
+def test_sharding_query_moves_texts(spark, tmp_path, monkeypatch):
+    """What goes through the shuffle and into the shards is the whole record."""
+    seen = []
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda placed, path: (seen.append(placed.columns), write(placed, path)))
+    spark.createDataFrame([(1, "one", "en"), (1, "one", "en"), (2, None, "de")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in sharding.query(spark, str(tmp_path)).collect())
+    crc = zlib.crc32(b"one")
+    assert got == [(1, 4, crc), (1, 4, crc), (2, 1, 0)]
+    assert seen == [["doc_id", "text", "lang", "shard", "grown_shard", "bucket", "slot"]]
