@@ -25,8 +25,6 @@ MIN_SUPPORT = 0.004
 MIN_COUNT = 20
 #: Share of the labelled URLs with a rule's tokens that must be bad.
 MIN_CONFIDENCE = 0.6
-#: Tokens of a rule at most.
-MAX_TOKENS = 3
 BAD = "label=bad"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -61,7 +59,7 @@ def url_tokens(url: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(*every)), lambda x: F.length(x) > 2)
 
 
-def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, min_count: int = MIN_COUNT) -> DataFrame:
+def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """(rule_id, tokens, confidence, support): what implies a bad label."""
     spark = labelled.sparkSession
     items = materialise(labelled.select(F.concat(url_tokens(F.col(url)), F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")), "transactions")
@@ -70,26 +68,26 @@ def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_supp
         return empty
     support = min(1.0, max(min_support, min_count / items.count()))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= max_tokens))
+    found = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD))
     found = materialise(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens")), "rules")
-    # A rule is implied by a shorter one made of some of its tokens: enumerate those (a few, as rules are short) and look them up.
-    subsets = found.select("rule_id", F.col("confidence").alias("c"), F.explode(_subsets(F.col("tokens"), max_tokens)).alias("tokens"))
-    implied = subsets.join(found.select("tokens", "confidence"), "tokens").where(F.col("confidence") >= F.col("c")).select("rule_id").distinct()
+    # A rule is implied by a shorter one made of some of its tokens, which need not have a rule of each length between.
+    index = _rarest(found, found).select(F.col("rule_id").alias("short"), "token", "need", F.col("confidence").alias("c"))
+    met = found.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token")).join(index, "token")
+    implied = met.where((F.size("need") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("need", "tokens")) == 0)).select("rule_id").distinct()
     return found.join(implied, "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "support")
 
 
-def _subsets(tokens: Column, most: int) -> Column:
-    """All non-empty proper subsets of a short sorted array."""
-    bits = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(tokens)) - 2).cast("int"))
-    pick = lambda b: F.filter(tokens, lambda t, i: F.getbit(b, i) == 1)
-    return F.when(F.size(tokens) > 1, F.transform(bits, pick)).otherwise(F.array().cast("array<array<string>>"))
+def _rarest(rules: DataFrame, among: DataFrame) -> DataFrame:
+    """rule_id, confidence, need (its tokens) and of these the token that the fewest ``tokens`` of ``among`` hold; without it no row."""
+    rarity = among.select(F.explode("tokens").alias("token")).join(rules.select(F.explode("tokens").alias("token")).distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
+    held = rules.select("rule_id", "confidence", "tokens", F.explode("tokens").alias("token")).join(rarity, "token")
+    return held.groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("tokens").alias("need"), F.first("confidence").alias("confidence"))
 
 
 def blocked_urls(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """The distinct URLs that a mined rule fits."""
     tokens = urls.select(F.col(url).alias("u")).where("u IS NOT NULL").distinct().select("u", url_tokens(F.col("u")).alias("have"))
-    rarity = tokens.select(F.explode("have").alias("token")).join(rules.select(F.explode("tokens").alias("token")).distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
-    index = rules.select("rule_id", "tokens", F.explode("tokens").alias("token")).join(rarity, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("tokens").alias("need"))
+    index = _rarest(rules, tokens.select(F.col("have").alias("tokens"))).select("rule_id", "token", "need")
     candidates = tokens.select("u", "have", F.explode("have").alias("token")).join(index, "token")
     return candidates.where(F.size(F.array_except("need", "have")) == 0).select("u").distinct()
 
