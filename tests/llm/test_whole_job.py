@@ -70,3 +70,14 @@ def test_rules_of_four_tokens(spark):
     assert all((got[i] == "block") == bad for i, (_, bad) in enumerate(rows))
     spam = spark.createDataFrame([("http://spam.one/two/three?four", True)] * 30 + [(f"http://good{i}.one/two/three?four", False) for i in range(30)], "url string, bad boolean")
     assert [tuple(r["tokens"]) for r in url_filters.mine_rules(spam).collect()] == [("h=spam",)]
+
+
+def test_near_copies_keep_one_row(spark):
+    import corpus_pipeline
+
+    t = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, t), (1, t), (1, t + " more"), (2, t), (2, t), (3, "another text of a few words"), (None, t), (None, t)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got) == [-1, -1, 1, 3]
+    assert {(r["doc_id"], r["text"]) for r in got} <= set(rows)
