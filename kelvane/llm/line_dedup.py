@@ -1,12 +1,15 @@
 """Line dedup by site-relative frequency (DataFrame functions only).
 
-A line that stands on more than ``ratio`` of a host's pages (and on ``min_pages`` of them at least) is
-boilerplate of that host and is dropped there; other hosts keep it. A page counts once for a line however
-often it repeats it. Blank lines are neither counted nor dropped. A page of which no content line would be
-left keeps its text: it is a copy of other pages, which near-duplicate removal judges, not a template.
+A line that stands on more than ``ratio`` of a host's pages is boilerplate of that host and is dropped there; other hosts
+keep it. A page counts once for a line however often it repeats it. Blank lines are neither counted nor dropped. On a host
+of a few pages each line exceeds the ratio by standing on one or two; so a line must stand on ``min_pages`` at least.
+
+A page of which no content line would be left is a copy of other pages, which near-duplicate removal judges, rather than
+a template: with ``keep_whole`` its text stays, and ``n_boilerplate`` still tells how many of its lines exceed the ratio.
 
 Defined cases: a null or empty text stays as it is; a null host is a host of its own; repeated rows count as
-pages; other columns pass through, and an added column whose name is taken gets an underscore behind it.
+pages; a text of any length is taken whole; a line at the ratio exactly stays; other columns pass through, and an added
+column whose name is taken gets an underscore behind it.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from ._common import free_name, materialise
 
 #: A line on more than this share of the host's pages is boilerplate.
 RATIO = 0.1
-#: A line on fewer pages than this is never boilerplate, however small the host.
-MIN_PAGES = 10
+#: A line on fewer pages than this tells nothing of its host.
+MIN_PAGES = 3
 #: Rows of the boilerplate table up to which it is broadcast (16 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Boilerplate lines of a host up to which a page's lines are held against all of them, one by one.
+HOST_LINES = 64
 
 
 def _lines(text: Column) -> Column:
@@ -50,13 +55,14 @@ def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text"
     )
 
 
-def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``pages`` with boilerplate lines cut from ``text``, plus ``n_lines`` and ``n_dropped`` (of non-blank lines)."""
-    total, dropped = (free_name(pages, x) for x in ("n_lines", "n_dropped"))
+def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS, keep_whole: bool = True) -> DataFrame:
+    """``pages`` with boilerplate lines cut from ``text``, plus ``n_lines``, ``n_dropped`` and ``n_boilerplate`` (of non-blank lines)."""
+    total, dropped, above = (free_name(pages, x) for x in ("n_lines", "n_dropped", "n_boilerplate"))
     spark, columns = pages.sparkSession, pages.columns
     bad = materialise(boilerplate_lines(pages, host, text, ratio, min_pages).select("host", "line_hash"), "boilerplate")
     drop, site, key = (free_name(pages, x) for x in ("drop_hashes", "drop_site", "drop_key"))
-    if bad.count() <= broadcast_rows:
+    per_host = bad.groupBy("host").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if (per_host[0] or 0) <= broadcast_rows and (per_host[1] or 0) <= HOST_LINES:
         sets = bad.groupBy("host").agg(F.collect_set("line_hash").alias(drop)).withColumnRenamed("host", site)
         joined = pages.join(F.broadcast(sets), F.col(host).eqNullSafe(F.col(site)), "left")
     else:
@@ -77,9 +83,10 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", rati
     n_lines, left, cleaned = (free_name(pages, x) for x in ("line_total", "line_left", "line_text"))
     out = joined.withColumn(cleaned, F.when(has, kept))
     out = out.withColumns({n_lines: F.coalesce(F.size(lines), F.lit(0)), left: F.when(has, F.size(F.filter(F.col(cleaned), lambda x: ~_blank(x))))})
-    cut = has & (F.col(left) > 0) & (F.col(left) < F.col(n_lines))
+    cut = has & (F.col(left) < F.col(n_lines)) & (F.lit(not keep_whole) | (F.col(left) > 0))
     body = F.when(cut, F.array_join(F.col(cleaned), "\n")).otherwise(F.col(text))
     more = [F.when(F.col(text).isNull(), 0).otherwise(F.col(n_lines)).cast("long").alias(total), F.when(cut, F.col(n_lines) - F.col(left)).otherwise(0).cast("long").alias(dropped)]
+    more.append(F.when(has, F.col(n_lines) - F.col(left)).otherwise(0).cast("long").alias(above))
     return out.select(*[body.alias(c) if c == text else F.col(f"`{c}`") for c in columns], *more)
 
 
@@ -87,7 +94,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     from ._common import table
 
     out = dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", "n_boilerplate", F.sha2("text", 256).alias("text_sha256"))
 
 
 ORACLE = f"""
@@ -99,7 +106,7 @@ bad AS (SELECT c.source, c.line FROM (SELECT source, line, count(DISTINCT doc_id
 m AS (SELECT l.*, bad.line IS NOT NULL AS dropped FROM l LEFT JOIN bad ON bad.source IS NOT DISTINCT FROM l.source AND bad.line = l.line),
 a AS (SELECT doc_id, count(*) FILTER (trim(line) <> '') AS n_lines, count(*) FILTER (dropped) AS n_drop,
              string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped) AS cleaned FROM m GROUP BY 1)
-SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, CASE WHEN n_drop < n_lines THEN n_drop ELSE 0 END::BIGINT AS n_dropped,
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, CASE WHEN n_drop < n_lines THEN n_drop ELSE 0 END::BIGINT AS n_dropped, coalesce(n_drop, 0)::BIGINT AS n_boilerplate,
        sha256(CASE WHEN n_drop > 0 AND n_drop < n_lines THEN cleaned ELSE text END) AS text_sha256
 FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """

@@ -5,32 +5,42 @@ is labelled content or boilerplate: features of the line give emission scores, n
 scores, and Viterbi decoding finds the best labelling of the whole text. The share of words in content lines
 decides whether the text is kept.
 
-The field is trained here by gradient ascent on its conditional likelihood (forward-backward) over labelled texts:
-at most ``SAMPLE_ROWS`` of them, the first by a hash of their id; all lines of a good text count as content, of a
-bad one as boilerplate. Without both kinds of labels all lines are content.
+The field is trained here by gradient ascent on its conditional likelihood (forward-backward), on weak labels of the
+lines of labelled texts: at most ``SAMPLE_ROWS`` of them and ``SAMPLE_BYTES`` in all, the first by a hash of their id.
+A line that recurs in documents all over the corpus (counted over all of them), and one without letters or of symbols
+mostly, is boilerplate; of the other lines, those of a good text are content, those of a bad one boilerplate. A text
+most of whose words stand in recurring lines is a copy of others rather than made of their template, so its lines take
+its own label. Without lines of both kinds all lines are content.
 
 Defined cases: a null or empty text has zero counts and fails the base rule; a text without a line that has a word
-has no content; repeated rows are judged each; rows keep their columns.
+has no content; equal scores are content; a text of any length is decoded whole, in memory of its own size; repeated
+rows are judged each, and of rows that repeat a labelled id the least text is trained on; rows keep their columns,
+and an added column whose name is taken gets an underscore behind it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructType
 
-from ._common import free_name, table
+from ._common import free_name, materialise, table
 from ._text import LINES, SPACE_WORDS, U, buffer_of, mix, ngram_hashes, slices, span_hashes, word_spans
 
-#: Labelled texts that the field is fitted on at most.
-SAMPLE_ROWS = 1500
+#: Labelled texts that the field is fitted on at most, and their bytes in all.
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 16 << 20
+#: Share of all documents, and number of them, on which a line must stand at least to be called recurring.
+RECURRING, RECURRING_ROWS = 0.001, 3
+#: Share of a line's bytes that are symbols or punctuation, from which it is no running text.
+NOISY = 0.4
 MIN_WORDS = 50
 #: Share of words that content lines must hold.
 MIN_CONTENT = 0.5
 STEPS = 150
 CONTENT, BOILERPLATE = 0, 1
+FEATURES = 17
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -45,6 +55,8 @@ _UPPER = _flags(bytes(range(65, 91)))
 _DIGIT = _flags(bytes(range(48, 58)))
 _PUNCT = _flags(b"!?:;=/\\@_{}[]()+~^\"'`-")
 _END = _flags(b".,")
+_LETTER = _UPPER | _flags(bytes([*range(97, 123), *range(128, 256)]))
+_STOP = _flags(b".!?").astype(float)
 _LEAD = np.ones(256, np.int8)
 _LEAD[0x80:0xC0] = 0
 
@@ -61,7 +73,7 @@ def _in_row(rows: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def scan(texts: pa.Array):
-    """For slices of rows: range, base counts (rows x 5), and the lines with words: row, number of words, features."""
+    """For slices of rows: range, base counts (rows x 5), and the lines with words: row, number in the text, number of words, hash, features, noise."""
     buf, off = buffer_of(texts)
     for i, j in slices(off):
         b, o, n = buf[off[i] : off[j]], off[i : j + 1] - off[i], j - i
@@ -87,10 +99,14 @@ def scan(texts: pa.Array):
         keep = width > 0
         l0, l1, lrow, first, width = l0[keep], l1[keep], lrow[keep], first[keep], width[keep]
         lines = span_hashes(b, l0, l1, False)
-        _, at = np.unique(_in_row(lrow, lines), return_index=True)
+        _, at, same, times = np.unique(_in_row(lrow, lines), return_index=True, return_inverse=True, return_counts=True)
         counts[:, 3] = np.bincount(lrow, minlength=n) - np.bincount(lrow[at], minlength=n)
+        breaks = np.concatenate(([0], np.cumsum(b == 10)))
+        number = breaks[l0] - breaks[o[lrow]]
+        head = np.r_[True, lrow[1:] != lrow[:-1]][: len(lrow)]
+        tail = np.r_[lrow[1:] != lrow[:-1], True][: len(lrow)]
         size = np.maximum(l1 - l0, 1)
-        upper, digit, punct, end = (_sums(x, b) for x in (_UPPER, _DIGIT, _PUNCT, _END))
+        upper, digit, punct, end, letter = (_sums(x, b) for x in (_UPPER, _DIGIT, _PUNCT, _END, _LETTER))
         per = lambda s: (s[l1] - s[l0]) / width  # noqa: E731  a word of the line
         closed = np.concatenate(([0], np.cumsum(_SYMBOL[b[ends - 1]] | _PUNCT[b[ends - 1]]))) if len(ends) else np.zeros(1)
         feats = np.column_stack(
@@ -106,9 +122,16 @@ def scan(texts: pa.Array):
                 (closed[first + width] - closed[first]) / width,
                 (symbols[l1] - symbols[l0] > 0).astype(float),
                 np.minimum(np.log1p(size) / 8, 2),
+                head.astype(float),
+                tail.astype(float),
+                (width <= 3).astype(float),
+                (width <= 12).astype(float),
+                (times[same] > 1).astype(float),
+                1.0 - _STOP[b[np.maximum(l1 - 1, 0)]],
             )
         )
-        yield i, j, counts, lrow, width, feats
+        noise = ((symbols[l1] - symbols[l0] + punct[l1] - punct[l0]) >= NOISY * size) | (letter[l1] == letter[l0])
+        yield i, j, counts, lrow, number, width, lines, feats, noise
 
 
 class Field:
@@ -118,7 +141,7 @@ class Field:
         self.weights, self.moves = weights, moves
 
     @classmethod
-    def neutral(cls, n: int = 11) -> "Field":
+    def neutral(cls, n: int = FEATURES) -> "Field":
         w = np.zeros((n, 2))
         w[0, CONTENT] = 1
         return cls(w, np.zeros((2, 2)))
@@ -183,41 +206,83 @@ class Field:
         return labels
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
+def recurring(docs: DataFrame, lines: np.ndarray, text: str = "text") -> np.ndarray:
+    """Which of ``lines`` (ascending hashes, a bounded number) stand on enough of all documents to be called recurring."""
+
+    def count(batches):
+        n, rows = np.zeros(len(lines), np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            buf, off = buffer_of(batch.column(0))
+            for i, j in slices(off):
+                l0, l1, lrow = word_spans(buf[off[i] : off[j]], off[i : j + 1] - off[i], LINES)
+                h = span_hashes(buf[off[i] : off[j]], l0, l1, False)
+                place = np.minimum(np.searchsorted(lines, h), len(lines) - 1)
+                ok = lines[place] == h
+                once = np.unique(lrow[ok] * np.int64(len(lines)) + place[ok])  # a line counts once a document
+                n += np.bincount(once % len(lines), minlength=len(lines))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[n[at], rows])], names=["place", "n"])
+
+    if not len(lines):
+        return np.empty(0, bool)
+    found = docs.select(text).mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # a row a line at most
+    place, n = found.column("place").to_numpy(), found.column("n").to_numpy()
+    total, own = n[place < 0].sum(), place >= 0
+    many = np.zeros(len(lines), np.int64)
+    many[place[own]] = n[own]
+    return many >= max(RECURRING_ROWS, RECURRING * total)
+
+
+def weak_labels(quality: np.ndarray, rows: np.ndarray, width: np.ndarray, known: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Labels of lines from their texts' quality; rows: the lines' texts, known: the line recurs, noise: it is no running text."""
+    n = len(quality)
+    copy = 2 * np.bincount(rows, width * known, n) > np.bincount(rows, width, n)
+    return np.where((quality[rows] == 0) | noise | (known & ~copy[rows]), BOILERPLATE, CONTENT)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Field:
     """docs: doc_id, text; labels: doc_id, quality (0 or 1)."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # a top-k by hash, before any text is read
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality").toArrow()
+    sizes = docs.where("text IS NOT NULL").select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.max("size").alias("size"))
+    first = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # sample_rows rows at most
+    taken = materialise(sizes.withColumn("so_far", F.sum("size").over(first)).where(F.col("so_far") <= sample_bytes).select("doc_id", "quality"), "sample")
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(taken), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toArrow()
     rows = rows.sort_by([("quality", "ascending"), ("text", "ascending")]).combine_chunks()
-    quality = rows.column("quality").to_numpy()
-    if len(set(quality.tolist())) < 2:
+    quality, parts = rows.column("quality").to_numpy(), []
+    for i, _, _, lrow, _, width, lines, feats, noise in scan(rows.column("text").combine_chunks()) if rows.num_rows else ():
+        parts.append((lrow + i, width, lines, noise, feats))
+    if not parts:
         return Field.neutral()
-    feats, at = [], []
-    for i, _, _, lrow, _, f in scan(rows.column("text").combine_chunks()):
-        feats.append(f)
-        at.append(lrow + i)
-    at = np.concatenate(at)
-    return Field.fit(np.concatenate(feats), at, np.where(quality[at] == 0, BOILERPLATE, CONTENT)) if len(at) else Field.neutral()
+    at, width, lines, noise, feats = (np.concatenate(x) for x in zip(*parts, strict=True))
+    distinct, place = np.unique(lines, return_inverse=True)
+    label = weak_labels(quality, at, width, recurring(docs, distinct)[place], noise)
+    return Field.fit(feats, at, label) if len(set(label.tolist())) == 2 else Field.neutral()
 
 
 def judge(docs: DataFrame, field: Field, text: str = "text", min_content: float = MIN_CONTENT) -> DataFrame:
-    """``docs`` plus the base counts, base_failed, content_share and kept."""
+    """``docs`` plus the base counts, base_failed, content_share, boilerplate_lines (numbers, from 0) and kept."""
     at = docs.columns.index(text)
-    names = [free_name(docs, x) for x in (*COUNTS, "base_failed", "content_share", "kept")]
+    names = [free_name(docs, x) for x in (*COUNTS, "base_failed", "content_share", "boilerplate_lines", "kept")]
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            counts, content = np.zeros((n, len(COUNTS)), np.int64), np.zeros(n)
-            for i, j, c, lrow, width, feats in scan(batch.column(at)):
+            counts, content, many, numbers = np.zeros((n, len(COUNTS)), np.int64), np.zeros(n), np.zeros(n, np.int64), [np.empty(0, np.int64)]
+            for i, j, c, lrow, number, width, _, feats, _ in scan(batch.column(at)):
                 counts[i:j] = c
-                content[i:j] = np.bincount(lrow, width * (field.decode(feats, lrow) == CONTENT), j - i)
+                label = field.decode(feats, lrow)
+                content[i:j] = np.bincount(lrow, width * (label == CONTENT), j - i)
+                many[i:j] = np.bincount(lrow[label == BOILERPLATE], minlength=j - i)
+                numbers.append(number[label == BOILERPLATE])
             failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > 50 * counts[:, 0])
             share = content / np.maximum(counts[:, 0], 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in counts.T), pa.array(failed), pa.array(share), pa.array(~failed & (share >= min_content))], names=[*batch.schema.names, *names])
+            marked = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(np.concatenate(numbers).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in counts.T), pa.array(failed), pa.array(share), marked, pa.array(~failed & (share >= min_content))], names=[*batch.schema.names, *names])
 
     schema = StructType([*docs.schema.fields])
-    for name, kind in zip(names, [LongType()] * 5 + [BooleanType(), DoubleType(), BooleanType()], strict=True):
+    for name, kind in zip(names, [LongType()] * 5 + [BooleanType(), DoubleType(), ArrayType(IntegerType()), BooleanType()], strict=True):
         schema = schema.add(name, kind)
     return docs.mapInArrow(run, schema)
 
@@ -225,4 +290,5 @@ def judge(docs: DataFrame, field: Field, text: str = "text", min_content: float
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = train(docs, table(spark, sf_dir, "labels"))
-    return judge(docs.select("doc_id", "text"), field).drop("text")
+    out = judge(docs.select("doc_id", "text"), field)
+    return out.withColumn("n_boilerplate_lines", F.size("boilerplate_lines").cast("long")).drop("text", "boilerplate_lines")

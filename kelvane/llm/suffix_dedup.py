@@ -11,8 +11,9 @@ One suffix array of the whole corpus would not fit anywhere, and only starts who
    earlier one are set apart first: all of them goes.
 2. The stretches of the other keys are gathered by key, with their bytes; equal ones are folded where they are made,
    and a key with very many stretches is dealt out by its single strings instead, so that no key grows in one task.
-3. The suffixes of a key's stretches, cut at ``length``, are brought into suffix order by prefix doubling, equal ones
-   by position; the previous and next smaller positions then tell which have an earlier match.
+3. The suffixes of a batch's stretches, cut at ``length``, are brought into suffix order by prefix doubling. What
+   neighbours share there, and each suffix's previous and next smaller position, give its longest previous factor (cut at
+   ``length``); a start whose factor is ``length`` long has an earlier match.
 4. The strings found are united to spans in each document, and the rest of its bytes is hashed.
 
 Suffixes are compared by their bytes; only the folding of equal stretches and of equal texts goes by hashes (of 64 bits
@@ -47,80 +48,95 @@ _POS = 20
 SLICE = 1 << 18
 
 
-def suffix_array(data: bytes) -> np.ndarray:
-    """Suffix order of one byte string, by prefix doubling."""
-    n = len(data)
-    rank = np.frombuffer(data, np.uint8).astype(np.int64)
-    k = 1
-    while True:
-        nxt = np.full(n, -1, np.int64)
-        nxt[: max(0, n - k)] = rank[k:]
-        order = np.lexsort((nxt, rank))
-        if not n:
-            return order
-        new = np.r_[0, np.cumsum((rank[order][1:] != rank[order][:-1]) | (nxt[order][1:] != nxt[order][:-1]))]
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        k *= 2
-
-
-def longest_previous_factors(data: bytes) -> np.ndarray:
-    """For each position, the longest string from there that also starts earlier in ``data``."""
-    order = suffix_array(data).tolist()
-    n, lpf = len(order), np.zeros(len(order), np.int64)
-
-    def shared(i: int, j: int) -> int:
-        k = 0
-        while max(i, j) + k < n and data[i + k] == data[j + k]:
-            k += 1
-        return k
-
-    stack: list[int] = []
-    for p in [*order, -1]:  # when p comes, all larger positions on the stack have found their next smaller one
-        while stack and stack[-1] > p:
-            top = stack.pop()
-            lpf[top] = max(shared(top, stack[-1]) if stack else 0, shared(top, p) if p >= 0 else 0)
-        stack.append(p)
-    return lpf
+def cut_suffix_keys(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Numbers in the order of the suffixes at ``at`` cut at ``length``; equal ones have one number. By prefix multiplying.
 
-
-def cut_suffix_ranks(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Ranks, in suffix order, of the suffixes at ``at`` cut at ``length``; equal ones have one rank. By prefix doubling.
-
-    Widths double from words of up to 8 bytes; each is ranked only where the next one asks for it.
+    Ranks of words of up to 8 bytes become ranks of as many words as fit in one number, and so on; each width is ranked only
+    where the next one asks for it.
     """
+    bits = max(1, int(len(text)).bit_length())
+    times = max(2, 63 // bits)
     widths = [min(8, length)]
-    while 2 * widths[-1] <= length:
-        widths.append(2 * widths[-1])
-    asked = np.zeros(len(text), bool)
-    asked[at] = True
-    asked[at + length - widths[-1]] = True
+    while -(-length // widths[-1]) > times:
+        widths.append(times * widths[-1])
+    pieces = [*range(0, length - widths[-1], widths[-1]), length - widths[-1]]
+    asked = np.zeros(len(text) + 1, bool)
+    for k in pieces:
+        asked[at + k] = True
     masks = [asked]
     for w in widths[-2::-1]:
-        wider = masks[-1].copy()
-        wider[w:] |= masks[-1][: len(text) - w]
-        masks.append(wider)
+        narrower = masks[-1].copy()
+        for k in range(1, times):
+            narrower[k * w :] |= masks[-1][: len(narrower) - k * w]
+        masks.append(narrower)
     masks.reverse()
     place = np.flatnonzero(masks[0])
     word = np.zeros(len(place), np.uint64)
     for k in range(widths[0]):
         word = (word << U(8)) | text[place + k].astype(np.uint64)
     rank = np.zeros(len(text), np.int64)
-    values, rank[place] = np.unique(word, return_inverse=True)
+    rank[place] = np.unique(word, return_inverse=True)[1]
+
+    def joined(place, steps):
+        key = rank[place + steps[0]]
+        for k in steps[1:]:
+            key = key << bits | rank[place + k]
+        return key
+
     for w, mask in zip(widths, masks[1:], strict=False):
         place = np.flatnonzero(mask)
-        values, rank[place] = np.unique(rank[place] * len(values) + rank[place + w], return_inverse=True)
-    return np.unique(rank[at] * len(values) + rank[at + length - widths[-1]], return_inverse=True)[1]
+        rank[place] = np.unique(joined(place, [k * w for k in range(times)]), return_inverse=True)[1]
+    return joined(at, pieces)
+
+
+def common_prefixes(text: np.ndarray, at: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
+    """Of the suffixes at ``at``, which stand in suffix order, the bytes that each shares with the one before, ``length`` at most."""
+    out = np.zeros(len(at), np.int32)
+    equal = key[1:] == key[:-1]
+    out[1:][equal] = length
+    open_ = np.flatnonzero(~equal) + 1  # unequal ones differ before their ends
+    one, two, k = at[open_], at[open_ - 1], 0
+    while len(open_):
+        same = text[one + k] == text[two + k]
+        open_, one, two, k = open_[same], one[same], two[same], k + 1
+        out[open_] = k
+    return out
 
 
-def earlier_matches(rank: np.ndarray, *position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix order of cut suffixes, each one's start of its run of equal ones, and whether an earlier one is there.
+def previous_factors(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Longest previous factors of suffixes in suffix order, by their previous and next smaller positions.
 
-    With equal suffixes in order of position, the neighbour before is the previous smaller position unless it is the
-    same one (a row that repeats), and no next one is smaller.
+    ``shared`` is what each suffix shares with the one before. A pointer that is not yet at a smaller position jumps to where
+    the one there points, for all suffixes at once: between a suffix and its pointer all positions are its own or larger.
     """
+    n = len(position)
+    best = np.zeros(n, np.int32)
+    for step in (-1, 1):
+        to = np.arange(n, dtype=np.int32) + np.int32(step)
+        least = shared.copy() if step < 0 else np.r_[shared[1:], np.zeros(1, np.int32)][:n]
+        near = position[:-1] >= position[1:] if step < 0 else position[1:] >= position[:-1]  # the neighbour is not smaller
+        todo = np.flatnonzero(near) + (step < 0)
+        if n:
+            least[0 if step < 0 else -1] = 0
+        while len(todo):
+            todo = todo[least[todo] > best[todo]]  # who cannot gain any more rests
+            way = to[todo]
+            own = np.minimum(least[todo], least[way])
+            to[todo] = way = to[way]
+            inside = (way >= 0) & (way < n)
+            own[~inside] = 0
+            least[todo] = own
+            todo, way = todo[inside], way[inside]
+            todo = todo[position[way] >= position[todo]]
+        at = np.flatnonzero(least > best)
+        at = at[(to[at] >= 0) & (to[at] < n)]
+        at = at[position[to[at]] < position[at]]
+        best[at] = least[at]
+    return best
+
+
+def earlier_copies(rank: np.ndarray, *position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by rank and position, and whether an equal one stands at an earlier position."""
     order = np.lexsort((*position[::-1], rank))
     f = rank[order]
     new = np.r_[True, f[1:] != f[:-1]]
@@ -129,7 +145,7 @@ def earlier_matches(rank: np.ndarray, *position: np.ndarray) -> tuple[np.ndarray
     for p in position:
         own = p[order]
         found |= own != own[first]
-    return order, first, found
+    return order, found
 
 
 def _poly(buf: np.ndarray, width: int) -> np.ndarray:
@@ -250,7 +266,7 @@ def _gather(length: int, gram: int, fold_bytes: int):
         key, doc, start, size = (np.concatenate([p[k] for p in parts]) for k in range(4))
         bodies = [x for p in parts for x in p[4]]
         mark = np.concatenate([p[5] for p in parts])
-        order, first, found = earlier_matches(mix(mark) ^ mix(key.view(np.uint64) ^ size.astype(np.uint64)), doc, start)
+        order, found = earlier_copies(mix(mark) ^ mix(key.view(np.uint64) ^ size.astype(np.uint64)), doc, start)
         # A folded stretch needs no company: it goes anywhere.
         away = mix(doc.astype(np.uint64) * U(_BASE) ^ start.astype(np.uint64)).view(np.int64)
         key = key.copy()
@@ -328,10 +344,14 @@ def _match(length: int):
                 src = np.repeat(np.arange(len(m)), starts)
                 step = np.arange(len(src)) - np.repeat(np.cumsum(starts) - starts, starts)
                 # Equal strings have equal keys: the suffixes of all keys may stand in one order.
-                rank = cut_suffix_ranks(np.frombuffer(b"".join(bodies), np.uint8), offset[src] + step, length)
-                order, first, found = earlier_matches(rank, d[src], s[src] + step)
+                text, at = np.frombuffer(b"".join(bodies), np.uint8), offset[src] + step
+                key_ = cut_suffix_keys(text, at, length)
+                place = (np.unique(d, return_inverse=True)[1] << 40)[src] + s[src] + step
+                order = np.lexsort((place, key_))
+                shared = common_prefixes(text, at[order], key_[order], length)
                 flag = np.zeros(len(src), bool)
-                flag[order] = found
+                flag[order] = previous_factors(place[order], shared) >= length
+                first = order[np.flatnonzero(shared < length)]
                 flag &= src >= old
                 # Neighbouring starts of a stretch that have earlier matches make one span.
                 cut = np.flatnonzero(flag & np.r_[True, ~flag[:-1] | (src[1:] != src[:-1])])
@@ -339,7 +359,7 @@ def _match(length: int):
                 owner.append(d[src[cut]])
                 lo.append(s[src[cut]] + step[cut])
                 hi.append(s[src[end]] + step[end] + length)
-                own = np.unique(src[order[np.unique(first)]])
+                own = np.unique(src[first])
                 own = own[k[own] == key[-1]]
                 seen = (d[own], s[own], m[own], [bodies[x] for x in own.tolist()])
             elif last != key[-1]:

@@ -1,14 +1,21 @@
 """URL filters: allow and block rules, and association rules mined by FP-growth (DataFrame functions only).
 
 Labelled URLs become transactions of tokens (host labels, host name parts, path segments, query keys) with one
-more item where the label is bad. FP-growth finds the frequent combinations; those that imply the bad item with
-enough support and confidence, and are not implied by a shorter rule of at least their confidence, are kept.
+more item for their label, bad or good. FP-growth finds the frequent combinations; those are kept as rules that imply
+one of the labels with enough support and more confidence than chance gives: the lower end of the confidence's interval
+lies above the label's share of all labelled URLs, and the confidence reaches ``MIN_LIFT`` times that share. A rule that
+a shorter one of the same label implies, which is at least as strong, goes.
+
+Tokens that stand in exactly the same labelled URLs are mined as one, so that a long path that many URLs share does not
+make every combination of its segments; each rule is then written out for each of the tokens that stand for one.
+
 An inverted index from each rule's rarest token finds the rules that can fit a URL; a rule fits if all its tokens
-are there. A verdict depends on the URL alone, so that equal URLs are matched once.
+are there. Of the rules that fit, the strongest (by the interval's lower end over the label's share; block where equal)
+decides: bad blocks, good allows. A verdict depends on the URL alone, so that equal URLs are matched once.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and no tokens (verdict allow unless a
-rule fits); without bad labels no rule is mined; repeated pages repeat their verdict; an added column whose
-name is taken gets an underscore behind it.
+rule fits); a null label is none; without labels of both kinds no rule is mined; repeated pages repeat their verdict; a
+URL of any length is matched by all its tokens; an added column whose name is taken gets an underscore behind it.
 """
 
 from __future__ import annotations
@@ -19,13 +26,14 @@ from pyspark.sql import functions as F
 
 from ._common import free_name, lower_ascii, materialise, table
 
-#: Share of the labelled URLs that must hold a rule's tokens and the bad label.
+#: Share of the labelled URLs that must hold a rule's tokens and its label.
 MIN_SUPPORT = 0.004
-#: Labelled URLs that must do so at least.
-MIN_COUNT = 20
-#: Share of the labelled URLs with a rule's tokens that must be bad.
-MIN_CONFIDENCE = 0.6
-BAD = "label=bad"
+#: Times its label's share of all labelled URLs that a rule's confidence must reach.
+MIN_LIFT = 1.05
+#: Width of the confidence's interval (Wilson's, on one side 99 %), in standard errors.
+WIDTH = 2.326
+BAD, GOOD = "label=bad", "label=good"
+RULE = "rule_id long, tokens array<string>, verdict string, confidence double, support double, strength double"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
@@ -59,57 +67,92 @@ def url_tokens(url: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(*every)), lambda x: F.length(x) > 2)
 
 
-def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
-    """(rule_id, tokens, confidence, support): what implies a bad label."""
+def lowest(confidence: Column, n: Column, width: float = WIDTH) -> Column:
+    """Lower end of Wilson's interval of a share ``confidence`` among ``n``."""
+    z2 = width * width
+    root = F.sqrt(confidence * (1 - confidence) / n + z2 / (4 * n * n))
+    return (confidence + z2 / (2 * n) - width * root) / (1 + z2 / n)
+
+
+def _merged(items: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Transactions of the tokens on ``least`` rows at least, one for all that stand on the same rows; and (token, of) of these.
+
+    The second table is small: it has at most as many rows as a URL has tokens, over the least support.
+    """
+    every = items.select("id", "label", F.explode("tokens").alias("token"))
+    mark = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 31)))
+    marks = every.groupBy("token").agg(F.count("*").alias("n"), mark(1).alias("a"), mark(2).alias("b")).where(F.col("n") >= least)
+    of = marks.groupBy("n", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("same"))
+    of = materialise(of.select(F.explode("same").alias("token"), F.element_at("same", 1).alias("of")), "merged")
+    met = every.join(F.broadcast(of), "token").groupBy("id", "label").agg(F.collect_set("of").alias("items"))
+    return met.select(F.concat("items", F.array("label")).alias("items")), of
+
+
+def _written_out(rules: DataFrame, of: DataFrame) -> DataFrame:
+    """Each rule once for each choice among the tokens that are mined as one."""
+    alike = of.groupBy("of").agg(F.array_sort(F.collect_list("token")).alias("same"))
+    sets = rules.select("*", F.explode("tokens").alias("of")).join(alike, "of").groupBy("tokens", "verdict", "confidence", "support", "strength").agg(F.collect_list("same").alias("sets"))
+    grow = F.aggregate("sets", F.array(F.array().cast("array<string>")), lambda made, same: F.flatten(F.transform(made, lambda m: F.transform(same, lambda t: F.concat(m, F.array(t))))))
+    out = sets.select(F.explode(grow).alias("t"), "verdict", "confidence", "support", "strength")
+    return out.select(F.array_sort("t").alias("tokens"), "verdict", "confidence", "support", "strength").withColumn("rule_id", F.xxhash64("tokens", "verdict"))
+
+
+def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT, width: float = WIDTH) -> DataFrame:
+    """(rule_id, tokens, verdict, confidence, support, strength): what implies a bad label (block) or a good one (allow)."""
     spark = labelled.sparkSession
-    items = materialise(labelled.select(F.concat(url_tokens(F.col(url)), F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")), "transactions")
-    empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    if items.where(F.array_contains("items", BAD)).isEmpty():
-        return empty
-    support = min(1.0, max(min_support, min_count / items.count()))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD))
-    found = materialise(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens")), "rules")
+    label = F.when(F.col(bad), BAD).otherwise(GOOD)
+    items = materialise(labelled.where(F.col(bad).isNotNull()).select(F.monotonically_increasing_id().alias("id"), label.alias("label"), url_tokens(F.col(url)).alias("tokens")), "transactions")
+    total, n_bad = items.agg(F.count("*"), F.count_if(F.col("label") == BAD)).first()
+    if not 0 < n_bad < total:
+        return spark.createDataFrame([], RULE)
+    share = {BAD: n_bad / total, GOOD: 1 - n_bad / total}
+    merged, of = _merged(items, min_support * total)
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min(1.0, min_lift * min(share.values()))).fit(materialise(merged, "merged-items"))
+    found = model.associationRules.withColumn("to", F.element_at("consequent", 1)).where(F.col("to").isin(BAD, GOOD))
+    base = F.when(F.col("to") == BAD, share[BAD]).otherwise(share[GOOD])
+    own = F.col("support") * total / F.col("confidence")
+    strength = lowest(F.col("confidence"), own, width) / base
+    kept = found.withColumn("strength", strength).where((F.col("strength") > 1) & (F.col("confidence") >= min_lift * base))
+    kept = kept.select(F.array_sort("antecedent").alias("tokens"), F.when(F.col("to") == BAD, "block").otherwise("allow").alias("verdict"), "confidence", "support", "strength")
+    kept = materialise(_written_out(kept, of), "rules")
     # A rule is implied by a shorter one made of some of its tokens, which need not have a rule of each length between.
-    index = _rarest(found, found).select(F.col("rule_id").alias("short"), "token", "need", F.col("confidence").alias("c"))
-    met = found.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token")).join(index, "token")
-    implied = met.where((F.size("need") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("need", "tokens")) == 0)).select("rule_id").distinct()
-    return found.join(implied, "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "support")
+    index = _rarest(kept, kept).select(F.col("rule_id").alias("short"), "token", "need", F.col("strength").alias("s"), F.col("verdict").alias("v"))
+    met = kept.select("rule_id", "tokens", "verdict", "strength", F.explode("tokens").alias("token")).join(index, "token")
+    implied = met.where((F.size("need") < F.size("tokens")) & (F.col("s") >= F.col("strength")) & (F.col("v") == F.col("verdict")) & (F.size(F.array_except("need", "tokens")) == 0)).select("rule_id").distinct()
+    return kept.join(implied, "rule_id", "left_anti").select("rule_id", "tokens", "verdict", "confidence", "support", "strength")
 
 
 def _rarest(rules: DataFrame, among: DataFrame) -> DataFrame:
-    """rule_id, confidence, need (its tokens) and of these the token that the fewest ``tokens`` of ``among`` hold; without it no row."""
+    """The rules, with need (their tokens) and of these the token that the fewest ``tokens`` of ``among`` hold; without it no row."""
     rarity = among.select(F.explode("tokens").alias("token")).join(rules.select(F.explode("tokens").alias("token")).distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
-    held = rules.select("rule_id", "confidence", "tokens", F.explode("tokens").alias("token")).join(rarity, "token")
-    return held.groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("tokens").alias("need"), F.first("confidence").alias("confidence"))
+    held = rules.select("rule_id", "verdict", "strength", "tokens", F.explode("tokens").alias("token")).join(rarity, "token")
+    return held.groupBy("rule_id", "verdict", "strength").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("tokens").alias("need"))
 
 
-def blocked_urls(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """The distinct URLs that a mined rule fits."""
+def decided_urls(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """(u, mined, verdict) of the distinct URLs that a mined rule fits: the strongest one's tokens and verdict."""
     tokens = urls.select(F.col(url).alias("u")).where("u IS NOT NULL").distinct().select("u", url_tokens(F.col("u")).alias("have"))
-    index = _rarest(rules, tokens.select(F.col("have").alias("tokens"))).select("rule_id", "token", "need")
+    index = _rarest(rules, tokens.select(F.col("have").alias("tokens"))).select("rule_id", "token", "need", "verdict", "strength")
     candidates = tokens.select("u", "have", F.explode("have").alias("token")).join(index, "token")
-    return candidates.where(F.size(F.array_except("need", "have")) == 0).select("u").distinct()
+    fits = candidates.where(F.size(F.array_except("need", "have")) == 0)
+    best = fits.groupBy("u").agg(F.max_by(F.struct(F.array_join("need", " ").alias("mined"), "verdict"), F.struct("strength", "verdict", "rule_id")).alias("best"))
+    return best.select("u", "best.mined", "best.verdict")
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
-    """``pages`` plus host, path, rule and verdict."""
-    mined = materialise(mine_rules(labelled), "mined")
-    host, path, rule, verdict, hit = (free_name(pages, x) for x in ("host", "path", "rule", "verdict", "hit"))
+    """``pages`` plus host, path, rule, mined (the tokens of the mined rule that fits best, or null) and verdict."""
+    found = materialise(mine_rules(labelled), "mined")
+    host, path, rule, mined, verdict, hit, says = (free_name(pages, x) for x in ("host", "path", "rule", "mined", "verdict", "hit", "says"))
     out = pages.withColumns(dict(zip((host, path), host_and_path(F.col(url)), strict=True)))
     out = out.withColumn(rule, matching_rule(F.col(host), F.col(path), rules))
-    if mined.isEmpty():
-        blocked = F.lit(False)
-    else:
-        hits = blocked_urls(pages, mined, url).withColumnRenamed("u", hit)
-        out = out.join(hits, F.col(url) == F.col(hit), "left")
-        blocked = F.col(hit).isNotNull()
+    hits = decided_urls(pages, found, url).select(F.col("u").alias(hit), F.col("mined").alias(mined), F.col("verdict").alias(says))
+    out = out.join(hits, F.col(url) == F.col(hit), "left")
     verdicts = F.create_map(*[F.lit(x) for v, r in rules for x in (r, v)])
-    return out.withColumn(verdict, F.coalesce(verdicts[F.col(rule)], F.when(blocked, "block").otherwise("allow"))).drop(hit)
+    return out.withColumn(verdict, F.coalesce(verdicts[F.col(rule)], F.col(says), F.lit("allow"))).drop(hit, says)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
     known = labels.groupBy("doc_id").agg((F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)) == 1).alias("bad"))
     labelled = pages.join(known, pages.page_id == known.doc_id).select("url", "bad")
-    return filter_urls(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, labelled).select("page_id", "host", "path", "rule", "verdict", "mined")

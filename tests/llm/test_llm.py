@@ -112,20 +112,31 @@ def test_suffix_dedup(docs, texts, hot):
         assert got[k] == (len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest())
 
 
-def test_longest_previous_factors():
-    for s in (b"", b"a", b"aaaa", b"abracadabra", bytes(random.Random(2).choices(b"ab", k=60))):
-        want = [max((max(k for k in range(len(s) - i + 1) if s[j : j + k] == s[i : i + k]) for j in range(i)), default=0) for i in range(len(s))]
-        assert suffix_dedup.longest_previous_factors(s).tolist() == want
-
-
-@pytest.mark.parametrize("length", [1, 5, 8, 20, 100])
-def test_suffix_order(length):
+@pytest.mark.parametrize("length", [1, 5, 8, 20, 64])
+def test_longest_previous_factors(length):
+    """Suffix order, shared prefixes, previous and next smaller positions, and the factors that these give."""
     r = random.Random(length)
-    s = bytes(r.choices(b"ab\0\xff", k=300)) * 2
-    at = np.array([i for i in range(len(s) - length + 1) if r.random() < 0.7])
-    got = suffix_dedup.cut_suffix_ranks(np.frombuffer(s, np.uint8), at, length).tolist()
-    every = sorted({s[i : i + length] for i in at})
-    assert got == [every.index(s[i : i + length]) for i in at]
+    for s in (b"a", b"aaaa" * 20, b"abracadabra" * 9, bytes(r.choices(b"ab", k=260)), bytes(r.choices(b"ab\0\xff", k=130)) * 2, bytes(r.choices(b"abcdefgh", k=300))):
+        at = np.arange(max(0, len(s) - length + 1))
+        if not len(at):
+            continue
+        text = np.frombuffer(s, np.uint8)
+        key = suffix_dedup.cut_suffix_keys(text, at, length)
+        order = np.lexsort((at, key))
+        assert order.tolist() == sorted(at.tolist(), key=lambda i: (s[i : i + length], i))
+        shared = suffix_dedup.common_prefixes(text, at[order], key[order], length)
+        common = lambda i, j: next((k for k in range(length) if s[i + k] != s[j + k]), length)
+        assert shared.tolist() == [0] + [common(i, j) for i, j in zip(order[1:].tolist(), order[:-1].tolist())]
+        factors = np.empty(len(at), int)
+        factors[order] = suffix_dedup.previous_factors(order, shared)
+        assert factors.tolist() == [max((common(i, j) for j in range(i)), default=0) for i in at.tolist()]
+
+
+def test_factors_of_repeated_positions():
+    """Suffixes at one position (of rows that repeat) are not earlier than one another."""
+    position, shared = np.array([4, 4, 2, 7, 2]), np.array([0, 9, 9, 3, 9], np.int32)
+    # of equal positions neither counts: 4 looks to 2, 7 to 4 or 2
+    assert suffix_dedup.previous_factors(position, shared).tolist() == [9, 9, 0, 9, 0]
 
 
 @pytest.mark.parametrize("rows", [1, 3, 1000])
@@ -148,12 +159,28 @@ def test_matches_over_batches(rows):
     assert got == want
 
 
+def brute_decontamination(text: str | None, items: list[tuple[str, str]], width: int = decontamination.WIDTH, share: int = decontamination.SHARE) -> tuple[int, int, int, str, bool]:
+    """The same for one document, straight from the definition (for tests)."""
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    doc = words(text)
+    hit, ids = set(), set()
+    for i, t in items:
+        w = words(t)
+        n = min(width, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            for p in range(len(doc) - n + 1):
+                if doc[p : p + n] == w[k : k + n]:
+                    hit.update(range(p, p + n))
+                    ids.add(str(i))
+    return len(doc), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and share * len(hit) >= len(doc)
+
+
 def test_decontamination(spark, docs, texts):
     items = [(1, " ".join(texts[5].split()[3:22])), (2, "one two"), (10, texts[7].upper()), (11, None), (12, "!!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (1 << 20, 300):
         for r in decontamination.decontaminate(docs, bench, block_bytes=block).collect():
-            n, hit, ids, digest, bad = decontamination.brute_force(r["text"], [(str(i), t) for i, t in items])
+            n, hit, ids, digest, bad = brute_decontamination(r["text"], [(str(i), t) for i, t in items])
             assert (r["n_words"], r["n_hit"], len(r["hit_items"]), r["contaminated"]) == (n, hit, ids, bad)
             assert hashlib.sha256(",".join(r["hit_items"]).encode()).hexdigest() == digest
 
@@ -165,7 +192,10 @@ def test_quality(docs, texts, spark):
         c = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         covered = {j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
         lines = [x for x in (r["text"] or "").split("\n") if words(x)]
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
         assert (r["n_words"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), len(lines) - len(set(lines)), len(covered))
+        assert (r["word_chars"], r["n_symbols"]) == (sum(map(len, w)), len(re.findall("[#*$%&|<>]", r["text"] or "")))
+        assert (r["base_failed"], r["kept"], r["content_share"], r["boilerplate_lines"]) == (failed, not failed, float(bool(w)), [])
 
 
 def test_viterbi():
@@ -206,33 +236,52 @@ def test_lines(spark, rows):
     d = spark.createDataFrame(data, "doc_id long, text string, source string")
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(d, broadcast_rows=rows).collect()}
     assert got[3] == ("body 3\n", 3, 2) and got[90] == ("menu\nx", 2, 0) and got[91] == (None, 0, 0) and got[92] == ("menu", 1, 0)
+    bare = {r["doc_id"]: (r["text"], r["n_dropped"], r["n_boilerplate"]) for r in line_dedup.dedup_lines(d, broadcast_rows=rows, keep_whole=False).collect()}
+    assert bare[92] == ("", 1, 1) and bare[3] == ("body 3\n", 2, 2)
 
 
 def test_packing(docs, texts):
     r = np.random.default_rng(1)
+    lengths, overhead, quadratic = (30, 60, 90), 2, 120
     sizes = np.sort(r.integers(1, 90, 300))[::-1]
-    bins, offsets, caps = packing.pack_lengths(sizes, (30, 60, 90), 2)
+    bins, offsets, caps, opened = packing.pack_lengths(sizes, lengths, overhead, quadratic)
     fill = np.bincount(bins, sizes)
-    assert (fill <= caps).all() and all(c == min(x for x in (30, 60, 90) if x >= f) for c, f in zip(caps, fill))
-    # best fit, straight from the definition
-    left, cap, total, want = [], [], sizes.sum(), []
-    for s in sizes.tolist():
+    assert (fill <= caps).all() and all(c == min(x for x in lengths if x >= f) for c, f in zip(caps, fill))
+    # best fit and the least expected cost, straight from the definition
+    left, want, first = [], [], []
+    for i, s in enumerate(sizes.tolist()):
         ok = [b for b in range(len(left)) if left[b] >= s]
         if ok:
             b = min(ok, key=lambda b: left[b])
         else:
-            b = len(left)
-            left.append(min((c for c in (30, 60, 90) if c >= s), key=lambda c: ((c + 2) / min(c, total), c)))
+            b, price = len(left), {}
+            for c in lengths:
+                if c >= s:
+                    hole = c - s
+                    for x in sizes[i + 1 :].tolist():
+                        hole -= x if x <= hole else 0
+                    price[c] = (overhead + c + c * c / quadratic) / (c - hole)
+            left.append(min(price, key=lambda c: (price[c], c)))
+            first.append(left[-1])
         left[b] -= s
-        total -= s
         want.append(b)
-    assert np.bincount(np.bincount(want, sizes).astype(int)).tolist() == np.bincount(fill.astype(int)).tolist()
+    assert first == opened.tolist()
+    assert sorted(left) == sorted((opened - fill).astype(int).tolist()) and len(want) == len(bins)  # of equally full bins any will do
     got = packing.pack(docs, lengths=(64, 256, 1024), group_rows=40).collect()
     for k, t in texts.items():
         own = sorted((p["piece_start"], p["piece_tokens"]) for p in got if p["doc_id"] == k)
         assert sum(n for _, n in own) == (0 if t is None else len(t.encode()) + 1) and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
 
 
+def test_packing_lengths_compete():
+    """Ordinary sizes open all lengths, and cost less than with any single length that holds them."""
+    sizes = np.sort(np.minimum(np.random.default_rng(5).lognormal(7.3, 1.1, 20_000).astype(int) + 1, 16384))[::-1]
+    _, _, caps, opened = packing.pack_lengths(sizes)
+    assert set(opened.tolist()) == set(packing.LENGTHS) and np.bincount(opened).max() < 0.9 * len(opened)
+    _, _, single, _ = packing.pack_lengths(sizes, (16384,))
+    assert packing.cost_of(caps).sum() < 0.9 * packing.cost_of(single).sum() and sizes.sum() > 0.95 * caps.sum()
+
+
 def test_sharding(spark):
     d = spark.createDataFrame([(i % 50, f"t{i % 70}") for i in range(500)] + [(None, None)] * 30, "doc_id long, text string")
     def of(rows):
@@ -255,23 +304,57 @@ def test_urls(spark):
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"]) for i in range(6)] == [("a.example.org", "/es/1", "example.org/es/"), ("x.org", "", None), ("b.com", "/de/2", "com/de/"), ("", "", None), ("", "", None), ("example.org", "/en/12", "example.org/en/1")]
     assert all((got[i]["verdict"] == "block") == ("spam" in urls[i]) for i in range(6, len(urls)))
     rules = url_filters.mine_rules(labelled).collect()
-    assert {tuple(r["tokens"]) for r in rules} == {("h=spam",), ("p=buy",)}  # longer ones are implied
+    assert {tuple(r["tokens"]) for r in rules if r["verdict"] == "block"} == {("h=spam",), ("p=buy",)}  # longer ones are implied
+    assert {tuple(r["tokens"]) for r in rules if r["verdict"] == "allow"} == {("h=good",), ("p=read",)}
 
 
-def test_fixity(spark):
-    p = spark.createDataFrame([(i, f"http://h/{i}", f"body {i}") for i in range(100)] + [(7, "http://h/7", "body 7"), (None, None, None)], "page_id long, url string, html string")
-    bytes_ = warc.record_bytes(F.col("url"), F.col("html"))
-    rows = p.select("page_id", "url", F.octet_length(bytes_).cast("long").alias("length"), F.sha2(bytes_, 256).alias("digest"))
-    placed = warc.lay_out(rows, ["page_id", "url"], carried=("digest",), file_bytes=3000).cache()
-    assert placed.count() == 101 and placed.agg(F.sum("copies")).first()[0] == 102
-    a = warc.leaves(placed, "digest")
-    b = warc.leaves(placed.where("page_id IS NULL OR page_id <> 9").withColumn("digest", F.when(F.col("page_id").isin(3, 50), "x").otherwise(F.col("digest"))), "digest")
-    n = warc.depth(a, 4)
-    found = warc.audit(warc.merkle_tree(a, n, 4), warc.merkle_tree(b, n, 4), 4).join(placed.select("file", F.col("ordinal").alias("node"), "page_id"), ["file", "node"])
-    assert sorted((r["page_id"], r["status"]) for r in found.collect()) == [(3, "changed"), (9, "missing"), (50, "changed")]
+def replicas(spark, ours, theirs, **kind):
+    key, out = ["page_id", "url"], []
+    for rows in (ours, theirs):
+        out.append(warc.lay_out(warc.catalogue(spark.createDataFrame(rows, "page_id long, url string, html string")), key, kind.get("depth", 2)))
+    return out, key
 
 
-TAKEN = "n_words hit_starts hit_ends hit_items n_hit contaminated lang_pred lang_score lang_set N_LINES n_dropped line_hash host path rule verdict hit u bad shard bucket slot grown_shard record key bytes row_key kept base_failed token node n digest component doc_hash".split()
+def test_fixity(spark):
+    """Replicas that are laid out by themselves: each fault is found once, and no record that only moved."""
+    rows = [(i, f"http://h/{i}", f"body {i} " * (1 + i % 9)) for i in range(400)] + [(7, "http://h/7", "body 7")] * 2 + [(None, None, None)]
+    faulty = [r if r[0] not in (3, 50) else (*r[:2], "x" * r[0]) for r in rows if r[0] != 9] + [(900, "http://new", "y"), (5, None, "z")]
+    random.Random(1).shuffle(faulty)
+    (a, b), key = replicas(spark, rows, faulty)
+    found = warc.audit(a, b, key, 2, file_bytes=5000).collect()
+    assert sorted((r["page_id"], r["status"]) for r in found) == [(3, "changed"), (5, "extra"), (9, "missing"), (50, "changed"), (900, "extra")]
+    assert all((r["digest"] is None) == (r["status"] == "extra") and (r["replica_digest"] is None) == (r["status"] == "missing") and r["hi"] - r["lo"] == r["length"] for r in found)
+    differ, looked = warc.descend(warc.merkle_tree(a, 2), warc.merkle_tree(b, 2))
+    seen = [x.count() for x in looked]
+    assert differ.count() == 7 and seen[0] == 1 and sum(seen[:3]) <= 1 + 16 + 16 * 5 and seen[3] < 60  # changed ones change buckets
+    (a, b), _ = replicas(spark, rows, rows[::-1])
+    assert warc.audit(a, b, key, 2).count() == 0 and [x.count() for x in warc.descend(warc.merkle_tree(a, 2), warc.merkle_tree(b, 2))[1]] == [1, 0, 0, 0]
+
+
+def test_fixity_byte_ranges(spark):
+    """The byte ranges of findings are those of the records in the order of the replica that holds them."""
+    rows = [(i % 40, f"u{i % 40}", f"b{i}" * (1 + i % 5)) for i in range(300)]
+    for depth in (0, 1, 2):
+        (a, b), key = replicas(spark, rows, [], depth=depth)
+        found = warc.audit(a, b, key, depth, file_bytes=1 << 30).collect()
+        spans = sorted((r["lo"], r["hi"]) for r in found)
+        assert len(found) == 300 and {r["status"] for r in found} == {"missing"} and spans[0][0] == 0
+        assert all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+        back = warc.audit(b, a, key, depth).collect()
+        assert len(back) == 300 and {r["status"] for r in back} == {"extra"}
+    (a, b), key = replicas(spark, [], [])
+    assert warc.audit(a, b, key, 2).count() == 0
+
+
+def test_fixity_versions_of_a_key(spark):
+    """A key with very many records; other numbers of copies are a change."""
+    rows = [(1, "u", f"v{i}") for i in range(500)] + [(2, "w", "same")] * 3
+    (a, b), key = replicas(spark, rows, [r for r in rows if r[2] not in ("v4", "v77")][:-1])
+    found = [(r["page_id"], r["status"], r["copies"], r["digest"] == r["replica_digest"]) for r in warc.audit(a, b, key, 2).collect()]
+    assert sorted(found, key=str) == [(1, "missing", 1, None), (1, "missing", 1, None), (2, "changed", 3, True)]
+
+
+TAKEN = "n_words hit_starts hit_ends hit_items n_hit contaminated lang_pred lang_score lang_set N_LINES n_dropped line_hash host path rule verdict hit u bad shard bucket slot grown_shard record key bytes row_key kept base_failed boilerplate_lines content_share mined says n_boilerplate token node n digest component doc_hash".split()
 
 
 def test_taken_names(spark):
@@ -316,7 +399,8 @@ def test_empty_tables(spark, empty):
     assert language_id.identify(empty, *language_id.train(empty)).count() == 0
     field = quality_rules.train(empty, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality_rules.judge(empty, field).count() == 0
-    assert warc.leaves(warc.lay_out(spark.createDataFrame([], "k long, length long, digest string"), ["k"], carried=("digest",)), "digest").count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filters.filter_urls(pages, spark.createDataFrame([], "url string, bad boolean")).count() == 0
 
 
 def test_pipeline(spark, docs, tmp_path):
@@ -355,7 +439,7 @@ def brute_pipeline(rows, items):
     while any(label[a] != label[b] for a, b in links):
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
-    return {i: t for i, t in cut if label[i] == i and not decontamination.brute_force(t, items)[4]}
+    return {i: t for i, t in cut if label[i] == i and not brute_decontamination(t, items)[4]}
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
