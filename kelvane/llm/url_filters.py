@@ -4,7 +4,8 @@ Labelled URLs become transactions of tokens (host labels, host name parts, path
 more item for their label, bad or good. FP-growth finds the frequent combinations; those are kept as rules that imply
 one of the labels with enough support and more confidence than chance gives: the lower end of the confidence's interval
 lies above the label's share of all labelled URLs, and the confidence reaches ``MIN_LIFT`` times that share. A rule that
-a shorter one of the same label implies, which is at least as strong, goes.
+a shorter one of the same label implies, which is at least as strong, goes; so does one that only holds by the URLs of a
+longer and stronger one of the same label: without them it would not be a rule.
 
 Tokens that stand in exactly the same labelled URLs are mined as one, so that a long path that many URLs share does not
 make every combination of its segments; each rule is then written out for each of the tokens that stand for one.
@@ -90,11 +91,12 @@ def _merged(items: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 
 def _written_out(rules: DataFrame, of: DataFrame) -> DataFrame:
     """Each rule once for each choice among the tokens that are mined as one."""
+    rest = [c for c in rules.columns if c != "tokens"]
     alike = of.groupBy("of").agg(F.array_sort(F.collect_list("token")).alias("same"))
-    sets = rules.select("*", F.explode("tokens").alias("of")).join(alike, "of").groupBy("tokens", "verdict", "confidence", "support", "strength").agg(F.collect_list("same").alias("sets"))
+    sets = rules.select("*", F.explode("tokens").alias("of")).join(alike, "of").groupBy("tokens", *rest).agg(F.collect_list("same").alias("sets"))
     grow = F.aggregate("sets", F.array(F.array().cast("array<string>")), lambda made, same: F.flatten(F.transform(made, lambda m: F.transform(same, lambda t: F.concat(m, F.array(t))))))
-    out = sets.select(F.explode(grow).alias("t"), "verdict", "confidence", "support", "strength")
-    return out.select(F.array_sort("t").alias("tokens"), "verdict", "confidence", "support", "strength").withColumn("rule_id", F.xxhash64("tokens", "verdict"))
+    out = sets.select(F.explode(grow).alias("t"), *rest)
+    return out.select(F.array_sort("t").alias("tokens"), *rest).withColumn("rule_id", F.xxhash64("tokens", "verdict"))
 
 
 def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT, width: float = WIDTH) -> DataFrame:
@@ -107,19 +109,34 @@ def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_supp
         return spark.createDataFrame([], RULE)
     share = {BAD: n_bad / total, GOOD: 1 - n_bad / total}
     merged, of = _merged(items, min_support * total)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min(1.0, min_lift * min(share.values()))).fit(materialise(merged, "merged-items"))
+    rows = materialise(merged, "merged-items")
+    n_rows = rows.count()  # a URL without a frequent token is no transaction, but counts
+    if not n_rows:
+        return spark.createDataFrame([], RULE)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * total / n_rows), minConfidence=min(1.0, min_lift * min(share.values()))).fit(rows)
     found = model.associationRules.withColumn("to", F.element_at("consequent", 1)).where(F.col("to").isin(BAD, GOOD))
     base = F.when(F.col("to") == BAD, share[BAD]).otherwise(share[GOOD])
-    own = F.col("support") * total / F.col("confidence")
-    strength = lowest(F.col("confidence"), own, width) / base
-    kept = found.withColumn("strength", strength).where((F.col("strength") > 1) & (F.col("confidence") >= min_lift * base))
-    kept = kept.select(F.array_sort("antecedent").alias("tokens"), F.when(F.col("to") == BAD, "block").otherwise("allow").alias("verdict"), "confidence", "support", "strength")
+    found = found.withColumns({"base": base, "hits": F.round(F.col("support") * n_rows)})
+    found = found.withColumns({"own": F.round(F.col("hits") / F.col("confidence")), "support": F.col("hits") / total})
+
+    def strength_of(hits: Column, n: Column) -> Column:
+        """Lower end of the confidence's interval over the label's share; null where that makes no rule."""
+        share_ = F.try_divide(hits, n)
+        strength = lowest(share_, n, width) / F.col("base")
+        return F.when((strength > 1) & (share_ >= min_lift * F.col("base")), strength)
+
+    kept = found.withColumn("strength", strength_of(F.col("hits"), F.col("own"))).where("strength IS NOT NULL")
+    kept = kept.select(F.array_sort("antecedent").alias("tokens"), F.when(F.col("to") == BAD, "block").otherwise("allow").alias("verdict"), "confidence", "support", "strength", "base", "hits", "own")
     kept = materialise(_written_out(kept, of), "rules")
     # A rule is implied by a shorter one made of some of its tokens, which need not have a rule of each length between.
     index = _rarest(kept, kept).select(F.col("rule_id").alias("short"), "token", "need", F.col("strength").alias("s"), F.col("verdict").alias("v"))
-    met = kept.select("rule_id", "tokens", "verdict", "strength", F.explode("tokens").alias("token")).join(index, "token")
-    implied = met.where((F.size("need") < F.size("tokens")) & (F.col("s") >= F.col("strength")) & (F.col("v") == F.col("verdict")) & (F.size(F.array_except("need", "tokens")) == 0)).select("rule_id").distinct()
-    return kept.join(implied, "rule_id", "left_anti").select("rule_id", "tokens", "verdict", "confidence", "support", "strength")
+    index = index.join(kept.select(F.col("rule_id").alias("short"), F.col("hits").alias("short_hits"), F.col("own").alias("short_own")), "short")
+    met = kept.select("rule_id", "tokens", "verdict", "strength", "base", "hits", "own", F.explode("tokens").alias("token")).join(index, "token")
+    met = met.where((F.size("need") < F.size("tokens")) & (F.col("v") == F.col("verdict")) & (F.size(F.array_except("need", "tokens")) == 0))
+    implied = F.col("s") >= F.col("strength")
+    met = met.withColumn("left", strength_of(F.col("short_hits") - F.col("hits"), F.col("short_own") - F.col("own")))
+    gone = met.select(F.when(implied, F.col("rule_id")).when(F.col("left").isNull(), F.col("short")).alias("rule_id")).where("rule_id IS NOT NULL").distinct()
+    return kept.join(gone, "rule_id", "left_anti").select("rule_id", "tokens", "verdict", "confidence", "support", "strength")
 
 
 def _rarest(rules: DataFrame, among: DataFrame) -> DataFrame:

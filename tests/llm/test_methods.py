@@ -64,15 +64,27 @@ def brute_rules(rows):
             for c in itertools.combinations(sorted(tokens), n):
                 k = sets.setdefault(c, [0, 0])
                 k[b] += 1
-    out, z = {}, url_filters.WIDTH
+    z, base = url_filters.WIDTH, {"block": bad / total, "allow": 1 - bad / total}
+
+    def strength(hits, n, verdict):
+        p = hits / n if n else 0
+        low = (p + z * z / 2 / n - z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n) if n else 0
+        return low / base[verdict] if low > base[verdict] and p >= url_filters.MIN_LIFT * base[verdict] else None
+
+    out = {}
     for c, k in sets.items():
-        n = sum(k)
-        for b, share, verdict in ((1, bad / total, "block"), (0, 1 - bad / total, "allow")):
-            p = k[b] / n
-            low = (p + z * z / 2 / n - z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
-            if k[b] >= math.ceil(url_filters.MIN_SUPPORT * total) and low > share and p >= url_filters.MIN_LIFT * share:
-                out[c, verdict] = low / share
-    return {k: s for k, s in out.items() if not any(v == k[1] and set(c) < set(k[0]) and t >= s - 1e-12 for (c, v), t in out.items())}
+        for b, verdict in ((1, "block"), (0, "allow")):
+            if k[b] >= math.ceil(url_filters.MIN_SUPPORT * total) and (s := strength(k[b], sum(k), verdict)):
+                out[c, verdict] = s, k[b], sum(k)
+    gone = set()
+    for (c, v), (s, hits, n) in out.items():
+        for (d, w), (t, more, m) in out.items():
+            if v == w and set(c) < set(d):
+                if s >= t:
+                    gone.add((d, w))
+                elif not strength(hits - more, n - m, v):
+                    gone.add((c, v))
+    return {k: x[0] for k, x in out.items() if k not in gone}
 
 
 def test_mined_rules_decide_verdicts(spark, tmp_path):
@@ -86,7 +98,7 @@ def test_mined_rules_decide_verdicts(spark, tmp_path):
         urls.append((i, f"http://{host}.{zone}/{path}/deep/er?{key}=1" if i % 50 else None))
         labels.append((i, 1 - bad, 0))
         if i % 50:
-            rows.append(({f"h={host}", f"h={zone}", f"p={path}", "p=deep", f"q={key}"} , bad))
+            rows.append(({f"h={host}", f"h={zone}", f"p={path}", "p=deep", "p=er", f"q={key}"}, bad))
         else:
             rows.append((set(), bad))
     spark.createDataFrame(urls, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
