@@ -32,8 +32,10 @@ def main(argv: list[str] | None = None) -> int:
         if r.error:
             print(f"{name}: failed: {r.error}")
     compared = methods.comparison(m, results)
-    for r in methods.ranking(compared, k=len(chosen)).collect():
-        print(f"{r['method']}: bandwidth {r['value']:,} ({r['improvement_pct'] or 0:+.1f}%)")
+    for r in methods.summary(compared).collect():
+        print(f"{r['method']}: bandwidth {r['bandwidth']:,} ({r['improvement_pct'] or 0:+.1f}%)")
+    known = methods.findings(compared).first()
+    print(f"{known['improving']} of {known['methods']} methods lower the bandwidth; best: {known['best_method']}")
     if a.output:
         compared.write.mode("overwrite").parquet(a.output)
     return 0

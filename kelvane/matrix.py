@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources.storage import store
+
 
 @dataclass(frozen=True)
 class SparseMatrix:
@@ -30,6 +32,10 @@ class SparseMatrix:
     def square(self) -> bool:
         return self.nrows == self.ncols
 
+    def stored(self) -> "SparseMatrix":
+        """The same with its entries written once, for what reads them more than once."""
+        return self if hasattr(self.entries, "_stored_at") else SparseMatrix(store(self.entries, "entries"), self.nrows, self.ncols, self.name)
+
     def transpose(self) -> "SparseMatrix":
         return SparseMatrix(self.entries.select(F.col("col").alias("row"), F.col("row").alias("col"), "val"), self.ncols, self.nrows, self.name)
 

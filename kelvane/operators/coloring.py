@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
-from ..sources.storage import store
+from ..sources.storage import Growing, discard, store
 from . import graphs
 from .orderings import by_groups
 
@@ -38,7 +38,9 @@ def _peel(first: np.ndarray, to: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def _greedy(strategy: str, seed: int):
+def _greedy(strategy: str):
+    """Colours one component; for a random order, the edges bring their ends' hashes (hsrc, hdst)."""
+
     def run(edges: pd.DataFrame) -> pd.DataFrame:
         ids, at = np.unique(np.concatenate((edges.src, edges.dst)), return_inverse=True)
         a, b = at[: len(edges)], at[len(edges) :]
@@ -50,7 +52,9 @@ def _greedy(strategy: str, seed: int):
         elif strategy == "smallest_last":
             turn = _peel(first, to, ids)
         else:
-            turn = np.random.default_rng(seed).permutation(len(ids))
+            drawn = np.empty(len(ids), np.int64)
+            drawn[a], drawn[b] = edges.hsrc, edges.hdst
+            turn = np.lexsort((ids, drawn))[::-1]
         color = np.full(len(ids), -1)
         for u in turn.tolist():
             used = set(color[to[first[u] : first[u + 1]]].tolist())
@@ -67,28 +71,35 @@ def _rounds(edges: DataFrame, priority: DataFrame) -> DataFrame:
     """Jones-Plassmann: who has no uncoloured neighbour of higher priority takes the least free colour. Equals greedy in that order."""
     two = graphs.both_ways(edges).join(priority.select(F.col("id").alias("src"), F.col("p").alias("ps")), "src").join(priority.select(F.col("id").alias("dst"), F.col("p").alias("pd")), "dst")
     above = store(two.where("pd > ps").select("src", "dst"), "above")  # neighbours that go first
-    done = store(priority.select("id").where("false").withColumn("color", F.lit(0)), "colors")
+    done = Growing(priority.select("id").where("false").withColumn("color", F.lit(0).cast("int")), "colors")
     todo = store(priority.select("id"), "todo")
     while not todo.isEmpty():
         waits = above.join(todo.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-        ready = todo.join(waits, "id", "left_anti")
-        used = ready.join(above, F.col("id") == F.col("src")).join(done.withColumnRenamed("id", "dst"), "dst").groupBy("id").agg(F.collect_set("color").alias("used"))
+        ready = store(todo.join(waits, "id", "left_anti"), "ready")
+        used = ready.join(above, F.col("id") == F.col("src")).join(done.all().withColumnRenamed("id", "dst"), "dst").groupBy("id").agg(F.collect_set("color").alias("used"))
         free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), "used"))
-        new = ready.join(used, "id", "left").select("id", F.when(F.col("used").isNull(), 0).otherwise(free).cast("int").alias("color"))
-        done = store(done.unionByName(new), "colors")
-        todo = store(todo.join(done, "id", "left_anti"), "todo")
-    return done
+        new = store(ready.join(used, "id", "left").select("id", F.when(F.col("used").isNull(), 0).otherwise(free).cast("int").alias("color")), "new")
+        done.append(new)
+        rest = store(todo.join(ready, "id", "left_anti"), "todo")
+        discard(todo, ready, new)
+        todo = rest
+    return done.all()
 
 
 def color(edges: DataFrame, n: int, strategy: str = "largest_first", seed: int = 42, task_edges: int = TASK_EDGES) -> DataFrame:
-    """(id, color) of vertices 0..n-1. Components are coloured apart; isolated vertices get colour 0."""
+    """(id, color) of vertices 0..n-1. Components are coloured apart; isolated vertices get colour 0.
+
+    largest_first and random_sequential (vertices by a seeded hash) give the same colours at every size: small components in a
+    task, larger ones in rounds. smallest_last takes one vertex after the other and is refused for components of more edges.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}; one of {', '.join(STRATEGIES)}")
     edges = store(edges, "graph")
     comp = graphs.components(edges, n)
     own = edges.join(comp, F.col("src") == F.col("id")).select("component", "src", "dst")
     big = store(own.groupBy("component").agg(F.count("*").alias("k")).where(F.col("k") > task_edges).select("component"), "big")
-    found = own.join(big, "component", "left_anti").groupBy("component").applyInPandas(_greedy(strategy, seed), "id long, color int")
+    drawn = [F.xxhash64(F.lit(seed), x).alias(f"h{x}") for x in ("src", "dst")] if strategy == "random_sequential" else []
+    found = own.join(big, "component", "left_anti").select("component", "src", "dst", *drawn).groupBy("component").applyInPandas(_greedy(strategy), "id long, color int")
     if not big.isEmpty():
         if strategy == "smallest_last":
             raise ValueError("smallest_last removes one vertex at a time: its components must fit into a task")

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.histogram import histogram
 from ..matrix import SparseMatrix
-from ..sources.storage import store
+from ..sources.storage import Growing, discard, store
+
+#: Rows of a column of which one task makes the pairs; longer columns are cut into blocks of so many, and blocks meet two by two.
+COLUMN_BLOCK = 2048
+#: Pairs of rows that share a column, over all columns, beyond which no overlap graph is made.
+MAX_PAIRS = 10**13
 
 
 def bipartite(m: SparseMatrix) -> tuple[DataFrame, DataFrame]:
@@ -16,11 +21,27 @@ def bipartite(m: SparseMatrix) -> tuple[DataFrame, DataFrame]:
     return vertices, m.entries.select(F.col("row").alias("src"), (F.col("col") + m.nrows).alias("dst"))
 
 
-def row_overlap(m: SparseMatrix) -> DataFrame:
-    """Edges between rows that share a column. A column of d rows makes d * (d - 1) / 2 of them before they are made distinct."""
-    cells = m.entries.select("col", "row")
-    a, b = cells.withColumnRenamed("row", "src"), cells.withColumnRenamed("row", "dst")
-    return a.join(b, "col").where("src < dst").select("src", "dst").distinct()
+def row_overlap(m: SparseMatrix, block: int = COLUMN_BLOCK, most: int = MAX_PAIRS) -> DataFrame:
+    """Edges between rows that share a column. A column of d rows makes d * (d - 1) / 2 of them before they are made distinct.
+
+    Columns of more than ``block`` rows are cut: a task makes the pairs of two blocks of one column. The number of pairs is
+    known before any is made, and more than ``most`` are refused.
+    """
+    cells = m.stored().entries.select("col", "row")
+    columns = store(cells.groupBy("col").agg(F.count("*").alias("d")).where("d > 1"), "columns")
+    pairs, longest = columns.agg(F.sum(F.col("d").cast("double") * (F.col("d") - 1) / 2), F.max("d")).first()
+    if (pairs or 0) > most:
+        raise ValueError(f"{pairs:.3g} pairs of rows share a column (at most {most:.3g} are made)")
+    cold = cells if (longest or 0) <= block else cells.join(columns.where(F.col("d") > block), "col", "left_anti")
+    a, b = cold.withColumnRenamed("row", "src"), cold.withColumnRenamed("row", "dst")
+    out = a.join(b, "col").where("src < dst").select("src", "dst")
+    if cold is not cells:
+        dealt = cells.join(columns.where(F.col("d") > block).select("col", F.ceil(F.col("d") / block).cast("int").alias("blocks")), "col").withColumn("own", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
+        meets = dealt.select("col", "row", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("col", "row", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        one, two = (meets.where(F.col("own") == F.col(k)).select("col", "lo", "hi", F.col("row").alias(x)) for k, x in (("lo", "x"), ("hi", "y")))
+        met = one.join(two, ["col", "lo", "hi"]).where("lo < hi OR x < y")
+        out = out.unionByName(met.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")))
+    return out.distinct()
 
 
 def pattern_graph(m: SparseMatrix) -> DataFrame:
@@ -64,32 +85,48 @@ def average_clustering(edges: DataFrame, n: int) -> DataFrame:
 
 
 def components(edges: DataFrame, n: int) -> DataFrame:
-    """(id, component), the component's smallest id: labels move along edges, and then jump to their own label's label."""
-    two = store(both_ways(edges), "edges")
-    labels = store(edges.sparkSession.range(n).select("id", F.col("id").alias("component")), "labels")
+    """(id, component), the component's smallest id.
+
+    A round links all larger neighbours of a vertex to its smallest one, then all smaller neighbours to the smallest of them,
+    until every vertex hangs on the smallest of its component. Only links are written, and each round's are deleted after the next.
+    """
+    down = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    links = store(down.distinct(), "links")
     while True:
-        low = two.join(labels, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("component").alias("m"))
-        near = labels.join(low, F.col("id") == F.col("dst"), "left").select("id", F.least("component", F.coalesce("m", "component")).alias("c"), F.col("component").alias("old"))
-        jump = near.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        new = store(near.join(jump, "c").select("id", F.least("c", "cc").alias("component"), "old"), "labels")
-        if new.where("component <> old").isEmpty():
-            return new.select("id", "component")
-        labels = new.select("id", "component")
+        near = both_ways(links)
+        lowest = near.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
+        large = near.join(lowest, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+        least = large.groupBy("src").agg(F.min("dst").alias("low"))
+        small = large.join(least, "src").select(F.explode(F.array(F.struct("src", F.col("low").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")))).alias("link")).select("link.*")
+        new = store(small.where("src <> dst").distinct(), "links")
+        hanging = new.select("src").distinct()
+        done = new.count() == hanging.count() and new.select(F.col("dst").alias("src")).join(hanging, "src", "left_semi").isEmpty()
+        discard(links)
+        links = new
+        if done:
+            break
+    return edges.sparkSession.range(n).join(links, F.col("id") == F.col("src"), "left").select("id", F.coalesce("dst", "id").alias("component"))
 
 
 def bfs(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, id, level) of all that each source (id) reaches, level by level."""
+    """(source, id, level) of all that each source (id) reaches, level by level.
+
+    A neighbour of a level lies in it, in the one before, or in the next one: a round reads two levels and writes one.
+    """
     two = store(both_ways(edges), "edges")
-    seen = store(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("level")), "seen")
-    level = 0
+    front = store(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("level")).distinct(), "front")
+    seen, before, level = Growing(front, "seen"), None, 0
     while True:
-        front = seen.where(F.col("level") == level)
         level += 1
-        new = front.join(two, F.col("id") == F.col("src")).select("source", F.col("dst").alias("id")).distinct().join(seen.select("source", "id"), ["source", "id"], "left_anti")
+        known = front if before is None else front.unionByName(before)
+        new = front.join(two, F.col("id") == F.col("src")).select("source", F.col("dst").alias("id")).distinct().join(known.select("source", "id"), ["source", "id"], "left_anti")
         new = store(new.select("source", "id", F.lit(level).alias("level")), "front")
+        if before is not None:
+            discard(before)
         if new.isEmpty():
-            return seen
-        seen = store(seen.unionByName(new), "seen")
+            return seen.all()
+        seen.append(new)
+        before, front = front, new
 
 
 #: Vertices up to which all pairs' distances are computed.
@@ -107,3 +144,32 @@ def distances(edges: DataFrame, n: int) -> DataFrame:
 
 def degree_histogram(edges: DataFrame, n: int, bins: int = 10) -> DataFrame:
     return histogram(degrees(edges, n), "degree", bins)
+
+
+def properties(edges: DataFrame, n: int, bins: int = 10) -> DataFrame:
+    """One row: size, density, degrees and their histogram, components and, of a connected graph, distances and clustering."""
+    edges = store(edges, "graph")
+    degree, comp = store(degrees(edges, n), "degrees"), store(components(edges, n), "components")
+    sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
+    # A component's size and how many have it: far fewer rows than components.
+    per_size = sizes.groupBy("size").agg(F.count("*").alias("components"))
+    parts = per_size.agg(
+        F.coalesce(F.sum("components"), F.lit(0)).alias("num_components"), F.max("size").alias("largest_component_size"),
+        F.array_sort(F.collect_list(F.struct("size", "components"))).alias("component_sizes"),
+    )
+    spread = degree.agg(*[F.round(f("degree"), 6).alias(f"{x}_degree") for x, f in (("avg", F.avg), ("std", F.stddev_pop))], F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"))
+    hist = histogram(degree, "degree", bins).agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"]).alias("degree_distribution"))
+    tables = [density(edges, n), spread, hist, parts.withColumn("is_connected", F.col("num_components") == 1)]
+    if comp.select("component").distinct().count() == 1 and n <= ALL_PAIRS:
+        tables += [distances(edges, n), average_clustering(edges, n).select("average_clustering")]
+    else:
+        tables.append(edges.sparkSession.range(1).select(F.lit(None).cast("long").alias("diameter"), *[F.lit(None).cast("double").alias(x) for x in ("average_shortest_path", "average_clustering")]))
+    return beside(*tables)
+
+
+def beside(*ones: DataFrame) -> DataFrame:
+    """Tables of one row each as one row: a union of a few rows and one aggregate, no joins."""
+    rows = ones[0]
+    for t in ones[1:]:
+        rows = rows.unionByName(t, allowMissingColumns=True)
+    return rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns])  # each column has one value

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
-from ..sources.storage import store
+from ..sources.storage import Growing, discard, store
 from . import graphs
 from .metrics import counts
+from .numbering import numbered, running
 from .products import spgemm
 
 #: Edges of a component up to which one task orders it; larger ones advance level by level across the cluster.
@@ -18,13 +19,13 @@ TASK_EDGES = 2_000_000
 
 
 def _positions(ids: DataFrame, *keys) -> DataFrame:
-    """Number rows 0.. by keys. The table of rows is one partition here; entries never are."""
-    return ids.select((F.row_number().over(Window.orderBy(*keys)) - 1).cast("long").alias("new_pos"), F.col("row").alias("old_id"))
+    """Number rows 0.. by keys, partition by partition."""
+    return numbered(ids, *keys, name="new_pos").select("new_pos", F.col("row").alias("old_id"))
 
 
 def king(m: SparseMatrix) -> DataFrame:
     """Rows by ascending value sum, then number: what the queue of three least unvisited rows comes to."""
-    return _positions(counts(m), "value_sum", "row")
+    return _positions(counts(m).select("row", "value_sum"), "value_sum", "row")
 
 
 def diagonal(m: SparseMatrix) -> DataFrame:
@@ -65,24 +66,32 @@ def _cuthill_mckee(edges: pd.DataFrame) -> pd.DataFrame:
 
 
 def _by_levels(edges: DataFrame, placed: DataFrame, degree: DataFrame) -> DataFrame:
-    """The same for large components, all at once: a level of each a round. placed: (component, id, pos) of the starts."""
+    """The same for large components, all at once: a level of each a round. placed: (component, id, pos) of the starts.
+
+    A level is numbered across partitions, whatever its size; a round reads the last two levels and writes one.
+    """
     two = store(graphs.both_ways(edges).join(degree.withColumnRenamed("id", "dst"), "dst"), "two")
-    done, front = placed, placed
+    done, front, before = Growing(placed, "placed"), placed, None
+    base = store(placed.groupBy("component").agg((F.max("pos") + 1).alias("base")), "base")
     while True:
         reached = front.join(two, F.col("id") == F.col("src")).groupBy("component", "dst").agg(F.min("pos").alias("parent"), F.first("degree").alias("degree"))
-        reached = reached.join(done.select(F.col("id").alias("dst")), "dst", "left_anti")
-        base = done.groupBy("component").agg((F.max("pos") + 1).alias("base"))
-        place = F.row_number().over(Window.partitionBy("component").orderBy("parent", "degree", "dst")) - 1
-        front = store(reached.join(base, "component").select("component", F.col("dst").alias("id"), (F.col("base") + place).cast("long").alias("pos")), "front")
-        if front.isEmpty():
-            return done
-        done = store(done.unionByName(front), "done")
+        known = front if before is None else front.unionByName(before)
+        reached = reached.join(known.select(F.col("id").alias("dst")), "dst", "left_anti")
+        at = numbered(reached, "component", "parent", "degree", "dst", name="at")
+        starts = at.groupBy("component").agg(F.min("at").alias("start"), F.count("*").alias("n"))
+        new = store(at.join(starts.join(base, "component"), "component").select("component", F.col("dst").alias("id"), (F.col("base") + F.col("at") - F.col("start")).cast("long").alias("pos")), "front")
+        if new.isEmpty():
+            return done.all()
+        done.append(new)
+        next_base = store(new.groupBy("component").agg((F.max("pos") + 1).alias("base")), "base")
+        discard(base, *([] if before is None else [before]))
+        before, front, base = front, new, next_base
 
 
 def reverse_cuthill_mckee(edges: DataFrame, n: int, task_edges: int = TASK_EDGES) -> DataFrame:
     """Components by the least (degree, id) of their vertices, each in Cuthill-McKee order, and all of it reversed."""
     edges = store(edges, "graph")
-    comp, degree = graphs.components(edges, n), store(graphs.degrees(edges, n), "degree")
+    comp, degree = store(graphs.components(edges, n), "components"), store(graphs.degrees(edges, n), "degree")
     start = comp.join(degree, "id").groupBy("component").agg(F.min(F.struct("degree", "id")).alias("s"), F.count("*").alias("size"))
     start = store(start.select("component", "size", F.col("s.degree").alias("degree"), F.col("s.id").alias("id")), "starts")
     own = edges.join(comp, F.col("src") == F.col("id")).select("component", "src", "dst")
@@ -92,8 +101,7 @@ def reverse_cuthill_mckee(edges: DataFrame, n: int, task_edges: int = TASK_EDGES
     parts = small.unionByName(start.where("size = 1").select("component", "id", F.lit(0).cast("long").alias("pos")))
     if not big.isEmpty():
         parts = parts.unionByName(_by_levels(own.join(big, "component", "left_semi"), store(start.join(big, "component").select("component", "id", F.lit(0).cast("long").alias("pos")), "starts"), degree))
-    before = Window.orderBy("degree", "id").rowsBetween(Window.unboundedPreceding, -1)
-    offset = start.select("component", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    offset = running(start.select("component", "size", "degree", "id"), "size", "degree", "id", name="upto").select("component", (F.col("upto") - F.col("size")).alias("before"))
     return parts.join(offset, "component").select((F.lit(n - 1) - F.col("before") - F.col("pos")).cast("long").alias("new_pos"), F.col("id").alias("old_id"))
 
 
@@ -106,5 +114,6 @@ def rcm(m: SparseMatrix) -> DataFrame:
 
 def rcm_both(m: SparseMatrix) -> tuple[DataFrame, DataFrame]:
     """Rows by A A', columns by A' A; a square matrix takes the rows' order for both."""
+    m = m.stored()
     rows = reverse_cuthill_mckee(graphs.pattern_graph(spgemm(m, m.transpose())), m.nrows)
     return (rows, rows) if m.square else (rows, reverse_cuthill_mckee(graphs.row_overlap(m.transpose()), m.ncols))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..matrix import SparseMatrix
 from ..sources.storage import store
 from . import graphs
+from .numbering import numbered
 from .orderings import by_groups
 
 #: Vertices up to which one task works on a dense Laplacian; larger graphs are coarsened first.
@@ -129,10 +130,13 @@ def _in_task(edges: DataFrame, n: int, kernel, schema: str) -> DataFrame:
         raise ValueError(f"{n} vertices are too many for one task (at most {TASK_NODES}): use multilevel")
 
     def run(parts):
-        e = pd.concat([pd.DataFrame({"src": [], "dst": []}, dtype=np.int64), *parts])
+        e = pd.concat(parts)
+        e = e[e.src >= 0]
         yield kernel(_adjacency(np.arange(n), e.src.to_numpy(np.int64), e.dst.to_numpy(np.int64)))
 
-    return edges.select("src", "dst").coalesce(1).mapInPandas(run, schema)
+    # One more row: Spark leaves out the task of a table that it knows to be empty.
+    one = edges.sparkSession.range(1).select(F.lit(-1).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst"))
+    return edges.select("src", "dst").unionByName(one).coalesce(1).mapInPandas(run, schema)
 
 
 def _labels(edges: DataFrame, n: int, f) -> DataFrame:
@@ -140,16 +144,22 @@ def _labels(edges: DataFrame, n: int, f) -> DataFrame:
 
 
 def _coarsen(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
-    """Handshake matching: each vertex proposes its neighbour of highest degree; mutual proposals merge. (map, edges, vertices)."""
+    """Handshake matching: each vertex proposes its neighbour of highest degree; mutual proposals merge. (map, edges, vertices).
+
+    Of the others, those that propose the same vertex merge two by two, so that a star shrinks by half as well.
+    """
     d = graphs.degrees(edges, n)
     two = graphs.both_ways(edges).join(d.select(F.col("id").alias("dst"), "degree"), "dst")
     wish = store(two.groupBy("src").agg(F.max_by("dst", F.struct("degree", F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")))).alias("to")), "wishes")
     back = wish.select(F.col("src").alias("to"), F.col("to").alias("src"))
     match = wish.join(back, ["src", "to"]).select(F.col("src").alias("id"), F.least("src", "to").alias("lead"))
+    match = store(match, "matched")
+    rest = numbered(wish.select("to", "src").join(match.select(F.col("id").alias("src")), "src", "left_anti"), "to", "src", name="turn")
+    turn = rest.join(rest.groupBy("to").agg(F.min("turn").alias("first")), "to").withColumn("pair", F.floor((F.col("turn") - F.col("first")) / 2))
+    pairs = turn.groupBy("to", "pair").agg(F.collect_list("src").alias("ids"))  # two at most
+    match = match.unionByName(pairs.select(F.explode("ids").alias("id"), F.array_min("ids").alias("lead")))
     lead = edges.sparkSession.range(n).join(match, "id", "left").select("id", F.coalesce("lead", "id").alias("lead"))
-    from pyspark.sql import Window
-
-    number = lead.select("lead").distinct().select("lead", (F.row_number().over(Window.orderBy("lead")) - 1).cast("long").alias("coarse"))
+    number = numbered(lead.select("lead").distinct(), "lead", name="coarse")
     mapping = store(lead.join(number, "lead").select("id", "coarse"), "mapping")
     a, b = (mapping.select(F.col("id").alias(k), F.col("coarse").alias("c" + k)) for k in ("src", "dst"))
     up = edges.join(a, "src").join(b, "dst").where("csrc <> cdst").select(F.least("csrc", "cdst").alias("src"), F.greatest("csrc", "cdst").alias("dst")).distinct()
@@ -171,30 +181,59 @@ def refine(edges: DataFrame, parts: DataFrame, rounds: int = 2) -> DataFrame:
 
 
 def multilevel(edges: DataFrame, n: int, k: int = 4, seed: int = 42, most: int | None = None) -> DataFrame:
-    """Coarsen to a graph that fits in a task, split that, and project back through the mappings, refining on each level."""
-    levels, most = [], most or min(TASK_NODES, max(10 * k, 50))
-    edges = store(edges, "graph")
+    """Coarsen to a graph that fits in a task, split that, and project back through the mappings, refining on each level.
+
+    Vertices without an edge are set apart first and dealt to the parts in turn.
+    """
+    most = most or min(TASK_NODES, max(10 * k, 50))
+    edges = store(edges.where("src <> dst"), "graph")
+    linked = store(graphs.both_ways(edges).select(F.col("src").alias("id")).distinct(), "linked")
+    m = linked.count()
+    if m < n:
+        alone = numbered(edges.sparkSession.range(n).join(linked, "id", "left_anti"), "id", name="turn").select("id", F.pmod("turn", F.lit(k)).cast("int").alias("part"))
+        if not m:
+            return alone
+        place = store(numbered(linked, "id", name="place"), "places")
+        a, b = (place.select(F.col("id").alias(x), F.col("place").alias("p" + x)) for x in ("src", "dst"))
+        inner = edges.join(a, "src").join(b, "dst").select(F.col("psrc").alias("src"), F.col("pdst").alias("dst"))
+        parts = _multilevel(store(inner, "graph"), m, k, seed, most)
+        return place.join(parts.select(F.col("id").alias("place"), "part"), "place").select("id", "part").unionByName(alone)
+    return _multilevel(edges, n, k, seed, most)
+
+
+def _multilevel(edges: DataFrame, n: int, k: int, seed: int, most: int) -> DataFrame:
+    """The same for a graph all of whose vertices have an edge: two neighbours at least merge on each level."""
+    levels = []
     while n > most:
         mapping, up, m = _coarsen(edges, n)
         if m > 0.95 * n and n <= TASK_NODES:
             break
-        if m == n:
-            raise ValueError("the graph does not shrink: it has too many isolated vertices")
         levels.append((edges, mapping))
         edges, n = up, m
-    parts = store(_labels(edges, n, lambda a: spectral_labels(a, k, seed)), "parts")
+        if up.isEmpty():  # every component is one vertex by now
+            break
+    if n > TASK_NODES:
+        alone = numbered(edges.sparkSession.range(n), "id", name="turn").select("id", F.pmod("turn", F.lit(k)).cast("int").alias("part"))
+        parts = store(alone, "parts")
+    else:
+        parts = store(_labels(edges, n, lambda a: spectral_labels(a, k, seed)), "parts")
     for fine, mapping in reversed(levels):
         parts = store(mapping.join(parts.withColumnRenamed("id", "coarse"), "coarse").select("id", "part"), "parts")
-        parts = refine(fine, parts)
+        parts = store(refine(fine, parts), "parts")
     return parts
 
 
 def partition(edges: DataFrame, n: int, k: int = 4, method: str = "spectral", seed: int = 42) -> DataFrame:
-    """(id, part) by method; metis stands for Kernighan-Lin bisection of two parts and spectral clustering of more."""
+    """(id, part) by method; metis stands for Kernighan-Lin bisection of two parts and spectral clustering of more.
+
+    All but multilevel work on a dense Laplacian, and refuse graphs of more than ``TASK_NODES`` vertices.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}; one of {', '.join(METHODS)}")
+    if method == "multilevel":
+        return multilevel(edges, n, k, seed)
     if method == "recursive":
         return _labels(edges, n, lambda a: recursive_labels(a, k))
-    if method == "multilevel" or n > TASK_NODES:
-        return multilevel(edges, n, k, seed)
     if method == "metis" and k == 2:
         return _labels(edges, n, lambda a: kernighan_lin(a, seed))
     return _labels(edges, n, lambda a: spectral_labels(a, k, seed))

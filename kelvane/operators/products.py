@@ -25,16 +25,17 @@ def check_length(m: SparseMatrix, x: DataFrame) -> None:
 
 
 def spmv(m: SparseMatrix, x: DataFrame, strategy: str = "shuffle", block: int = 1024) -> DataFrame:
-    """y = A x as (idx, val), for every row.
+    """y = A x as (idx, val), for every row; a vector that does not have one entry per column is refused.
 
-    shuffle: an equi-join on the column and an aggregation by row, any size. broadcast: the same with the vector
+    shuffle: a sort-merge join on the column and an aggregation by row, any size. broadcast: the same with the vector
     sent to all tasks, if its length allows. blocked: rows of a block meet in one task, which adds them by NumPy.
     """
     if strategy not in ("shuffle", "broadcast", "blocked"):
         raise ValueError(f"unknown strategy {strategy}")
+    check_length(m, x)
     v = x.select(F.col("idx").alias("col"), F.col("val").alias("x"))
     small = strategy == "broadcast" and m.ncols <= BROADCAST_ENTRIES
-    joined = m.entries.join(F.broadcast(v) if small else v, "col").select("row", (F.col("val") * F.col("x")).alias("p"))
+    joined = m.entries.join(F.broadcast(v) if small else v.hint("merge"), "col").select("row", (F.col("val") * F.col("x")).alias("p"))
     if strategy != "blocked":
         return _complete(m, joined.groupBy("row").agg(F.sum("p").alias("val")))
 
@@ -50,6 +51,11 @@ def spmv(m: SparseMatrix, x: DataFrame, strategy: str = "shuffle", block: int =
 
 
 def spgemm(a: SparseMatrix, b: SparseMatrix) -> SparseMatrix:
+    """Cells that meet at an inner index are multiplied, and added up before they are shuffled.
+
+    A hot inner index makes (its cells in a) x (its cells in b) products: the product has as many. The join's skew handling
+    (spark.sql.adaptive.skewJoin) deals them to several tasks.
+    """
     if a.ncols != b.nrows:
         raise ValueError("inner sizes differ")
     left = a.entries.select("row", F.col("col").alias("k"), F.col("val").alias("l"))

@@ -57,10 +57,10 @@ BOTH = "two AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
 DEG = "deg AS (SELECT g.i AS id, count(two.src) AS degree FROM (SELECT unnest(range((SELECT nr FROM sh))) AS i) g LEFT JOIN two ON two.src = g.i GROUP BY 1)"
 
 
-def _hist(source: str, bins: int) -> str:
-    """SQL of a histogram over (x)."""
+def _hist(source: str, bins: int | str) -> str:
+    """SQL of a histogram over (x); bins: a number, or SQL for it."""
     return f"""h AS (SELECT x::DOUBLE AS x FROM {source}), b AS (SELECT min(x) AS lo, max(x) AS hi FROM h),
-k AS (SELECT least({bins - 1}, floor(CASE WHEN lo = hi THEN (x - lo + 0.5) * {bins} ELSE (x - lo) * {bins} / (hi - lo) END))::INTEGER AS bin, count(*) AS n FROM h, b GROUP BY 1)
+k AS (SELECT least({bins} - 1, floor(CASE WHEN lo = hi THEN (x - lo + 0.5) * {bins} ELSE (x - lo) * {bins} / (hi - lo) END))::INTEGER AS bin, count(*) AS n FROM h, b GROUP BY 1)
 SELECT g.i::INTEGER AS bin, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range({bins})) AS i) g LEFT JOIN k ON k.bin = g.i"""
 
 
@@ -73,6 +73,31 @@ def _reorderings(spark, d) -> DataFrame:
     return methods.comparison(m, methods.reorder(m, ["king", "diagonal", "block_reverse"]))
 
 
+def _joined(df: DataFrame, *lists: str) -> DataFrame:
+    """Lists as strings, which SQL engines spell alike."""
+    return df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in lists})
+
+
+def _graph_properties(spark, d) -> DataFrame:
+    out = graphs.properties(_edges(spark, d), 25).withColumn("component_sizes", F.transform("component_sizes", lambda x: F.concat_ws("x", x["components"].cast("string"), x["size"].cast("string"))))
+    return _joined(out, "degree_distribution", "component_sizes")
+
+
+def order_part_graph(spark, d) -> tuple[DataFrame, int]:
+    """The bipartite graph of the order-part matrix: thousands of vertices at the smallest scale."""
+    m = order_part(spark, d)
+    return store(graphs.bipartite(m)[1], "bipartite"), m.nrows + m.ncols
+
+
+def _sections(spark, d) -> DataFrame:
+    """What a comprehensive benchmark reports: sections, items and their fields (times themselves differ from run to run)."""
+    m = strong_flow(spark, d).stored()
+    x = spark.range(25).select(F.col("id").alias("idx"), F.lit(1.0).alias("val"))
+    out = methods.comprehensive(m, x, methods.reorder(m, ["king", "diagonal"]), runs=1)
+    rows = [(part, str(k), ",".join(sorted(map(str, v))) if isinstance(v, dict) else "value") for part, items in out.items() for k, v in items.items()]
+    return spark.createDataFrame(rows, "section string, item string, fields string")
+
+
 def _summary(perm: DataFrame) -> DataFrame:
     """What tells that a table is a permutation of 0..n-1."""
     return perm.agg(F.count("*").alias("n"), F.countDistinct("new_pos").alias("positions"), F.countDistinct("old_id").alias("ids"), F.min("new_pos").alias("lo"), F.max("new_pos").alias("hi"))
@@ -130,8 +155,8 @@ def queries():
         **{f"coloring_{k}": (lambda s, d, k=k: coloring.color(_edges(s, d), 25, k)) for k in coloring.STRATEGIES},
         **{f"coloring_valid_{k}": (lambda s, d, k=k: coloring.quality(e := _edges(s, d), coloring.color(e, 25, k)).select("is_valid", "num_nodes")) for k in coloring.STRATEGIES},
         "coloring_quality": lambda s, d: coloring.quality(_edges(s, d), s.range(25).select("id", F.pmod("id", F.lit(7)).cast("int").alias("color"))),
-        "coloring_order": ps(lambda m: _summary(coloring.order(m))), "parallel_coloring": ps(coloring.parallel_groups),
-        "order_rcm": ps(orderings.rcm), "order_rcm_permutation": ps(lambda m: _summary(orderings.rcm(m))), "order_rcm_rect": lambda s, d: orderings.rcm_both(supplier_part(s, d))[0],
+        "coloring_order": ps(coloring.order), "parallel_coloring": ps(coloring.parallel_groups),
+        "order_rcm": ps(orderings.rcm), "order_rcm_permutation": ps(lambda m: _summary(orderings.rcm(m))), "order_rcm_rect": lambda s, d: orderings.rcm_both(supplier_part(s, d))[0], "order_rcm_rect_cols": lambda s, d: orderings.rcm_both(supplier_part(s, d))[1],
         **{f"partition_{k}": (lambda s, d, k=k: partitions.partition(_edges(s, d), 25, 4, k)) for k in partitions.METHODS},
         "partition_kl": lambda s, d: partitions.partition(_edges(s, d), 25, 2, "metis"),
         "partition_order": ps(lambda m: _summary(partitions.order(m))), "nested_dissection": ps(lambda m: _summary(partitions.nested_dissection(m))),
@@ -140,9 +165,37 @@ def queries():
         **{f"gen_{p}": _generated(p) for p in generators.PATTERNS},
         "gen_banded_pattern": lambda s, d: generators.generate(s, 200, 200, 0.05, "banded").entries.select("row", "col"),
         "mtx_roundtrip": _roundtrip,
+        "matrix_structure": ep(lambda m: _joined(metrics.structure(m), "row_distribution", "col_distribution")), "graph_properties": _graph_properties,
+        "row_value_hist": ps(plotdata.value_sum_histogram), "col_value_hist": ps(lambda m: plotdata.value_sum_histogram(m, "col")),
+        "reordering_summary": lambda s, d: methods.summary(_reorderings(s, d)), "reordering_findings": lambda s, d: methods.findings(_reorderings(s, d)), "benchmark_sections": _sections,
+        "bandwidth_evolution": lambda s, d: plotdata.bandwidths({"order_part": order_part(s, d), "supplier_part": supplier_part(s, d), "strong_flow": strong_flow(s, d)}),
+        # Over a graph of thousands of vertices, in which components, levels and coarsening do their work.
+        "order_part_degrees": lambda s, d: graphs.degrees(*order_part_graph(s, d)), "order_part_components": lambda s, d: graphs.components(*order_part_graph(s, d)),
+        "order_part_bfs": lambda s, d: graphs.bfs(order_part_graph(s, d)[0], s.range(3)), "order_part_coloring": lambda s, d: coloring.color(*order_part_graph(s, d)),
+        "order_part_rcm": lambda s, d: orderings.reverse_cuthill_mckee(*order_part_graph(s, d)), "order_part_multilevel": lambda s, d: partitions.multilevel(*order_part_graph(s, d), 4, most=1500),
     }
 
 
+#: Greedy colouring in SQL, one vertex a step; ``ord`` (k from 1, id) is the order.
+GREEDY = """nb AS (SELECT o.k, coalesce(list(p.k) FILTER (p.k < o.k), []) AS ks FROM ord o LEFT JOIN two ON two.src = o.id LEFT JOIN ord p ON p.id = two.dst GROUP BY o.k),
+g(k, cs) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.k + 1, list_append(g.cs, list_min(list_filter(range(26), lambda c: NOT list_contains(list_transform(nb.ks, lambda j: g.cs[j]), c)))) FROM g JOIN nb ON nb.k = g.k + 1),
+colored AS (SELECT ord.id, (SELECT cs FROM g ORDER BY k DESC LIMIT 1)[ord.k]::INTEGER AS color FROM ord)"""
+LARGEST = "ord AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id) AS k FROM deg)"
+#: Vertices by removing one of least remaining degree a step, reversed.
+SMALLEST = """adj AS (SELECT list(ns ORDER BY id) AS a FROM (SELECT deg.id, coalesce(list(two.dst) FILTER (two.dst IS NOT NULL), []) AS ns FROM deg LEFT JOIN two ON two.src = deg.id GROUP BY 1)),
+peel(n, gone) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT n + 1, list_append(gone, list_sort(list_transform(list_filter(range(25), lambda v: NOT list_contains(gone, v)), lambda v: {'d': len(list_filter(a[v + 1], lambda u: NOT list_contains(gone, u))), 'v': v}))[1].v) FROM peel, adj WHERE n < 25),
+ord AS (SELECT (SELECT gone FROM peel WHERE n = 25)[26 - i] AS id, i AS k FROM (SELECT unnest(range(1, 26)) AS i))"""
+#: Cuthill-McKee as a queue, from which one vertex a step puts its new neighbours in; a new component starts where the queue ends.
+CUTHILL = """by_degree AS (SELECT list(id ORDER BY degree, id) AS s FROM deg),
+adj AS (SELECT list(ns ORDER BY id) AS a FROM (SELECT deg.id, coalesce(list(two.dst ORDER BY d.degree, d.id) FILTER (two.dst IS NOT NULL), []) AS ns FROM deg LEFT JOIN two ON two.src = deg.id LEFT JOIN deg d ON d.id = two.dst GROUP BY 1)),
+q(p, qs) AS (SELECT 1, [s[1]] FROM by_degree UNION ALL SELECT p + 1, CASE WHEN len(w) = p AND p < 25 THEN list_append(w, list_filter(s, lambda v: NOT list_contains(w, v))[1]) ELSE w END
+  FROM (SELECT p, s, list_concat(qs, list_filter(a[qs[p] + 1], lambda v: NOT list_contains(qs, v))) AS w FROM q, adj, by_degree WHERE p <= 25)),
+cm AS (SELECT qs FROM q WHERE p = 26)"""
+BIPARTITE = "e AS (SELECT row AS src, col + nr AS dst FROM m, sh)"
+BIDEG = "deg AS (SELECT g.i AS id, count(two.src) AS degree FROM (SELECT unnest(range((SELECT nr + nc FROM sh))) AS i) g LEFT JOIN two ON two.src = g.i GROUP BY 1)"
+PATTERN = "e AS (SELECT DISTINCT least(row, col) AS src, greatest(row, col) AS dst FROM m WHERE row <> col)"
+
+
 def oracle_sql():
     w = lambda *parts: "WITH RECURSIVE " + ", ".join(parts)
     spmv = w(M1, "y AS (SELECT row, sum(val * p_size) AS v FROM m JOIN part ON col = p_partkey GROUP BY 1)") + " SELECT g.i AS idx, coalesce(v, 0)::DOUBLE AS val FROM (SELECT unnest(range((SELECT nr FROM sh))) AS i) g LEFT JOIN y ON y.row = g.i"
@@ -177,7 +230,7 @@ def oracle_sql():
         "row_bandwidth_profile": w(M1, ROWS) + " SELECT row, width::BIGINT AS width FROM r", "row_bandwidth_hist": w(M5, ROWS) + ", " + _hist("(SELECT width AS x FROM r)", 50),
         "row_value_sum": w(M1, ROWS) + " SELECT row, n AS nnz, value_sum FROM r", "col_value_sum": w(M1, COLS) + " SELECT col, n AS nnz, value_sum FROM c",
         "sparsity_grid": w(M5) + " SELECT row * 5 // 25 AS row, col * 5 // 25 AS col, count(*) AS n FROM m GROUP BY 1, 2",
-        "memory_usage": w(M1) + ", k AS (SELECT count(*) AS z FROM m) SELECT 'csr' AS format, (z * 12 + 4 * (nr + 1))::BIGINT AS bytes FROM k, sh UNION ALL SELECT 'csc', (z * 12 + 4 * (nc + 1))::BIGINT FROM k, sh UNION ALL SELECT 'coo', (z * 16)::BIGINT FROM k",
+        "memory_usage": w(M1) + ", k AS (SELECT count(*) AS z FROM m), f AS (SELECT 'csr' AS format, (z * 12 + 4 * (nr + 1))::BIGINT AS bytes FROM k, sh UNION ALL SELECT 'csc', (z * 12 + 4 * (nc + 1))::BIGINT FROM k, sh UNION ALL SELECT 'coo', (z * 16)::BIGINT FROM k UNION ALL SELECT 'dok', NULL) SELECT format, bytes, bytes - (SELECT bytes FROM f WHERE format = 'csr') AS overhead_bytes, CASE WHEN bytes IS NULL THEN 'no arrays' END AS error FROM f",
         "spmv_characteristics": w(M1, ROWS, strides) + f", a AS (SELECT {_axis('r', 'row')} FROM r), x AS (SELECT a.*, st.*, round((SELECT count(*) FROM m) / (nr::DOUBLE * nc), 9) AS density FROM a, st, sh) SELECT *, concat_ws(',', CASE WHEN row_var < 10 THEN 'vectorized' END, CASE WHEN memory_irregularity > 100 THEN 'blocked' END, CASE WHEN density > 0.1 THEN 'dense_optimization' END, CASE WHEN row_avg < 10 THEN 'coo_format' END) AS recommendations FROM x",
         "nation_flow": w(M3) + " SELECT * FROM m",
         "spgemm_rows": w(M2) + " SELECT a.row, b.row AS col, sum(a.val * b.val) AS val FROM m a JOIN m b ON a.col = b.col GROUP BY 1, 2",
@@ -194,7 +247,22 @@ def oracle_sql():
         "diameter_aspl": w(M5, EDGES, BOTH, levels(25)) + " SELECT CASE WHEN count(*) = 625 THEN max(level)::BIGINT END AS diameter, CASE WHEN count(*) = 625 THEN round(sum(level)::DOUBLE / (25 * 24), 6) END AS average_shortest_path FROM bl",
         **{f"coloring_valid_{k}": valid for k in coloring.STRATEGIES},
         "coloring_quality": w(M5, EDGES) + ", z AS (SELECT i % 7 AS c, count(*) AS n FROM (SELECT unnest(range(25)) AS i) GROUP BY 1) SELECT count(*) AS num_colors, sum(n)::BIGINT AS num_nodes, max(n) AS max_size, min(n) AS min_size, round(avg(n), 6) AS avg_size, round(stddev_pop(n), 6) AS color_balance, (SELECT count(*) FROM e WHERE src % 7 = dst % 7) = 0 AS is_valid FROM z",
-        "coloring_order": PERM_25, "order_rcm_permutation": PERM_25, "partition_order": PERM_25, "nested_dissection": PERM_25,
+        "coloring_largest_first": w(M5, EDGES, BOTH, DEG, LARGEST, GREEDY) + " SELECT id, color FROM colored", "coloring_smallest_last": w(M5, EDGES, BOTH, DEG, SMALLEST, GREEDY) + " SELECT id, color FROM colored",
+        "parallel_coloring": w(M5, EDGES, BOTH, DEG, LARGEST, GREEDY) + " SELECT id, color FROM colored",
+        "coloring_order": w(M5, EDGES, BOTH, DEG, LARGEST, GREEDY) + " SELECT row_number() OVER (ORDER BY color, id) - 1 AS new_pos, id AS old_id FROM colored",
+        "order_rcm": w(M5, PATTERN, BOTH, DEG, CUTHILL) + " SELECT 24 - i AS new_pos, qs[i + 1] AS old_id FROM cm, (SELECT unnest(range(25)) AS i)",
+        "matrix_structure": w(M1, ROWS, COLS) + f", a AS (SELECT {_axis('r', 'row')} FROM r), b AS (SELECT {_axis('c', 'col')} FROM c), z AS (SELECT count(*) AS nnz FROM m) SELECT nr AS nrows, nc AS ncols, nnz, round(nnz::DOUBLE / (nr::DOUBLE * nc), 9) AS density, nr = nc AS is_square, "
+        + "a.* EXCLUDE (row_var), b.* EXCLUDE (col_var), " + ", ".join(f"(SELECT string_agg(n::VARCHAR, ',' ORDER BY bin) FROM (WITH {_hist(f'(SELECT n AS x FROM {t})', 10)})) AS {p}_distribution" for t, p in (("r", "row"), ("c", "col"))) + " FROM sh, a, b, z",
+        "graph_properties": w(M5, EDGES, BOTH, DEG, "reach(id, other) AS (SELECT i, i FROM (SELECT unnest(range(25)) AS i) UNION SELECT reach.id, two.dst FROM reach JOIN two ON two.src = reach.other)", "cs AS (SELECT component, count(*) AS size FROM (SELECT id, min(other) AS component FROM reach GROUP BY 1) GROUP BY 1)", levels(25),
+          "far AS (SELECT count(*) = 625 AS whole, max(level)::BIGINT AS d, round(sum(level)::DOUBLE / (25 * 24), 6) AS l FROM bl)", "t AS (SELECT a.src AS id, count(*) // 2 AS t FROM two a JOIN two b ON b.src = a.dst JOIN two c ON c.src = b.dst AND c.dst = a.src GROUP BY 1)")
+        + f" SELECT 25::BIGINT AS nodes, (SELECT count(*) FROM e) AS edges, round((SELECT count(*) FROM e) * 2.0::DOUBLE / (25 * 24), 9) AS density, round(avg(degree), 6) AS avg_degree, round(stddev_pop(degree), 6) AS std_degree, min(degree) AS min_degree, max(degree) AS max_degree, (SELECT string_agg(n::VARCHAR, ',' ORDER BY bin) FROM (WITH {_hist('(SELECT degree AS x FROM deg)', 10)})) AS degree_distribution, (SELECT count(*) FROM cs) AS num_components, (SELECT max(size) FROM cs) AS largest_component_size, (SELECT string_agg(k || 'x' || size, ',' ORDER BY size) FROM (SELECT size, count(*) AS k FROM cs GROUP BY 1)) AS component_sizes, (SELECT count(*) FROM cs) = 1 AS is_connected, (SELECT CASE WHEN whole THEN d END FROM far) AS diameter, (SELECT CASE WHEN whole THEN l END FROM far) AS average_shortest_path, CASE WHEN (SELECT whole FROM far) THEN round(avg(CASE WHEN degree >= 2 THEN coalesce(t, 0) * 2.0::DOUBLE / (degree * (degree - 1)) ELSE 0 END), 6) END AS average_clustering FROM deg LEFT JOIN t USING (id)",
+        "row_value_hist": w(M5, ROWS) + ", " + _hist("(SELECT value_sum AS x FROM r)", "(SELECT least(30, count(DISTINCT value_sum)) FROM r)"), "col_value_hist": w(M5, COLS) + ", " + _hist("(SELECT value_sum AS x FROM c)", "(SELECT least(30, count(DISTINCT value_sum)) FROM c)"),
+        "reordering_summary": w(M5, ROWS, diag, perms, moved, values, compared) + " SELECT method, value AS bandwidth, improvement_pct FROM cmp WHERE metric = 'bandwidth'",
+        "reordering_findings": w(M5, ROWS, diag, perms, moved, values, compared) + ", b AS (SELECT * FROM cmp WHERE metric = 'bandwidth'), t AS (SELECT * FROM b ORDER BY improvement_pct DESC NULLS LAST, value, method DESC LIMIT 1) SELECT (SELECT count(*) FROM b) AS methods, (SELECT count(*) FROM b WHERE improvement_pct > 0) AS improving, method AS best_method, value AS best_bandwidth, improvement_pct AS best_improvement_pct, NULL::BIGINT AS min_colors FROM t",
+        "bandwidth_evolution": "WITH a AS (SELECT max(abs(l_orderkey - l_partkey)) AS b FROM lineitem), s AS (SELECT max(abs(l_suppkey - l_partkey)) AS b FROM lineitem), " + M5 + " SELECT b::BIGINT AS bandwidth, 'order_part' AS name FROM a UNION ALL SELECT b::BIGINT, 'supplier_part' FROM s UNION ALL SELECT max(abs(row - col))::BIGINT, 'strong_flow' FROM m",
+        "order_part_degrees": w(M1, BIPARTITE, BOTH, BIDEG) + " SELECT id, degree FROM deg",
+        "order_part_bfs": w(M1, BIPARTITE, BOTH, levels(3)) + " SELECT source, id, level FROM bl",
+        "order_rcm_permutation": PERM_25, "partition_order": PERM_25, "nested_dissection": PERM_25,
         "partition_quality": w(M5, EDGES) + " SELECT count(*) FILTER (src % 4 <> dst % 4) AS edge_cut, round(count(*) FILTER (src % 4 <> dst % 4)::DOUBLE / count(*), 6) AS cut_ratio, 4::BIGINT AS num_partitions, 7::BIGINT AS max_size, 6::BIGINT AS min_size, round(sqrt(0.1875::DOUBLE) / 6.25, 6) AS balance, (SELECT count(*) FROM m WHERE row % 4 <> col % 4) AS communication_volume FROM e",
         "comm_volume": w(M5) + " SELECT count(*) AS communication_volume FROM m WHERE row % 4 <> col % 4",
         "compare_reorderings": w(M5, ROWS, diag, perms, moved, values, compared) + " SELECT * FROM cmp",

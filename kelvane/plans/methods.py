@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
 from ..operators import coloring, metrics, orderings, partitions, products
+from ..operators.graphs import beside
 from ..sources.storage import store
 
 Method = Callable[[SparseMatrix], tuple[DataFrame | None, DataFrame | None]]
@@ -59,7 +60,7 @@ class Reordering:
 
 def reorder(m: SparseMatrix, chosen: list[str] | None = None) -> dict[str, Reordering]:
     """Each method's result, or its error. The permutations are written here, so that an error belongs to its method."""
-    chosen = ["largest_first", "rcm", "king", "diagonal"] if chosen is None else chosen
+    chosen, m = ["largest_first", "rcm", "king", "diagonal"] if chosen is None else chosen, m.stored()
     if unknown := [x for x in chosen if x not in _methods]:
         raise ValueError(f"unknown methods {unknown}; known: {names()}")
     out = {}
@@ -79,6 +80,28 @@ def comparison(m: SparseMatrix, results: dict[str, Reordering]) -> DataFrame:
     return metrics.compare(m, {k: r.matrix for k, r in results.items() if r.error is None})
 
 
+def summary(compared: DataFrame) -> DataFrame:
+    """(method, bandwidth, improvement_pct), best first."""
+    own = compared.where(F.col("metric") == "bandwidth").select("method", F.col("value").alias("bandwidth"), "improvement_pct")
+    return own.orderBy(F.col("improvement_pct").desc_nulls_last(), "method")
+
+
+def findings(compared: DataFrame, colors: dict[str, DataFrame] | None = None) -> DataFrame:
+    """How many methods lower the bandwidth, of how many; the best one's name and gain; and the fewest colours (null without colourings).
+
+    colors: tables as ``coloring.quality`` gives them, by strategy.
+    """
+    own = compared.where(F.col("metric") == "bandwidth")
+    best = F.max_by(F.struct("method", "value", "improvement_pct"), F.struct("improvement_pct", F.col("value") * -1, "method"))
+    one = own.agg(F.count("*").alias("methods"), F.count_if(F.col("improvement_pct") > 0).alias("improving"), best.alias("best"))
+    one = one.select("methods", "improving", F.col("best.method").alias("best_method"), F.col("best.value").alias("best_bandwidth"), F.col("best.improvement_pct").alias("best_improvement_pct"))
+    few = None
+    for q in (colors or {}).values():
+        few = q.select("num_colors") if few is None else few.unionByName(q.select("num_colors"))
+    fewest = one.sparkSession.range(1).select(F.lit(None).cast("long").alias("min_colors")) if few is None else few.agg(F.min("num_colors").alias("min_colors"))
+    return beside(one, fewest)
+
+
 def ranking(compared: DataFrame, metric: str = "bandwidth", k: int = 3) -> DataFrame:
     """The k methods that improve a metric most."""
     return compared.where(F.col("metric") == metric).orderBy(F.col("improvement_pct").desc_nulls_last(), "method").limit(k)
@@ -113,7 +136,7 @@ def benchmark_layouts(m: SparseMatrix, x: DataFrame, layouts=("csr", "csc", "coo
         try:
             laid = store(m.entries if name == "coo" else m.layout({"csr": "row", "csc": "col"}[name]), name)
             one = next(iter(benchmark_spmv(SparseMatrix(laid, m.nrows, m.ncols), x, ("shuffle",), 1, runs).values()))
-            out[name] = one | {"memory_mb": dict(metrics.memory_usage(m).collect())[name] / 1e6}
+            out[name] = one | {"memory_mb": {r["format"]: r["bytes"] for r in metrics.memory_usage(m).collect()}[name] / 1e6}
         except Exception as e:
             out[name] = {"error": str(e)}
     return out
@@ -169,6 +192,13 @@ def load_results(path: str) -> dict:
         return json.load(f)
 
 
+def write_report(results: dict, path: str = "benchmark_report.txt") -> str:
+    """The report as a text file; gives its path."""
+    with open(path, "w") as f:
+        f.write(report(results))
+    return path
+
+
 def report(results: dict) -> str:
     """Text of a comprehensive result; error entries are left out."""
     lines = ["SpMV benchmark report"]

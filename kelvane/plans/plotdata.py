@@ -28,7 +28,7 @@ def side_by_side(matrices: dict[str, SparseMatrix], of=sparsity) -> DataFrame:
 
 
 def bandwidths(matrices: dict[str, SparseMatrix]) -> DataFrame:
-    return side_by_side(matrices, metrics.bandwidth)
+    return metrics.measures(matrices).select("bandwidth", F.col("method").alias("name"))
 
 
 def row_widths(m: SparseMatrix) -> DataFrame:
@@ -42,3 +42,42 @@ def row_width_histogram(m: SparseMatrix, bins: int = 50) -> DataFrame:
 def nonzeros(m: SparseMatrix, axis: str = "row") -> DataFrame:
     """Entries and value sums of rows or columns."""
     return metrics.counts(m, axis).select(axis, F.col("n").alias("nnz"), "value_sum")
+
+
+def value_sum_histogram(m: SparseMatrix, axis: str = "row", most: int = 30) -> DataFrame:
+    """Histogram of the value sums of rows or columns, of as many bins as there are distinct sums, ``most`` at most."""
+    sums = metrics.counts(m, axis).select("value_sum")
+    distinct = sums.distinct().limit(most).count()
+    return histogram(sums, "value_sum", max(1, distinct))
+
+
+#: Matrices that are looked at one by one.
+DETAILED = 3
+
+
+def comprehensive(matrices: dict[str, SparseMatrix], bins: int | None = None) -> dict[str, DataFrame]:
+    """The tables behind the plots of several matrices: patterns and bandwidths of all, and details of the first three.
+
+    A matrix whose details fail has none; the rest is there.
+    """
+    matrices = {k: m.stored() for k, m in matrices.items()}
+    out = {"sparsity_comparison": side_by_side(matrices, lambda m: sparsity(m, bins)), "bandwidth_evolution": bandwidths(matrices)}
+    for name, m in list(matrices.items())[:DETAILED]:
+        stem = name.lower().replace(" ", "_").replace("-", "_")
+        for kind, make in (("bandwidth_profile", row_widths), ("nnz_distribution", _distribution)):
+            try:
+                out[f"{stem}_{kind}"] = make(m)
+            except Exception:  # the same as for a plot: one that fails is left out
+                continue
+    return out
+
+
+def _distribution(m: SparseMatrix) -> DataFrame:
+    """(axis, bin, n) of the value sums of rows and of columns."""
+    return value_sum_histogram(m).withColumn("axis", F.lit("row")).unionByName(value_sum_histogram(m, "col").withColumn("axis", F.lit("col")))
+
+
+def report(original: SparseMatrix, reordered: dict[str, SparseMatrix], bins: int | None = None) -> dict[str, DataFrame]:
+    """Patterns and bandwidths of a matrix and of its reorderings."""
+    matrices = {"Original": original, **reordered}
+    return {"sparsity_comparison": side_by_side(matrices, lambda m: sparsity(m, bins)), "bandwidth_comparison": bandwidths(matrices)}

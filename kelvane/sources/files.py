@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import io
 import os
+import shutil
+import tarfile
+import urllib.request
 
 import numpy as np
 import pandas as pd
@@ -118,6 +121,41 @@ def save(m: SparseMatrix, path: str) -> str:
     return path
 
 
+def unpack(archive: str, folder: str) -> str:
+    """The first Matrix Market file of a ``.tar.gz`` archive, written to ``folder`` under the archive's name; gives its path.
+
+    A file that is there already is taken as it is. Only that one member's bytes are read, whatever its path in the archive.
+    """
+    name = os.path.basename(archive).removesuffix(".tar.gz").removesuffix(".tgz")
+    path = os.path.join(folder, name + ".mtx")
+    if os.path.exists(path):
+        return path
+    with tarfile.open(archive, "r:gz") as tar:
+        for member in tar:
+            if member.isfile() and member.name.endswith(".mtx"):
+                os.makedirs(folder, exist_ok=True)
+                with open(path + ".part", "wb") as out:
+                    shutil.copyfileobj(tar.extractfile(member), out)
+                os.replace(path + ".part", path)
+                return path
+    raise ValueError(f"{archive}: no Matrix Market file in it")
+
+
+def downloader(base_url: str, folder: str):
+    """A ``fetch`` for :func:`load`: gets ``base_url`` + name + ``.tar.gz`` (any scheme, file:// as well) and unpacks it."""
+
+    def fetch(name: str) -> str:
+        path = os.path.join(folder, name + ".mtx")
+        if not os.path.exists(path):
+            os.makedirs(folder, exist_ok=True)
+            archive = os.path.join(folder, name + ".tar.gz")
+            urllib.request.urlretrieve(f"{base_url}{name}.tar.gz", archive)
+            path = unpack(archive, folder)
+        return path
+
+    return fetch
+
+
 def available(folder: str) -> list[str]:
     """Names of the matrices in a folder; none if there is no folder."""
     return sorted({os.path.splitext(f)[0] for f in os.listdir(folder) if f.endswith(EXTENSIONS)}) if os.path.isdir(folder) else []

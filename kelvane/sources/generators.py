@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
+from .storage import store
 
 PATTERNS = ("random", "block_diagonal", "random_blocks", "banded")
 
@@ -26,7 +27,23 @@ def _cells(spark: SparkSession, rows: int, cols: int, density: float, seed: int)
     else:  # enough draws that their distinct cells surely suffice
         draws = int(k * (1 + k / size) + 10 * math.sqrt(k) + 20) * 2
         drawn = spark.range(draws).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(size)).alias("cell")).distinct()
-    return drawn.orderBy(F.xxhash64(F.lit(seed + 1), "cell"), "cell").limit(k).select(F.floor(F.col("cell") / cols).cast("long").alias("row"), F.pmod("cell", F.lit(cols)).alias("col"))
+    chosen = least(drawn.withColumn("h", F.xxhash64(F.lit(seed + 1), "cell")), k, "h", "cell")
+    return chosen.select(F.floor(F.col("cell") / cols).cast("long").alias("row"), F.pmod("cell", F.lit(cols)).alias("col"))
+
+
+def least(rows: DataFrame, k: int, hash_: str, tie: str) -> DataFrame:
+    """The k rows of the least hashes (64 bits): all below a slice of 1/65536 of the hashes, and of that slice the first ones."""
+    rows = store(rows.withColumn("slice", F.shiftright(hash_, 48)), "draws")
+    below, edge = 0, None
+    for r in rows.groupBy("slice").agg(F.count("*").alias("n")).orderBy("slice").collect():  # 65536 rows at most
+        if below + r["n"] >= k:
+            edge = r["slice"]
+            break
+        below += r["n"]
+    if edge is None:
+        return rows.drop("slice")
+    rest = rows.where(F.col("slice") == edge).orderBy(hash_, tie).limit(k - below)
+    return rows.where(F.col("slice") < edge).unionByName(rest).drop("slice")
 
 
 def generate(spark: SparkSession, rows: int, cols: int, density: float, pattern: str = "random", block: int = 10, seed: int = 42) -> SparseMatrix:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 _own: str | None = None
 
@@ -26,4 +27,31 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write and read again, so that loops do not grow a lineage."""
     path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`store` wrote, once no plan reads it any more; other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Growing:
+    """A table that a loop appends to: each round writes its own rows only."""
+
+    def __init__(self, first: DataFrame, name: str):
+        self.spark, self.schema = first.sparkSession, StructType(first.schema.fields)
+        self.path = f"{root(self.spark)}/{name}-{uuid.uuid4().hex}"
+        first.write.parquet(self.path)
+
+    def append(self, rows: DataFrame) -> None:
+        rows.select(*self.schema.names).write.mode("append").parquet(self.path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)

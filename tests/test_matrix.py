@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 
 from kelvane.matrix import SparseMatrix
-from kelvane.operators import coloring, graphs, metrics, orderings, partitions, products
-from kelvane.plans import methods
+from kelvane.operators import coloring, graphs, metrics, numbering, orderings, partitions, products
+from kelvane.plans import methods, plotdata
 from kelvane.sources import files, generators
 
 MX1 = [[1, 0, 2, 0], [0, 3, 0, 4], [5, 0, 6, 0], [0, 7, 0, 8]]
@@ -44,6 +44,19 @@ def test_spmv_length(spark):
     x = spark.createDataFrame([(0, 1.0)], "idx long, val double")
     with pytest.raises(ValueError):
         products.check_length(make(spark, MX1), x)
+    three = spark.createDataFrame([(i, 1.0) for i in range(3)], "idx long, val double")
+    twice = spark.createDataFrame([(i, 1.0) for i in (0, 1, 1, 4)], "idx long, val double")
+    for strategy in ("shuffle", "broadcast", "blocked"):
+        for v in (three, twice):
+            with pytest.raises(ValueError):
+                products.spmv(make(spark, np.eye(5)), v, strategy)
+
+
+def test_spmv_joins(spark):
+    """Each form makes the join that it is named after."""
+    x = spark.createDataFrame([(i, 1.0) for i in range(4)], "idx long, val double")
+    kinds = {s: products.spmv(make(spark, MX1), x, s)._jdf.queryExecution().executedPlan().toString() for s in ("shuffle", "broadcast", "blocked")}
+    assert "SortMergeJoin [col" in kinds["shuffle"] and "SortMergeJoin [col" in kinds["blocked"] and "SortMergeJoin [col" not in kinds["broadcast"]
 
 
 @pytest.mark.parametrize("a,width,profile", [(MX1, 2, 8), (MX2, 2, 7), (tri(5), 1, 9)])
@@ -91,6 +104,118 @@ def test_rounds_equal_the_kernel(spark):
     assert one == {tuple(r) for r in coloring.color(e, 30, task_edges=0).collect()}
 
 
+def test_one_order_at_every_size(spark, monkeypatch):
+    """What a method gives does not change with the graph's size; where it cannot go on it says so."""
+    a = (np.random.default_rng(2).random((30, 30)) < 0.08).astype(float)
+    e = graphs.row_overlap(make(spark, a))
+    for s in ("largest_first", "random_sequential"):
+        assert {tuple(r) for r in coloring.color(e, 30, s, seed=5).collect()} == {tuple(r) for r in coloring.color(e, 30, s, seed=5, task_edges=0).collect()}
+    with pytest.raises(ValueError):
+        coloring.color(e, 30, "smallest_last", task_edges=0)
+    monkeypatch.setattr(partitions, "TASK_NODES", 29)
+    for method in ("spectral", "metis", "recursive"):
+        with pytest.raises(ValueError):
+            partitions.partition(e, 30, 4, method)
+    assert partitions.partition(e, 30, 4, "multilevel").count() == 30
+    monkeypatch.setattr(partitions, "TASK_NODES", 30)
+    for method in partitions.METHODS:
+        assert partitions.partition(e, 30, 4, method).count() == 30
+    with pytest.raises(ValueError):
+        partitions.partition(e, 30, 4, "odd")
+
+
+def test_numbering(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(k), i, int(v)) for i, (k, v) in enumerate(r.integers(0, 9, (500, 2)))]
+    df = spark.createDataFrame(rows, "part int, place int, n int").repartition(7)
+    want = sorted(rows)
+    assert sorted((x["number"], x["part"], x["place"]) for x in numbering.numbered(df, "part", "place").collect()) == [(k, a, b) for k, (a, b, _) in enumerate(want)]
+    sums = np.cumsum([n for _, _, n in want[::-1]]).tolist()
+    got = numbering.running(df, "n", df["part"].desc(), df["place"].desc()).collect()
+    assert [x["sum"] for x in sorted(got, key=lambda x: (-x["part"], -x["place"]))] == sums
+    assert numbering.numbered(df.where("n > 99"), "part", "place").count() == 0
+
+
+def test_hot_columns(spark):
+    """A column of many rows is paired block by block; too many pairs are refused before any is made."""
+    a = (np.random.default_rng(6).random((40, 12)) < 0.15).astype(float)
+    a[:, 3] = a[:33, 5] = 1
+    m = make(spark, a)
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if (a[i] * a[j]).any()}
+    for block in (3, 7, 2048):
+        assert {tuple(r) for r in graphs.row_overlap(m, block).collect()} == want
+    with pytest.raises(ValueError):
+        graphs.row_overlap(m, most=700)
+
+
+def test_components_and_levels(spark):
+    r = np.random.default_rng(7)
+    pairs = {(int(min(x)), int(max(x))) for x in r.integers(0, 300, (220, 2)) if x[0] != x[1]} | {(k, k + 1) for k in range(300, 360)}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    near = {i: set() for i in range(370)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+
+    def reach(s):
+        level, front = {s: 0}, [s]
+        while front:
+            front = list({v for u in front for v in near[u] if v not in level})
+            level |= dict.fromkeys(front, max(level.values()) + 1)
+        return level
+
+    assert {x["id"]: x["component"] for x in graphs.components(e, 370).collect()} == {i: min(reach(i)) for i in range(370)}
+    got = graphs.bfs(e, spark.createDataFrame([(0,), (330,)], "id long")).collect()
+    assert {(x["source"], x["id"]): x["level"] for x in got} == {(s, i): k for s in (0, 330) for i, k in reach(s).items()} and len(got) == len(reach(0)) + len(reach(330))
+    one = graphs.properties(e, 370).first()
+    assert not one["is_connected"] and one["num_components"] == len({min(reach(i)) for i in range(370)}) and one["diameter"] is None
+    assert sum(x["components"] * x["size"] for x in one["component_sizes"]) == 370
+    parts = {x["id"]: x["part"] for x in partitions.partition(e, 370, 3, "multilevel").collect()}
+    assert len(parts) == 370 and set(parts.values()) == {0, 1, 2}
+
+
+def test_structure_and_symmetry(spark):
+    for a, symmetric in ((tri(6), True), (MX1, False), (MX2, True), (np.diag([1.0, 0, 2]), True), (tri(6) + np.triu(tri(6)), False)):
+        a = np.array(a, float)
+        assert metrics.matrix_properties(make(spark, a)).first()["is_symmetric"] == symmetric == bool((a == a.T).all())
+    a = (np.random.default_rng(9).random((30, 20)) < 0.1).astype(float)
+    r, n = metrics.structure(make(spark, a)).first(), (a != 0).sum(axis=1)
+    assert (r["row_avg"], r["row_std"], r["row_min"], r["row_max"], r["row_empty"]) == (round(n.mean(), 6), round(n.std(), 6), n.min(), n.max(), (n == 0).sum())
+    assert r["row_distribution"] == np.histogram(n, 10)[0].tolist() and r["density"] == round(a.sum() / 600, 9)
+    use = {x["format"]: x for x in metrics.memory_usage(make(spark, MX1)).collect()}
+    assert use["csr"]["overhead_bytes"] == 0 and use["coo"]["overhead_bytes"] == 128 - use["csr"]["bytes"] and use["dok"]["error"]
+    sums = plotdata.value_sum_histogram(make(spark, MX1)).collect()
+    assert [x["n"] for x in sorted(sums)] == np.histogram(np.array(MX1).sum(axis=1), 4)[0].tolist()
+    tables = plotdata.comprehensive({"A b": make(spark, MX1), "c": make(spark, MX2)})
+    assert set(tables) == {"sparsity_comparison", "bandwidth_evolution", "a_b_bandwidth_profile", "a_b_nnz_distribution", "c_bandwidth_profile", "c_nnz_distribution"}
+    assert {(x["name"], x["bandwidth"]) for x in tables["bandwidth_evolution"].collect()} == {("A b", 2), ("c", 2)}
+    assert plotdata.report(make(spark, MX1), {"x": make(spark, MX2)})["sparsity_comparison"].count() == 17
+
+
+def test_least_hashes(spark):
+    rows = [(int(h), i) for i, h in enumerate(np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 400))] + [(5, 1000 + i) for i in range(50)]
+    df = spark.createDataFrame(rows, "h long, cell long")
+    for k in (0, 1, 190, 225, 450, 999):
+        assert sorted((x["h"], x["cell"]) for x in generators.least(df, k, "h", "cell").collect()) == sorted(rows)[:k]
+
+
+def test_archives(spark, tmp_path):
+    import tarfile
+
+    (tmp_path / "in").mkdir()
+    files.save(make(spark, MX1), str(tmp_path / "in" / "x.mtx"))
+    (tmp_path / "in" / "readme.txt").write_text("text")
+    with tarfile.open(tmp_path / "some.tar.gz", "w:gz") as tar:
+        tar.add(tmp_path / "in" / "readme.txt", "some/readme.txt")
+        tar.add(tmp_path / "in" / "x.mtx", "../../some/x.mtx")
+    m = files.load(spark, "some", str(tmp_path / "none"), files.downloader(f"file://{tmp_path}/", str(tmp_path / "got")))
+    assert np.array_equal(dense(m), np.array(MX1)) and files.available(str(tmp_path / "got")) == ["some"]
+    with tarfile.open(tmp_path / "bare.tar.gz", "w:gz") as tar:
+        tar.add(tmp_path / "in" / "readme.txt", "readme.txt")
+    with pytest.raises(ValueError):
+        files.unpack(str(tmp_path / "bare.tar.gz"), str(tmp_path / "got"))
+
+
 def test_rcm(spark):
     a = np.eye(12)
     p = np.random.default_rng(3).permutation(12)
@@ -232,6 +357,8 @@ def test_methods(spark, tmp_path):
     assert r["fails"].error and r["king"].error is None
     top = methods.ranking(methods.comparison(m, r)).first()
     assert top["method"] == "king"
+    known = methods.findings(methods.comparison(m, r), {"a": coloring.quality(e := graphs.row_overlap(m), coloring.color(e, 12))}).first()
+    assert (known["methods"], known["improving"], known["best_method"], known["min_colors"]) == (1, int((top["improvement_pct"] or 0) > 0), "king", 3)
     with pytest.raises(ValueError):
         methods.reorder(m, ["no such"])
     x = spark.range(12).selectExpr("id AS idx", "1.0D AS val")
@@ -239,4 +366,5 @@ def test_methods(spark, tmp_path):
     assert out["shuffle"]["avg_time_ms"] > 0 and "error" in out["odd"]
     methods.save_results(out, str(tmp_path / "r.json"))
     assert methods.load_results(str(tmp_path / "r.json")).keys() == out.keys()
+    assert "shuffle" in open(methods.write_report({"method_comparison": out}, str(tmp_path / "r.txt"))).read()
     assert "shuffle" in methods.report({"method_comparison": out}) and "odd" not in methods.report({"method_comparison": out})
