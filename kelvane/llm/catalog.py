@@ -17,8 +17,18 @@ def queries():
         "op8_decontamination": decontamination.query,
         "op9_warc_fixity": warc.query,
         "op10_suffix_dedup": suffix_dedup.query,
+        # Parts of two of them that SQL can tell.
+        "quality_base_counts": quality_rules.base_query,
+        "url_given_rules": url_filters.rules_query,
     }
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.ORACLE, "op9_warc_fixity": warc.ORACLE}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE,
+        "op6_jaccard_join": jaccard_join.ORACLE,
+        "op8_decontamination": decontamination.ORACLE,
+        "op9_warc_fixity": warc.ORACLE,
+        "quality_base_counts": quality_rules.BASE_ORACLE,
+        "url_given_rules": url_filters.RULES_ORACLE,
+    }

@@ -292,3 +292,21 @@ def query(spark, sf_dir: str) -> DataFrame:
     field = train(docs, table(spark, sf_dir, "labels"))
     out = judge(docs.select("doc_id", "text"), field)
     return out.withColumn("n_boilerplate_lines", F.size("boilerplate_lines").cast("long")).drop("text", "boilerplate_lines")
+
+
+def base_query(spark, sf_dir: str) -> DataFrame:
+    """The base counts alone, which need no field."""
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), Field.neutral()).select("doc_id", *COUNTS, "base_failed")
+
+
+BASE_ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS k FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+win AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+again AS (SELECT r, i FROM win JOIN (SELECT r, s FROM win GROUP BY 1, 2 HAVING count(*) > 1) USING (r, s)),
+rep AS (SELECT r, count(*) AS k FROM (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS at FROM again) GROUP BY 1),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+      coalesce(dup.k, 0)::BIGINT AS n_dup_lines, coalesce(rep.k, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""

@@ -173,3 +173,25 @@ def query(spark, sf_dir: str) -> DataFrame:
     known = labels.groupBy("doc_id").agg((F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)) == 1).alias("bad"))
     labelled = pages.join(known, pages.page_id == known.doc_id).select("url", "bad")
     return filter_urls(pages, labelled).select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
+def rules_query(spark, sf_dir: str) -> DataFrame:
+    """Host, path and the given rule of every page."""
+    host, path = host_and_path(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    return pages.withColumn("rule", matching_rule(F.col("host"), F.col("path")))
+
+
+def _rules_sql() -> str:
+    fits = []
+    for _, rule in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
+        name, _, rest = rule.partition("/")
+        fits.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN '{rule}'")
+    pattern = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
+    return f"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), {pattern}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), {pattern}, 2) AS path FROM pages)
+SELECT *, CASE {' '.join(fits)} END AS rule FROM p
+"""
+
+
+RULES_ORACLE = _rules_sql()
