@@ -172,7 +172,7 @@ def queries():
         # Over a graph of thousands of vertices, in which components, levels and coarsening do their work.
         "order_part_degrees": lambda s, d: graphs.degrees(*order_part_graph(s, d)), "order_part_components": lambda s, d: graphs.components(*order_part_graph(s, d)),
         "order_part_bfs": lambda s, d: graphs.bfs(order_part_graph(s, d)[0], s.range(3)), "order_part_coloring": lambda s, d: coloring.color(*order_part_graph(s, d)),
-        "order_part_rcm": lambda s, d: orderings.reverse_cuthill_mckee(*order_part_graph(s, d)), "order_part_multilevel": lambda s, d: partitions.multilevel(*order_part_graph(s, d), 4, most=1500),
+        "order_part_rcm": lambda s, d: orderings.reverse_cuthill_mckee(*order_part_graph(s, d)),
     }
 
 
