@@ -41,6 +41,9 @@ GRAM = 24
 HOT = 20_000
 #: Ids of equal texts up to which they are sent to the tasks, to be left out early (8 bytes each).
 SKIP_IDS = 4_000_000
+#: Rows of a text from which its copies find their first row by a broadcast instead of in one task, and one in so many of
+#: all rows at least: no more texts than this second number can have so many.
+HOT_COPIES, HOT_SHARE = 500, 5_000
 #: Bytes of stretches that a task gathers before it folds equal ones.
 FOLD_BYTES = 24 << 20
 _POS = 20
@@ -386,8 +389,11 @@ def _cut(batches):
                 a, b = v.field("lo").to_numpy(), v.field("hi").to_numpy()
                 order = np.argsort(a, kind="stable")
                 a, b = a[order], np.maximum.accumulate(b[order])
-                new = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
-                a, b = a[new], b[np.r_[new[1:] - 1, len(b) - 1]]
+                a, b = np.minimum(a, len(text)), np.minimum(b, len(text))  # of another text with this id
+                a, b = a[a < b], b[a < b]
+                if len(a):
+                    new = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
+                    a, b = a[new], b[np.r_[new[1:] - 1, len(b) - 1]]
             h = hashlib.sha256()
             at = 0
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
@@ -404,13 +410,28 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(digest, pa.string()), pa.array(out_lo, kind), pa.array(out_hi, kind)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "cut_starts", "cut_ends"])
 
 
+def _copies(meta: DataFrame, rows: int, hot: int = HOT_COPIES) -> DataFrame:
+    """(doc_id, n) of the documents whose text an id before theirs has; meta: (doc_id, digest, n) of ``rows`` rows.
+
+    An id with several texts is no copy as a whole, and is left to the search. The rows of a text with very many copies
+    stay where they are: there are few such texts.
+    """
+    firsts = materialise(meta.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1"), "firsts")
+    many = F.col("k") > max(hot, rows // HOT_SHARE)
+    frequent = firsts.where(many).select("digest", "first")  # fewer than HOT_SHARE rows
+    near = meta.join(F.broadcast(frequent), "digest")
+    rest = meta.join(F.broadcast(frequent.select("digest")), "digest", "left_anti").join(firsts.where(~many).select("digest", "first"), "digest")
+    later = near.select("doc_id", "n", "first").unionByName(rest.select("doc_id", "n", "first")).where("doc_id > first").select("doc_id", "n").distinct()
+    several = meta.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
+    return later.join(several, "doc_id", "left_anti")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: n_bytes, n_removed, n_spans, kept_sha256, and the spans cut (cut_starts, cut_ends)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
     meta = materialise(known.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n")), "digests")
-    firsts = meta.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("k")).where("k > 1")
-    copies = materialise(meta.where(F.col("n") >= length).join(firsts, "digest").where("doc_id > first").select("doc_id", "n"), "copies")
+    copies = materialise(_copies(meta.where(F.col("n") >= length), meta.count()), "copies")
     few = copies.count() <= SKIP_IDS
     skip = np.unique(np.array(copies.select("doc_id").toArrow().column(0).to_numpy(), np.int64)) if few else np.empty(0, np.int64)
     keys = known.mapInArrow(_keys(length, gram, skip), "key long, doc_id long, n int").repartition("key").sortWithinPartitions("key")

@@ -3,9 +3,10 @@
 import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from kelvane.llm import jaccard_join, sharding, url_filters
+from kelvane.llm import jaccard_join, sharding, suffix_dedup, url_filters
 
 
 def test_links_across_hot_clusters(spark, monkeypatch):
@@ -81,3 +82,19 @@ def test_near_copies_keep_one_row(spark):
     got = corpus_pipeline.near_copies(spark, docs, "").collect()
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got) == [-1, -1, 1, 3]
     assert {(r["doc_id"], r["text"]) for r in got} <= set(rows)
+
+
+@pytest.mark.parametrize("hot", [500, 1])
+def test_copies_of_ids_with_several_texts(spark, hot):
+    """An id that has a copy and another text is searched like any other; copies are found the same by broadcast and by shuffle."""
+    r = random.Random(4)
+    a, b, c = ("".join(r.choice("abcdefghij ") for _ in range(n)) for n in (300, 260, 400))
+    rows = [(3, a), (5, a), (5, b), (7, b[:150] + c), (8, c), (9, c), (9, c), (10, "short"), (11, "short")]
+    got = {(x["doc_id"], x["n_bytes"]): (x["n_removed"], x["n_spans"], x["cut_starts"], x["cut_ends"]) for x in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3, 300][0] == got[10, 5][0] == 0
+    assert got[5, 300] == (300, 1, [0], [300])
+    assert got[7, 550] == (150, 1, [0], [150])  # b stands in document 5 first
+    assert got[8, 400] == got[9, 400] == (400, 1, [0], [400])
+    meta = spark.createDataFrame([(i, "d%d" % (i % 3), 200) for i in range(60)] + [(2, "d9", 200), (70, "d2", 200), (70, "d2", 200)], "doc_id long, digest string, n long")
+    copies = sorted(x["doc_id"] for x in suffix_dedup._copies(meta, 63, hot).collect())
+    assert copies == [*range(3, 60), 70]
