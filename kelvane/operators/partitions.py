@@ -28,7 +28,8 @@ def _adjacency(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 def _embed(a: np.ndarray, k: int) -> np.ndarray:
     _, v = np.linalg.eigh(np.diag(a.sum(axis=0)) - a)
     v = v[:, :k]
-    lead = v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])]
+    size = np.abs(v)
+    lead = v[(size >= size.max(axis=0) * (1 - 1e-6)).argmax(axis=0), np.arange(v.shape[1])]  # the first of the largest: equal but for rounding
     return v * np.where(lead < 0, -1, 1)
 
 

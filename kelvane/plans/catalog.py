@@ -89,6 +89,43 @@ def order_part_graph(spark, d) -> tuple[DataFrame, int]:
     return store(graphs.bipartite(m)[1], "bipartite"), m.nrows + m.ncols
 
 
+def region_members(spark, d) -> SparseMatrix:
+    """Nations by regions: nations of one region share a column."""
+    cells = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"), F.col("n_regionkey").cast("long").alias("col"), F.lit(1.0).alias("val"))
+    return SparseMatrix.of(cells, _t(spark, d, "nation").count(), _t(spark, d, "region").count(), "region_members")
+
+
+def region_graph(spark, d) -> tuple[DataFrame, int]:
+    m = region_members(spark, d)
+    return store(graphs.row_overlap(m), "regions"), m.nrows
+
+
+def parity_graph(spark, d) -> tuple[DataFrame, int]:
+    """Two cliques: the nations of even and of odd key."""
+    cells = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"), (F.col("n_nationkey") % 2).cast("long").alias("col"), F.lit(1.0).alias("val"))
+    m = SparseMatrix.of(cells, _t(spark, d, "nation").count(), 2, "parity")
+    return store(graphs.row_overlap(m), "parity"), m.nrows
+
+
+def chain(spark, d, name: str = "supplier", step: int = 1) -> tuple[DataFrame, int]:
+    """As many vertices as the table has rows, each linked to the one ``step`` behind it: ``step`` chains."""
+    n = _t(spark, d, name).count()
+    return store(spark.range(max(0, n - step)).select(F.col("id").alias("src"), (F.col("id") + step).alias("dst")), "chain"), n
+
+
+def chain_matrix(spark, d) -> SparseMatrix:
+    """Ones on the diagonal and above it: neighbouring rows share a column."""
+    n = _t(spark, d, "supplier").count()
+    cells = spark.range(n).select(F.col("id").alias("row"), F.explode(F.array(F.col("id"), F.col("id") + 1)).alias("col"), F.lit(1.0).alias("val"))
+    return SparseMatrix(cells.where(F.col("col") < n), n, n, "chain")
+
+
+def _named_by_first(parts: DataFrame) -> DataFrame:
+    """Parts by their smallest vertex."""
+    first = parts.groupBy("part").agg(F.min("id").alias("first"))
+    return parts.join(first, "part").select("id", "first")
+
+
 def _sections(spark, d) -> DataFrame:
     """What a comprehensive benchmark reports: sections, items and their fields (times themselves differ from run to run)."""
     m = strong_flow(spark, d).stored()
@@ -159,6 +196,12 @@ def queries():
         "order_rcm": ps(orderings.rcm), "order_rcm_permutation": ps(lambda m: _summary(orderings.rcm(m))), "order_rcm_rect": lambda s, d: orderings.rcm_both(supplier_part(s, d))[0], "order_rcm_rect_cols": lambda s, d: orderings.rcm_both(supplier_part(s, d))[1],
         **{f"partition_{k}": (lambda s, d, k=k: partitions.partition(_edges(s, d), 25, 4, k)) for k in partitions.METHODS},
         "partition_kl": lambda s, d: partitions.partition(_edges(s, d), 25, 2, "metis"),
+        # Graphs whose best partition is known.
+        **{f"partition_regions_{k}": (lambda s, d, k=k: _named_by_first(partitions.partition(*region_graph(s, d), 5, k))) for k in ("spectral", "metis")},
+        "partition_parity_kl": lambda s, d: _named_by_first(partitions.partition(*parity_graph(s, d), 2, "metis")),
+        "partition_chain_recursive": lambda s, d: partitions.partition(*chain(s, d), 4, "recursive"),
+        "partition_chains_multilevel": lambda s, d: _named_by_first(partitions.partition(*chain(s, d, "customer", 5), 5, "multilevel")),
+        "partition_order_regions": lambda s, d: partitions.order(region_members(s, d), 5), "nested_dissection_chain": lambda s, d: partitions.nested_dissection(chain_matrix(s, d), 10),
         "partition_order": ps(lambda m: _summary(partitions.order(m))), "nested_dissection": ps(lambda m: _summary(partitions.nested_dissection(m))),
         "partition_quality": lambda s, d: partitions.quality(strong_flow(s, d), _edges(s, d), _parts(s)), "comm_volume": lambda s, d: partitions.communication_volume(strong_flow(s, d), _parts(s)),
         "compare_reorderings": _reorderings, "best_method": lambda s, d: methods.ranking(_reorderings(s, d), k=1),
@@ -191,6 +234,15 @@ adj AS (SELECT list(ns ORDER BY id) AS a FROM (SELECT deg.id, coalesce(list(two.
 q(p, qs) AS (SELECT 1, [s[1]] FROM by_degree UNION ALL SELECT p + 1, CASE WHEN len(w) = p AND p < 25 THEN list_append(w, list_filter(s, lambda v: NOT list_contains(w, v))[1]) ELSE w END
   FROM (SELECT p, s, list_concat(qs, list_filter(a[qs[p] + 1], lambda v: NOT list_contains(qs, v))) AS w FROM q, adj, by_degree WHERE p <= 25)),
 cm AS (SELECT qs FROM q WHERE p = 26)"""
+#: Quarters of a chain: halves of halves, each time the larger half and the larger numbers first.
+HALVES = """WITH c AS (SELECT count(*) AS n, (count(*) + 1) // 2 AS h FROM supplier), z AS (SELECT n, h, (h + 1) // 2 AS hh, n - h AS l, (n - h + 1) // 2 AS ll FROM c)
+SELECT i AS id, (CASE WHEN i >= n - hh THEN 0 WHEN i >= n - h THEN 1 WHEN i >= l - ll THEN 2 ELSE 3 END)::INTEGER AS part FROM (SELECT unnest(range((SELECT n FROM c))) AS i), z"""
+#: A chain cut in halves until they have ten vertices at most; the two vertices at a cut come after both halves.
+DISSECTED = """WITH RECURSIVE seg(lo, hi, k) AS (SELECT 0::BIGINT, (count(*) - 1)::BIGINT, '' FROM supplier UNION ALL
+  SELECT CASE w WHEN 0 THEN c + 1 WHEN 1 THEN lo ELSE c - 1 END, CASE w WHEN 0 THEN hi WHEN 1 THEN c - 2 ELSE c END, k || w::VARCHAR
+  FROM (SELECT lo, k, hi, hi - (hi - lo + 2) // 2 + 1 AS c FROM seg WHERE hi - lo >= 10 AND NOT ends_with(k, '2')), (SELECT unnest(range(3)) AS w)),
+leaf AS (SELECT lo, hi, k FROM seg WHERE hi - lo < 10 OR ends_with(k, '2'))
+SELECT row_number() OVER (ORDER BY k, id) - 1 AS new_pos, id AS old_id FROM (SELECT k, unnest(range(lo, hi + 1)) AS id FROM leaf)"""
 BIPARTITE = "e AS (SELECT row AS src, col + nr AS dst FROM m, sh)"
 BIDEG = "deg AS (SELECT g.i AS id, count(two.src) AS degree FROM (SELECT unnest(range((SELECT nr + nc FROM sh))) AS i) g LEFT JOIN two ON two.src = g.i GROUP BY 1)"
 PATTERN = "e AS (SELECT DISTINCT least(row, col) AS src, greatest(row, col) AS dst FROM m WHERE row <> col)"
@@ -262,6 +314,11 @@ def oracle_sql():
         "bandwidth_evolution": "WITH a AS (SELECT max(abs(l_orderkey - l_partkey)) AS b FROM lineitem), s AS (SELECT max(abs(l_suppkey - l_partkey)) AS b FROM lineitem), " + M5 + " SELECT b::BIGINT AS bandwidth, 'order_part' AS name FROM a UNION ALL SELECT b::BIGINT, 'supplier_part' FROM s UNION ALL SELECT max(abs(row - col))::BIGINT, 'strong_flow' FROM m",
         "order_part_degrees": w(M1, BIPARTITE, BOTH, BIDEG) + " SELECT id, degree FROM deg",
         "order_part_bfs": w(M1, BIPARTITE, BOTH, levels(3)) + " SELECT source, id, level FROM bl",
+        **dict.fromkeys(("partition_regions_spectral", "partition_regions_metis"), "SELECT n_nationkey::BIGINT AS id, min(n_nationkey) OVER (PARTITION BY n_regionkey)::BIGINT AS first FROM nation"),
+        "partition_parity_kl": "SELECT n_nationkey::BIGINT AS id, min(n_nationkey) OVER (PARTITION BY n_nationkey % 2)::BIGINT AS first FROM nation",
+        "partition_chain_recursive": HALVES, "partition_chains_multilevel": "SELECT i AS id, i % 5 AS first FROM (SELECT unnest(range((SELECT count(*) FROM customer))) AS i)",
+        "partition_order_regions": "SELECT row_number() OVER (ORDER BY first, id) - 1 AS new_pos, id AS old_id FROM (SELECT n_nationkey::BIGINT AS id, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS first FROM nation)",
+        "nested_dissection_chain": DISSECTED,
         "order_rcm_permutation": PERM_25, "partition_order": PERM_25, "nested_dissection": PERM_25,
         "partition_quality": w(M5, EDGES) + " SELECT count(*) FILTER (src % 4 <> dst % 4) AS edge_cut, round(count(*) FILTER (src % 4 <> dst % 4)::DOUBLE / count(*), 6) AS cut_ratio, 4::BIGINT AS num_partitions, 7::BIGINT AS max_size, 6::BIGINT AS min_size, round(sqrt(0.1875::DOUBLE) / 6.25, 6) AS balance, (SELECT count(*) FROM m WHERE row % 4 <> col % 4) AS communication_volume FROM e",
         "comm_volume": w(M5) + " SELECT count(*) AS communication_volume FROM m WHERE row % 4 <> col % 4",
