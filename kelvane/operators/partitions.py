@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
@@ -145,12 +145,20 @@ def _labels(edges: DataFrame, n: int, f) -> DataFrame:
 
 
 def _coarsen(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
-    """Handshake matching: each vertex proposes its neighbour of highest degree; mutual proposals merge. (map, edges, vertices)."""
+    """Handshake matching: each vertex proposes its neighbour of highest degree; mutual proposals merge. (map, edges, vertices).
+
+    What is left over and proposed the same vertex merges about two by two, dealt by hash: a star would lose one leaf else.
+    """
     d = graphs.degrees(edges, n)
     two = graphs.both_ways(edges).join(d.select(F.col("id").alias("dst"), "degree"), "dst")
-    wish = store(two.groupBy("src").agg(F.max_by("dst", F.struct("degree", F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")))).alias("to")), "wishes")
-    back = wish.select(F.col("src").alias("to"), F.col("to").alias("src"))
-    match = wish.join(back, ["src", "to"]).select(F.col("src").alias("id"), F.least("src", "to").alias("lead"))
+    best = F.max(F.struct("degree", F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")), F.col("dst").alias("to"))).alias("best")
+    wish = store(two.groupBy("src").agg(best).select("src", "best.to", "best.degree"), "wishes")
+    back = wish.select(F.col("src").alias("to"), F.col("to").alias("src"), F.lit(True).alias("mutual"))
+    met = wish.join(back, ["src", "to"], "left")
+    # About two of a vertex's neighbours have one deal, however many it has.
+    deal = F.when(F.col("mutual"), F.least("src", "to")).otherwise(F.pmod(F.xxhash64("src"), F.ceil(F.col("degree") / 2)))
+    group = Window.partitionBy("mutual", F.when(F.col("mutual").isNull(), F.col("to")), "deal")
+    match = met.withColumn("deal", deal).select(F.col("src").alias("id"), F.min("src").over(group).alias("lead"))
     lead = edges.sparkSession.range(n).join(match, "id", "left").select("id", F.coalesce("lead", "id").alias("lead"))
     number = numbered(lead.select("lead").distinct(), "lead", name="coarse")
     mapping = store(lead.join(number, "lead").select("id", "coarse"), "mapping")

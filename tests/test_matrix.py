@@ -285,6 +285,17 @@ def test_multilevel_coarsens(spark):
     assert parts.count() == 100 and parts.select("part").distinct().count() == 2
 
 
+def test_stars_shrink(spark):
+    """Leaves of one hub merge among themselves, never with those of another."""
+    star = [(0, i) for i in range(2, 302)] + [(1, i) for i in range(302, 402)]
+    mapping, up, n = partitions._coarsen(spark.createDataFrame(star, "src long, dst long"), 402)
+    coarse = {r["id"]: r["coarse"] for r in mapping.collect()}
+    assert len(coarse) == 402 and n == len(set(coarse.values())) < 0.6 * 402
+    sides = [{coarse[i] for i in x} for x in ((0, *range(2, 302)), (1, *range(302, 402)))]
+    assert not sides[0] & sides[1]
+    assert {tuple(r) for r in up.collect()} == {tuple(sorted((coarse[a], coarse[b]))) for a, b in star if coarse[a] != coarse[b]}
+
+
 def test_files(spark, tmp_path):
     m = make(spark, MX1)
     for name in ("a.mtx", "b.npz", "c.parquet"):
