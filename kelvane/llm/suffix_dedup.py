@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ._common import materialise, table
 from ._text import _BASE, _BYTE, U, _powers, buffer_of, mix, slices
@@ -428,7 +429,9 @@ def _copies(meta: DataFrame, rows: int, hot: int = HOT_COPIES) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: n_bytes, n_removed, n_spans, kept_sha256, and the spans cut (cut_starts, cut_ends)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # An idle alias stays on one side of the joins below, and Spark no longer sees that both read the same exchange.
+    plain = (doc_id, text) == ("doc_id", "text") and docs.schema["doc_id"].dataType == LongType()
+    rows = docs.select("doc_id", "text") if plain else docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
     meta = materialise(known.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n")), "digests")
     copies = materialise(_copies(meta.where(F.col("n") >= length), meta.count()), "copies")

@@ -98,3 +98,15 @@ def test_copies_of_ids_with_several_texts(spark, hot):
     meta = spark.createDataFrame([(i, "d%d" % (i % 3), 200) for i in range(60)] + [(2, "d9", 200), (70, "d2", 200), (70, "d2", 200)], "doc_id long, digest string, n long")
     copies = sorted(x["doc_id"] for x in suffix_dedup._copies(meta, 63, hot).collect())
     assert copies == [*range(3, 60), 70]
+
+
+def test_suffix_dedup_deals_texts_once(spark):
+    """Both joins by id read one exchange of the texts."""
+    rows = [(i, "text %d " % (i % 3) * 40) for i in range(20)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+        out.collect()
+        assert "ReusedExchange [doc_id#" in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
