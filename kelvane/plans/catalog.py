@@ -245,6 +245,15 @@ leaf AS (SELECT lo, hi, k FROM seg WHERE hi - lo < 10 OR ends_with(k, '2'))
 SELECT row_number() OVER (ORDER BY k, id) - 1 AS new_pos, id AS old_id FROM (SELECT k, unnest(range(lo, hi + 1)) AS id FROM leaf)"""
 BIPARTITE = "e AS (SELECT row AS src, col + nr AS dst FROM m, sh)"
 BIDEG = "deg AS (SELECT g.i AS id, count(two.src) AS degree FROM (SELECT unnest(range((SELECT nr + nc FROM sh))) AS i) g LEFT JOIN two ON two.src = g.i GROUP BY 1)"
+#: Components by handing on the least number, until nobody has one less than a neighbour's.
+LEAST = """lab(i, id, c) AS (SELECT 0, id, id FROM deg UNION ALL
+  SELECT l.i + 1, l.id, least(l.c, coalesce(min(o.c), l.c)) FROM lab l LEFT JOIN two ON two.src = l.id LEFT JOIN lab o ON o.id = two.dst
+  WHERE EXISTS (SELECT 1 FROM lab x JOIN two ON two.src = x.id JOIN lab y ON y.id = two.dst WHERE y.c < x.c) GROUP BY l.i, l.id, l.c)"""
+#: The greedy colours of LARGEST's order in rounds: a vertex has its turn once all before it among its neighbours have a colour.
+TURNS = """early AS (SELECT o.id, p.id AS before FROM ord o JOIN two ON two.src = o.id JOIN ord p ON p.id = two.dst WHERE p.k < o.k),
+st(i, id, color) AS (SELECT 0, id, NULL::INTEGER FROM deg UNION ALL
+  SELECT s.i + 1, s.id, CASE WHEN s.color IS NOT NULL THEN s.color WHEN count(e.before) = count(b.color) THEN list_min(list_filter(range(count(e.before) + 1), lambda c: NOT list_contains(coalesce(list(b.color), []), c)))::INTEGER END
+  FROM st s LEFT JOIN early e ON e.id = s.id LEFT JOIN st b ON b.id = e.before WHERE EXISTS (SELECT 1 FROM st WHERE color IS NULL) GROUP BY s.i, s.id, s.color)"""
 PATTERN = "e AS (SELECT DISTINCT least(row, col) AS src, greatest(row, col) AS dst FROM m WHERE row <> col)"
 
 
@@ -313,6 +322,8 @@ def oracle_sql():
         "reordering_findings": w(M5, ROWS, diag, perms, moved, values, compared) + ", b AS (SELECT * FROM cmp WHERE metric = 'bandwidth'), t AS (SELECT * FROM b ORDER BY improvement_pct DESC NULLS LAST, value, method DESC LIMIT 1) SELECT (SELECT count(*) FROM b) AS methods, (SELECT count(*) FROM b WHERE improvement_pct > 0) AS improving, method AS best_method, value AS best_bandwidth, improvement_pct AS best_improvement_pct, NULL::BIGINT AS min_colors FROM t",
         "bandwidth_evolution": "WITH a AS (SELECT max(abs(l_orderkey - l_partkey)) AS b FROM lineitem), s AS (SELECT max(abs(l_suppkey - l_partkey)) AS b FROM lineitem), " + M5 + " SELECT b::BIGINT AS bandwidth, 'order_part' AS name FROM a UNION ALL SELECT b::BIGINT, 'supplier_part' FROM s UNION ALL SELECT max(abs(row - col))::BIGINT, 'strong_flow' FROM m",
         "order_part_degrees": w(M1, BIPARTITE, BOTH, BIDEG) + " SELECT id, degree FROM deg",
+        "order_part_components": w(M1, BIPARTITE, BOTH, BIDEG, LEAST) + " SELECT id, c AS component FROM lab WHERE i = (SELECT max(i) FROM lab)",
+        "order_part_coloring": w(M1, BIPARTITE, BOTH, BIDEG, LARGEST, TURNS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",
         "order_part_bfs": w(M1, BIPARTITE, BOTH, levels(3)) + " SELECT source, id, level FROM bl",
         **dict.fromkeys(("partition_regions_spectral", "partition_regions_metis"), "SELECT n_nationkey::BIGINT AS id, min(n_nationkey) OVER (PARTITION BY n_regionkey)::BIGINT AS first FROM nation"),
         "partition_parity_kl": "SELECT n_nationkey::BIGINT AS id, min(n_nationkey) OVER (PARTITION BY n_nationkey % 2)::BIGINT AS first FROM nation",
