@@ -254,6 +254,14 @@ TURNS = """early AS (SELECT o.id, p.id AS before FROM ord o JOIN two ON two.src
 st(i, id, color) AS (SELECT 0, id, NULL::INTEGER FROM deg UNION ALL
   SELECT s.i + 1, s.id, CASE WHEN s.color IS NOT NULL THEN s.color WHEN count(e.before) = count(b.color) THEN list_min(list_filter(range(count(e.before) + 1), lambda c: NOT list_contains(coalesce(list(b.color), []), c)))::INTEGER END
   FROM st s LEFT JOIN early e ON e.id = s.id LEFT JOIN st b ON b.id = e.before WHERE EXISTS (SELECT 1 FROM st WHERE color IS NULL) GROUP BY s.i, s.id, s.color)"""
+#: Reverse Cuthill-McKee level by level, in all components at once; a level's neighbours lie in it, before it or behind it.
+LEVELWISE = """start AS (SELECT c, count(*) AS size, min({'degree': degree, 'id': id}) AS s FROM (SELECT deg.*, c FROM lab JOIN deg USING (id) WHERE i = (SELECT max(i) FROM lab)) GROUP BY c),
+lv(i, c, id, pos, fresh) AS (SELECT 0::BIGINT, c, s.id, 0::BIGINT, true FROM start UNION ALL SELECT * FROM (
+  SELECT i + 1, c, id, base + row_number() OVER (PARTITION BY c ORDER BY parent, degree, id), true FROM (
+    SELECT l.i, l.c, two.dst AS id, min(l.pos) AS parent, (SELECT max(pos) FROM lv x WHERE x.c = l.c) AS base FROM lv l JOIN two ON two.src = l.id
+    WHERE l.fresh AND NOT EXISTS (SELECT 1 FROM lv o WHERE o.id = two.dst) GROUP BY l.i, l.c, two.dst) JOIN deg USING (id)
+  UNION ALL SELECT i + 1, c, id, pos, false FROM lv WHERE fresh)),
+ahead AS (SELECT c, sum(size) OVER (ORDER BY size, s.degree, s.id) - size AS before FROM start)"""
 PATTERN = "e AS (SELECT DISTINCT least(row, col) AS src, greatest(row, col) AS dst FROM m WHERE row <> col)"
 
 
@@ -324,6 +332,7 @@ def oracle_sql():
         "order_part_degrees": w(M1, BIPARTITE, BOTH, BIDEG) + " SELECT id, degree FROM deg",
         "order_part_components": w(M1, BIPARTITE, BOTH, BIDEG, LEAST) + " SELECT id, c AS component FROM lab WHERE i = (SELECT max(i) FROM lab)",
         "order_part_coloring": w(M1, BIPARTITE, BOTH, BIDEG, LARGEST, TURNS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",
+        "order_part_rcm": w(M1, BIPARTITE, BOTH, BIDEG, LEAST, LEVELWISE) + " SELECT (nr + nc - 1 - before - pos)::BIGINT AS new_pos, id AS old_id FROM lv JOIN ahead USING (c), sh WHERE fresh",
         "order_part_bfs": w(M1, BIPARTITE, BOTH, levels(3)) + " SELECT source, id, level FROM bl",
         **dict.fromkeys(("partition_regions_spectral", "partition_regions_metis"), "SELECT n_nationkey::BIGINT AS id, min(n_nationkey) OVER (PARTITION BY n_regionkey)::BIGINT AS first FROM nation"),
         "partition_parity_kl": "SELECT n_nationkey::BIGINT AS id, min(n_nationkey) OVER (PARTITION BY n_nationkey % 2)::BIGINT AS first FROM nation",
