@@ -48,6 +48,7 @@ def x_vector(spark, d) -> DataFrame:
 M1 = "m AS (SELECT l_orderkey AS row, l_partkey AS col, sum(l_quantity) AS val FROM lineitem GROUP BY 1, 2), sh AS (SELECT (SELECT count(*) FROM orders) AS nr, (SELECT count(*) FROM part) AS nc)"
 M2 = "m AS (SELECT l_suppkey AS row, l_partkey AS col, sum(l_quantity) AS val FROM lineitem GROUP BY 1, 2), sh AS (SELECT (SELECT count(*) FROM supplier) AS nr, (SELECT count(*) FROM part) AS nc)"
 FLOW = "SELECT c_nationkey::BIGINT AS row, s_nationkey::BIGINT AS col, count(*)::DOUBLE AS val FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"
+M2T = "m AS (SELECT l_partkey AS row, l_suppkey AS col, sum(l_quantity) AS val FROM lineitem GROUP BY 1, 2), sh AS (SELECT (SELECT count(*) FROM part) AS nr, (SELECT count(*) FROM supplier) AS nc)"
 M3 = f"m AS ({FLOW}), sh AS (SELECT 25 AS nr, 25 AS nc)"
 M5 = f"flow AS ({FLOW}), m AS (SELECT * FROM flow WHERE val * 6250 > (SELECT sum(val) FROM flow) * 12), sh AS (SELECT 25 AS nr, 25 AS nc)"
 ROWS = "r AS (SELECT g.i AS row, coalesce(k, 0) AS n, coalesce(v, 0)::DOUBLE AS value_sum, coalesce(w, 0) AS width FROM (SELECT unnest(range((SELECT nr FROM sh))) AS i) g LEFT JOIN (SELECT row, count(*) AS k, sum(val) AS v, max(col) - min(col) AS w FROM m GROUP BY 1) q ON q.row = g.i)"
@@ -332,6 +333,7 @@ def oracle_sql():
         "order_part_degrees": w(M1, BIPARTITE, BOTH, BIDEG) + " SELECT id, degree FROM deg",
         "order_part_components": w(M1, BIPARTITE, BOTH, BIDEG, LEAST) + " SELECT id, c AS component FROM lab WHERE i = (SELECT max(i) FROM lab)",
         "order_part_coloring": w(M1, BIPARTITE, BOTH, BIDEG, LARGEST, TURNS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",
+        **{k: w(of, EDGES, BOTH, DEG, LEAST, LEVELWISE) + " SELECT (nr - 1 - before - pos)::BIGINT AS new_pos, id AS old_id FROM lv JOIN ahead USING (c), sh WHERE fresh" for k, of in (("order_rcm_rect", M2), ("order_rcm_rect_cols", M2T))},
         "order_part_rcm": w(M1, BIPARTITE, BOTH, BIDEG, LEAST, LEVELWISE) + " SELECT (nr + nc - 1 - before - pos)::BIGINT AS new_pos, id AS old_id FROM lv JOIN ahead USING (c), sh WHERE fresh",
         "order_part_bfs": w(M1, BIPARTITE, BOTH, levels(3)) + " SELECT source, id, level FROM bl",
         **dict.fromkeys(("partition_regions_spectral", "partition_regions_metis"), "SELECT n_nationkey::BIGINT AS id, min(n_nationkey) OVER (PARTITION BY n_regionkey)::BIGINT AS first FROM nation"),
