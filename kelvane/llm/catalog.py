@@ -29,6 +29,7 @@ def oracle_sql():
         "op6_jaccard_join": jaccard_join.ORACLE,
         "op8_decontamination": decontamination.ORACLE,
         "op9_warc_fixity": warc.ORACLE,
+        "op10_suffix_dedup": suffix_dedup.ORACLE,
         "quality_base_counts": quality_rules.BASE_ORACLE,
         "url_given_rules": url_filters.RULES_ORACLE,
     }

@@ -458,3 +458,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).drop("cut_starts", "cut_ends")
+
+
+#: Every string of LENGTH bytes (in hex digits, cut from parts of texts) with its first place; the places after it, as runs; and the bytes between runs.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, o, h[2 * o + 1:2 * o + 2 * (500 + {LENGTH} - 1)] AS p FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 500)) AS o FROM d)),
+s AS (SELECT doc_id, o + j AS i, p[2 * j + 1:2 * j + 2 * {LENGTH}] AS s FROM (SELECT doc_id, o, p, unnest(range(len(p) // 2 - {LENGTH} + 1)) AS j FROM part WHERE len(p) >= 2 * {LENGTH})),
+f AS (SELECT s, min({{'doc_id': doc_id, 'i': i}}) AS f FROM s GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s JOIN f USING (s) WHERE s.doc_id <> f.f.doc_id OR s.i <> f.f.i),
+run AS (SELECT doc_id, i, sum(CASE WHEN i <= before + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit),
+span AS (SELECT doc_id, min(i) AS lo, max(i) + {LENGTH} AS hi FROM run GROUP BY doc_id, g),
+gap AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM span UNION ALL SELECT doc_id, max(hi), NULL FROM span GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(h[2 * a + 1:2 * coalesce(b, len(h) // 2)], '' ORDER BY a) AS k FROM gap JOIN d USING (doc_id) GROUP BY 1),
+cut AS (SELECT doc_id, sum(hi - lo) AS n, count(*) AS m FROM span GROUP BY 1)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(m, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
