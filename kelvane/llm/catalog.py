@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, line_dedup, packing, quality_rules, sharding, suffix_dedup, url_filters, warc
+from . import decontamination, jaccard_join, language_id, line_dedup, packing, quality_rules, resampling, sharding, suffix_dedup, url_filters, warc
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_decontamination": decontamination.query,
         "op9_warc_fixity": warc.query,
         "op10_suffix_dedup": suffix_dedup.query,
+        "op11_importance_resampling": resampling.query,
         # Parts of two of them that SQL can tell.
         "quality_base_counts": quality_rules.base_query,
         "url_given_rules": url_filters.rules_query,
@@ -30,6 +31,7 @@ def oracle_sql():
         "op8_decontamination": decontamination.ORACLE,
         "op9_warc_fixity": warc.ORACLE,
         "op10_suffix_dedup": suffix_dedup.ORACLE,
+        "op11_importance_resampling": resampling.ORACLE,
         "quality_base_counts": quality_rules.BASE_ORACLE,
         "url_given_rules": url_filters.RULES_ORACLE,
     }
