@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, line_dedup, packing, quality_rules, resampling, sharding, suffix_dedup, url_filters, warc
+from . import decontamination, jaccard_join, language_id, line_dedup, packing, quality_model, quality_rules, resampling, sharding, spelling, suffix_dedup, url_filters, warc
 
 
 def queries():
@@ -18,6 +18,8 @@ def queries():
         "op9_warc_fixity": warc.query,
         "op10_suffix_dedup": suffix_dedup.query,
         "op11_importance_resampling": resampling.query,
+        "op12_spelling_variants": spelling.query,
+        "op13_quality_classifier": quality_model.query,
         # Parts of two of them that SQL can tell.
         "quality_base_counts": quality_rules.base_query,
         "url_given_rules": url_filters.rules_query,
@@ -32,6 +34,7 @@ def oracle_sql():
         "op9_warc_fixity": warc.ORACLE,
         "op10_suffix_dedup": suffix_dedup.ORACLE,
         "op11_importance_resampling": resampling.ORACLE,
+        "op12_spelling_variants": spelling.ORACLE,
         "quality_base_counts": quality_rules.BASE_ORACLE,
         "url_given_rules": url_filters.RULES_ORACLE,
     }
