@@ -4,8 +4,9 @@ Runs of letters are counted over all documents (some lose a letter by a seeded h
 vocabulary's bigrams are ordered by how many places of distinct words hold them, rarest first, one order for all words. An
 edit touches two bigrams of a word at most, so of its three rarest one is untouched, and the rarest untouched bigram is
 among the three rarest of the other word too, at most one position away. Words are joined on those three, their lengths and
-positions not more than one apart. An edit also leaves one half of a word as it is, so the join asks for an equal half as
-well: a bigram that is rare in its words may still be frequent in the vocabulary. Candidates are verified by edit distance.
+positions not more than one apart. As a bigram that is rare in its words may still be frequent in the vocabulary, the join also
+asks for what an edit leaves as it is: two thirds of the word at its start, or at its end, or a third at both. Candidates are
+verified by edit distance.
 
 A word's form is its most frequent near word, if that is ``RATIO`` times as frequent; forms are followed to a root by doubling
 the steps each round.
@@ -159,18 +160,20 @@ def prefixes(words: DataFrame, order: np.ndarray) -> DataFrame:
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n) both ways, once each: words exactly one inserted, deleted or replaced letter apart."""
     rows = prefixes(words, rarity(words))
-    # A word meets words of its own length, and the next longer ones: in a pair, the shorter length tells how long a half is.
+    # A word meets words of its own length, and the next longer ones: in a pair, the shorter length tells how long a piece is.
     roles = F.array(*[F.struct((F.col("size") - x).alias("short"), F.lit(x == 1).alias("longer")) for x in (0, 1)])
-    half = F.col("short").bitwiseAND(-2) / 2
     dealt = rows.select("*", F.explode(roles).alias("role")).select("word", "n", "gram", "pos", "size", "role.*")
-    sides = F.array(F.substring("word", F.lit(1), half.cast("int")), F.concat(F.lit("-"), F.substring("word", (F.col("size") - half + 1).cast("int"), half.cast("int"))))
-    dealt = dealt.select("word", "n", "pos", "longer", F.explode(sides).alias("half"), "gram", "short").withColumn("key", F.xxhash64("gram", "short", "half")).drop("gram", "short", "half")
+    long_piece = ((F.col("short") * 2 + 1) / 3).cast("int")
+    piece = F.col("short") - long_piece
+    head, tail = (lambda k: F.substring("word", F.lit(1), k)), (lambda k: F.substring("word", F.col("size") - k + 1, k))
+    pieces = F.array(head(long_piece), F.concat(F.lit("-"), tail(long_piece)), F.concat(head(piece), F.lit("-"), tail(piece)))
+    dealt = dealt.select("word", "n", "pos", "longer", F.explode(pieces).alias("piece"), "gram", "short").withColumn("key", F.xxhash64("gram", "short", "piece")).drop("gram", "short", "piece")
     a = dealt.where("NOT longer").drop("longer")
     b = dealt.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), "longer")
     met = a.join(b, "key").where("(longer OR word < other) AND abs(pos - other_pos) <= 1 AND abs(length(word) - length(other)) <= 1")
-    found = met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
-    both = found.unionByName(found.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
-    return both.distinct()
+    found = met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n").distinct()  # several bigrams and pieces find a pair
+    ways = F.array(F.struct("word", "n", "other", "other_n"), F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
+    return found.select(F.explode(ways).alias("pair")).select("pair.*")
 
 
 def roots(forms: DataFrame) -> DataFrame:
