@@ -6,11 +6,12 @@ scores, and Viterbi decoding finds the best labelling of the whole text. The sha
 decides whether the text is kept.
 
 The field is trained here by gradient ascent on its conditional likelihood (forward-backward), on weak labels of the
-lines of labelled texts: at most ``SAMPLE_ROWS`` of them and ``SAMPLE_BYTES`` in all, the first by a hash of their id.
+lines of labelled texts: at most ``SAMPLE_ROWS`` of them and ``SAMPLE_BYTES`` in all, the first by a hash of their id, without
+those of more than ``TEXT_BYTES``. For fitting, chains of more than ``PIECE_LINES`` lines are cut; decoding never cuts.
 A line that recurs in documents all over the corpus (counted over all of them), and one without letters or of symbols
 mostly, is boilerplate; of the other lines, those of a good text are content, those of a bad one boilerplate. A text
 most of whose words stand in recurring lines is a copy of others rather than made of their template, so its lines take
-its own label. Without lines of both kinds all lines are content.
+its own label. Without lines of both kinds all lines are content, and a warning says so.
 
 Defined cases: a null or empty text has zero counts and fails the base rule; a text without a line that has a word
 has no content; equal scores are content; a text of any length is decoded whole, in memory of its own size; repeated
@@ -20,6 +21,8 @@ and an added column whose name is taken gets an underscore behind it.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,6 +34,8 @@ from ._text import LINES, SPACE_WORDS, U, buffer_of, mix, ngram_hashes, slices,
 
 #: Labelled texts that the field is fitted on at most, and their bytes in all.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 16 << 20
+#: Bytes of a text that the field is fitted on, and lines of a chain in fitting.
+TEXT_BYTES, PIECE_LINES = 1 << 20, 256
 #: Share of all documents, and number of them, on which a line must stand at least to be called recurring.
 RECURRING, RECURRING_ROWS = 0.001, 3
 #: Share of a line's bytes that are symbols or punctuation, from which it is no running text.
@@ -134,6 +139,35 @@ def scan(texts: pa.Array):
         yield i, j, counts, lrow, number, width, lines, feats, noise
 
 
+def gradient(x: np.ndarray, rows: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the labels' conditional log likelihood, by the emission weights and by the moves: what is seen less what is expected.
+
+    Forward and backward sums run over all texts at once, a place of the line in its text a step.
+    """
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    size = np.diff(np.r_[first, len(rows)])
+    order = np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    pair = np.flatnonzero(rows[1:] == rows[:-1])
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[pair], y[pair + 1]), 1)
+    active = [int(np.searchsorted(-size, -k, "left")) for k in range(int(size[0]))]  # texts with more than k lines
+    e = x @ w
+    alpha, beta = np.empty_like(e), np.zeros_like(e)
+    alpha[first] = e[first]
+    for k in range(1, len(active)):
+        at = first[: active[k]] + k
+        alpha[at] = e[at] + np.logaddexp.reduce(alpha[at - 1][:, :, None] + t, axis=1)
+    for k in range(len(active) - 2, -1, -1):
+        at = first[: active[k + 1]] + k
+        beta[at] = np.logaddexp.reduce(t + (e[at + 1] + beta[at + 1])[:, None, :], axis=2)
+    z = np.empty(len(x))
+    z[np.concatenate([np.arange(f, f + s) for f, s in zip(first, size, strict=True)])] = np.repeat(np.logaddexp.reduce(alpha[first + size - 1], axis=1), size)
+    p = np.exp(alpha + beta - z[:, None])
+    pairs = np.exp(alpha[pair][:, :, None] + t + (e[pair + 1] + beta[pair + 1])[:, None, :] - z[pair][:, None, None]).sum(axis=0)
+    return x.T @ (np.eye(2)[y] - p), seen - pairs
+
+
 class Field:
     """A linear-chain conditional random field with two labels."""
 
@@ -149,35 +183,13 @@ class Field:
     @classmethod
     def fit(cls, feats: np.ndarray, rows: np.ndarray, labels: np.ndarray, steps: int = STEPS, decay: float = 1e-3) -> "Field":
         """feats: lines x features, in order; rows: ascending numbers of their texts; labels: 0 or 1 by line."""
-        x, y = feats, labels
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        size = np.diff(np.r_[first, len(rows)])
-        order = np.argsort(-size, kind="stable")
-        first, size = first[order], size[order]
-        w, t = np.zeros((x.shape[1], 2)), np.zeros((2, 2))
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+        rows = np.cumsum(np.r_[0, (rows[1:] != rows[:-1]) | (place[1:] % PIECE_LINES == 0)])
+        w, t = np.zeros((feats.shape[1], 2)), np.zeros((2, 2))
         m, v = [np.zeros_like(w), np.zeros_like(t)], [np.zeros_like(w), np.zeros_like(t)]
-        seen_w = x.T @ np.eye(2)[y]
-        pair = np.flatnonzero(rows[1:] == rows[:-1])
-        seen_t = np.zeros((2, 2))
-        np.add.at(seen_t, (y[pair], y[pair + 1]), 1)
-        active = [int(np.searchsorted(-size, -k, "left")) for k in range(int(size[0]))]  # texts with more than k lines
         for step in range(1, steps + 1):
-            e = x @ w
-            alpha, beta = np.empty_like(e), np.zeros_like(e)
-            alpha[first] = e[first]
-            for k in range(1, len(active)):
-                at = first[: active[k]] + k
-                alpha[at] = e[at] + np.logaddexp.reduce(alpha[at - 1][:, :, None] + t, axis=1)
-            for k in range(len(active) - 2, -1, -1):
-                at = first[: active[k + 1]] + k
-                beta[at] = np.logaddexp.reduce(t + (e[at + 1] + beta[at + 1])[:, None, :], axis=2)
-            z = np.repeat(np.logaddexp.reduce(alpha[first + size - 1], axis=1), size)
-            z_line = np.empty(len(x))
-            z_line[np.concatenate([np.arange(f, f + s) for f, s in zip(first, size, strict=True)])] = z
-            p = np.exp(alpha + beta - z_line[:, None])
-            pairs = np.exp(alpha[pair][:, :, None] + t + (e[pair + 1] + beta[pair + 1])[:, None, :] - z_line[pair][:, None, None]).sum(axis=0)
-            for g, param, k in ((seen_w - x.T @ p, w, 0), (seen_t - pairs, t, 1)):
-                g = g / len(x) - decay * param
+            for k, (g, param) in enumerate(zip(gradient(feats, rows, labels, w, t), (w, t), strict=True)):
+                g = g / len(feats) - decay * param
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 param += 0.1 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -241,11 +253,11 @@ def weak_labels(quality: np.ndarray, rows: np.ndarray, width: np.ndarray, known:
     return np.where((quality[rows] == 0) | noise | (known & ~copy[rows]), BOILERPLATE, CONTENT)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Field:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, text_bytes: int = TEXT_BYTES) -> Field:
     """docs: doc_id, text; labels: doc_id, quality (0 or 1)."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # a top-k by hash, before any text is read
-    sizes = docs.where("text IS NOT NULL").select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.max("size").alias("size"))
+    sizes = docs.where("text IS NOT NULL").select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.max("size").alias("size")).where(F.col("size") <= text_bytes)
     first = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # sample_rows rows at most
     taken = materialise(sizes.withColumn("so_far", F.sum("size").over(first)).where(F.col("so_far") <= sample_bytes).select("doc_id", "quality"), "sample")
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(taken), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toArrow()
@@ -254,11 +266,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     for i, _, _, lrow, _, width, lines, feats, noise in scan(rows.column("text").combine_chunks()) if rows.num_rows else ():
         parts.append((lrow + i, width, lines, noise, feats))
     if not parts:
+        warnings.warn("no labelled text has a line to learn from: all lines count as content", stacklevel=2)
         return Field.neutral()
     at, width, lines, noise, feats = (np.concatenate(x) for x in zip(*parts, strict=True))
     distinct, place = np.unique(lines, return_inverse=True)
     label = weak_labels(quality, at, width, recurring(docs, distinct)[place], noise)
-    return Field.fit(feats, at, label) if len(set(label.tolist())) == 2 else Field.neutral()
+    if len(set(label.tolist())) < 2:
+        warnings.warn("the lines of labelled texts are all of one kind: all lines count as content", stacklevel=2)
+        return Field.neutral()
+    return Field.fit(feats, at, label)
 
 
 def judge(docs: DataFrame, field: Field, text: str = "text", min_content: float = MIN_CONTENT) -> DataFrame:

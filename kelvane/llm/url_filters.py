@@ -3,7 +3,9 @@
 Labelled URLs become transactions of tokens (host labels, host name parts, path segments, query keys) with one
 more item for their label, bad or good. FP-growth finds the frequent combinations; those are kept as rules that imply
 one of the labels with enough support and more confidence than chance gives: the lower end of the confidence's interval
-lies above the label's share of all labelled URLs, and the confidence reaches ``MIN_LIFT`` times that share. A rule that
+lies above the label's share of all labelled URLs, and the confidence reaches ``MIN_LIFT`` times that share. As every token is
+tried, the chance of error is divided by the number of tokens; support is at least the number of rows that would all have the
+rarer label by chance that rarely (:func:`chance_rows`), so that a few rows never make a rule, however few are labelled. A rule that
 a shorter one of the same label implies, which is at least as strong, goes; so does one that only holds by the URLs of a
 longer and stronger one of the same label: without them it would not be a rule.
 
@@ -21,6 +23,9 @@ URL of any length is matched by all its tokens; an added column whose name is ta
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +36,8 @@ from ._common import free_name, lower_ascii, materialise, table
 MIN_SUPPORT = 0.004
 #: Times its label's share of all labelled URLs that a rule's confidence must reach.
 MIN_LIFT = 1.05
-#: Width of the confidence's interval (Wilson's, on one side 99 %), in standard errors.
-WIDTH = 2.326
+#: Chance that any rule of one token holds by chance: the confidence's interval (Wilson's) is as wide on one side.
+CHANCE = 0.01
 BAD, GOOD = "label=bad", "label=good"
 RULE = "rule_id long, tokens array<string>, verdict string, confidence double, support double, strength double"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -68,7 +73,17 @@ def url_tokens(url: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(*every)), lambda x: F.length(x) > 2)
 
 
-def lowest(confidence: Column, n: Column, width: float = WIDTH) -> Column:
+def interval_width(tokens: int, chance: float = CHANCE) -> float:
+    """Standard errors below which a share lies with that chance, divided by the number of tokens tried."""
+    return NormalDist().inv_cdf(1 - chance / max(1, tokens))
+
+
+def chance_rows(tokens: int, share: float, chance: float = CHANCE) -> int:
+    """Rows that all have a label of that share with that chance at most, divided by the number of tokens tried."""
+    return math.ceil(math.log(chance / max(1, tokens)) / math.log(share))
+
+
+def lowest(confidence: Column, n: Column, width: float) -> Column:
     """Lower end of Wilson's interval of a share ``confidence`` among ``n``."""
     z2 = width * width
     root = F.sqrt(confidence * (1 - confidence) / n + z2 / (4 * n * n))
@@ -99,7 +114,7 @@ def _written_out(rules: DataFrame, of: DataFrame) -> DataFrame:
     return out.select(F.array_sort("t").alias("tokens"), *rest).withColumn("rule_id", F.xxhash64("tokens", "verdict"))
 
 
-def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT, width: float = WIDTH) -> DataFrame:
+def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT, chance: float = CHANCE) -> DataFrame:
     """(rule_id, tokens, verdict, confidence, support, strength): what implies a bad label (block) or a good one (allow)."""
     spark = labelled.sparkSession
     label = F.when(F.col(bad), BAD).otherwise(GOOD)
@@ -108,12 +123,14 @@ def mine_rules(labelled: DataFrame, url: str = "url", bad: str = "bad", min_supp
     if not 0 < n_bad < total:
         return spark.createDataFrame([], RULE)
     share = {BAD: n_bad / total, GOOD: 1 - n_bad / total}
-    merged, of = _merged(items, min_support * total)
+    tried = items.select(F.explode("tokens").alias("token")).distinct().count()
+    width, least = interval_width(tried, chance), max(min_support * total, chance_rows(tried, min(share.values()), chance))
+    merged, of = _merged(items, least)
     rows = materialise(merged, "merged-items")
     n_rows = rows.count()  # a URL without a frequent token is no transaction, but counts
     if not n_rows:
         return spark.createDataFrame([], RULE)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * total / n_rows), minConfidence=min(1.0, min_lift * min(share.values()))).fit(rows)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n_rows), minConfidence=min(1.0, min_lift * min(share.values()))).fit(rows)
     found = model.associationRules.withColumn("to", F.element_at("consequent", 1)).where(F.col("to").isin(BAD, GOOD))
     base = F.when(F.col("to") == BAD, share[BAD]).otherwise(share[GOOD])
     found = found.withColumns({"base": base, "hits": F.round(F.col("support") * n_rows)})

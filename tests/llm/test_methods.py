@@ -3,8 +3,12 @@
 import collections
 import math
 import random
+import time
 import zlib
 
+import numpy as np
+import pytest
+
 from kelvane.llm import language_id, quality_rules, sharding, url_filters
 
 WORDS = "river stone under morning letter garden simple travel across winter people market quiet window yellow forest".split()
@@ -64,7 +68,8 @@ def brute_rules(rows):
             for c in itertools.combinations(sorted(tokens), n):
                 k = sets.setdefault(c, [0, 0])
                 k[b] += 1
-    z, base = url_filters.WIDTH, {"block": bad / total, "allow": 1 - bad / total}
+    tried, base = len({t for tokens, _ in rows for t in tokens}), {"block": bad / total, "allow": 1 - bad / total}
+    z, least = url_filters.interval_width(tried), max(math.ceil(url_filters.MIN_SUPPORT * total), url_filters.chance_rows(tried, min(base.values())))
 
     def strength(hits, n, verdict):
         p = hits / n if n else 0
@@ -74,7 +79,7 @@ def brute_rules(rows):
     out = {}
     for c, k in sets.items():
         for b, verdict in ((1, "block"), (0, "allow")):
-            if k[b] >= math.ceil(url_filters.MIN_SUPPORT * total) and (s := strength(k[b], sum(k), verdict)):
+            if k[b] >= least and (s := strength(k[b], sum(k), verdict)):
                 out[c, verdict] = s, k[b], sum(k)
     gone = set()
     for (c, v), (s, hits, n) in out.items():
@@ -115,6 +120,57 @@ def test_mined_rules_decide_verdicts(spark, tmp_path):
     assert collections.Counter(x["verdict"] for x in got.values())["block"] > 200
 
 
+def test_few_long_urls_make_no_rules(spark):
+    """A set of tokens that only a few rows hold is no rule, however few rows are labelled, and long paths do not multiply."""
+    r = random.Random(6)
+    urls = [("http://h%d.net/" % (i % 5) + "/".join(f"s{r.randrange(400)}" for _ in range(20)), i % 3 == 0) for i in range(60)]
+    began = time.time()
+    assert url_filters.mine_rules(spark.createDataFrame(urls, "url string, bad boolean")).count() == 0
+    assert time.time() - began < 60
+    assert url_filters.chance_rows(1, 0.1) == 2 and url_filters.chance_rows(100, 0.1) == 4 and url_filters.chance_rows(1, 0.5) == 7
+
+
+def test_long_texts_do_not_empty_the_sample(spark):
+    """A labelled text above the limit is left out alone; chains of many lines are cut into pieces; nothing to learn from is said."""
+    r = random.Random(3)
+    rows = [(i, "\n".join(prose(r, 20) for _ in range(5)) if i % 2 else "\n".join("buy $$ now ## >> 77 click" + str(r.randrange(9)) for _ in range(12))) for i in range(80)]
+    rows += [(1000 + i, "\n".join(prose(r, 9) for _ in range(3000))) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 or i >= 1000)) for i, _ in rows], "doc_id long, quality int")
+    for bound in (quality_rules.TEXT_BYTES, 10_000):
+        field = quality_rules.train(docs, labels, text_bytes=bound)
+        assert abs(field.weights[1:]).max() > 0.1  # the neutral field has zeros there
+        kept = {x["doc_id"]: x["kept"] for x in quality_rules.judge(docs, field).collect()}
+        assert all(kept[i] == bool(i % 2 or i >= 1000) for i in kept)
+    with pytest.warns(UserWarning):
+        quality_rules.train(docs, labels, text_bytes=10)
+
+
+def test_gradient_of_the_field():
+    """The field's gradient agrees with differences of its likelihood, computed over all labellings."""
+    import itertools
+
+    g = np.random.default_rng(5)
+    x, rows, y = g.normal(size=(9, 3)), np.array([0, 0, 0, 0, 1, 1, 1, 2, 2]), g.integers(0, 2, 9)
+    w, t = g.normal(size=(3, 2)), g.normal(size=(2, 2))
+
+    def likelihood(w, t):
+        total = 0.0
+        for text in range(3):
+            at = np.flatnonzero(rows == text)
+            value = lambda z: sum(x[i] @ w[:, c] for i, c in zip(at, z)) + sum(t[a, b] for a, b in zip(z, z[1:]))
+            total += value(y[at]) - np.logaddexp.reduce([value(z) for z in itertools.product((0, 1), repeat=len(at))])
+        return total
+
+    by_w, by_t = quality_rules.gradient(x, rows, y, w, t)
+    for m, of in ((w, by_w), (t, by_t)):
+        for k in np.ndindex(*m.shape):
+            step = np.zeros_like(m)
+            step[k] = 1e-5
+            up, down = ((likelihood(w + s, t) if m is w else likelihood(w, t + s)) for s in (step, -step))
+            assert math.isclose((up - down) / 2e-5, of[k], rel_tol=1e-4, abs_tol=1e-6)
+
+
 def test_a_path_that_many_share(spark):
     """Forty segments that always stand together do not make all their combinations."""
     path = "/".join(f"s{i:02}" for i in range(40))
