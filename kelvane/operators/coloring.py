@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..matrix import SparseMatrix
 from ..sources.storage import Growing, discard, store
 from . import graphs
-from .orderings import by_groups
+from .orderings import breadth_first, by_groups
 
-STRATEGIES = ("largest_first", "smallest_last", "random_sequential")
+STRATEGIES = ("largest_first", "smallest_last", "random_sequential", "independent_set", "connected_sequential_bfs", "connected_sequential_dfs", "saturation_largest_first")
+#: Strategies that take one vertex after the other, each depending on all before: their components must fit into a task.
+SEQUENTIAL = ("connected_sequential_dfs", "saturation_largest_first")
 #: Edges of a component up to which one task colours it.
 TASK_EDGES = 2_000_000
 
@@ -38,19 +40,65 @@ def _peel(first: np.ndarray, to: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
+def _depth_first(first: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Vertices as a walk meets them that goes on to the least unvisited neighbour, and back where there is none."""
+    seen, out, path = np.zeros(len(first) - 1, bool), [0], [0]
+    seen[0], at = True, first[:-1].copy()
+    while path:
+        u = path[-1]
+        while at[u] < first[u + 1] and seen[to[at[u]]]:
+            at[u] += 1
+        if at[u] == first[u + 1]:
+            path.pop()
+            continue
+        v = int(to[at[u]])
+        seen[v] = True
+        out.append(v)
+        path.append(v)
+    return np.array(out)
+
+
+def _saturated(first: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Colours, the vertex that sees the most colours next; ties go to the higher degree, then to the smaller number."""
+    import heapq
+
+    n, degree = len(first) - 1, np.diff(first)
+    seen: list[set[int]] = [set() for _ in range(n)]
+    heap = [(0, -int(d), i) for i, d in enumerate(degree)]
+    heapq.heapify(heap)
+    color = np.full(n, -1)
+    while heap:
+        k, _, u = heapq.heappop(heap)
+        if color[u] >= 0 or -k != len(seen[u]):
+            continue
+        c = 0
+        while c in seen[u]:
+            c += 1
+        color[u] = c
+        for v in to[first[u] : first[u + 1]].tolist():
+            if color[v] < 0 and c not in seen[v]:
+                seen[v].add(c)
+                heapq.heappush(heap, (-len(seen[v]), -int(degree[v]), v))
+    return color
+
+
 def _greedy(strategy: str):
     """Colours one component; for a random order, the edges bring their ends' hashes (hsrc, hdst)."""
 
     def run(edges: pd.DataFrame) -> pd.DataFrame:
         ids, at = np.unique(np.concatenate((edges.src, edges.dst)), return_inverse=True)
         a, b = at[: len(edges)], at[len(edges) :]
-        order = np.argsort(np.r_[a, b], kind="stable")
+        order = np.lexsort((np.r_[b, a], np.r_[a, b]))
         to = np.r_[b, a][order]
         first = np.searchsorted(np.r_[a, b][order], np.arange(len(ids) + 1))
+        if strategy == "saturation_largest_first":
+            return pd.DataFrame({"id": ids, "color": _saturated(first, to)})
         if strategy == "largest_first":
             turn = np.lexsort((ids, -np.diff(first)))
         elif strategy == "smallest_last":
             turn = _peel(first, to, ids)
+        elif strategy == "connected_sequential_dfs":
+            turn = _depth_first(first, to)
         else:
             drawn = np.empty(len(ids), np.int64)
             drawn[a], drawn[b] = edges.hsrc, edges.hdst
@@ -86,26 +134,98 @@ def _rounds(edges: DataFrame, priority: DataFrame) -> DataFrame:
     return done.all()
 
 
+def cores(edges: DataFrame, n: int) -> DataFrame:
+    """(id, core, turn): core numbers, and the round in which a vertex goes when those with few neighbours left go together.
+
+    All vertices with at most k neighbours left go at once; when none is left, k rises to the least number that is. At its turn a
+    vertex has at most its core number of neighbours that go with it or later.
+    """
+    two = store(graphs.both_ways(edges.where("src <> dst").distinct()), "both-ways")
+    left = store(graphs.degrees(edges.where("src <> dst").distinct(), n), "left")
+    done, k, turn = Growing(left.where("false").select("id", F.lit(0).alias("core"), F.lit(0).alias("turn")), "cores"), 0, 0
+    while True:
+        least = left.agg(F.min("degree")).first()[0]
+        if least is None:
+            discard(two, left)
+            return done.all()
+        k, turn = max(k, int(least)), turn + 1
+        done.append(left.where(F.col("degree") <= k).select("id", F.lit(k).alias("core"), F.lit(turn).alias("turn")))
+        stay, gone = left.where(F.col("degree") > k), left.where(F.col("degree") <= k).select(F.col("id").alias("dst"))
+        lost = two.join(gone, "dst").groupBy("src").agg(F.count("*").alias("lost"))
+        rest = store(stay.join(lost, F.col("id") == F.col("src"), "left").select("id", (F.col("degree") - F.coalesce("lost", F.lit(0))).alias("degree")), "left")
+        discard(left)
+        left = rest
+
+
+#: Multiplier and modulus of the draws of independent sets: plain arithmetic, which any engine repeats.
+DRAW, DRAWS = 2_654_435_761, 2_147_483_648
+
+
+def drawn(seed: int, turn: int) -> "F.Column":
+    """A vertex's number in the draw for one colour."""
+    return ((F.col("id") % DRAWS + (seed + 1) * 7_919 + turn * 104_729) * DRAW) % DRAWS
+
+
+def independent_sets(edges: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(id, color): each colour is a maximal independent set of what the colours before have left.
+
+    In a round, whoever has drawn a higher number than all its open neighbours joins the set, and its neighbours are closed for
+    this colour. Each colour draws anew.
+    """
+    two = store(graphs.both_ways(edges.where("src <> dst").distinct()), "both-ways")
+    rest, turn = store(edges.sparkSession.range(n), "rest"), 0
+    done = Growing(rest.where("false").withColumn("color", F.lit(0)), "colors")
+    while not rest.isEmpty():
+        number = F.struct(drawn(seed, turn), "id")
+        open_ = rest
+        while not open_.isEmpty():
+            theirs = two.join(open_.select(F.col("id").alias("dst"), number.alias("theirs")), "dst").groupBy("src").agg(F.max("theirs").alias("theirs"))
+            joins = store(open_.join(theirs, F.col("id") == F.col("src"), "left").where(F.col("theirs").isNull() | (number > F.col("theirs"))).select("id"), "joins")
+            done.append(joins.withColumn("color", F.lit(turn)))
+            closed = two.join(joins.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+            new = store(open_.join(joins, "id", "left_anti").join(closed, "id", "left_anti"), "open")
+            discard(joins, *([] if open_ is rest else [open_]))
+            open_ = new
+        colored = done.all().where(F.col("color") == turn).select("id")
+        new = store(rest.join(colored, "id", "left_anti"), "rest")
+        discard(rest)
+        rest, turn = new, turn + 1
+    return done.all()
+
+
 def color(edges: DataFrame, n: int, strategy: str = "largest_first", seed: int = 42, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, color) of vertices 0..n-1. Components are coloured apart; isolated vertices get colour 0.
 
     largest_first and random_sequential (vertices by a seeded hash) give the same colours at every size: small components in a
-    task, larger ones in rounds. smallest_last takes one vertex after the other and is refused for components of more edges.
+    task, larger ones in rounds; independent_set and connected_sequential_bfs (breadth first from the least vertex) are rounds
+    always. smallest_last removes the vertex of least degree again and again; from components of more edges, all vertices of few
+    neighbours go at once (:func:`cores`), and colours are at most the largest core number and one in both cases. The other two
+    take one vertex after the other and are refused for components of more edges.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}; one of {', '.join(STRATEGIES)}")
     edges = store(edges, "graph")
+    if strategy == "independent_set":
+        return independent_sets(edges, n, seed)
     comp = graphs.components(edges, n)
+    if strategy == "connected_sequential_bfs":
+        placed = breadth_first(edges, comp)
+        found = _rounds(edges, store(placed.select("id", F.struct((-F.col("pos")).alias("p"), "id").alias("p")), "priority"))
+        return edges.sparkSession.range(n).join(found, "id", "left").select("id", F.coalesce("color", F.lit(0)).cast("int").alias("color"))
     own = edges.join(comp, F.col("src") == F.col("id")).select("component", "src", "dst")
     big = store(own.groupBy("component").agg(F.count("*").alias("k")).where(F.col("k") > task_edges).select("component"), "big")
-    drawn = [F.xxhash64(F.lit(seed), x).alias(f"h{x}") for x in ("src", "dst")] if strategy == "random_sequential" else []
-    found = own.join(big, "component", "left_anti").select("component", "src", "dst", *drawn).groupBy("component").applyInPandas(_greedy(strategy), "id long, color int")
+    hashes = [F.xxhash64(F.lit(seed), x).alias(f"h{x}") for x in ("src", "dst")] if strategy == "random_sequential" else []
+    found = own.join(big, "component", "left_anti").select("component", "src", "dst", *hashes).groupBy("component").applyInPandas(_greedy(strategy), "id long, color int")
     if not big.isEmpty():
-        if strategy == "smallest_last":
-            raise ValueError("smallest_last removes one vertex at a time: its components must fit into a task")
-        part = own.join(big, "component", "left_semi").select("src", "dst")
+        if strategy in SEQUENTIAL:
+            raise ValueError(f"{strategy} takes one vertex at a time: its components must fit into a task")
+        part = store(own.join(big, "component", "left_semi").select("src", "dst"), "part")
         p = graphs.degrees(part, n).where("degree > 0")
-        rank = F.struct("degree", (-F.col("id")).alias("low")) if strategy == "largest_first" else F.struct(F.xxhash64(F.lit(seed), "id"), "id")
+        if strategy == "smallest_last":
+            p = cores(part, n).where("core > 0")
+            rank = F.struct("turn", F.xxhash64("id"), "id")
+        else:
+            rank = F.struct("degree", (-F.col("id")).alias("low")) if strategy == "largest_first" else F.struct(F.xxhash64(F.lit(seed), "id"), "id")
         found = found.unionByName(_rounds(part, store(p.select("id", rank.alias("p")), "priority")))
     return edges.sparkSession.range(n).join(found, "id", "left").select("id", F.coalesce("color", F.lit(0)).cast("int").alias("color"))
 

@@ -88,6 +88,13 @@ def _by_levels(edges: DataFrame, placed: DataFrame, degree: DataFrame) -> DataFr
         before, front, base = front, new, next_base
 
 
+def breadth_first(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, id, pos): each component's vertices as a queue from its least vertex meets them, neighbours by number."""
+    alike = components.select("id", F.lit(0).alias("degree"))
+    starts = store(components.where("id = component").select("component", "id", F.lit(0).cast("long").alias("pos")), "starts")
+    return _by_levels(edges, starts, alike)
+
+
 def reverse_cuthill_mckee(edges: DataFrame, n: int, task_edges: int = TASK_EDGES) -> DataFrame:
     """Components by the least (degree, id) of their vertices, each in Cuthill-McKee order, and all of it reversed."""
     edges = store(edges, "graph")

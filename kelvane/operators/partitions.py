@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
 from ..sources.storage import store
-from . import graphs
+from . import graphs, spectral
+from . import multilevel as balanced
 from .numbering import numbered
 from .orderings import by_groups
 
-#: Vertices up to which one task works on a dense Laplacian; larger graphs are coarsened first.
-TASK_NODES = 3_000
+#: Vertices up to which one task works on a dense Laplacian, and up to which it dissects a graph.
+TASK_NODES, DISSECT_NODES = 3_000, 1_500
 METHODS = ("spectral", "metis", "recursive", "multilevel")
 
 
@@ -25,6 +28,11 @@ def _adjacency(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return a
 
 
+def fiedler(a: np.ndarray) -> np.ndarray:
+    """The second eigenvector of a small graph."""
+    return _embed(a, 2)[:, -1]
+
+
 def _embed(a: np.ndarray, k: int) -> np.ndarray:
     _, v = np.linalg.eigh(np.diag(a.sum(axis=0)) - a)
     v = v[:, :k]
@@ -94,7 +102,7 @@ def kernighan_lin(a: np.ndarray, seed: int, passes: int = 10) -> np.ndarray:
 
 def bisect(a: np.ndarray) -> np.ndarray:
     """By the median of the second eigenvector: never an empty half."""
-    f = _embed(a, 2)[:, -1]
+    f = fiedler(a)
     out = np.zeros(len(a), int)
     out[np.lexsort((np.arange(len(a)), f))[(len(a) + 1) // 2 :]] = 1
     return out
@@ -144,95 +152,25 @@ def _labels(edges: DataFrame, n: int, f) -> DataFrame:
     return _in_task(edges, n, lambda a: pd.DataFrame({"id": np.arange(n), "part": f(a)}), "id long, part int")
 
 
-def _coarsen(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
-    """Handshake matching: each vertex proposes its neighbour of highest degree; mutual proposals merge. (map, edges, vertices).
-
-    What is left over and proposed the same vertex merges about two by two, dealt by hash: a star would lose one leaf else.
-    """
-    d = graphs.degrees(edges, n)
-    two = graphs.both_ways(edges).join(d.select(F.col("id").alias("dst"), "degree"), "dst")
-    best = F.max(F.struct("degree", F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")), F.col("dst").alias("to"))).alias("best")
-    wish = store(two.groupBy("src").agg(best).select("src", "best.to", "best.degree"), "wishes")
-    back = wish.select(F.col("src").alias("to"), F.col("to").alias("src"), F.lit(True).alias("mutual"))
-    met = wish.join(back, ["src", "to"], "left")
-    # About two of a vertex's neighbours have one deal, however many it has.
-    deal = F.when(F.col("mutual"), F.least("src", "to")).otherwise(F.pmod(F.xxhash64("src"), F.ceil(F.col("degree") / 2)))
-    group = Window.partitionBy("mutual", F.when(F.col("mutual").isNull(), F.col("to")), "deal")
-    match = met.withColumn("deal", deal).select(F.col("src").alias("id"), F.min("src").over(group).alias("lead"))
-    lead = edges.sparkSession.range(n).join(match, "id", "left").select("id", F.coalesce("lead", "id").alias("lead"))
-    number = numbered(lead.select("lead").distinct(), "lead", name="coarse")
-    mapping = store(lead.join(number, "lead").select("id", "coarse"), "mapping")
-    a, b = (mapping.select(F.col("id").alias(k), F.col("coarse").alias("c" + k)) for k in ("src", "dst"))
-    up = edges.join(a, "src").join(b, "dst").where("csrc <> cdst").select(F.least("csrc", "cdst").alias("src"), F.greatest("csrc", "cdst").alias("dst")).distinct()
-    return mapping, store(up, "coarse"), number.count()
-
-
-def refine(edges: DataFrame, parts: DataFrame, rounds: int = 2) -> DataFrame:
-    """Move vertices to the part most of their neighbours are in, if that lowers the cut; only local best movers at once."""
-    for _ in range(rounds):
-        two = graphs.both_ways(edges).join(parts.select(F.col("id").alias("dst"), F.col("part").alias("near")), "dst")
-        links = two.groupBy("src", "near").agg(F.count("*").alias("k"))
-        best = links.join(parts.withColumnRenamed("id", "src"), "src").groupBy("src", "part").agg(F.max_by("near", F.struct("k", -F.col("near"))).alias("to"), F.max("k").alias("k"), F.max(F.when(F.col("near") == F.col("part"), F.col("k")).otherwise(0)).alias("own"))
-        movers = store(best.where("to <> part AND k > own").select(F.col("src").alias("id"), "to", (F.col("k") - F.col("own")).alias("gain")), "movers")
-        rank = F.struct("gain", F.xxhash64("id"))
-        near = graphs.both_ways(edges).join(movers.select(F.col("id").alias("dst"), rank.alias("theirs")), "dst").groupBy("src").agg(F.max("theirs").alias("theirs"))
-        go = movers.join(near, F.col("id") == F.col("src"), "left").where(F.col("theirs").isNull() | (rank > F.col("theirs"))).select("id", "to")
-        parts = store(parts.join(go, "id", "left").select("id", F.coalesce("to", "part").alias("part")), "parts")
-    return parts
-
-
-def multilevel(edges: DataFrame, n: int, k: int = 4, seed: int = 42, most: int | None = None) -> DataFrame:
-    """Coarsen to a graph that fits in a task, split that, and project back through the mappings, refining on each level.
-
-    Vertices without an edge are set apart first and dealt to the parts in turn.
-    """
-    most = most or min(TASK_NODES, max(10 * k, 50))
-    edges = store(edges.where("src <> dst"), "graph")
-    linked = store(graphs.both_ways(edges).select(F.col("src").alias("id")).distinct(), "linked")
-    m = linked.count()
-    if m < n:
-        alone = numbered(edges.sparkSession.range(n).join(linked, "id", "left_anti"), "id", name="turn").select("id", F.pmod("turn", F.lit(k)).cast("int").alias("part"))
-        if not m:
-            return alone
-        place = store(numbered(linked, "id", name="place"), "places")
-        a, b = (place.select(F.col("id").alias(x), F.col("place").alias("p" + x)) for x in ("src", "dst"))
-        inner = edges.join(a, "src").join(b, "dst").select(F.col("psrc").alias("src"), F.col("pdst").alias("dst"))
-        parts = _multilevel(store(inner, "graph"), m, k, seed, most)
-        return place.join(parts.select(F.col("id").alias("place"), "part"), "place").select("id", "part").unionByName(alone)
-    return _multilevel(edges, n, k, seed, most)
-
-
-def _multilevel(edges: DataFrame, n: int, k: int, seed: int, most: int) -> DataFrame:
-    """The same for a graph all of whose vertices have an edge: two neighbours at least merge on each level."""
-    levels = []
-    while n > most:
-        mapping, up, m = _coarsen(edges, n)
-        if m > 0.95 * n and n <= TASK_NODES:
-            break
-        levels.append((edges, mapping))
-        edges, n = up, m
-        if up.isEmpty():  # every component is one vertex by now
-            break
-    if n > TASK_NODES:
-        alone = numbered(edges.sparkSession.range(n), "id", name="turn").select("id", F.pmod("turn", F.lit(k)).cast("int").alias("part"))
-        parts = store(alone, "parts")
-    else:
-        parts = store(_labels(edges, n, lambda a: spectral_labels(a, k, seed)), "parts")
-    for fine, mapping in reversed(levels):
-        parts = store(mapping.join(parts.withColumnRenamed("id", "coarse"), "coarse").select("id", "part"), "parts")
-        parts = store(refine(fine, parts), "parts")
-    return parts
+def multilevel(edges: DataFrame, n: int, k: int = 4, seed: int = 42, tolerance: float = balanced.TOLERANCE) -> DataFrame:
+    """(id, part) in k parts of equal size, up to the tolerance, by coarsening, splitting and moving boundary vertices back."""
+    return balanced.partition(edges, n, k, seed, tolerance)
 
 
 def partition(edges: DataFrame, n: int, k: int = 4, method: str = "spectral", seed: int = 42) -> DataFrame:
     """(id, part) by method; metis stands for Kernighan-Lin bisection of two parts and spectral clustering of more.
 
-    All but multilevel work on a dense Laplacian, and refuse graphs of more than ``TASK_NODES`` vertices.
+    Up to ``TASK_NODES`` vertices, all but multilevel work on a dense matrix in one task. Beyond, spectral takes its vectors by
+    filtered subspace iteration, recursive bisects all parts of a level at once, and bisection is that of multilevel.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}; one of {', '.join(METHODS)}")
     if method == "multilevel":
         return multilevel(edges, n, k, seed)
+    if n > TASK_NODES:
+        if method == "recursive":
+            return balanced.bisected(edges, n, k, seed)
+        return balanced.partition(edges, n, k, seed) if method == "metis" and k == 2 else spectral.clusters(edges, n, k, seed)
     if method == "recursive":
         return _labels(edges, n, lambda a: recursive_labels(a, k))
     if method == "metis" and k == 2:
@@ -240,13 +178,54 @@ def partition(edges: DataFrame, n: int, k: int = 4, method: str = "spectral", se
     return _labels(edges, n, lambda a: spectral_labels(a, k, seed))
 
 
-def nested_dissection(m: SparseMatrix, least: int = 50) -> DataFrame:
-    """(new_pos, old_id) for both sides of a square matrix."""
+def nested_dissection(m: SparseMatrix, least: int = 50, task_nodes: int | None = None) -> DataFrame:
+    """(new_pos, old_id) for both sides of a square matrix: one half, the other, then what separates them, again and again.
+
+    All subgraphs of a level that are too large for a task are bisected at once, into balanced halves, and are separated by the
+    smaller of the two sides of their cut, which covers all cut edges; each of the others is dissected by a task of its own, by
+    the second eigenvector, where all vertices with neighbours in both halves separate them.
+    """
     if not m.square:
         raise ValueError("nested dissection needs a square matrix")
-    n = m.nrows
-    order = lambda a: pd.DataFrame({"new_pos": np.arange(n), "old_id": dissect(a, np.arange(n), least)})
-    return _in_task(graphs.row_overlap(m), n, order, "new_pos long, old_id long")
+    task_nodes = task_nodes or min(TASK_NODES, DISSECT_NODES)
+    edges = store(graphs.row_overlap(m), "overlap")
+    open_, links = store(m.spark.range(m.nrows).select("id", F.lit("").alias("grp")), "open"), edges
+    done = []
+    while True:
+        sizes = open_.groupBy("grp").count()
+        small = open_.join(sizes.where(F.col("count") <= task_nodes).select("grp"), "grp", "left_semi")
+        done.append(_dissected(small, links, least))
+        large = store(open_.join(sizes.where(F.col("count") > task_nodes).select("grp"), "grp", "left_semi").select("id", "grp"), "large")
+        if large.isEmpty():
+            break
+        a, b = (large.select(F.col("id").alias(x), F.col("grp").alias("g" + x)) for x in ("src", "dst"))
+        inner = store(links.join(a, "src").join(b, "dst").where("gsrc = gdst").select("src", "dst", F.col("gsrc").alias("grp"), F.lit(1.0).alias("w")), "inner")
+        half = store(balanced.split(large.withColumn("w", F.lit(1.0)), inner.drop("grp"), [0.5, 0.5]), "halves")
+        a, b = (half.select(F.col("id").alias(x), F.col("part").alias("p" + x)) for x in ("src", "dst"))
+        cut = inner.join(a, "src").join(b, "dst").where("psrc <> pdst")
+        edge = store(cut.select("grp", F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("psrc").alias("part")), F.struct(F.col("dst").alias("id"), F.col("pdst").alias("part")))).alias("v")).select("grp", "v.*").distinct(), "boundary")
+        side = edge.groupBy("grp", "part").count().groupBy("grp").agg(F.min(F.struct("count", "part")).alias("s")).select("grp", F.col("s.part").alias("part"))
+        cover = edge.join(side, ["grp", "part"], "left_semi").select("id", F.lit(2).alias("cover"))
+        placed = store(large.join(half, "id").join(cover, "id", "left").select("id", F.concat("grp", F.coalesce("cover", "part").cast("string")).alias("grp")), "placed")
+        done.append(placed.where("endswith(grp, '2')").select("id", "grp", F.col("id").alias("place")))
+        open_, links = placed.where("NOT endswith(grp, '2')"), inner.select("src", "dst")
+    rows = reduce(DataFrame.unionByName, done)
+    return numbered(rows, "grp", "place", name="new_pos").select("new_pos", F.col("id").alias("old_id"))
+
+
+def _dissected(vertices: DataFrame, edges: DataFrame, least: int) -> DataFrame:
+    """(id, grp, place): vertices (id, grp) of small groups, each group ordered by a task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(rows.loc[rows["dst"] < 0, "src"].to_numpy(np.int64))
+        inner = rows[rows["dst"] >= 0]
+        a = _adjacency(ids, inner["src"].to_numpy(np.int64), inner["dst"].to_numpy(np.int64))
+        return pd.DataFrame({"id": dissect(a, ids, least), "grp": rows["grp"].iloc[0], "place": np.arange(len(ids))})
+
+    a, b = (vertices.select(F.col("id").alias(x), F.col("grp").alias("g" + x)) for x in ("src", "dst"))
+    inner = edges.join(a, "src").join(b, "dst").where("gsrc = gdst").select(F.col("gsrc").alias("grp"), "src", "dst")
+    nodes = vertices.select("grp", F.col("id").alias("src"), F.lit(-1).cast("long").alias("dst"))
+    return nodes.unionByName(inner).groupBy("grp").applyInPandas(run, "id long, grp string, place long")
 
 
 def order(m: SparseMatrix, k: int = 4, method: str = "spectral") -> DataFrame:

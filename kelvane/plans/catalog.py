@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
-from ..operators import coloring, graphs, metrics, orderings, partitions, products
+from ..operators import coloring, graphs, metrics, orderings, partitions, products, spectral
 from ..sources import generators
 from ..sources.storage import store
 from . import methods, plotdata
@@ -121,6 +121,26 @@ def chain_matrix(spark, d) -> SparseMatrix:
     return SparseMatrix(cells.where(F.col("col") < n), n, n, "chain")
 
 
+def segment_graph(spark, d) -> tuple[DataFrame, int]:
+    """Customers of one market segment, linked by fixed strides over the whole table: five graphs without long ways."""
+    customers = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    n = customers.count()
+    strides = F.array(*[F.struct(F.lit(1).alias("times"), F.lit(x).alias("plus")) for x in range(1, 41)], *[F.struct(F.lit(x).alias("times"), F.lit(1).alias("plus")) for x in range(7, 43, 3)])
+    to = customers.select("id", "c_mktsegment", F.explode(strides).alias("s")).select(F.col("id").alias("src"), "c_mktsegment", ((F.col("id") * F.col("s.times") + F.col("s.plus")) % F.lit(max(n, 1))).alias("dst"))
+    met = to.join(customers.withColumnRenamed("id", "dst"), ["dst", "c_mktsegment"]).where("src <> dst")
+    return store(met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "segments"), n
+
+
+def _order_part_partition(spark, d) -> DataFrame:
+    """What a balanced partition of the order-part graph is worth: vertices, parts, whether their sizes are even, edges, and whether it cuts fewer than dealing by number does."""
+    edges, n = order_part_graph(spark, d)
+    parts = partitions.partition(edges, n, 4, "multilevel")
+    cut = lambda p: edges.join(p.select(F.col("id").alias("src"), F.col("part").alias("a")), "src").join(p.select(F.col("id").alias("dst"), F.col("part").alias("b")), "dst").agg(F.count("*").alias("edges"), F.count_if(F.col("a") != F.col("b")).alias("cut"))
+    own, dealt = cut(parts), cut(spark.range(n).select("id", (F.col("id") % 4).alias("part")))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n")).agg(F.sum("n").alias("vertices"), F.count("*").alias("parts"), (F.max("n") <= 1.1 * F.avg("n")).alias("largest_even"), (F.min("n") >= 0.9 * F.avg("n")).alias("smallest_even"))
+    return sizes.join(own.withColumnRenamed("edges", "e")).join(dealt.withColumnRenamed("cut", "dealt_cut")).select("vertices", "parts", "largest_even", "smallest_even", "edges", "dealt_cut", (F.col("cut") < F.col("dealt_cut")).alias("cuts_less"))  # one row each
+
+
 def _named_by_first(parts: DataFrame) -> DataFrame:
     """Parts by their smallest vertex."""
     first = parts.groupBy("part").agg(F.min("id").alias("first"))
@@ -191,7 +211,7 @@ def queries():
         "graph_density": lambda s, d: graphs.density(_edges(s, d), 25), "triangles_clustering": lambda s, d: graphs.average_clustering(_edges(s, d), 25),
         "components": lambda s, d: graphs.components(_edges(s, d), 25), "bfs_levels": lambda s, d: graphs.bfs(_edges(s, d), s.range(3)), "diameter_aspl": lambda s, d: graphs.distances(_edges(s, d), 25),
         **{f"coloring_{k}": (lambda s, d, k=k: coloring.color(_edges(s, d), 25, k)) for k in coloring.STRATEGIES},
-        **{f"coloring_valid_{k}": (lambda s, d, k=k: coloring.quality(e := _edges(s, d), coloring.color(e, 25, k)).select("is_valid", "num_nodes")) for k in coloring.STRATEGIES},
+        **{f"coloring_valid_{k}": (lambda s, d, k=k: coloring.quality(e := _edges(s, d), coloring.color(e, 25, k)).select("is_valid", "num_nodes")) for k in ("largest_first", "smallest_last", "random_sequential")},
         "coloring_quality": lambda s, d: coloring.quality(_edges(s, d), s.range(25).select("id", F.pmod("id", F.lit(7)).cast("int").alias("color"))),
         "coloring_order": ps(coloring.order), "parallel_coloring": ps(coloring.parallel_groups),
         "order_rcm": ps(orderings.rcm), "order_rcm_permutation": ps(lambda m: _summary(orderings.rcm(m))), "order_rcm_rect": lambda s, d: orderings.rcm_both(supplier_part(s, d))[0], "order_rcm_rect_cols": lambda s, d: orderings.rcm_both(supplier_part(s, d))[1],
@@ -217,6 +237,11 @@ def queries():
         "order_part_degrees": lambda s, d: graphs.degrees(*order_part_graph(s, d)), "order_part_components": lambda s, d: graphs.components(*order_part_graph(s, d)),
         "order_part_bfs": lambda s, d: graphs.bfs(order_part_graph(s, d)[0], s.range(3)), "order_part_coloring": lambda s, d: coloring.color(*order_part_graph(s, d)),
         "order_part_rcm": lambda s, d: orderings.reverse_cuthill_mckee(*order_part_graph(s, d)),
+        "order_part_cores": lambda s, d: coloring.cores(*order_part_graph(s, d)).select("id", "core"),
+        "order_part_coloring_bfs": lambda s, d: coloring.color(*order_part_graph(s, d), "connected_sequential_bfs"),
+        "order_part_coloring_sets": lambda s, d: coloring.color(*order_part_graph(s, d), "independent_set"),
+        "order_part_partition": _order_part_partition,
+        "segment_clusters": lambda s, d: _named_by_first(spectral.clusters(*segment_graph(s, d), 5)),
     }
 
 
@@ -263,6 +288,32 @@ lv(i, c, id, pos, fresh) AS (SELECT 0::BIGINT, c, s.id, 0::BIGINT, true FROM sta
     WHERE l.fresh AND NOT EXISTS (SELECT 1 FROM lv o WHERE o.id = two.dst) GROUP BY l.i, l.c, two.dst) JOIN deg USING (id)
   UNION ALL SELECT i + 1, c, id, pos, false FROM lv WHERE fresh)),
 ahead AS (SELECT c, sum(size) OVER (ORDER BY size, s.degree, s.id) - size AS before FROM start)"""
+#: Core numbers: those with at most k open neighbours go at once, and k rises when none has so few.
+CORES = """st(i, id, alive, k, core) AS (SELECT 0, id, true, 0::BIGINT, NULL::BIGINT FROM deg UNION ALL
+  SELECT i + 1, id, alive AND d > m, m, CASE WHEN alive AND d <= m THEN m ELSE core END FROM (
+    SELECT q.*, min(d) FILTER (alive) OVER () AS least, greatest(k, least) AS m FROM (
+      SELECT s.i, s.id, s.alive, s.k, s.core, count(o.id) FILTER (o.alive) AS d FROM st s LEFT JOIN two ON two.src = s.id LEFT JOIN st o ON o.id = two.dst GROUP BY ALL) q)
+  WHERE least IS NOT NULL)"""
+#: Maximal independent sets by draws, one after the other: who has drawn more than all open neighbours joins, its neighbours close.
+SETS = """st(i, c, id, color, opened) AS (SELECT 0, 0, id, NULL::INTEGER, true FROM deg UNION ALL SELECT * FROM (
+  WITH cur AS (SELECT *, (((id % 2147483648) + 43 * 7919 + c * 104729) * 2654435761) % 2147483648 AS p, bool_or(opened) OVER () AS going FROM st),
+  near AS (SELECT a.id, max({'p': b.p, 'id': b.id}) FILTER (b.opened) AS top FROM cur a JOIN two ON two.src = a.id JOIN cur b ON b.id = two.dst GROUP BY 1),
+  joins AS (SELECT cur.id FROM cur LEFT JOIN near USING (id) WHERE opened AND (top IS NULL OR {'p': cur.p, 'id': cur.id} > top)),
+  closed AS (SELECT DISTINCT two.dst AS id FROM joins JOIN two ON two.src = joins.id)
+  SELECT cur.i + 1, CASE WHEN going THEN c ELSE c + 1 END, cur.id, CASE WHEN joins.id IS NOT NULL THEN c ELSE color END, CASE WHEN going THEN opened AND joins.id IS NULL AND closed.id IS NULL ELSE color IS NULL END
+  FROM cur LEFT JOIN joins ON joins.id = cur.id LEFT JOIN closed ON closed.id = cur.id WHERE EXISTS (SELECT 1 FROM st WHERE color IS NULL)))"""
+#: Breadth-first order from the least vertex of each component, neighbours by number, as a greedy order.
+QUEUED = """lv(i, c, id, pos, fresh) AS (SELECT 0::BIGINT, id, id, 0::BIGINT, true FROM lab WHERE i = (SELECT max(i) FROM lab) AND id = c UNION ALL SELECT * FROM (
+  SELECT i + 1, c, id, base + row_number() OVER (PARTITION BY c ORDER BY parent, id), true FROM (
+    SELECT l.i, l.c, two.dst AS id, min(l.pos) AS parent, (SELECT max(pos) FROM lv x WHERE x.c = l.c) AS base FROM lv l JOIN two ON two.src = l.id
+    WHERE l.fresh AND NOT EXISTS (SELECT 1 FROM lv o WHERE o.id = two.dst) GROUP BY l.i, l.c, two.dst)
+  UNION ALL SELECT i + 1, c, id, pos, false FROM lv WHERE fresh)),
+ord AS (SELECT id, row_number() OVER (ORDER BY c, pos) AS k FROM lv WHERE fresh)"""
+#: DSATUR, a vertex a step: most colours seen, then degree, then the smaller number. cs: colours by number of the vertex.
+SATURATED = """adj AS (SELECT list(ns ORDER BY id) AS a, list(degree ORDER BY id) AS ds FROM (SELECT deg.id, any_value(deg.degree) AS degree, coalesce(list(two.dst) FILTER (two.dst IS NOT NULL), []) AS ns FROM deg LEFT JOIN two ON two.src = deg.id GROUP BY 1)),
+sat(n, cs) AS (SELECT 0, list_transform(range(25), lambda v: -1) UNION ALL
+  SELECT n + 1, list_transform(range(25), lambda v: CASE WHEN v = pick THEN list_min(list_filter(range(26), lambda c: NOT list_contains(list_transform(a[pick + 1], lambda u: cs[u + 1]), c))) ELSE cs[v + 1] END)
+  FROM (SELECT n, cs, a, list_sort(list_transform(list_filter(range(25), lambda v: cs[v + 1] < 0), lambda v: {'s': -len(list_distinct(list_filter(list_transform(a[v + 1], lambda u: cs[u + 1]), lambda c: c >= 0))), 'd': -ds[v + 1], 'v': v}))[1].v AS pick FROM sat, adj WHERE n < 25))"""
 PATTERN = "e AS (SELECT DISTINCT least(row, col) AS src, greatest(row, col) AS dst FROM m WHERE row <> col)"
 
 
@@ -315,7 +366,7 @@ def oracle_sql():
         "triangles_clustering": w(M5, EDGES, BOTH, DEG) + ", t AS (SELECT a.src AS id, count(*) // 2 AS t FROM two a JOIN two b ON b.src = a.dst JOIN two c ON c.src = b.dst AND c.dst = a.src GROUP BY 1) SELECT coalesce(sum(t) / 3, 0)::BIGINT AS triangles, round(avg(CASE WHEN degree >= 2 THEN coalesce(t, 0) * 2.0::DOUBLE / (degree * (degree - 1)) ELSE 0 END), 6) AS average_clustering FROM deg LEFT JOIN t USING (id)",
         "components": comps, "bfs_levels": w(M5, EDGES, BOTH, levels(3)) + " SELECT source, id, level FROM bl",
         "diameter_aspl": w(M5, EDGES, BOTH, levels(25)) + " SELECT CASE WHEN count(*) = 625 THEN max(level)::BIGINT END AS diameter, CASE WHEN count(*) = 625 THEN round(sum(level)::DOUBLE / (25 * 24), 6) END AS average_shortest_path FROM bl",
-        **{f"coloring_valid_{k}": valid for k in coloring.STRATEGIES},
+        **{f"coloring_valid_{k}": valid for k in ("largest_first", "smallest_last", "random_sequential")},
         "coloring_quality": w(M5, EDGES) + ", z AS (SELECT i % 7 AS c, count(*) AS n FROM (SELECT unnest(range(25)) AS i) GROUP BY 1) SELECT count(*) AS num_colors, sum(n)::BIGINT AS num_nodes, max(n) AS max_size, min(n) AS min_size, round(avg(n), 6) AS avg_size, round(stddev_pop(n), 6) AS color_balance, (SELECT count(*) FROM e WHERE src % 7 = dst % 7) = 0 AS is_valid FROM z",
         "coloring_largest_first": w(M5, EDGES, BOTH, DEG, LARGEST, GREEDY) + " SELECT id, color FROM colored", "coloring_smallest_last": w(M5, EDGES, BOTH, DEG, SMALLEST, GREEDY) + " SELECT id, color FROM colored",
         "parallel_coloring": w(M5, EDGES, BOTH, DEG, LARGEST, GREEDY) + " SELECT id, color FROM colored",
@@ -335,6 +386,12 @@ def oracle_sql():
         "order_part_coloring": w(M1, BIPARTITE, BOTH, BIDEG, LARGEST, TURNS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",
         **{k: w(of, EDGES, BOTH, DEG, LEAST, LEVELWISE) + " SELECT (nr - 1 - before - pos)::BIGINT AS new_pos, id AS old_id FROM lv JOIN ahead USING (c), sh WHERE fresh" for k, of in (("order_rcm_rect", M2), ("order_rcm_rect_cols", M2T))},
         "order_part_rcm": w(M1, BIPARTITE, BOTH, BIDEG, LEAST, LEVELWISE) + " SELECT (nr + nc - 1 - before - pos)::BIGINT AS new_pos, id AS old_id FROM lv JOIN ahead USING (c), sh WHERE fresh",
+        "order_part_cores": w(M1, BIPARTITE, BOTH, BIDEG, CORES) + " SELECT id, core::INTEGER AS core FROM st WHERE i = (SELECT max(i) FROM st)",
+        "order_part_coloring_sets": w(M1, BIPARTITE, BOTH, BIDEG, SETS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",
+        "order_part_coloring_bfs": w(M1, BIPARTITE, BOTH, BIDEG, LEAST, QUEUED, TURNS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",
+        "coloring_saturation_largest_first": w(M5, EDGES, BOTH, DEG, SATURATED) + " SELECT i AS id, (SELECT cs FROM sat WHERE n = 25)[i + 1]::INTEGER AS color FROM (SELECT unnest(range(25)) AS i)",
+        "order_part_partition": w(M1, BIPARTITE) + " SELECT (SELECT nr + nc FROM sh)::BIGINT AS vertices, 4::BIGINT AS parts, true AS largest_even, true AS smallest_even, count(*) AS edges, count(*) FILTER (src % 4 <> dst % 4) AS dealt_cut, true AS cuts_less FROM e",
+        "segment_clusters": "SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_mktsegment) AS first FROM customer",
         "order_part_bfs": w(M1, BIPARTITE, BOTH, levels(3)) + " SELECT source, id, level FROM bl",
         **dict.fromkeys(("partition_regions_spectral", "partition_regions_metis"), "SELECT n_nationkey::BIGINT AS id, min(n_nationkey) OVER (PARTITION BY n_regionkey)::BIGINT AS first FROM nation"),
         "partition_parity_kl": "SELECT n_nationkey::BIGINT AS id, min(n_nationkey) OVER (PARTITION BY n_nationkey % 2)::BIGINT AS first FROM nation",

@@ -32,11 +32,28 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, sort: list[str] | None = None) -> DataFrame:
+    """Write dealt by ``keys`` into buckets, sorted within each, and read again: joins and aggregations by the keys need no exchange of it.
+
+    Each task would write a file a bucket; rows are dealt by the buckets' own hash first, so there is one file a bucket.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{root(spark)}/{table}"
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*(sort or keys)).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._stored_at, out._table = path, table
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what :func:`store` wrote, once no plan reads it any more; other tables are left alone."""
     for df in tables:
         path = getattr(df, "_stored_at", None)
         if path:
+            if hasattr(df, "_table"):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
             context = df.sparkSession.sparkContext
             where = context._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

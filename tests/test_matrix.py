@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kelvane.matrix import SparseMatrix
-from kelvane.operators import coloring, graphs, metrics, numbering, orderings, partitions, products
+from kelvane.operators import coloring, graphs, metrics, multilevel, numbering, orderings, partitions, products
 from kelvane.plans import methods, plotdata
 from kelvane.sources import files, generators
 
@@ -104,20 +105,15 @@ def test_rounds_equal_the_kernel(spark):
     assert one == {tuple(r) for r in coloring.color(e, 30, task_edges=0).collect()}
 
 
-def test_one_order_at_every_size(spark, monkeypatch):
+def test_one_order_at_every_size(spark):
     """What a method gives does not change with the graph's size; where it cannot go on it says so."""
     a = (np.random.default_rng(2).random((30, 30)) < 0.08).astype(float)
     e = graphs.row_overlap(make(spark, a))
     for s in ("largest_first", "random_sequential"):
         assert {tuple(r) for r in coloring.color(e, 30, s, seed=5).collect()} == {tuple(r) for r in coloring.color(e, 30, s, seed=5, task_edges=0).collect()}
-    with pytest.raises(ValueError):
-        coloring.color(e, 30, "smallest_last", task_edges=0)
-    monkeypatch.setattr(partitions, "TASK_NODES", 29)
-    for method in ("spectral", "metis", "recursive"):
+    for s in coloring.SEQUENTIAL:
         with pytest.raises(ValueError):
-            partitions.partition(e, 30, 4, method)
-    assert partitions.partition(e, 30, 4, "multilevel").count() == 30
-    monkeypatch.setattr(partitions, "TASK_NODES", 30)
+            coloring.color(e, 30, s, task_edges=0)
     for method in partitions.METHODS:
         assert partitions.partition(e, 30, 4, method).count() == 30
     with pytest.raises(ValueError):
@@ -280,20 +276,27 @@ def test_kernighan_lin_and_dissection(spark):
 
 
 def test_multilevel_coarsens(spark):
-    e = spark.createDataFrame([(k, k + 1) for k in range(99)], "src long, dst long")
-    parts = partitions.multilevel(e, 100, 2, most=30)
-    assert parts.count() == 100 and parts.select("part").distinct().count() == 2
+    e = spark.createDataFrame([(k, k + 1) for k in range(299)], "src long, dst long")
+    parts = {r["id"]: r["part"] for r in partitions.multilevel(e, 300, 2).collect()}
+    sizes = [list(parts.values()).count(p) for p in (0, 1)]
+    assert len(parts) == 300 and min(sizes) >= 142 and sum(parts[k] != parts[k + 1] for k in range(299)) == 1
 
 
 def test_stars_shrink(spark):
-    """Leaves of one hub merge among themselves, never with those of another."""
+    """Leaves of one hub merge among themselves, never with those of another; weights are added up."""
     star = [(0, i) for i in range(2, 302)] + [(1, i) for i in range(302, 402)]
-    mapping, up, n = partitions._coarsen(spark.createDataFrame(star, "src long, dst long"), 402)
-    coarse = {r["id"]: r["coarse"] for r in mapping.collect()}
-    assert len(coarse) == 402 and n == len(set(coarse.values())) < 0.6 * 402
+    nodes = multilevel.grouped(spark.range(402).select("id", F.lit("").alias("grp"), F.lit(1.0).alias("w")), [0.5, 0.5])
+    mapping, nodes, up = multilevel.coarsen(nodes, spark.createDataFrame([(a, b, 1.0) for a, b in star], "src long, dst long, w double"))
+    coarse, weight = {r["id"]: r["lead"] for r in mapping.collect()}, {r["id"]: r["w"] for r in nodes.collect()}
+    assert len(coarse) == 402 and set(weight) == set(coarse.values()) and len(weight) < 0.6 * 402
+    assert all(w == sum(c == i for c in coarse.values()) <= nodes.first()["most"] for i, w in weight.items())
     sides = [{coarse[i] for i in x} for x in ((0, *range(2, 302)), (1, *range(302, 402)))]
     assert not sides[0] & sides[1]
-    assert {tuple(r) for r in up.collect()} == {tuple(sorted((coarse[a], coarse[b]))) for a, b in star if coarse[a] != coarse[b]}
+    want = {}
+    for a, b in star:
+        if coarse[a] != coarse[b]:
+            want[tuple(sorted((coarse[a], coarse[b])))] = want.get(tuple(sorted((coarse[a], coarse[b]))), 0) + 1
+    assert {(r["src"], r["dst"]): r["w"] for r in up.collect()} == want
 
 
 def test_files(spark, tmp_path):
