@@ -105,7 +105,7 @@ def features(texts: pa.Array) -> np.ndarray:
         x[:, 4] = held(_UPPER) / letters
         x[:, 8] = np.bincount(rows[kinds], minlength=n) / per
         x[:, 9] = np.bincount(rows[again], minlength=n) / per
-        x[:, 10] = 1 - np.bincount(lrow[first], minlength=n) / np.maximum(lines, 1)
+        x[:, 10] = (lines - np.bincount(lrow[first], minlength=n)) / np.maximum(lines, 1)
         x[:, 11] = np.log1p(words / np.maximum(lines, 1))
         x[:, 12] = np.bincount(lrow, _CLOSE[b[l1 - 1]], n) / np.maximum(lines, 1)
         x[:, 13] = np.bincount(rows, (_SYMBOL | _MARK)[b[ends - 1]], n) / per
