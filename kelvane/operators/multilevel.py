@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import discard, store
-from .numbering import running
 
 #: How far a part's weight may lie from its share.
 TOLERANCE = 0.05
 #: Vertices for each part (and 1 / tolerance) at which coarsening of a group ends, and vertices that a task splits at most.
 START, START_MOST = 3, 3_000
 #: Rounds of moves on each level.
-ROUNDS = 3
+ROUNDS = 2
+#: Deals of the moves of one gain into one part.
+DEALS = 64
 _LONG = 2**62
 
 
@@ -185,6 +186,18 @@ def _start_parts(vertices: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
     return nodes.unionByName(links).groupBy("grp").applyInPandas(run, "id long, part int")
 
 
+def _within(go: DataFrame, weight: DataFrame, side: str, bound) -> DataFrame:
+    """Of the moves into (or out of) a part those of the most gain, as far as its bound leaves room; a gain's moves go by a few deals each."""
+    keys = ["grp", side, "gain", "deal"]
+    dealt = go.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(DEALS)))
+    sums = dealt.groupBy(*keys).agg(F.sum("size").alias("flow"))
+    # A row a deal of a gain of a part: aggregated before it is ordered.
+    upto = Window.partitionBy("grp", side).orderBy(F.col("gain").desc(), "deal").rowsBetween(Window.unboundedPreceding, 0)
+    known = weight.select("grp", F.col("part").alias(side), "weight", "lo", "hi")
+    allowed = sums.withColumn("so_far", F.sum("flow").over(upto)).join(known, ["grp", side]).where(F.col("so_far") <= bound + 1e-9)
+    return dealt.join(allowed.select(*keys), keys, "left_semi").drop("deal")
+
+
 def refine(vertices: DataFrame, edges: DataFrame, parts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(id, part) after rounds of moves that lower the cut and keep every part within its bounds."""
     two = store(_twice(edges), "both-ways")
@@ -199,21 +212,14 @@ def refine(vertices: DataFrame, edges: DataFrame, parts: DataFrame, rounds: int
         rank = F.struct("gain", F.xxhash64("id"))
         beside = two.join(movers.select(F.col("id").alias("dst"), rank.alias("theirs")), "dst").groupBy("src").agg(F.max("theirs").alias("theirs"))
         first = movers.join(beside, F.col("id") == F.col("src"), "left").where(F.col("theirs").isNull() | (rank > F.col("theirs")))
-        weight = placed.groupBy("grp", "part").agg(F.sum("w").alias("weight"))
-        go = store(first.select(*movers.columns), "first")
+        weight = placed.groupBy("grp", "part").agg(F.sum("w").alias("weight"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+        go = _within(first.select(*movers.columns), weight, "to", F.get("hi", "to") - F.col("weight"))
+        go = store(_within(go, weight, "part", F.col("weight") - F.get("lo", "part")), "moves")
         if go.isEmpty():
             discard(movers, go)
             break
-        # Into a part and out of it, by gain, only as much as its bounds leave room for.
-        for side, bound in (("to", F.get("hi", "to") - F.col("weight")), ("part", F.col("weight") - F.get("lo", "part"))):
-            sums = running(go, "size", F.col("grp"), F.col(side), F.col("gain").desc(), F.xxhash64("id"), F.col("id"), name="so_far")
-            each = go.groupBy("grp", side).agg(F.sum("size").alias("flow"))
-            before = Window.orderBy("grp", side).rowsBetween(Window.unboundedPreceding, -1)  # a row a part of a group
-            each = each.withColumn("ahead", F.coalesce(F.sum("flow").over(before), F.lit(0.0)))
-            room = each.join(weight.withColumnRenamed("part", side), ["grp", side], "left").fillna(0.0, ["weight"])
-            go = sums.join(room, ["grp", side]).where(F.col("so_far") - F.col("ahead") <= bound + 1e-9).select(*movers.columns)
         new = store(parts.join(go.select("id", "to"), "id", "left").select("id", F.coalesce("to", "part").cast("int").alias("part")), "parts")
-        discard(movers)
+        discard(movers, go)
         parts = new
     return parts
 

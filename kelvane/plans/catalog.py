@@ -184,6 +184,30 @@ def _roundtrip(spark, d) -> DataFrame:
     return files.read_mtx(spark, path).entries
 
 
+def _through_source(spark, d) -> DataFrame:
+    """The order-part matrix written by the data source's tasks and read again by ranges of bytes."""
+    from ..sources import mtx_source, storage
+
+    path = f"{storage.root(spark)}/order-part-{uuid.uuid4().hex}"
+    mtx_source.write(order_part(spark, d), path)
+    return mtx_source.read(spark, path, 1 << 20).entries
+
+
+def _written(spark, d) -> DataFrame:
+    """The supplier-part matrix as one file."""
+    from ..sources import files, storage
+
+    path = f"{storage.root(spark)}/supplier-part-{uuid.uuid4().hex}.mtx"
+    files.write_mtx(supplier_part(spark, d), path.removeprefix("file://"))
+    return files.read_mtx(spark, path).entries
+
+
+def _two_sided(spark, d) -> DataFrame:
+    """Rows and columns of a rectangular matrix, each in its own Cuthill-McKee order."""
+    m = supplier_part(spark, d).stored()
+    return m.gather(*orderings.rcm_both(m)).entries
+
+
 def _generated(pattern: str):
     return lambda s, d: generators.generate(s, 200, 200, 0.05, pattern).entries
 
@@ -228,7 +252,7 @@ def queries():
         "compare_reorderings": _reorderings, "best_method": lambda s, d: methods.ranking(_reorderings(s, d), k=1),
         **{f"gen_{p}": _generated(p) for p in generators.PATTERNS},
         "gen_banded_pattern": lambda s, d: generators.generate(s, 200, 200, 0.05, "banded").entries.select("row", "col"),
-        "mtx_roundtrip": _roundtrip,
+        "mtx_roundtrip": _roundtrip, "mtx_source": _through_source, "mtx_written": _written, "permute_rect": _two_sided,
         "matrix_structure": ep(lambda m: _joined(metrics.structure(m), "row_distribution", "col_distribution")), "graph_properties": _graph_properties,
         "row_value_hist": ps(plotdata.value_sum_histogram), "col_value_hist": ps(lambda m: plotdata.value_sum_histogram(m, "col")),
         "reordering_summary": lambda s, d: methods.summary(_reorderings(s, d)), "reordering_findings": lambda s, d: methods.findings(_reorderings(s, d)), "benchmark_sections": _sections,
@@ -333,6 +357,7 @@ def oracle_sql():
     comps = w(M5, EDGES, BOTH, "reach(id, other) AS (SELECT i, i FROM (SELECT unnest(range(25)) AS i) UNION SELECT reach.id, two.dst FROM reach JOIN two ON two.src = reach.other)") + " SELECT id, min(other) AS component FROM reach GROUP BY 1"
     levels = lambda sources: f"b(source, id, level) AS (SELECT i, i, 0 FROM (SELECT unnest(range({sources})) AS i) UNION SELECT source, two.dst, level + 1 FROM b JOIN two ON two.src = b.id WHERE level < 12), bl AS (SELECT source, id, min(level) AS level FROM b GROUP BY 1, 2)"
     valid = "SELECT true AS is_valid, 25::BIGINT AS num_nodes"
+    rect = lambda of: w(of, EDGES, BOTH, DEG, LEAST, LEVELWISE) + " SELECT (nr - 1 - before - pos)::BIGINT AS new_pos, id AS old_id FROM lv JOIN ahead USING (c), sh WHERE fresh"
     strides = "s AS (SELECT (col - lag(col) OVER (ORDER BY row, col))::DOUBLE AS d FROM m), st AS (SELECT round(sum(abs(d)) / count(d), 6) AS avg_access_stride, round(sqrt(sum(d * d) / count(d) - (sum(d) / count(d)) * (sum(d) / count(d))), 6) AS memory_irregularity FROM s)"
     return {
         "spmv_shuffle": spmv, "spmv_broadcast": spmv, "spmv_blocked": spmv,
@@ -384,8 +409,10 @@ def oracle_sql():
         "order_part_degrees": w(M1, BIPARTITE, BOTH, BIDEG) + " SELECT id, degree FROM deg",
         "order_part_components": w(M1, BIPARTITE, BOTH, BIDEG, LEAST) + " SELECT id, c AS component FROM lab WHERE i = (SELECT max(i) FROM lab)",
         "order_part_coloring": w(M1, BIPARTITE, BOTH, BIDEG, LARGEST, TURNS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",
-        **{k: w(of, EDGES, BOTH, DEG, LEAST, LEVELWISE) + " SELECT (nr - 1 - before - pos)::BIGINT AS new_pos, id AS old_id FROM lv JOIN ahead USING (c), sh WHERE fresh" for k, of in (("order_rcm_rect", M2), ("order_rcm_rect_cols", M2T))},
+        "order_rcm_rect": rect(M2), "order_rcm_rect_cols": rect(M2T),
+        "permute_rect": w(M2) + f" SELECT r.new_pos AS row, c.new_pos AS col, val::DOUBLE AS val FROM m JOIN ({rect(M2)}) r ON r.old_id = m.row JOIN ({rect(M2T)}) c ON c.old_id = m.col",
         "order_part_rcm": w(M1, BIPARTITE, BOTH, BIDEG, LEAST, LEVELWISE) + " SELECT (nr + nc - 1 - before - pos)::BIGINT AS new_pos, id AS old_id FROM lv JOIN ahead USING (c), sh WHERE fresh",
+        "mtx_source": w(M1) + " SELECT row, col, val::DOUBLE AS val FROM m", "mtx_written": w(M2) + " SELECT row, col, val::DOUBLE AS val FROM m",
         "order_part_cores": w(M1, BIPARTITE, BOTH, BIDEG, CORES) + " SELECT id, core::INTEGER AS core FROM st WHERE i = (SELECT max(i) FROM st)",
         "order_part_coloring_sets": w(M1, BIPARTITE, BOTH, BIDEG, SETS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",
         "order_part_coloring_bfs": w(M1, BIPARTITE, BOTH, BIDEG, LEAST, QUEUED, TURNS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",

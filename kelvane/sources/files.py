@@ -7,6 +7,7 @@ import os
 import shutil
 import tarfile
 import urllib.request
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
-from . import generators, matlab
+from . import generators, matlab, mtx_source
 
 EXTENSIONS = (".npz", ".mtx", ".mat")
 
@@ -51,12 +52,15 @@ def read_mtx(spark: SparkSession, path: str) -> SparseMatrix:
 
 
 def write_mtx(m: SparseMatrix, path: str) -> None:
-    """One text file, streamed partition by partition."""
+    """One text file, by row and column: tasks write its parts, whose bytes are copied behind the header."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
-        f.write(f"%%MatrixMarket matrix coordinate real general\n{m.nrows} {m.ncols} {m.entries.count()}\n")
-        for r in m.entries.orderBy("row", "col").toLocalIterator(prefetchPartitions=True):
-            f.write(f"{r['row'] + 1} {r['col'] + 1} {r['val']!r}\n")
+    parts = f"{os.path.abspath(path)}-{uuid.uuid4().hex}"
+    mtx_source.write(m, parts)
+    with open(path, "wb") as out:
+        for name in sorted(os.listdir(parts)):  # the header's name comes before those of the parts
+            with open(f"{parts}/{name}", "rb") as f:
+                shutil.copyfileobj(f, out, 1 << 24)
+    shutil.rmtree(parts)
 
 
 def _archive(raw: bytes) -> tuple[tuple[int, int], pd.DataFrame]:

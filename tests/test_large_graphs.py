@@ -205,3 +205,36 @@ def test_cores(graph):
     for edges in (None, 0):
         got = colors_of(graph, "smallest_last", **({} if edges is None else {"task_edges": edges}))
         assert max(got.values()) <= max(core.values())
+
+
+def test_mtx_source(spark, tmp_path):
+    """Files by ranges of a few bytes, with comments, triangles and patterns; folders written by several tasks."""
+    from kelvane.sources import files, mtx_source
+
+    r = np.random.default_rng(3)
+    cells = sorted({(int(a), int(b)) for a, b in r.integers(0, 40, (300, 2))})
+    body = {"real": [f"{a + 1}  {b + 1} {(a - b) / 3!r}" for a, b in cells], "integer": [f"{a + 1} {b + 1} {a - b}" for a, b in cells], "pattern": [f" {a + 1} {b + 1}" for a, b in cells]}
+    for field, lines in body.items():
+        for symmetry in ("general", "symmetric", "skew-symmetric"):
+            own = lines if symmetry == "general" else [x for x, (a, b) in zip(lines, cells) if a > b]
+            path = str(tmp_path / f"{field}-{symmetry}.mtx")
+            with open(path, "w") as f:
+                f.write("\n".join([f"%%MatrixMarket matrix coordinate {field} {symmetry}", "% a comment", f"40 40 {len(own)}", *own[:9], "% another", *own[9:]]) + ("\n" if field == "real" else ""))
+            want = {tuple(x) for x in files.read_mtx(spark, path).entries.collect()}
+            for size in (7, 100, 10**6):
+                got = mtx_source.read(spark, path, size)
+                assert {tuple(x) for x in got.entries.collect()} == want and (got.nrows, got.ncols) == (40, 40)
+    assert spark.read.format("mtx").option("rangebytes", 100).load(path).rdd.getNumPartitions() > 3
+    m, folder = mtx_source.read(spark, str(tmp_path / "real-general.mtx")), str(tmp_path / "folder")
+    for mode in ("append", "overwrite"):
+        mtx_source.write(SparseMatrix(m.entries.repartition(3), 40, 40), folder, mode)
+        back = mtx_source.read(spark, folder, 300)
+        assert (back.nrows, back.ncols) == (40, 40)
+        assert {tuple(x) for x in back.entries.collect()} == {tuple(x) for x in m.entries.collect()}
+    empty = str(tmp_path / "empty")
+    mtx_source.write(SparseMatrix(m.entries.where("false"), 3, 2), empty)
+    assert mtx_source.read(spark, empty).entries.count() == 0
+    for text in ("no header\n1 1 1\n", "%%MatrixMarket matrix array real general\n1 1\n1\n", "%%MatrixMarket matrix coordinate real general\n"):
+        (tmp_path / "odd.mtx").write_text(text)
+        with pytest.raises(ValueError):
+            mtx_source.read(spark, str(tmp_path / "odd.mtx"))
