@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sources.storage import store
+from .sources.storage import bucketed, store
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,12 @@ class SparseMatrix:
         keys = [by, "col" if by == "row" else "row"]
         return self.entries.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
+    def bucketed(self, by: str = "col", buckets: int | None = None) -> "SparseMatrix":
+        """The same with its entries in a table of sorted buckets by row or column, which joins by that key do not shuffle."""
+        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        keys = [by, "col" if by == "row" else "row"]
+        return SparseMatrix(bucketed(self.entries, "entries", [by], buckets, keys), self.nrows, self.ncols, self.name)
+
     def row_ids(self) -> DataFrame:
         return self.spark.range(self.nrows).withColumnRenamed("id", "row")
 

@@ -129,14 +129,86 @@ def bfs(edges: DataFrame, sources: DataFrame) -> DataFrame:
         before, front = front, new
 
 
-#: Vertices up to which all pairs' distances are computed.
+#: Vertices up to which all pairs' distances are computed; the diameter and the average of larger graphs come from bounds and sketches.
 ALL_PAIRS = 5_000
 
 
+def diameter(edges: DataFrame, n: int, batch: int = 64) -> int | None:
+    """Largest distance of two vertices, exactly; null of a graph that is not connected.
+
+    A few breadth-first searches bound every vertex's largest distance from both sides: it is at least the distance to a source,
+    and at most that and the source's own largest distance. The sources of the next round are among those whose bound lies
+    above the largest distance seen (the highest bounds; in each second round, the most linked neighbours of such vertices,
+    which bring down many bounds at once), until there are none.
+    """
+    if n <= 1:
+        return 0 if n else None
+    edges = store(edges.where("src <> dst").distinct(), "graph")
+    degree, two = store(degrees(edges, n), "degrees"), both_ways(edges)
+    sources = [r["id"] for r in degree.orderBy(F.col("degree").desc(), "id").limit(batch).collect()]
+    bounds, turn = None, 0
+    while True:
+        found = bfs(edges, edges.sparkSession.createDataFrame([(x,) for x in sources], "id long"))
+        far = found.groupBy("source").agg(F.max("level").alias("far"), F.count("*").alias("n"))
+        if bounds is None and far.where(F.col("n") < n).limit(1).count():
+            return None
+        met = found.join(far, "source")
+        new = met.groupBy("id").agg(F.max(F.greatest("level", F.col("far") - F.col("level"))).alias("low"), F.min(F.col("far") + F.col("level")).alias("high"))
+        if bounds is not None:
+            new = new.unionByName(bounds).groupBy("id").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+        new = store(new, "bounds")
+        if bounds is not None:
+            discard(bounds)
+        bounds, turn = new, turn + 1
+        low = bounds.agg(F.max("low")).first()[0]
+        open_ = bounds.where(F.col("high") > low)
+        order = [F.col("high").desc(), F.xxhash64("id"), F.col("id")]
+        if turn % 2:
+            beside = open_.join(two, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("links"))
+            done = bounds.where("low = high").select("id")
+            near = beside.join(done, "id", "left_anti").orderBy(F.col("links").desc(), "id").limit(batch).collect()
+            sources = [r["id"] for r in near] or [r["id"] for r in open_.orderBy(*order).limit(batch).collect()]
+        else:
+            sources = [r["id"] for r in open_.orderBy(*order).limit(batch).collect()]
+        if open_.isEmpty():
+            return int(low)
+
+
+def average_distance(edges: DataFrame, n: int, lg_k: int = 10) -> float | None:
+    """Mean distance of two vertices of a connected graph, estimated: each vertex holds a sketch of those within some steps.
+
+    A round unites every vertex's sketch with its neighbours'. The relative error of a sketch of 2 ** lg_k counters is about
+    1 / 2 ** (lg_k / 2); the rounds' sums over all vertices are closer. Memory is one sketch a vertex, whatever its reach.
+    """
+    if n <= 1:
+        return 0.0 if n else None
+    two = store(both_ways(edges.where("src <> dst").distinct()), "both-ways")
+    reach = store(edges.sparkSession.range(n).groupBy("id").agg(F.hll_sketch_agg("id", F.lit(lg_k)).alias("sketch")), "reach")
+    sums, before = 0.0, float(n)
+    total, step = before, 0
+    while True:
+        step += 1
+        wider = reach.unionByName(two.join(reach.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "sketch"))
+        new = store(wider.groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch")), "reach")
+        discard(reach)
+        reach = new
+        total = float(reach.agg(F.sum(F.hll_sketch_estimate("sketch"))).first()[0])
+        if total <= before:
+            discard(two, reach)
+            return sums / (before - n) if before > n else None
+        sums += step * (total - before)
+        before = total
+
+
 def distances(edges: DataFrame, n: int) -> DataFrame:
-    """Diameter and average shortest path of a connected graph; null of another."""
+    """Diameter and average shortest path of a connected graph; null of another.
+
+    Of more than ``ALL_PAIRS`` vertices the diameter is found by bounds, and the average is an estimate (:func:`average_distance`).
+    """
     if n > ALL_PAIRS:
-        raise ValueError(f"all pairs of {n} vertices are too many (at most {ALL_PAIRS})")
+        widest = diameter(edges, n)
+        mean = None if widest is None else round(average_distance(edges, n), 6)
+        return edges.sparkSession.createDataFrame([(widest, mean)], "diameter long, average_shortest_path double")
     d = bfs(edges, edges.sparkSession.range(n))
     full = F.count("*") == n * n
     return d.agg(F.when(full, F.max("level")).cast("long").alias("diameter"), F.when(full, F.round(F.sum("level") / float(max(1, n * (n - 1))), 6)).alias("average_shortest_path"))

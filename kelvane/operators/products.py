@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
+from ..sources.storage import bucketed
 
 #: Entries of a vector up to which it is broadcast (16 bytes each).
 BROADCAST_ENTRIES = 4_000_000
@@ -50,6 +51,44 @@ def spmv(m: SparseMatrix, x: DataFrame, strategy: str = "shuffle", block: int =
     return _complete(m, partial.groupBy("row").agg(F.sum("val").alias("val")))
 
 
+#: Rows and columns of a packed block: at most the square of it in entries, so a row of the table stays small.
+PACKED = 1024
+
+
+def packed(m: SparseMatrix, block: int = PACKED) -> DataFrame:
+    """(rb, cb, rows, cols, vals): a row a block that has entries, with their places in the block; bucketed by block of columns.
+
+    The layout for a matrix that is multiplied again and again: a product reads it where it lies, and shuffles the vector only.
+    """
+    places = [(F.floor(F.col(c) / block).cast("long").alias(b), F.pmod(c, F.lit(block)).cast("int").alias(c)) for c, b in (("row", "rb"), ("col", "cb"))]
+    cells = m.entries.select(*[x for pair in places for x in pair], F.col("val").cast("double").alias("val"))
+    blocks = cells.groupBy("rb", "cb").agg(F.array_sort(F.collect_list(F.struct("row", "col", "val"))).alias("e"))
+    table = blocks.select("rb", "cb", *[F.col(f"e.{c}").alias(f"{c}s") for c in ("row", "col", "val")])
+    return bucketed(table, "packed", ["cb"], int(m.spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spmv_packed(blocks: DataFrame, m: SparseMatrix, x: DataFrame, block: int = PACKED) -> DataFrame:
+    """y = A x as (idx, val) of the packed blocks of ``m``: a block meets its piece of the vector, and NumPy multiplies them."""
+    check_length(m, x)
+    piece = F.transform(F.array_sort(F.collect_list(F.struct("idx", "val"))), lambda v: v["val"])
+    vector = x.groupBy(F.floor(F.col("idx") / block).cast("long").alias("cb")).agg(piece.alias("x"))
+
+    def multiply(batches):
+        for b in batches:
+            rows, out = [], []
+            for k in range(b.num_rows):
+                row, col, val, v = (b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(1, 5))
+                y = np.bincount(row, val * v[col])
+                at = np.unique(row)
+                rows.append(at + b.column(0)[k].as_py() * block)
+                out.append(y[at])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).astype(np.int64)), pa.array(np.concatenate(out))], names=["row", "val"])
+
+    met = blocks.join(vector.hint("merge"), "cb").select("rb", "rows", "cols", "vals", "x")
+    return _complete(m, met.mapInArrow(multiply, "row long, val double").groupBy("row").agg(F.sum("val").alias("val")))
+
+
 def spgemm(a: SparseMatrix, b: SparseMatrix) -> SparseMatrix:
     """Cells that meet at an inner index are multiplied, and added up before they are shuffled.
 

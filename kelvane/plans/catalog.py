@@ -131,6 +131,21 @@ def segment_graph(spark, d) -> tuple[DataFrame, int]:
     return store(met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "segments"), n
 
 
+def geography(spark, d) -> tuple[DataFrame, int]:
+    """Customers linked to their nation, nations to their region, and regions to the next one."""
+    customers, nations, regions = (_t(spark, d, x) for x in ("customer", "nation", "region"))
+    n, k, r = customers.count(), nations.count(), regions.count()
+    own = customers.select(F.col("c_custkey").cast("long").alias("src"), (F.col("c_nationkey") + n).cast("long").alias("dst"))
+    up = nations.select((F.col("n_nationkey") + n).cast("long").alias("src"), (F.col("n_regionkey") + n + k).cast("long").alias("dst"))
+    along = spark.range(max(0, r - 1)).select((F.col("id") + n + k).alias("src"), (F.col("id") + n + k + 1).alias("dst"))
+    return store(own.unionByName(up).unionByName(along), "geography"), n + k + r
+
+
+def _geography_diameter(spark, d) -> DataFrame:
+    edges, n = geography(spark, d)
+    return spark.createDataFrame([(graphs.diameter(edges, n),)], "diameter long")
+
+
 def _order_part_partition(spark, d) -> DataFrame:
     """What a balanced partition of the order-part graph is worth: vertices, parts, whether their sizes are even, edges, and whether it cuts fewer than dealing by number does."""
     edges, n = order_part_graph(spark, d)
@@ -252,6 +267,8 @@ def queries():
         "compare_reorderings": _reorderings, "best_method": lambda s, d: methods.ranking(_reorderings(s, d), k=1),
         **{f"gen_{p}": _generated(p) for p in generators.PATTERNS},
         "gen_banded_pattern": lambda s, d: generators.generate(s, 200, 200, 0.05, "banded").entries.select("row", "col"),
+        "spmv_bucketed": lambda s, d: products.spmv(order_part(s, d).bucketed("col"), x_vector(s, d)), "spmv_packed": lambda s, d: products.spmv_packed(products.packed(m := order_part(s, d)), m, x_vector(s, d)),
+        "geography_distances": lambda s, d: graphs.distances(*geography(s, d)), "geography_diameter": _geography_diameter,
         "mtx_roundtrip": _roundtrip, "mtx_source": _through_source, "mtx_written": _written, "permute_rect": _two_sided,
         "matrix_structure": ep(lambda m: _joined(metrics.structure(m), "row_distribution", "col_distribution")), "graph_properties": _graph_properties,
         "row_value_hist": ps(plotdata.value_sum_histogram), "col_value_hist": ps(lambda m: plotdata.value_sum_histogram(m, "col")),
@@ -338,6 +355,10 @@ SATURATED = """adj AS (SELECT list(ns ORDER BY id) AS a, list(degree ORDER BY id
 sat(n, cs) AS (SELECT 0, list_transform(range(25), lambda v: -1) UNION ALL
   SELECT n + 1, list_transform(range(25), lambda v: CASE WHEN v = pick THEN list_min(list_filter(range(26), lambda c: NOT list_contains(list_transform(a[pick + 1], lambda u: cs[u + 1]), c))) ELSE cs[v + 1] END)
   FROM (SELECT n, cs, a, list_sort(list_transform(list_filter(range(25), lambda v: cs[v + 1] < 0), lambda v: {'s': -len(list_distinct(list_filter(list_transform(a[v + 1], lambda u: cs[u + 1]), lambda c: c >= 0))), 'd': -ds[v + 1], 'v': v}))[1].v AS pick FROM sat, adj WHERE n < 25))"""
+#: All distances of the graph of customers, nations and regions, level by level.
+GEOGRAPHY = ("size AS (SELECT *, n + k + r AS v FROM (SELECT (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM nation) AS k, (SELECT count(*) FROM region) AS r))",
+             "e AS (SELECT c_custkey::BIGINT AS src, c_nationkey + n AS dst FROM customer, size UNION ALL SELECT n_nationkey + n, n_regionkey + n + k FROM nation, size UNION ALL SELECT n + k + i, n + k + i + 1 FROM size, (SELECT unnest(range((SELECT r - 1 FROM size))) AS i))", BOTH,
+             "b(source, id, level) AS (SELECT i, i, 0 FROM (SELECT unnest(range((SELECT v FROM size))) AS i) UNION SELECT source, two.dst, level + 1 FROM b JOIN two ON two.src = b.id WHERE level < 10)", "far AS (SELECT source, id, min(level) AS level FROM b GROUP BY 1, 2)")
 PATTERN = "e AS (SELECT DISTINCT least(row, col) AS src, greatest(row, col) AS dst FROM m WHERE row <> col)"
 
 
@@ -412,6 +433,8 @@ def oracle_sql():
         "order_rcm_rect": rect(M2), "order_rcm_rect_cols": rect(M2T),
         "permute_rect": w(M2) + f" SELECT r.new_pos AS row, c.new_pos AS col, val::DOUBLE AS val FROM m JOIN ({rect(M2)}) r ON r.old_id = m.row JOIN ({rect(M2T)}) c ON c.old_id = m.col",
         "order_part_rcm": w(M1, BIPARTITE, BOTH, BIDEG, LEAST, LEVELWISE) + " SELECT (nr + nc - 1 - before - pos)::BIGINT AS new_pos, id AS old_id FROM lv JOIN ahead USING (c), sh WHERE fresh",
+        "spmv_bucketed": spmv, "spmv_packed": spmv, "geography_distances": w(*GEOGRAPHY) + " SELECT max(level)::BIGINT AS diameter, round(sum(level) / (count(*) - (SELECT v FROM size))::DOUBLE, 6) AS average_shortest_path FROM far",
+        "geography_diameter": w(*GEOGRAPHY) + " SELECT max(level)::BIGINT AS diameter FROM far",
         "mtx_source": w(M1) + " SELECT row, col, val::DOUBLE AS val FROM m", "mtx_written": w(M2) + " SELECT row, col, val::DOUBLE AS val FROM m",
         "order_part_cores": w(M1, BIPARTITE, BOTH, BIDEG, CORES) + " SELECT id, core::INTEGER AS core FROM st WHERE i = (SELECT max(i) FROM st)",
         "order_part_coloring_sets": w(M1, BIPARTITE, BOTH, BIDEG, SETS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",

@@ -126,7 +126,9 @@ class MtxReader(DataSourceReader):
         # A range ends no earlier than the entries begin, so that none is without a first byte.
         return [Range(p, s, min(s + self.range, size)) for p, first, size in files for s in range(first, size, self.range)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a matrix without entries has no range
+            return
         head, files = head_of(self.path)
         first = next(f for p, f, _ in files if p == partition.path)
         width = 2 if head.field == "pattern" else 3
