@@ -23,8 +23,8 @@ from ..sources.storage import discard, store
 
 #: How far a part's weight may lie from its share.
 TOLERANCE = 0.05
-#: Vertices for each part (and 1 / tolerance) at which coarsening of a group ends, and vertices that a task splits at most.
-START, START_MOST = 3, 3_000
+#: Vertices at which coarsening of a group ends: so many, or for each part (and 1 / tolerance); a task splits at most the last number.
+TASK_START, START, START_MOST = 600, 3, 3_000
 #: Rounds of moves on each level.
 ROUNDS = 2
 #: Deals of the moves of one gain into one part.
@@ -155,8 +155,9 @@ def starts(a: np.ndarray, w: np.ndarray, shares: np.ndarray, seed: int, tries: i
         yield _by_order(np.array(order), w, shares)
 
 
-def split_dense(a: np.ndarray, w: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int = 42, tries: int = 6) -> np.ndarray:
-    """The best of several improved splits of a weighted graph into parts within bounds."""
+def split_dense(a: np.ndarray, w: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int = 42, tries: int | None = None) -> np.ndarray:
+    """The best of several improved splits of a weighted graph into parts within bounds; small graphs are tried more often."""
+    tries = tries or (6 if len(a) <= 100 else 2)
     shares = (lo + hi) / (lo + hi).sum()
     best, found = (np.inf, np.inf), np.zeros(len(a), int)
     for part in starts(a, w, shares, seed, tries):
@@ -226,7 +227,7 @@ def refine(vertices: DataFrame, edges: DataFrame, parts: DataFrame, rounds: int
 
 def split(vertices: DataFrame, edges: DataFrame, shares: list[float], tolerance: float = TOLERANCE, seed: int = 42, rounds: int = ROUNDS) -> DataFrame:
     """(id, part) of vertices (id, grp, w): each group's parts take ``shares`` of its weight, up to the tolerance."""
-    most = min(START_MOST, max(100, int(START * len(shares) / tolerance)))
+    most = min(START_MOST, max(TASK_START, int(START * len(shares) / tolerance)))
     vertices = store(grouped(vertices, shares, tolerance), "vertices")
     edges = store(edges.select("src", "dst", F.col("w").cast("double").alias("w")), "graph")
     levels = []

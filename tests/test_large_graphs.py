@@ -58,8 +58,9 @@ def test_moves_lower_the_cut_within_bounds(spark):
     assert before < cut(edges, {i: i % 3 for i in range(n)})
 
 
-def test_groups_are_split_apart(spark):
+def test_groups_are_split_apart(spark, monkeypatch):
     """Two graphs at once, one with isolated vertices: shares and bounds hold in each, and no edge between groups is needed."""
+    monkeypatch.setattr(multilevel, "TASK_START", 100)
     edges = random_edges(300, 2, 3)
     both = edges + [(a + 300, b + 300) for a, b in edges]
     nodes = spark.range(640).select("id", F.when(F.col("id") < 300, "a").otherwise("b").alias("grp"), F.lit(1.0).alias("w"))

@@ -275,7 +275,8 @@ def test_kernighan_lin_and_dissection(spark):
         partitions.nested_dissection(make(spark, [[1, 0, 1], [0, 1, 0]]))
 
 
-def test_multilevel_coarsens(spark):
+def test_multilevel_coarsens(spark, monkeypatch):
+    monkeypatch.setattr(multilevel, "TASK_START", 100)
     e = spark.createDataFrame([(k, k + 1) for k in range(299)], "src long, dst long")
     parts = {r["id"]: r["part"] for r in partitions.multilevel(e, 300, 2).collect()}
     sizes = [list(parts.values()).count(p) for p in (0, 1)]
