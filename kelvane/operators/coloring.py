@@ -58,6 +58,18 @@ def _depth_first(first: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def _breadth_first(first: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Vertices as a queue meets them, neighbours by number."""
+    seen, queue = np.zeros(len(first) - 1, bool), [0]
+    seen[0] = True
+    for u in queue:
+        new = to[first[u] : first[u + 1]]
+        new = new[~seen[new]]
+        seen[new] = True
+        queue.extend(new.tolist())
+    return np.array(queue)
+
+
 def _saturated(first: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Colours, the vertex that sees the most colours next; ties go to the higher degree, then to the smaller number."""
     import heapq
@@ -99,6 +111,8 @@ def _greedy(strategy: str):
             turn = _peel(first, to, ids)
         elif strategy == "connected_sequential_dfs":
             turn = _depth_first(first, to)
+        elif strategy == "connected_sequential_bfs":
+            turn = _breadth_first(first, to)
         else:
             drawn = np.empty(len(ids), np.int64)
             drawn[a], drawn[b] = edges.hsrc, edges.hdst
@@ -196,8 +210,8 @@ def independent_sets(edges: DataFrame, n: int, seed: int = 42) -> DataFrame:
 def color(edges: DataFrame, n: int, strategy: str = "largest_first", seed: int = 42, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, color) of vertices 0..n-1. Components are coloured apart; isolated vertices get colour 0.
 
-    largest_first and random_sequential (vertices by a seeded hash) give the same colours at every size: small components in a
-    task, larger ones in rounds; independent_set and connected_sequential_bfs (breadth first from the least vertex) are rounds
+    largest_first, random_sequential (vertices by a seeded hash) and connected_sequential_bfs (breadth first from the least
+    vertex) give the same colours at every size: small components in a task, larger ones in rounds; independent_set is rounds
     always. smallest_last removes the vertex of least degree again and again; from components of more edges, all vertices of few
     neighbours go at once (:func:`cores`), and colours are at most the largest core number and one in both cases. The other two
     take one vertex after the other and are refused for components of more edges.
@@ -208,10 +222,6 @@ def color(edges: DataFrame, n: int, strategy: str = "largest_first", seed: int =
     if strategy == "independent_set":
         return independent_sets(edges, n, seed)
     comp = graphs.components(edges, n)
-    if strategy == "connected_sequential_bfs":
-        placed = breadth_first(edges, comp)
-        found = _rounds(edges, store(placed.select("id", F.struct((-F.col("pos")).alias("p"), "id").alias("p")), "priority"))
-        return edges.sparkSession.range(n).join(found, "id", "left").select("id", F.coalesce("color", F.lit(0)).cast("int").alias("color"))
     own = edges.join(comp, F.col("src") == F.col("id")).select("component", "src", "dst")
     big = store(own.groupBy("component").agg(F.count("*").alias("k")).where(F.col("k") > task_edges).select("component"), "big")
     hashes = [F.xxhash64(F.lit(seed), x).alias(f"h{x}") for x in ("src", "dst")] if strategy == "random_sequential" else []
@@ -224,6 +234,9 @@ def color(edges: DataFrame, n: int, strategy: str = "largest_first", seed: int =
         if strategy == "smallest_last":
             p = cores(part, n).where("core > 0")
             rank = F.struct("turn", F.xxhash64("id"), "id")
+        elif strategy == "connected_sequential_bfs":
+            p = breadth_first(part, comp.join(big, "component", "left_semi"))
+            rank = F.struct((-F.col("pos")).alias("late"), "id")
         else:
             rank = F.struct("degree", (-F.col("id")).alias("low")) if strategy == "largest_first" else F.struct(F.xxhash64(F.lit(seed), "id"), "id")
         found = found.unionByName(_rounds(part, store(p.select("id", rank.alias("p")), "priority")))

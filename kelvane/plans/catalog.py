@@ -350,6 +350,12 @@ QUEUED = """lv(i, c, id, pos, fresh) AS (SELECT 0::BIGINT, id, id, 0::BIGINT, tr
     WHERE l.fresh AND NOT EXISTS (SELECT 1 FROM lv o WHERE o.id = two.dst) GROUP BY l.i, l.c, two.dst)
   UNION ALL SELECT i + 1, c, id, pos, false FROM lv WHERE fresh)),
 ord AS (SELECT id, row_number() OVER (ORDER BY c, pos) AS k FROM lv WHERE fresh)"""
+#: Depth-first order from the least vertices on, a step forward or back at a time, as a greedy order.
+WALKED = """adj AS (SELECT list(ns ORDER BY id) AS a FROM (SELECT deg.id, coalesce(list(two.dst) FILTER (two.dst IS NOT NULL), []) AS ns FROM deg LEFT JOIN two ON two.src = deg.id GROUP BY 1)),
+walk(n, seen, path) AS (SELECT 0, []::BIGINT[], []::BIGINT[] UNION ALL
+  SELECT n + 1, CASE WHEN v IS NULL THEN seen ELSE list_append(seen, v) END, CASE WHEN v IS NULL THEN path[1:len(path) - 1] ELSE list_append(path, v) END
+  FROM (SELECT n, seen, path, list_min(list_filter(CASE WHEN len(path) = 0 THEN range(25) ELSE a[path[len(path)] + 1] END, lambda x: NOT list_contains(seen, x))) AS v FROM walk, adj WHERE len(seen) < 25)),
+ord AS (SELECT seen[k] AS id, k FROM (SELECT seen FROM walk WHERE len(seen) = 25 LIMIT 1), (SELECT unnest(range(1, 26)) AS k))"""
 #: DSATUR, a vertex a step: most colours seen, then degree, then the smaller number. cs: colours by number of the vertex.
 SATURATED = """adj AS (SELECT list(ns ORDER BY id) AS a, list(degree ORDER BY id) AS ds FROM (SELECT deg.id, any_value(deg.degree) AS degree, coalesce(list(two.dst) FILTER (two.dst IS NOT NULL), []) AS ns FROM deg LEFT JOIN two ON two.src = deg.id GROUP BY 1)),
 sat(n, cs) AS (SELECT 0, list_transform(range(25), lambda v: -1) UNION ALL
@@ -440,6 +446,9 @@ def oracle_sql():
         "order_part_coloring_sets": w(M1, BIPARTITE, BOTH, BIDEG, SETS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",
         "order_part_coloring_bfs": w(M1, BIPARTITE, BOTH, BIDEG, LEAST, QUEUED, TURNS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",
         "coloring_saturation_largest_first": w(M5, EDGES, BOTH, DEG, SATURATED) + " SELECT i AS id, (SELECT cs FROM sat WHERE n = 25)[i + 1]::INTEGER AS color FROM (SELECT unnest(range(25)) AS i)",
+        "coloring_connected_sequential_bfs": w(M5, EDGES, BOTH, DEG, LEAST, QUEUED, TURNS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",
+        "coloring_connected_sequential_dfs": w(M5, EDGES, BOTH, DEG, WALKED, GREEDY) + " SELECT id, color FROM colored",
+        "coloring_independent_set": w(M5, EDGES, BOTH, DEG, SETS) + " SELECT id, color FROM st WHERE i = (SELECT max(i) FROM st)",
         "order_part_partition": w(M1, BIPARTITE) + " SELECT (SELECT nr + nc FROM sh)::BIGINT AS vertices, 4::BIGINT AS parts, true AS largest_even, true AS smallest_even, count(*) AS edges, count(*) FILTER (src % 4 <> dst % 4) AS dealt_cut, true AS cuts_less FROM e",
         "segment_clusters": "SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_mktsegment) AS first FROM customer",
         "order_part_bfs": w(M1, BIPARTITE, BOTH, levels(3)) + " SELECT source, id, level FROM bl",

@@ -183,6 +183,8 @@ def test_traversals(graph, strategy):
     for u in order:
         color[u] = least({color[x] for x in near[u] if x in color})
     assert colors_of(graph, strategy) == color
+    if strategy not in coloring.SEQUENTIAL:
+        assert colors_of(graph, strategy, task_edges=0) == color
 
 
 def test_independent_sets(graph):
