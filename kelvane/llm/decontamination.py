@@ -6,8 +6,10 @@ whole prefix, as all words are required. Each occurrence of a prefix word propos
 its offset in the window fixes where the window would start, which must leave room for it in the document; then the
 window is verified at that place: by a hash of its words first, and what passes word by word.
 
-The benchmark may be of any size: it is dealt into blocks of bounded bytes by hash, each block's index is sent to
-the tasks in turn, and what the blocks find in a document is united.
+The benchmark may be of any size. One of ``INDEX_BYTES`` at most is made an index that each task holds. Beyond, nothing
+but bit tables of fixed size goes through the driver: one scan counts the words that the benchmark has, items choose
+their windows' prefix words in tasks, and one scan of the different texts proposes windows, which meet the benchmark's in
+a join on prefix word, offset, length and the words themselves. Passages that many texts hold are salted there.
 
 Defined cases: null texts and those without words hit nothing and are not contaminated; an empty benchmark finds
 nothing; repeated items count as one by id; item ids are reported sorted as strings; rows that repeat whole are
@@ -20,16 +22,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, AtomicType, LongType, StringType, StructType
 
-from ._common import free_name, materialise, table
+from ._common import discard, free_name, materialise, table
 from ._text import ALNUM_WORDS, U, buffer_of, mix, ngram_hashes, slices, span_hashes, word_spans
 
 WIDTH = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
-#: Bytes of benchmark text in a block's index at most, about.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text up to which its index is held by each task (some 50 bytes of index a byte of text).
+INDEX_BYTES = 1 << 20
+#: Bits of the tables of words and of (prefix word, offset, length): they thin out what is shuffled, and decide nothing.
+WORD_BITS, ANCHOR_BITS = 23, 26
+#: Parts into which the texts of one window are dealt in joins.
+SALTS = 32
 #: Columns that a search adds.
 FOUND = ("n_words", "hit_starts", "hit_ends", "hit_items")
 BITS = 20
@@ -65,7 +71,7 @@ class _Set:
 
 
 class Index:
-    """Windows of one block: their hash, length, items, and the rarest word with its offset."""
+    """Windows of a small benchmark: their hash, length, items, and the rarest word with its offset."""
 
     def __init__(self, ids: list[str], texts: pa.Array, width: int = WIDTH):
         self.width, windows = width, {}
@@ -128,7 +134,7 @@ class Index:
 
 
 def build_index(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WIDTH) -> Index:
-    """Index of a block of items, which the caller bounds, with word counts over all documents."""
+    """Index of items, which the caller bounds, with word counts over all documents."""
     rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toArrow()
     index = Index(rows.column("i").to_pylist(), rows.column("t").combine_chunks(), width)
     vocabulary = index.vocabulary
@@ -142,7 +148,7 @@ def build_index(docs: DataFrame, items: DataFrame, item_id: str = "item_id", tex
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n[at])], names=["place", "n"])
 
     counts = np.zeros(len(vocabulary.values), np.int64)
-    found = docs.select(text).mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # at most the block's vocabulary
+    found = docs.select(text).mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # at most the index's vocabulary
     counts[found.column("place").to_numpy()] = found.column("n").to_numpy()
     index.order(counts)
     return index
@@ -187,39 +193,190 @@ def find(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _unite(found: list[DataFrame]) -> DataFrame:
-    """One row per document from its rows of all blocks, which are put in one order and paired by copy."""
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    hit = rows.groupBy("row_key", "n_words").agg(F.flatten(F.collect_list(F.arrays_zip("hit_starts", "hit_ends"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+class _Bits:
+    """Membership in a set of hashes of any size, by one bit for their leading bits: no member is missed."""
+
+    def __init__(self, hashes: DataFrame, column: str, bits: int):
+        self.shift, self.table = U(64 - bits), np.zeros(1 << (bits - 6), np.uint64)
+        place = f"shiftrightunsigned({column}, {64 - bits})"
+        rows = hashes.groupBy(F.expr(f"shiftright({place}, 6)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({place} & 63 AS int)))").alias("bits")).toArrow()  # 2 ** (bits - 6) rows at most
+        self.table[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        place = h >> self.shift
+        return (self.table[(place >> U(6)).astype(np.int64)] >> (place & U(63)) & U(1)).astype(bool)
+
+
+def _anchor(prefix: np.ndarray, offset, n) -> np.ndarray:
+    """One hash of a prefix word, its offset and its window's length."""
+    return mix(prefix + U(0x9E3779B97F4A7C15) * (np.asarray(offset).astype(np.uint64) * U(1 << 16) + np.asarray(n).astype(np.uint64)))
+
+
+def _spelt(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Lower-cased words, joined by a space."""
+    return b" ".join(_lower(b[x:y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True))
+
+
+def _longs(h: np.ndarray) -> pa.Array:
+    return pa.array(h.view(np.int64))
+
+
+def _item_words(batches):
+    for batch in batches:
+        key = batch.column(0).to_pylist()
+        for i, j, words, rows, _ in _words(batch.column(1)):
+            for r in range(j - i):
+                h = np.unique(words[slice(*np.searchsorted(rows, [r, r + 1]))])
+                yield pa.RecordBatch.from_arrays([pa.array([key[i + r]] * len(h), pa.string()), _longs(h)], names=["item_key", "h"])
+
+
+def _windows(width: int):
+    """Windows of items that come as (id, text, hashes and counts of their words), each with its rarest word."""
+
+    def run(batches):
+        for batch in batches:
+            ids, known = batch.column(0).to_pylist(), batch.column(2)
+            for i, j, words, rows, (b, starts, ends) in _words(batch.column(1)):
+                for r in range(j - i):
+                    own = slice(*np.searchsorted(rows, [r, r + 1]))
+                    w, n = words[own], min(width, own.stop - own.start)
+                    if not n:
+                        continue
+                    counted = known[i + r].values
+                    h, c = counted.field("h").to_numpy().view(np.uint64), counted.field("n").to_numpy()
+                    order = np.lexsort((h, c))
+                    rank = np.empty(len(h), np.int64)
+                    rank[order] = np.arange(len(h))
+                    by = np.argsort(h)
+                    at = rank[by[np.searchsorted(h, w, sorter=by)]]
+                    k = np.lib.stride_tricks.sliding_window_view(at, n).argmin(1)
+                    line = _spelt(b, starts[own], ends[own])
+                    cut = np.r_[0, np.cumsum(ends[own] - starts[own] + 1)]
+                    prefix = w[np.arange(len(k)) + k]
+                    spelt = [line[x : y - 1] for x, y in zip(cut[: len(k)].tolist(), cut[n:].tolist(), strict=True)]
+                    many = np.full(len(k), n, np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [_longs(prefix), pa.array(k), pa.array(many), _longs(_anchor(prefix, k, many)), pa.array(spelt).cast(pa.string()), pa.array([ids[i + r]] * len(k), pa.string())],
+                        names=["prefix", "k", "n", "anchor", "words", "item"],
+                    )
+
+    return run
+
+
+def _proposals(prefixes: _Bits, anchors: _Bits, lengths: list[int]):
+    """Places of texts (key, text) at which a window may stand by its prefix word, that word's offset, and room in the text."""
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            for i, j, words, rows, (b, starts, ends) in _words(batch.column(1)):
+                at = np.flatnonzero(prefixes.has(words))
+                first = np.searchsorted(rows, np.arange(j - i + 1))
+                for n in lengths:
+                    for k in range(n):
+                        start = at - k
+                        row = rows[at]
+                        ok = (start >= first[row]) & (start + n <= first[row + 1])
+                        start, row, own = start[ok], row[ok], at[ok]
+                        ok = anchors.has(_anchor(words[own], k, n))
+                        start, row, own = start[ok], row[ok], own[ok]
+                        if not len(start):
+                            continue
+                        spelt = [_spelt(b, starts[x : x + n], ends[x : x + n]) for x in start.tolist()]
+                        same = np.full(len(start), n, np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([keys[i + r] for r in row.tolist()], pa.string()), pa.array(start - first[row]), _longs(words[own]), pa.array(np.full(len(start), k, np.int64)), pa.array(same), pa.array(spelt).cast(pa.string())],
+                            names=["row_key", "start", "prefix", "k", "n", "words"],
+                        )
+
+    return run
+
+
+def _count_words(bits: _Bits):
+    def run(batches):
+        for batch in batches:
+            for _, _, words, _, _ in _words(batch.column(0)):
+                h, n = np.unique(words[bits.has(words)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([_longs(h), pa.array(n)], names=["h", "n"])
+
+    return run
+
+
+def _all_salts(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def benchmark_windows(docs: DataFrame, items: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(prefix, k, n, anchor, words, item): each item's windows, their rarest word in ``docs`` and its offset, by joins."""
+    given = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t")).where("item IS NOT NULL AND t IS NOT NULL").distinct()
+    given = materialise(given.select(F.sha2(F.concat_ws("\0", "item", "t"), 256).alias("item_key"), "item", "t"), "items")
+    own = materialise(given.select("item_key", "t").mapInArrow(_item_words, "item_key string, h long"), "item-words")
+    counts = docs.select(text).mapInArrow(_count_words(_Bits(own, "h", WORD_BITS)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    known = own.select("h").distinct().join(counts, "h", "left").select("h", F.coalesce("n", F.lit(0)).alias("n"))
+    ranked = own.withColumn("salt", _salt("item_key")).join(_all_salts(known), ["h", "salt"]).groupBy("item_key").agg(F.collect_list(F.struct("h", "n")).alias("known"))
+    out = given.join(ranked, "item_key").select("item", "t", "known").mapInArrow(_windows(width), "prefix long, k long, n long, anchor long, words string, item string")
+    out = materialise(out, "windows")
+    discard(given)
+    discard(own)
+    return out
+
+
+def find_by_join(docs: DataFrame, items: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
+    """What :func:`find` gives, for a benchmark of any size."""
+    windows = benchmark_windows(docs, items, text, width)
+    lengths = sorted(r[0] for r in windows.select("n").distinct().collect())  # as many as a window has words at most
+    # Equal texts have equal hits: they are searched once, under a digest of the text.
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    texts = docs.select(digest.alias("row_key"), F.col(text).alias("text")).groupBy("row_key").agg(F.min("text").alias("text"))
+    run = _proposals(_Bits(windows, "prefix", WORD_BITS), _Bits(windows, "anchor", ANCHOR_BITS), lengths)
+    proposed = materialise(texts.mapInArrow(run, "row_key string, start long, prefix long, k long, n long, words string"), "proposals")
+    window = ["prefix", "k", "n", "words"]
+    # The windows that texts hold come first, each once; then each is sent to all parts of its texts.
+    held = materialise(proposed.select(*window).distinct().join(windows.select(*window).distinct(), window), "held")
+    hits = materialise(proposed.select("*", _salt("row_key")).join(_all_salts(held), [*window, "salt"]).select("row_key", "start", "n", "words").distinct(), "hits")
+    holders = windows.select("words", "item").distinct().join(held.select("words").distinct(), "words", "left_semi")
+    named = hits.select("row_key", "words").distinct().withColumn("salt", _salt("row_key")).join(_all_salts(holders), ["words", "salt"])
+    named = named.groupBy("row_key").agg(F.array_sort(F.collect_set("item")).alias("hit_items"))
 
     def merge(batches):
         for batch in batches:
             out = []
             for spans in batch.column("s").to_pylist():
-                spans = sorted((x["hit_starts"], x["hit_ends"]) for x in spans)
-                out.append(tuple(x.tolist() for x in _spans(*(np.array(v, np.int64) for v in zip(*spans, strict=True)))) if spans else ([], []))
+                pairs = np.array(sorted((x["start"], x["start"] + x["n"]) for x in spans), np.int64)
+                out.append([x.tolist() for x in _spans(pairs[:, 0], pairs[:, 1])])
             kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("n_words"), pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], kind), batch.column("hit_items")], names=["row_key", "n_words", "hit_starts", "hit_ends", "hit_items"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], kind)], names=["row_key", "hit_starts", "hit_ends"])
+
+    spans = hits.groupBy("row_key").agg(F.collect_set(F.struct("start", "n")).alias("s")).mapInArrow(merge, "row_key string, hit_starts array<long>, hit_ends array<long>")
+    found = materialise(spans.join(named, "row_key"), "found")
+    for used in (windows, proposed, held, hits):
+        discard(used)
+    key, salt, added = free_name(docs, "row_key"), free_name(docs, "salt"), [free_name(docs, x) for x in FOUND]
+    found = _all_salts(found).select(F.col("row_key").alias(key), F.col("salt").alias(salt), *[F.col(x).alias(y) for x, y in zip(FOUND[1:], added[1:], strict=True)])
+    plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
+    out = docs.withColumns({key: digest, salt: _salt(*[f"`{x}`" for x in plain])}).join(found, [key, salt], "left").drop(key, salt)
+    at = docs.columns.index(text)
+
+    def count(batches):
+        for batch in batches:
+            n = np.zeros(batch.num_rows, np.int64)
+            for i, j, _, rows, _ in _words(batch.column(at)):
+                n[i:j] = np.bincount(rows, minlength=j - i)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], names=[*batch.schema.names, added[0]])
 
-    return hit.mapInArrow(merge, "row_key string, n_words long, hit_starts array<long>, hit_ends array<long>, hit_items array<string>")
+    out = out.mapInArrow(count, StructType([*out.schema.fields]).add(added[0], LongType()))
+    lists = [F.coalesce(x, F.array().cast(kind)).alias(x) for x, kind in zip(added[1:], ("array<long>", "array<long>", "array<string>"), strict=True)]
+    return out.select(*[F.col(f"`{x}`") for x in docs.columns], added[0], *lists)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, share: int = SHARE, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``docs`` plus n_words, n_hit, hit_starts, hit_ends, hit_items and contaminated."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    if blocks == 1:
-        out = find(docs, build_index(docs, benchmark, text=text, width=width), text)
-    else:
-        # Equal texts have equal hits, so the blocks' findings meet at a digest of the text, once for each.
-        key, hash_ = free_name(docs, "row_key"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-        texts = materialise(docs.select(hash_.alias("row_key"), F.col(text).alias("text")).groupBy("row_key").agg(F.min("text").alias("text")), "texts")
-        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-        found = [materialise(find(texts, build_index(docs, benchmark.where(block == k), text=text, width=width)).drop("text"), "block") for k in range(blocks)]
-        united = _unite(found).select(F.col("row_key").alias(key), *[F.col(x).alias(free_name(docs, x)) for x in FOUND])
-        out = docs.withColumn(key, hash_).join(united, key).drop(key)
+    out = find(docs, build_index(docs, benchmark, text=text, width=width), text) if total <= index_bytes else find_by_join(docs, benchmark, text, width)
     n_words, starts, ends, _ = (F.col(free_name(docs, x)) for x in FOUND)
     lengths = F.zip_with(starts, ends, lambda a, b: b - a)
     hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)

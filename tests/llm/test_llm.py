@@ -179,12 +179,33 @@ def test_decontamination(spark, docs, texts):
     items = [(1, " ".join(texts[5].split()[3:22])), (2, "one two"), (10, texts[7].upper()), (11, None), (12, "!!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (1 << 20, 300):
-        for r in decontamination.decontaminate(docs, bench, block_bytes=block).collect():
+        for r in decontamination.decontaminate(docs, bench, index_bytes=block).collect():
             n, hit, ids, digest, bad = brute_decontamination(r["text"], [(str(i), t) for i, t in items])
             assert (r["n_words"], r["n_hit"], len(r["hit_items"]), r["contaminated"]) == (n, hit, ids, bad)
             assert hashlib.sha256(",".join(r["hit_items"]).encode()).hexdigest() == digest
 
 
+def test_decontamination_by_join(spark):
+    """Beyond the index: items that share windows, words in all of them, a passage in a third of the texts and copies."""
+    r = random.Random(8)
+    say = lambda n: " ".join(r.choice(("the", "The", "é", "β1", *WORDS)) for _ in range(n))
+    shared = say(15)
+    items = [(i, f"{shared} {say(r.randrange(20))}" if i % 3 == 0 else say(r.randrange(40))) for i in range(30)]
+    items += [(30, items[0][1]), (0, items[1][1]), (31, "the the the"), (32, None), (33, "-")]
+    texts = [" - ".join((say(r.randrange(30)), shared if i % 3 == 0 else r.choice(items)[1] or "", say(5))) for i in range(60)]
+    texts += [texts[0], texts[0], None, "", "the", "the " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda size: sorted(map(repr, decontamination.decontaminate(docs, bench, index_bytes=size).collect()))
+    got = rows(0)
+    assert got == rows(1 << 20) and sum("contaminated=True" in x for x in got) > 20
+    listed = [(str(i), t) for i, t in items]
+    for x in decontamination.decontaminate(docs.where("doc_id % 7 = 0"), bench, index_bytes=0).collect():
+        n, hit, ids, digest, bad = brute_decontamination(x["text"], listed)
+        assert (x["n_words"], x["n_hit"], len(x["hit_items"]), x["contaminated"]) == (n, hit, ids, bad)
+        assert hashlib.sha256(",".join(x["hit_items"]).encode()).hexdigest() == digest
+
+
 def test_quality(docs, texts, spark):
     got = quality_rules.judge(docs, quality_rules.Field.neutral()).collect()
     for r in got:
@@ -375,7 +396,7 @@ def test_taken_names(spark):
     same(lambda d: language_id.identify(d, *model), "lang_pred", "lang_set")
     same(line_dedup.dedup_lines, "n_lines", "n_dropped")
     for block in (1 << 20, 30):
-        same(lambda d, block=block: decontamination.decontaminate(d, bench, block_bytes=block), "n_words", "n_hit", "hit_items", "contaminated")
+        same(lambda d, block=block: decontamination.decontaminate(d, bench, index_bytes=block), "n_words", "n_hit", "hit_items", "contaminated")
     same(lambda d: quality_rules.judge(d, quality_rules.Field.neutral()), "n_words", "kept")
     same(lambda d: sharding.shuffle_shards(d, "doc_id"), "shard", "grown_shard")
     url = lambda d: d.withColumn("text", F.concat(F.lit("http://spam.net/"), F.col("doc_id") % 5))
