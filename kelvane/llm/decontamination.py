@@ -209,7 +209,7 @@ class _Bits:
 
 def _anchor(prefix: np.ndarray, offset, n) -> np.ndarray:
     """One hash of a prefix word, its offset and its window's length."""
-    return mix(prefix + U(0x9E3779B97F4A7C15) * (np.asarray(offset).astype(np.uint64) * U(1 << 16) + np.asarray(n).astype(np.uint64)))
+    return mix(prefix + U(0x9E3779B97F4A7C15) * ((np.atleast_1d(offset) << 16) + n).astype(np.uint64))
 
 
 def _spelt(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
