@@ -1,12 +1,15 @@
 """Line dedup by site-relative frequency (DataFrame functions only).
 
 A line that stands on more than ``ratio`` of a host's pages is boilerplate of that host and is dropped there; other hosts
-keep it. A page counts once for a line however often it repeats it. Blank lines are neither counted nor dropped. On a host
-of a few pages each line exceeds the ratio by standing on one or two; so a line must stand on ``min_pages`` at least.
+keep it. A page counts once for a line however often it repeats it. Blank lines are neither counted nor dropped. The ratio
+alone decides on every host, of however many pages; so on a host of fewer than 1 / ratio pages each line goes. Who wants to
+keep lines that no other page repeats gives ``min_pages`` (2: a line must stand on two pages at least).
 
-A page of which no content line would be left is a copy of other pages, which near-duplicate removal judges, rather than
+A page of which no content line would be left may be a copy of other pages, which near-duplicate removal judges, rather than
 a template: with ``keep_whole`` its text stays, and ``n_boilerplate`` still tells how many of its lines exceed the ratio.
 
+Lines are told apart by 64-bit hashes: two different lines of a host are taken for one once in 2^64 pairs.
+
 Defined cases: a null or empty text stays as it is; a null host is a host of its own; repeated rows count as
 pages; a text of any length is taken whole; a line at the ratio exactly stays; other columns pass through, and an added
 column whose name is taken gets an underscore behind it.
@@ -21,8 +24,6 @@ from ._common import free_name, materialise
 
 #: A line on more than this share of the host's pages is boilerplate.
 RATIO = 0.1
-#: A line on fewer pages than this tells nothing of its host.
-MIN_PAGES = 3
 #: Rows of the boilerplate table up to which it is broadcast (16 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Boilerplate lines of a host up to which a page's lines are held against all of them, one by one.
@@ -37,8 +38,8 @@ def _blank(line: Column) -> Column:
     return F.trim(line) == ""
 
 
-def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line_hash, n_pages, host_pages) of the lines above the ratio.
+def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = 1) -> DataFrame:
+    """(host, line_hash, n_pages, host_pages) of the lines above the ratio, on ``min_pages`` at least.
 
     Counting shuffles one (host, hash) pair per distinct line of a task; a host of any size is spread over the
     cluster because the hash is part of the key.
@@ -55,7 +56,7 @@ def boilerplate_lines(pages: DataFrame, host: str = "source", text: str = "text"
     )
 
 
-def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS, keep_whole: bool = True) -> DataFrame:
+def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = 1, broadcast_rows: int = BROADCAST_ROWS, keep_whole: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines cut from ``text``, plus ``n_lines``, ``n_dropped`` and ``n_boilerplate`` (of non-blank lines)."""
     total, dropped, above = (free_name(pages, x) for x in ("n_lines", "n_dropped", "n_boilerplate"))
     spark, columns = pages.sparkSession, pages.columns
@@ -102,11 +103,11 @@ WITH d AS (SELECT doc_id, source, text FROM documents),
 l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM d),
 t AS (SELECT source, count(*) AS n FROM d GROUP BY 1),
 bad AS (SELECT c.source, c.line FROM (SELECT source, line, count(DISTINCT doc_id) AS k FROM l WHERE trim(line) <> '' GROUP BY 1, 2) c
-        JOIN t ON t.source IS NOT DISTINCT FROM c.source WHERE k >= {MIN_PAGES} AND k > n * {RATIO}),
+        JOIN t ON t.source IS NOT DISTINCT FROM c.source WHERE k > n * {RATIO}),
 m AS (SELECT l.*, bad.line IS NOT NULL AS dropped FROM l LEFT JOIN bad ON bad.source IS NOT DISTINCT FROM l.source AND bad.line = l.line),
 a AS (SELECT doc_id, count(*) FILTER (trim(line) <> '') AS n_lines, count(*) FILTER (dropped) AS n_drop,
              string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped) AS cleaned FROM m GROUP BY 1)
-SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, CASE WHEN n_drop < n_lines THEN n_drop ELSE 0 END::BIGINT AS n_dropped, coalesce(n_drop, 0)::BIGINT AS n_boilerplate,
-       sha256(CASE WHEN n_drop > 0 AND n_drop < n_lines THEN cleaned ELSE text END) AS text_sha256
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_drop, 0)::BIGINT AS n_dropped, coalesce(n_drop, 0)::BIGINT AS n_boilerplate,
+       sha256(CASE WHEN n_drop > 0 THEN coalesce(cleaned, '') ELSE text END) AS text_sha256
 FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """

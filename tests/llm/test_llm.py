@@ -255,10 +255,12 @@ def test_language(spark):
 def test_lines(spark, rows):
     data = [(i, f"menu\nbody {i}\n\nmenu", "h") for i in range(20)] + [(90, "menu\nx", None), (91, None, "h"), (92, "menu", "h")]
     d = spark.createDataFrame(data, "doc_id long, text string, source string")
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(d, broadcast_rows=rows).collect()}
-    assert got[3] == ("body 3\n", 3, 2) and got[90] == ("menu\nx", 2, 0) and got[91] == (None, 0, 0) and got[92] == ("menu", 1, 0)
-    bare = {r["doc_id"]: (r["text"], r["n_dropped"], r["n_boilerplate"]) for r in line_dedup.dedup_lines(d, broadcast_rows=rows, keep_whole=False).collect()}
-    assert bare[92] == ("", 1, 1) and bare[3] == ("body 3\n", 2, 2)
+    cut = lambda **how: {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"], r["n_boilerplate"]) for r in line_dedup.dedup_lines(d, broadcast_rows=rows, **how).collect()}
+    got = cut()
+    assert got[3] == ("body 3\n", 3, 2, 2) and got[91] == (None, 0, 0, 0) and got[92] == ("", 1, 1, 1)
+    assert got[90] == ("", 2, 2, 2)  # a host of one page: the ratio alone decides
+    got = cut(min_pages=2, keep_whole=True)
+    assert got[3] == ("body 3\n", 3, 2, 2) and got[90] == ("menu\nx", 2, 0, 0) and got[91] == (None, 0, 0, 0) and got[92] == ("menu", 1, 0, 1)
 
 
 def test_packing(docs, texts):
@@ -449,7 +451,7 @@ def brute_pipeline(rows, items):
     on = collections.Counter((s, x) for _, t, s in rows for x in {y for y in t.split("\n") if y.strip(" ")})
     cut = []
     for i, t, s in rows:
-        left = [x for x in t.split("\n") if not x.strip(" ") or not (on[s, x] >= line_dedup.MIN_PAGES and on[s, x] > pages[s] * line_dedup.RATIO)]
+        left = [x for x in t.split("\n") if not x.strip(" ") or not (on[s, x] >= 2 and on[s, x] > pages[s] * line_dedup.RATIO)]
         cut.append((i, "\n".join(left) if any(x.strip(" ") for x in left) else t))
     sets = []
     for i, t in cut:
