@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: str | None = None
+#: Tables written so far by the innermost :func:`settle`.
+_written: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +42,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kelvane_path = path
+    if (written := _written.get()) is not None:
+        written.append(out)
     return out
 
 
+def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """:func:`materialise` what ``make()`` returns, and delete all that it wrote on the way; if it fails, that goes as well."""
+    made: list[DataFrame] = []
+    token = _written.set(made)
+    try:
+        df = make()
+        _written.reset(token)
+        return materialise(df, name)
+    except BaseException:
+        if _written.get() is made:
+            _written.reset(token)
+        raise
+    finally:
+        for used in made:
+            discard(used)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what :func:`materialise` wrote, once nothing will read it again."""
     path = getattr(df, "_kelvane_path", None)
