@@ -27,8 +27,10 @@ def side_by_side(matrices: dict[str, SparseMatrix], of=sparsity) -> DataFrame:
     return out
 
 
-def bandwidths(matrices: dict[str, SparseMatrix]) -> DataFrame:
-    return metrics.measures(matrices).select("bandwidth", F.col("method").alias("name"))
+def bandwidths(matrices: dict[str, SparseMatrix], empty: int | None = 0) -> DataFrame:
+    """Bandwidths by name; ``empty`` is that of a matrix without entries."""
+    own = F.when(F.col("max_wavefront") > 0, F.col("bandwidth")).otherwise(F.lit(empty).cast("long"))
+    return metrics.measures(matrices).select(own.alias("bandwidth"), F.col("method").alias("name"))
 
 
 def row_widths(m: SparseMatrix) -> DataFrame:
