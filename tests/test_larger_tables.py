@@ -38,7 +38,7 @@ def same_as_sql(spark, d, name):
     assert plain(own) == plain(rows)
 
 
-EMPTY_FLOW = ["bandwidth_evolution", "best_method", "compare_reorderings", "reordering_summary", "reordering_findings", "block_density", "recommendations", "sparsity_summary"]
+EMPTY_FLOW = ["bandwidth_evolution", "best_method", "compare_reorderings", "reordering_summary", "reordering_findings", "block_density", "recommendations", "sparsity_summary", "partition_quality"]
 
 
 @pytest.mark.parametrize("name", EMPTY_FLOW)
