@@ -44,3 +44,28 @@ EMPTY_FLOW = ["bandwidth_evolution", "best_method", "compare_reorderings", "reor
 @pytest.mark.parametrize("name", EMPTY_FLOW)
 def test_empty_flow(spark, even, name):
     same_as_sql(spark, even, name)
+
+
+def path(spark, n):
+    """A path whose vertices are numbered out of order, and its vertices along it (the smaller end first)."""
+    line = [(i * 7 + 3) % n for i in range(n)]
+    assert sorted(line) == list(range(n))
+    return spark.createDataFrame([(min(p), max(p)) for p in zip(line, line[1:])], "src long, dst long"), line if line[0] < line[-1] else line[::-1]
+
+
+def test_recursive_long_path(spark, monkeypatch):
+    """Beyond one task, a path falls into the same parts as in a task."""
+    edges, _ = path(spark, 200)
+    inside = {r["id"]: r["part"] for r in partitions.partition(edges, 200, 5, "recursive").collect()}
+    monkeypatch.setattr(partitions, "TASK_NODES", 20)
+    assert {r["id"]: r["part"] for r in partitions.partition(edges, 200, 5, "recursive").collect()} == inside
+
+
+def test_places(spark):
+    from kelvane.operators import paths
+
+    edges, line = path(spark, 50)
+    assert [r["id"] for r in paths.places(edges, 50).orderBy("place").collect()] == line
+    assert paths.places(edges, 51) is None
+    ring = spark.createDataFrame([(50, 51), (51, 52), (50, 52)], "src long, dst long")
+    assert paths.places(edges.unionByName(ring), 53) is None
