@@ -69,3 +69,12 @@ def test_places(spark):
     assert paths.places(edges, 51) is None
     ring = spark.createDataFrame([(50, 51), (51, 52), (50, 52)], "src long, dst long")
     assert paths.places(edges.unionByName(ring), 53) is None
+
+
+def test_dissection_long_path(spark):
+    """Beyond one task, a path is dissected as in a task."""
+    _, line = path(spark, 200)
+    cells = [(v, i + k) for i, v in enumerate(line) for k in (0, 1) if i + k < 200]
+    m = SparseMatrix(spark.createDataFrame([(r, c, 1.0) for r, c in cells], "row long, col long, val double"), 200, 200)
+    inside = {tuple(r) for r in partitions.nested_dissection(m, 10).collect()}
+    assert {tuple(r) for r in partitions.nested_dissection(m, 10, task_nodes=40).collect()} == inside
