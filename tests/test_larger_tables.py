@@ -78,3 +78,14 @@ def test_dissection_long_path(spark):
     m = SparseMatrix(spark.createDataFrame([(r, c, 1.0) for r, c in cells], "row long, col long, val double"), 200, 200)
     inside = {tuple(r) for r in partitions.nested_dissection(m, 10).collect()}
     assert {tuple(r) for r in partitions.nested_dissection(m, 10, task_nodes=40).collect()} == inside
+
+
+def test_compressible_table_not_sent(spark):
+    """A table that is small in its files only is not sent to all tasks."""
+    from kelvane.sources.storage import store
+
+    rows = store(spark.range(400_000).withColumn("level", F.lit(1)).withColumn("name", F.lit("the same text in all rows")), "rows")
+    one = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    assert one > 10 * 1024 * 1024
+    joined = rows.join(rows.select("id", F.col("level").alias("other")), "id")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
