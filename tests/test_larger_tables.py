@@ -85,7 +85,18 @@ def test_compressible_table_not_sent(spark):
     from kelvane.sources.storage import store
 
     rows = store(spark.range(400_000).withColumn("level", F.lit(1)).withColumn("name", F.lit("the same text in all rows")), "rows")
-    one = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    one = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert one > 10 * 1024 * 1024
     joined = rows.join(rows.select("id", F.col("level").alias("other")), "id")
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_components_without_hubs(spark):
+    """A star and a chain, numbered at random: the least number of each; no key of any round's join has the whole component."""
+    from kelvane.operators import graphs
+
+    star = [(500, i) for i in range(500)]
+    line = [501 + (i * 7) % 300 for i in range(300)]
+    edges = spark.createDataFrame([(min(p), max(p)) for p in star + list(zip(line, line[1:]))], "src long, dst long")
+    found = {r["id"]: r["component"] for r in graphs.components(edges, 802).collect()}
+    assert found == {**dict.fromkeys(range(501), 0), **dict.fromkeys(range(501, 801), 501), 801: 801}
