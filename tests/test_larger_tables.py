@@ -100,3 +100,31 @@ def test_components_without_hubs(spark):
     edges = spark.createDataFrame([(min(p), max(p)) for p in star + list(zip(line, line[1:]))], "src long, dst long")
     found = {r["id"]: r["component"] for r in graphs.components(edges, 802).collect()}
     assert found == {**dict.fromkeys(range(501), 0), **dict.fromkeys(range(501, 801), 501), 801: 801}
+
+
+def rectangle(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    cells = sorted({(int(r), int(c)) for r, c in zip(rng.integers(0, 60, 90), rng.integers(0, 80, 90))})
+    return SparseMatrix(spark.createDataFrame([(r, c, 1.0) for r, c in cells], "row long, col long, val double"), 70, 80), cells
+
+
+def test_overlap_degrees(spark):
+    """Rows that share a column with each, counted by blocks and shares."""
+    from kelvane.operators import orderings
+
+    m, cells = rectangle(spark)
+    near = {r: {s for s, d in cells for q, c in cells if q == r and c == d} - {r} for r, _ in cells}
+    found = {r["id"]: r["degree"] for r in orderings.overlap_degrees(m.entries, 70, 20, 30).collect()}
+    assert found == {r: len(x) for r, x in near.items()}
+
+
+def test_overlap_order_without_edges(spark, monkeypatch):
+    """Rows' order by shared columns, with and without the overlap graph's edges; no edges are made."""
+    from kelvane.operators import graphs, orderings
+
+    m, _ = rectangle(spark)
+    expected = {tuple(r) for r in orderings.reverse_cuthill_mckee(graphs.row_overlap(m), 70).collect()}
+    monkeypatch.setattr(graphs, "row_overlap", None)
+    assert {tuple(r) for r in orderings.rcm(m).collect()} == expected
