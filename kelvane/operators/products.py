@@ -51,19 +51,23 @@ def spmv(m: SparseMatrix, x: DataFrame, strategy: str = "shuffle", block: int =
     return _complete(m, partial.groupBy("row").agg(F.sum("val").alias("val")))
 
 
-#: Rows and columns of a packed block: at most the square of it in entries, so a row of the table stays small.
-PACKED = 1024
+#: Columns of a packed block, and its entries a column.
+PACKED, PACKED_DEPTH = 1024, 16
 
 
 def packed(m: SparseMatrix, block: int = PACKED) -> DataFrame:
-    """(rb, cb, rows, cols, vals): a row a block that has entries, with their places in the block; bucketed by block of columns.
+    """(cb, rows, cols, vals): blocks of ``block`` columns, with rows by number and columns by place in the block; bucketed by block of columns.
 
-    The layout for a matrix that is multiplied again and again: a product reads it where it lies, and shuffles the vector only.
+    A block's rows are dealt by hash to pieces of about ``PACKED_DEPTH`` entries a column, a row of the table each: however sparse
+    the matrix, a piece has more entries than the vector's part that is sent to it. The layout for a matrix that is multiplied
+    again and again: a product reads it where it lies, and shuffles the vector only.
     """
-    places = [(F.floor(F.col(c) / block).cast("long").alias(b), F.pmod(c, F.lit(block)).cast("int").alias(c)) for c, b in (("row", "rb"), ("col", "cb"))]
-    cells = m.entries.select(*[x for pair in places for x in pair], F.col("val").cast("double").alias("val"))
-    blocks = cells.groupBy("rb", "cb").agg(F.array_sort(F.collect_list(F.struct("row", "col", "val"))).alias("e"))
-    table = blocks.select("rb", "cb", *[F.col(f"e.{c}").alias(f"{c}s") for c in ("row", "col", "val")])
+    m = m.stored()
+    cells = m.entries.select("row", F.floor(F.col("col") / block).cast("long").alias("cb"), F.pmod("col", F.lit(block)).cast("int").alias("col"), F.col("val").cast("double").alias("val"))
+    pieces = cells.groupBy("cb").agg(F.ceil(F.count("*") / (PACKED_DEPTH * block)).alias("pieces"))
+    dealt = cells.join(pieces, "cb").withColumn("piece", F.pmod(F.xxhash64("row"), "pieces"))
+    blocks = dealt.groupBy("cb", "piece").agg(F.array_sort(F.collect_list(F.struct("row", "col", "val"))).alias("e"))
+    table = blocks.select("cb", *[F.col(f"e.{c}").alias(f"{c}s") for c in ("row", "col", "val")])
     return bucketed(table, "packed", ["cb"], int(m.spark.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -75,17 +79,12 @@ def spmv_packed(blocks: DataFrame, m: SparseMatrix, x: DataFrame, block: int = P
 
     def multiply(batches):
         for b in batches:
-            rows, out = [], []
             for k in range(b.num_rows):
-                row, col, val, v = (b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(1, 5))
-                y = np.bincount(row, val * v[col])
-                at = np.unique(row)
-                rows.append(at + b.column(0)[k].as_py() * block)
-                out.append(y[at])
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).astype(np.int64)), pa.array(np.concatenate(out))], names=["row", "val"])
-
-    met = blocks.join(vector.hint("merge"), "cb").select("rb", "rows", "cols", "vals", "x")
+                row, col, val, v = (b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(4))
+                ids, at = np.unique(row, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(at, val * v[col], len(ids)))], names=["row", "val"])
+
+    met = blocks.join(vector.hint("merge"), "cb").select("rows", "cols", "vals", "x")
     return _complete(m, met.mapInArrow(multiply, "row long, val double").groupBy("row").agg(F.sum("val").alias("val")))
 
 

@@ -128,3 +128,14 @@ def test_overlap_order_without_edges(spark, monkeypatch):
     expected = {tuple(r) for r in orderings.reverse_cuthill_mckee(graphs.row_overlap(m), 70).collect()}
     monkeypatch.setattr(graphs, "row_overlap", None)
     assert {tuple(r) for r in orderings.rcm(m).collect()} == expected
+
+def test_packed_pieces(spark):
+    """A sparse matrix is packed into few pieces, whatever its number of rows."""
+    from kelvane.operators import products
+
+    cells = spark.range(4000).select((F.col("id") * 1000).alias("row"), (F.col("id") % 100).alias("col"), F.lit(1.0).alias("val"))
+    m = SparseMatrix(cells, 4_000_000, 100)
+    blocks = products.packed(m, 50)
+    assert blocks.count() <= 6 and sum(len(r["rows"]) for r in blocks.collect()) == 4000
+    y = products.spmv_packed(blocks, m, spark.range(100).select(F.col("id").alias("idx"), F.col("id").cast("double").alias("val")), 50)
+    assert y.where("val <> IF(idx % 1000 = 0, idx DIV 1000 % 100, 0)").isEmpty() and y.count() == 4_000_000
