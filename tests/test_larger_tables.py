@@ -129,6 +129,27 @@ def test_overlap_order_without_edges(spark, monkeypatch):
     monkeypatch.setattr(graphs, "row_overlap", None)
     assert {tuple(r) for r in orderings.rcm(m).collect()} == expected
 
+def test_pairs_not_shuffled(spark):
+    """Products and pairs of rows are made by the task of their row: nothing is shuffled after they are; hot columns are cut."""
+    import numpy as np
+
+    from kelvane.operators import graphs, products
+
+    g = np.random.default_rng(3)
+    a = np.where(g.random((60, 30)) < 0.2, g.integers(1, 9, (60, 30)), 0).astype(float)
+    a[:50, 3] = 2
+    m = SparseMatrix(spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "row long, col long, val double"), 60, 30)
+    after = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].split("Generate posexplode")[0]
+    want = {(int(i), int(j)): (a @ a.T)[i, j] for i, j in zip(*np.nonzero(a @ a.T))}
+    for c in (products.gram(m), products.spgemm(m, m.transpose())):
+        assert "Exchange" not in after(c.entries)
+        assert {(r["row"], r["col"]): r["val"] for r in c.entries.collect()} == want
+    for block in (4, 2048):
+        e = graphs.row_overlap(m, block)
+        assert "Exchange" not in after(e)
+        assert sorted(tuple(r) for r in e.collect()) == sorted(k for k in want if k[0] < k[1])
+
+
 def test_packed_pieces(spark):
     """A sparse matrix is packed into few pieces, whatever its number of rows."""
     from kelvane.operators import products
