@@ -160,3 +160,55 @@ def test_packed_pieces(spark):
     assert blocks.count() <= 6 and sum(len(r["rows"]) for r in blocks.collect()) == 4000
     y = products.spmv_packed(blocks, m, spark.range(100).select(F.col("id").alias("idx"), F.col("id").cast("double").alias("val")), 50)
     assert y.where("val <> IF(idx % 1000 = 0, idx DIV 1000 % 100, 0)").isEmpty() and y.count() == 4_000_000
+
+
+def sparse(spark, n=120, m=260, seed=7):
+    import numpy as np
+
+    g = np.random.default_rng(seed)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in g.integers(0, n, (m, 2)).tolist() if a != b})
+    return spark.createDataFrame(pairs, "src long, dst long"), pairs, n
+
+
+def test_edges_stay_in_buckets(spark, monkeypatch):
+    """Cores and independent sets of many edges: as of few, and the edges that rounds join are not shuffled."""
+    from kelvane.operators import coloring, graphs
+
+    edges, _, n = sparse(spark)
+    of = lambda f: {tuple(r) for r in f(edges, n).collect()}
+    few = [of(f) for f in (coloring.cores, coloring.independent_sets)]
+    monkeypatch.setattr(graphs, "BUCKETED_EDGES", 1)
+    assert [of(f) for f in (coloring.cores, coloring.independent_sets)] == few
+    two = graphs.laid_out(edges, "dst")
+    plan = two.join(spark.range(5).withColumnRenamed("id", "dst").hint("merge"), "dst")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_sets_read_open_edges_only(spark, monkeypatch):
+    """Each round of a colour reads the edges among vertices that are still open: fewer than the rounds before."""
+    from kelvane.operators import coloring
+
+    edges, pairs, n = sparse(spark)
+    sizes, among = [], coloring._among
+    monkeypatch.setattr(coloring, "_among", lambda two, gone: sizes.append(two.count()) or among(two, gone))
+    colors = dict(tuple(r) for r in coloring.independent_sets(edges, n).collect())
+    assert all(colors[a] != colors[b] for a, b in pairs) and len(colors) == n
+    assert sizes[0] == 2 * len(pairs) and sum(sizes) < 5 * sizes[0] and min(sizes) == 0
+
+
+def test_components_are_clusters_and_parts(spark, monkeypatch):
+    """A graph of just k components needs no eigenvectors, and no coarsening if they are even."""
+    from kelvane.operators import multilevel, spectral
+
+    n = 60
+    rows = spark.range(n)
+    chains = rows.select(F.col("id").alias("src"), (F.col("id") + 3).alias("dst")).where(F.col("dst") < n)
+    monkeypatch.setattr(spectral, "eigenvectors", None)
+    third = {i: i % 3 for i in range(n)}
+    assert {r["id"]: r["part"] for r in spectral.clusters(chains, n, 3).collect()} == third
+    with monkeypatch.context() as patch:
+        patch.setattr(multilevel, "split", None)
+        assert {r["id"]: r["part"] for r in multilevel.partition(chains, n, 3).collect()} == third
+    uneven = rows.where("id < 59").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).where("src <> 9 AND src <> 19")
+    sizes = [r["count"] for r in multilevel.partition(uneven, n, 3).groupBy("part").count().collect()]
+    assert len(sizes) == 3 and max(sizes) <= 21 and min(sizes) >= 19
