@@ -212,3 +212,15 @@ def test_components_are_clusters_and_parts(spark, monkeypatch):
     uneven = rows.where("id < 59").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).where("src <> 9 AND src <> 19")
     sizes = [r["count"] for r in multilevel.partition(uneven, n, 3).groupBy("part").count().collect()]
     assert len(sizes) == 3 and max(sizes) <= 21 and min(sizes) >= 19
+
+
+def test_search_by_many_tasks(spark, monkeypatch):
+    """Large searches go by tasks as their links ask for, and find what small ones do."""
+    from kelvane.operators import graphs
+
+    edges, pairs, _ = sparse(spark)
+    search = lambda: {tuple(r) for r in graphs.bfs(edges, spark.range(3)).collect()}
+    few, buckets, laid = search(), [], graphs.bucketed
+    monkeypatch.setattr(graphs, "bucketed", lambda df, name, keys, n: buckets.append(n) or laid(df, name, keys, n))
+    monkeypatch.setattr(graphs, "TASK_LINKS", 500)
+    assert search() == few and buckets == [2 * len(pairs) * 3 // 500]
