@@ -224,3 +224,21 @@ def test_search_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(graphs, "bucketed", lambda df, name, keys, n: buckets.append(n) or laid(df, name, keys, n))
     monkeypatch.setattr(graphs, "TASK_LINKS", 500)
     assert search() == few and buckets == [2 * len(pairs) * 3 // 500]
+
+
+def test_large_levels_not_sent(spark, monkeypatch):
+    """On levels of many vertices no join by vertex sends a table to all tasks, and the parts are those of joins that do."""
+    import re
+
+    from kelvane.operators import multilevel
+
+    edges, _, n = sparse(spark, 700, 1500)
+    split = lambda: {tuple(r) for r in multilevel.partition(edges, n).collect()}
+    sent, written, plans = split(), multilevel.store, {}
+    keep = lambda df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name)
+    monkeypatch.setattr(multilevel, "SENT", 300, raising=False)
+    monkeypatch.setattr(multilevel, "store", keep)
+    assert split() == sent
+    assert {"wishes", "mapping", "coarse", "movers", "moves", "parts"} <= set(plans)
+    by_vertex = re.compile(r"BroadcastHashJoin \[(id|src|dst|lead|csrc|cdst)#")
+    assert not [name for name, some in plans.items() for plan in some if by_vertex.search(plan)]
