@@ -242,3 +242,16 @@ def test_large_levels_not_sent(spark, monkeypatch):
     assert {"wishes", "mapping", "coarse", "movers", "moves", "parts"} <= set(plans)
     by_vertex = re.compile(r"BroadcastHashJoin \[(id|src|dst|lead|csrc|cdst)#")
     assert not [name for name, some in plans.items() for plan in some if by_vertex.search(plan)]
+
+
+@pytest.mark.parametrize("name", ["compare_reorderings", "best_method", "reordering_summary", "reordering_findings"])
+def test_failed_method_fails_comparison(spark, even, monkeypatch, name):
+    """A comparison without the method that failed would look like a whole one."""
+    from kelvane.plans import methods
+
+    def fails(m):
+        raise ValueError("no order")
+
+    monkeypatch.setitem(methods._methods, "block_reverse", fails)
+    with pytest.raises(RuntimeError, match="block_reverse: no order"):
+        catalog.queries()[name](spark, even).collect()
