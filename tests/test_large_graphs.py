@@ -266,6 +266,22 @@ def test_distances_without_all_pairs(spark, monkeypatch):
     assert graphs.diameter(e, n, batch=5) == want and graphs.diameter(e, n + 1) is None
 
 
+def test_distances_exact_at_any_size(spark, monkeypatch):
+    """Distances do not depend on how many vertices are listed pair by pair, held by a task, or folded where they hang."""
+    edges, n = random_edges(150, 3, 11) + [(i - 1, i) for i in range(150, 154)] + [(i % 40, i) for i in range(154, 300)], 300
+    far = all_distances(neighbours(edges, n))
+    ways = sum(sum(x.values()) for x in far)
+    e = frame(spark, edges)
+    monkeypatch.setattr(graphs, "ALL_PAIRS", 100)
+    assert tuple(graphs.distances(e, n).first()) == (max(max(x.values()) for x in far), round(ways / (n * (n - 1)), 6))
+    assert graphs.properties(e, n).first()["average_shortest_path"] == round(ways / (n * (n - 1)), 6)
+    assert tuple(graphs.distances(e, n + 1).first()) == (None, None)
+    monkeypatch.setattr(graphs, "BATCH", 100)
+    assert graphs.distance_sum(e, n, core_links=10) == ways
+    star = [(0, i) for i in range(1, 150)]
+    assert graphs.distance_sum(frame(spark, star), 150) == 2 * 149 + 149 * 148 * 2
+
+
 def test_layouts_that_stay(spark):
     """Products with a bucketed or packed matrix shuffle no entry of it, and give what the others give."""
     from kelvane.operators import products
