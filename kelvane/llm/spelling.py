@@ -13,7 +13,8 @@ the steps each round.
 
 Defined cases: a null text has no words, and an empty one neither; a null id is hashed as an empty one; rows that repeat
 count each; ties of frequency go to the smallest word in code-point order; texts of any length are read whole; an empty
-table gives an empty result; other columns of the documents are not read. Distinct words of a block of text are told apart by
+table gives an empty result; other columns of the documents are not read. No join sends a table to all tasks: Spark takes a
+table of exploded words for as small as the vocabulary's file, which the driver could not hold. Distinct words of a block of text are told apart by
 64-bit hashes. Bigrams are at most the square of the alphabet of 90 letters, so their order is held by every task.
 """
 
@@ -170,7 +171,7 @@ def near_words(words: DataFrame) -> DataFrame:
     dealt = dealt.select("word", "n", "pos", "longer", F.explode(pieces).alias("piece"), "gram", "short").withColumn("key", F.xxhash64("gram", "short", "piece")).drop("gram", "short", "piece")
     a = dealt.where("NOT longer").drop("longer")
     b = dealt.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), "longer")
-    met = a.join(b, "key").where("(longer OR word < other) AND abs(pos - other_pos) <= 1 AND abs(length(word) - length(other)) <= 1")
+    met = a.join(b.hint("merge"), "key").where("(longer OR word < other) AND abs(pos - other_pos) <= 1 AND abs(length(word) - length(other)) <= 1")
     found = met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n").distinct()  # several bigrams and pieces find a pair
     ways = F.array(F.struct("word", "n", "other", "other_n"), F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     return found.select(F.explode(ways).alias("pair")).select("pair.*")
@@ -181,7 +182,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = materialise(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new = materialise(at.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        new = materialise(at.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         discard(at)
         at = new.drop("moved")
         at._kelvane_path = new._kelvane_path
@@ -197,7 +198,7 @@ def variants(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ratio:
     enough = -F.col("best.minus") >= ratio * F.col("n")
     near = materialise(near.select("word", "n_near", F.when(enough, F.col("best.form")).alias("form"), F.when(enough, -F.col("best.minus")).alias("form_n")), "near")
     followed = roots(near.where("form IS NOT NULL"))
-    out = words.join(near, "word", "left").join(followed, "word", "left")
+    out = words.join(near.hint("merge"), "word", "left").join(followed.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 

@@ -183,3 +183,12 @@ def test_features_of_texts():
     assert x[3][quality_model.FEATURES.index("repeated")] == 1 and x[4][quality_model.FEATURES.index("word_size")] == 30
     many = [t for t in texts for _ in range(3)]
     assert np.array_equal(quality_model.features(pa.array(many, pa.string())), np.repeat(x, 3, axis=0))
+
+
+def test_variants_send_no_table(spark):
+    """Joins of words deal both sides, however small the vocabulary's file looks: nothing is sent to all tasks."""
+    docs = spark.createDataFrame([(i, "mountain mountains fountain fountains") for i in range(40)], "doc_id long, text string")
+    words = spelling.materialise(spelling.vocabulary(docs), "vocabulary")
+    for df in (spelling.near_words(words), spelling.variants(docs)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
