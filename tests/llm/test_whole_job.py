@@ -110,3 +110,29 @@ def test_suffix_dedup_deals_texts_once(spark):
         assert "ReusedExchange [doc_id#" in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_comparisons_in_deals(spark, monkeypatch):
+    """What is compared in deals gives the same rows, and what a table that was written had shuffled is gone."""
+    import random
+
+    from kelvane.llm import jaccard_join
+
+    r = random.Random(8)
+    base = [" ".join(f"w{r.randrange(300)}" for _ in range(60)) for _ in range(8)]
+    rows = [(i, " ".join([*base[i % 8].split()[: 60 - i % 3], f"x{i}"])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "HOT_RUN", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    result = lambda: sorted(map(tuple, jaccard_join.join_classes(docs, 80).collect()))
+    whole = result()
+    assert len({x[2] for x in whole}) < 20
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: sum(f.getName().startswith("shuffle_") for f in [disk.getAllFiles().apply(i) for i in range(disk.getAllFiles().size())])
+    before = left()
+    table = jaccard_join.materialise(docs.groupBy("text").count().repartition(7), "swept")
+    assert left() <= before and table.count() == 80
+    monkeypatch.setattr(jaccard_join, "DEAL_BYTES", 3_000)
+    deals, settle = [], jaccard_join.settle
+    monkeypatch.setattr(jaccard_join, "settle", lambda make, name: (deals.append(name), settle(make, name))[1])
+    assert result() == whole and deals.count("deal") > 3
