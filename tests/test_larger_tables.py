@@ -255,3 +255,23 @@ def test_failed_method_fails_comparison(spark, even, monkeypatch, name):
     monkeypatch.setitem(methods._methods, "block_reverse", fails)
     with pytest.raises(RuntimeError, match="block_reverse: no order"):
         catalog.queries()[name](spark, even).collect()
+
+
+def test_blocks_are_read_where_they_lie(spark, monkeypatch):
+    """Degrees and products of many blocks: blocks meet without an exchange, and only a number a row is shuffled."""
+    import numpy as np
+
+    from kelvane.operators import meeting, orderings, products
+
+    m, cells = rectangle(spark)
+    a = np.zeros((70, 80))
+    a[tuple(zip(*cells))] = 1
+    monkeypatch.setattr(meeting, "LEAST_CELLS", 10)
+    monkeypatch.setattr(products, "GRAM_CELLS", 25)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    c = products.gram(m).entries
+    assert "CartesianProduct" in plan(c) and "Exchange" not in plan(c)
+    assert {(r["row"], r["col"]): r["val"] for r in c.collect()} == {(int(i), int(j)): (a @ a.T)[i, j] for i, j in zip(*np.nonzero(a @ a.T))}
+    d = orderings.overlap_degrees(m.entries, 70, 20, 30)
+    assert plan(d).count("Exchange") == 1
+    assert {r["id"]: r["degree"] for r in d.collect()} == {i: int((a[i] @ a.T > 0).sum()) - 1 for i in range(70) if a[i].any()}
